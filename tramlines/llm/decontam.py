@@ -28,6 +28,7 @@ result; other columns of the inputs are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -57,6 +58,7 @@ class Index:
     top: np.ndarray
     block_top: np.ndarray
     present: np.ndarray
+    lists: tuple
     longest: int
     shingles: list[np.ndarray] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
@@ -122,8 +124,12 @@ def build_index(rows: list[tuple[int, str]], n_items: int, mean: float, df: dict
     np.maximum.at(block_top, (np.searchsorted(terms, term), number // STEP), impact)
     present = np.zeros(1 << 20, bool)
     present[terms >> X.U64(44)] = True
+    blocks: list[dict[int, float]] = [{} for _ in terms]
+    for t, i, x in zip(np.searchsorted(terms, term).tolist(), number.tolist(), impact.tolist(), strict=True):
+        blocks[t][i // STEP] = max(x, blocks[t].get(i // STEP, 0.0))
+    lists = (number.tolist(), impact.tolist(), block_top.max(1).tolist(), [f[0] for f in found], blocks)
     return Index(
-        np.array([f[1] for f in found], np.int64), np.array([f[0] for f in found]), terms, np.append(heads, len(term)), number, impact, block_top.max(1), block_top.astype(np.float32), present, max(f[7] for f in found),
+        np.array([f[1] for f in found], np.int64), np.array([f[0] for f in found]), terms, np.append(heads, len(term)), number, impact, block_top.max(1), block_top.astype(np.float32), present, lists, max(f[7] for f in found),
         [f[4] for f in found], [f[5] for f in found], [f[6][0] for f in found], [f[6][1] for f in found],
     )
 
@@ -133,14 +139,15 @@ def block_max_wand(index: Index, query: np.ndarray) -> list[int]:
 
     Thresholds grow with the item number, so the one at a cursor's item bounds all later items.
     """
-    cursors = [[int(index.posting[index.heads[t]]), int(index.heads[t]), int(index.heads[t + 1]), int(t)] for t in query]
+    posting, impact, top, least, blocks = index.lists
+    cursors = [[posting[index.heads[t]], int(index.heads[t]), int(index.heads[t + 1]), int(t)] for t in query]
     found = []
     while cursors:
         cursors.sort()
         bound, pivot = 0.0, -1
         for i, (item, _, _, t) in enumerate(cursors):
-            bound += index.top[t]
-            if bound >= index.threshold[item]:
+            bound += top[t]
+            if bound >= least[item]:
                 pivot = i
                 break
         if pivot < 0:
@@ -149,24 +156,34 @@ def block_max_wand(index: Index, query: np.ndarray) -> list[int]:
         while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
             pivot += 1
         block = item // STEP
-        if sum(float(index.block_top[c[3], block]) for c in cursors[: pivot + 1]) < index.threshold[item] - 1e-2:
+        bound = 0.0
+        for c in cursors[: pivot + 1]:
+            bound += blocks[c[3]].get(block, 0.0)
+        if bound < least[item]:
             # No item of this block before the next cursor's can pass: go to the nearer of both ends.
             target = (block + 1) * STEP
             if pivot + 1 < len(cursors):
                 target = min(target, cursors[pivot + 1][0])
             target = max(target, item + 1)
         elif cursors[0][0] == item:
-            score = sum(index.impact[c[1]] for c in cursors[: pivot + 1])
-            if score >= index.threshold[item]:
+            score = 0.0
+            for c in cursors[: pivot + 1]:
+                score += impact[c[1]]
+            if score >= least[item]:
                 found.append(item)
             target = item + 1
         else:
             target = item
+        done = False
         for c in cursors[: pivot + 1]:
             if c[0] < target:
-                c[1] += int(np.searchsorted(index.posting[c[1] : c[2]], target))
-                c[0] = int(index.posting[c[1]]) if c[1] < c[2] else -1
-        cursors = [c for c in cursors if c[1] < c[2]]
+                c[1] = bisect_left(posting, target, c[1], c[2])
+                if c[1] < c[2]:
+                    c[0] = posting[c[1]]
+                else:
+                    done = True
+        if done:
+            cursors = [c for c in cursors if c[1] < c[2]]
     return found
 
 
