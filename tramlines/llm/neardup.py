@@ -4,13 +4,17 @@
    digest of the set and `bands` keys, each made of `rows` universal-hash minima.  Texts with the
    same set form one class; only the class's smallest id goes on, so copies never meet in pairs.
 2. Classes that share a band key are candidates.  A bucket is never expanded into all its pairs:
-   its smallest and its largest member are compared with the rest.
+   its member with the most collisions over all its buckets (the text that a group of near copies
+   was made from, say) is the centre that the rest are compared with.
 3. Candidates are verified, first on the signatures, then exactly on the full sets, and links are
    closed by alternating large-star and small-star.
-4. Buckets that still span several components are revisited: members outside the bucket's largest
-   component are compared with every member of another component, a doubling number of them each
-   round, until no untested pair of a bucket joins two components.  So every colliding pair is
-   tested or already in one component; nothing is capped.
+4. Buckets that still span several components are revisited.  A shingle that no other text of these
+   buckets has cannot be shared, which bounds the similarity of a text with any other of the bucket
+   from the sizes alone; texts that cannot reach the threshold drop out.  Members outside the
+   bucket's largest component are then compared with every member of another component that the
+   bound allows, a growing number of them each round, until no untested pair of a bucket joins two
+   components.  So every colliding pair is tested, ruled out by a proof or already in one component;
+   nothing is capped.
 
 A pair at similarity 0.8 shares none of 32 bands of 5 rows with probability 3e-6.
 
@@ -155,46 +159,87 @@ def _verify(params: NearDup):
     return run
 
 
-def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, one row per document."""
+def _lone_shingles(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, size, lone) of the given sets: `lone` shingles stand in none of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = np.frombuffer(cell.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), doc, np.int64)), pa.array(keys)], ["rep", "shingle"])
+
+    mine = sets.join(reps, sets.doc_id == reps.rep, "left_semi").select("doc_id", "keys")
+    shingles = mine.mapInArrow(run, "rep long, shingle long")
+    owners = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    lone = owners.groupBy("rep").agg(F.count("*").alias("lone"))
+    sizes = mine.select(F.col("doc_id").alias("rep"), (F.octet_length("keys") / 8).cast("long").alias("size"))
+    return sizes.join(lone, "rep", "left").select("rep", "size", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), broadcast_ids: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, one row per document.
+
+    Candidate texts are picked from the documents by a broadcast of their ids only while there are
+    at most `broadcast_ids` of them, else by a shuffled join.
+    """
     docs = X.documents_of(docs)
     profile = X.written(docs.mapInArrow(_profile(params), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "profiles")
     classes = profile.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
     members = classes.select("rep", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    crowded = X.written(members.join(buckets, "key"), "buckets")
+    buckets = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    crowded = X.written(members.join(buckets.select("key", "n"), "key"), "buckets")
+    popular = crowded.groupBy("rep").agg(F.sum("n").alias("pop"))
+    crowded = X.written(crowded.select("key", "rep").join(popular, "rep"), "crowded")
+    ids = popular.select(F.col("rep").alias("doc_id"))
+    few = ids.count() <= broadcast_ids
+    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = X.written(wanted.mapInArrow(_sets(params), "doc_id long, sig binary, keys binary"), "sets")
 
     def verified(pairs: DataFrame, what: str) -> DataFrame:
-        pairs = X.written(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{what}-pairs")
-        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        sets = X.written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(params), "doc_id long, sig binary, keys binary"), f"{what}-sets")
         left = sets.select(F.col("doc_id").alias("u"), F.col("sig").alias("sig_u"), F.col("keys").alias("keys_u"))
         right = sets.select(F.col("doc_id").alias("v"), F.col("sig").alias("sig_v"), F.col("keys").alias("keys_v"))
         joined = pairs.join(left, "u").join(right, "v").select("u", "v", "sig_u", "keys_u", "sig_v", "keys_v")
-        return X.written(joined.mapInArrow(_verify(params), "u long, v long, linked boolean"), f"{what}-verified")
+        return X.written(joined.mapInArrow(_verify(params), "u long, v long, linked boolean"), what)
 
-    stars = crowded.select(F.col("lo").alias("u"), F.col("rep").alias("v")).union(crowded.select("hi", "rep"))
-    tested = verified(stars, "star")
-    centres, size = 4, 0
+    centre = crowded.groupBy("key").agg(F.max(F.struct("pop", "rep")).alias("c")).select("key", F.col("c.rep").alias("c"))
+    stars = crowded.join(centre, "key").where("rep <> c").select(F.least("rep", "c").alias("u"), F.greatest("rep", "c").alias("v")).distinct()
+    tested = verified(X.written(stars, "stars"), "star-verified")
+    bounds, centres = None, 16
     while True:
         labels = X.written(connected_components(tested.where("linked").select("u", "v")), "labels")
         labelled = crowded.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = X.written(labelled.join(mixed, "key").select("key", "rep", "component", "largest"), "open")
+        if bounds is not None:
+            labelled = labelled.join(bounds, "rep")
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+        open_ = X.written(labelled.join(mixed, "key"), "open")
         if open_.isEmpty():
             break
-        # Centres of a bucket: members outside its largest component, in a fixed order, `centres` more each round.
+        if bounds is None:
+            bounds = X.written(_lone_shingles(sets, open_.select("rep").distinct()), "bounds")
+            open_ = open_.join(bounds, "rep")
+        # The most that the text can share, and its similarity with the smallest possible partner.
+        shared = F.col("size") - F.col("lone")
+        smallest = open_.groupBy("key").agg(F.min("size").alias("smallest"))
+        able = open_.join(smallest, "key").where(100 * shared >= round(100 * params.threshold) * (F.col("size") + F.greatest("smallest", shared) - shared))
+        parts = able.groupBy("key", "component").agg(F.count("*").alias("n"))
+        largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        able = X.written(able.join(largest, "key").select("key", "rep", "component", "largest", "size", "lone"), "able")
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-        chosen = open_.where("component <> largest").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres).select("key", F.col("rep").alias("u"), F.col("component").alias("cu"))
-        pairs = chosen.join(open_.select("key", F.col("rep").alias("v"), F.col("component").alias("cv")), "key").where("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        ranked = able.where("component <> largest").withColumn("rank", F.row_number().over(order))
+        most = ranked.agg(F.max("rank")).first()[0]
+        if most is None:
+            break
+        chosen = ranked.where(F.col("rank") <= centres).select("key", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("size").alias("su"), F.col("lone").alias("lu"))
+        others = able.select("key", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("size").alias("sv"), F.col("lone").alias("lv"))
+        both = F.least(F.col("su") - F.col("lu"), F.col("sv") - F.col("lv"))
+        near = (chosen["key"] == others["key"]) & (F.col("cu") != F.col("cv")) & (100 * both >= round(100 * params.threshold) * (F.col("su") + F.col("sv") - both))
+        pairs = chosen.join(others, near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fresh = X.written(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            if open_.where("component <> largest").groupBy("key").count().agg(F.max("count")).first()[0] <= centres:
-                break
-        else:
-            tested = X.written(tested.union(verified(fresh, "round")), "tested")
-        centres, size = centres * 2, size + 1
+        if not fresh.isEmpty():
+            tested = X.written(tested.union(verified(fresh, "round-verified")), "tested")
+        elif most <= centres:
+            break
+        centres *= 8
     out = profile.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("n_shingles", "d1", "d2", "rep"), ["n_shingles", "d1", "d2"], "left")
     out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
