@@ -8,13 +8,15 @@
    was made from, say) is the centre that the rest are compared with.
 3. Candidates are verified, first on the signatures, then exactly on the full sets, and links are
    closed by alternating large-star and small-star.
-4. Buckets that still span several components are revisited.  A shingle that no other text of these
-   buckets has cannot be shared, which bounds the similarity of a text with any other of the bucket
-   from the sizes alone; texts that cannot reach the threshold drop out.  Members outside the
-   bucket's largest component are then compared with every member of another component that the
-   bound allows, a growing number of them each round, until no untested pair of a bucket joins two
-   components.  So every colliding pair is tested, ruled out by a proof or already in one component;
-   nothing is capped.
+4. Members of one bucket that are in different components have not been compared with each other,
+   only with the centre c.  What a text x differs in from c, D(x) = x without c and c without x,
+   decides: |x - y| + |y - x| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so two texts as similar as asked,
+   one of them not linked with c, must share more than half of D(y) (less a term for sizes).  Hence
+   any such pair meets on a shingle among the rarest half of D(y), where shingles that no other
+   member has meet nobody.  The pairs that do meet are verified like the rest.
+
+So every colliding pair is verified, ruled out by a proof or already in one component; nothing is
+capped, and a group of copies costs its members, not its pairs.
 
 A pair at similarity 0.8 shares none of 32 bands of 5 rows with probability 3e-6.
 
@@ -159,21 +161,15 @@ def _verify(params: NearDup):
     return run
 
 
-def _lone_shingles(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, size, lone) of the given sets: `lone` shingles stand in none of the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = np.frombuffer(cell.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), doc, np.int64)), pa.array(keys)], ["rep", "shingle"])
-
-    mine = sets.join(reps, sets.doc_id == reps.rep, "left_semi").select("doc_id", "keys")
-    shingles = mine.mapInArrow(run, "rep long, shingle long")
-    owners = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
-    lone = owners.groupBy("rep").agg(F.count("*").alias("lone"))
-    sizes = mine.select(F.col("doc_id").alias("rep"), (F.octet_length("keys") / 8).cast("long").alias("size"))
-    return sizes.join(lone, "rep", "left").select("rep", "size", F.coalesce("lone", F.lit(0)).alias("lone"))
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, x) with their sets -> a row for each shingle that only one of the two has."""
+    for batch in batches:
+        cs, xs = (batch.column(i).to_pylist() for i in range(2))
+        for c, x, cell_c, cell_x in zip(cs, xs, batch.column(2), batch.column(3), strict=True):
+            kc, kx = np.frombuffer(cell_c.as_buffer(), np.uint64), np.frombuffer(cell_x.as_buffer(), np.uint64)
+            d = np.setxor1d(kc, kx, assume_unique=True).view(np.int64)
+            full = lambda v: pa.array(np.full(len(d), v, np.int64))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([full(c), full(x), full(len(d)), full(len(kc)), full(len(kx)), pa.array(d)], ["c", "x", "d", "size_c", "size", "shingle"])
 
 
 def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), broadcast_ids: int = 1_000_000) -> DataFrame:
@@ -202,44 +198,43 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), broadcast_ids:
         return X.written(joined.mapInArrow(_verify(params), "u long, v long, linked boolean"), what)
 
     centre = crowded.groupBy("key").agg(F.max(F.struct("pop", "rep")).alias("c")).select("key", F.col("c.rep").alias("c"))
-    stars = crowded.join(centre, "key").where("rep <> c").select(F.least("rep", "c").alias("u"), F.greatest("rep", "c").alias("v")).distinct()
-    tested = verified(X.written(stars, "stars"), "star-verified")
-    bounds, centres = None, 16
-    while True:
-        labels = X.written(connected_components(tested.where("linked").select("u", "v")), "labels")
-        labelled = crowded.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if bounds is not None:
-            labelled = labelled.join(bounds, "rep")
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-        open_ = X.written(labelled.join(mixed, "key"), "open")
-        if open_.isEmpty():
-            break
-        if bounds is None:
-            bounds = X.written(_lone_shingles(sets, open_.select("rep").distinct()), "bounds")
-            open_ = open_.join(bounds, "rep")
-        # The most that the text can share, and its similarity with the smallest possible partner.
-        shared = F.col("size") - F.col("lone")
-        smallest = open_.groupBy("key").agg(F.min("size").alias("smallest"))
-        able = open_.join(smallest, "key").where(100 * shared >= round(100 * params.threshold) * (F.col("size") + F.greatest("smallest", shared) - shared))
-        parts = able.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        able = X.written(able.join(largest, "key").select("key", "rep", "component", "largest", "size", "lone"), "able")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-        ranked = able.where("component <> largest").withColumn("rank", F.row_number().over(order))
-        most = ranked.agg(F.max("rank")).first()[0]
-        if most is None:
-            break
-        chosen = ranked.where(F.col("rank") <= centres).select("key", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("size").alias("su"), F.col("lone").alias("lu"))
-        others = able.select("key", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("size").alias("sv"), F.col("lone").alias("lv"))
-        both = F.least(F.col("su") - F.col("lu"), F.col("sv") - F.col("lv"))
-        near = (chosen["key"] == others["key"]) & (F.col("cu") != F.col("cv")) & (100 * both >= round(100 * params.threshold) * (F.col("su") + F.col("sv") - both))
-        pairs = chosen.join(others, near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        fresh = X.written(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            tested = X.written(tested.union(verified(fresh, "round-verified")), "tested")
-        elif most <= centres:
-            break
-        centres *= 8
+    stars = X.written(crowded.join(centre, "key").where("rep <> c").select(F.col("c").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
+    tested = verified(stars, "star-verified")
+    labels = X.written(connected_components(tested.where("linked").select("u", "v")), "labels")
+
+    # Centres that have members in another component than their own, with all their members.
+    names = labels.select(F.col("node").alias("v"), "component")
+    member = stars.join(names, "v", "left").select(F.col("u").alias("c"), F.col("v").alias("x"), F.coalesce("component", "v").alias("label"))
+    own = stars.select(F.col("u").alias("v")).distinct().join(names, "v", "left").select(F.col("v").alias("c"), F.coalesce("component", "v").alias("own"))
+    member = member.join(own, "c")
+    apart = member.groupBy("c").agg(F.sum(F.when(F.col("label") != F.col("own"), 1).otherwise(0)).alias("apart"), F.count("*").alias("n")).where("apart > 0 and n > 1").select("c")
+    member = X.written(member.join(apart, "c"), "members")
+    if not member.isEmpty():
+        keys = lambda name: sets.select(F.col("doc_id").alias(name), F.col("keys").alias(f"keys_{name}"))
+        both = member.select("c", "x").join(keys("c"), "c").join(keys("x"), "x").select("c", "x", "keys_c", "keys_x")
+        away = X.written(both.mapInArrow(_differences, "c long, x long, d long, size_c long, size long, shingle long"), "differences")
+        away = away.join(member, ["c", "x"])
+        # Texts to look for are those not linked with the centre (else both were in one component).
+        held = away.where(F.col("label") != F.col("own")).groupBy("c", "shingle").agg(F.count("*").alias("df"))
+        other = F.col("df") - (F.col("label") != F.col("own")).cast("long")  # how many other such texts have it
+        shared = away.join(held, ["c", "shingle"]).withColumn("df", other).where("df > 0")
+        mine = Window.partitionBy("c", "x")
+        # Any d - need + 1 shingles of D(x) will do; those that nobody looks for come first and meet nobody.
+        rank = F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "shingle"))
+        share = (1 - params.threshold) / (1 + params.threshold)
+        need = F.floor((F.col("d") + share * (F.col("size_c") - F.col("size")) - 1e-9) / 2) + 1
+        met = X.written(shared.withColumn("need", need).withColumn("indexed", rank <= F.col("d") - F.col("need") + 1).select("c", "x", "shingle", "d", "size", "label", "own", "need", "indexed"), "met")
+        probe = met.where(F.col("label") != F.col("own")).select("c", "shingle", "x", F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("label").alias("lx"))
+        index = met.where("indexed").select("c", "shingle", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("label").alias("ly"), "need")
+        most = share * (F.col("sx") + F.col("sy")) + 1e-9
+        near = (F.col("lx") != F.col("ly")) & (F.abs(F.col("dx") - F.col("dy")) <= most)
+        least = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - most) / 2) - F.col("need") + 1).alias("least")
+        meetings = probe.join(index, ["c", "shingle"]).where(near).groupBy("c", "x", "y").agg(F.count("*").alias("n"), F.max(least).alias("least"))
+        pairs = meetings.where("n >= least").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+        fresh = X.written(pairs.distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti").join(tested.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "fresh")
+        more = verified(fresh, "fresh-verified").where("linked").select("u", "v")
+        if not more.isEmpty():
+            labels = X.written(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "labels")
     out = profile.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("n_shingles", "d1", "d2", "rep"), ["n_shingles", "d1", "d2"], "left")
     out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")

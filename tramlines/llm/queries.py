@@ -5,25 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, quality
+from . import decontam, maxent, neardup, packing, quality, repeats, token_store, toxicity
+from . import textops as X
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op3_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.documents_of(documents(spark, sf_dir))
+    fold = toxicity.remainder(7)
+    learn = docs.where(fold != 2)
+    counts = X.written(maxent.token_counts(learn), "counts")
+    scored = maxent.score(docs, maxent.train(learn, counts), counts)
+    return scored.withColumn("held_out", fold == 2)
+
+
+def op4_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = documents(spark, sf_dir), toxicity.remainder(3)
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 1)
+    scored = toxicity.scores(docs, machine)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = X.shared_dir(spark, "tokens")
+    token_store.write(documents(spark, sf_dir), path)
+    return token_store.checksums(spark, path)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), neardup.NearDup(k=4))
 
 
+def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_first_cleaning": op2_line_first_cleaning,
+    "op3_hashed_maxent": op3_hashed_maxent,
+    "op4_factorization_toxicity": op4_factorization_toxicity,
+    "op5_token_lists": op5_token_lists,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_bm25_decontamination": op8_bm25_decontamination,
+    "op9_repeat_removal": op9_repeat_removal,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
