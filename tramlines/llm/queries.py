@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, maxent, neardup, packing, quality, repeats, token_store, toxicity
+from . import decontam, html_density, licenses, maxent, neardup, packing, quality, repeats, token_store, toxicity
 from . import textops as X
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_license_digests": licenses.oracle_sql()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(documents(spark, sf_dir)).drop("clean_text")
 
@@ -47,6 +51,10 @@ def op5_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(spark, path)
 
 
+def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), neardup.NearDup(k=4))
 
@@ -64,10 +72,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_digests": op1_license_digests,
     "op2_line_first_cleaning": op2_line_first_cleaning,
     "op3_hashed_maxent": op3_hashed_maxent,
     "op4_factorization_toxicity": op4_factorization_toxicity,
     "op5_token_lists": op5_token_lists,
+    "op6_text_density": op6_text_density,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_bm25_decontamination": op8_bm25_decontamination,
     "op9_repeat_removal": op9_repeat_removal,

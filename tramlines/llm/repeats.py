@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Anchors that a bucket should get.
 BUCKET_ANCHORS = 1 << 20
 U64 = np.uint64
@@ -234,6 +234,7 @@ def _send(width: int, k: int, buckets: int):
     """Chunk and its answers -> a row for each bucket with the chunk's distinct shared segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in range(batch.num_rows):
                 name, size, ids, lens, data, answers = (c[row].as_py() for c in batch.columns)
@@ -254,7 +255,7 @@ def _send(width: int, k: int, buckets: int):
                     s = slice(cuts[b], cuts[b + 1])
                     ends = np.cumsum(size_[s])
                     take = np.arange(ends[-1]) + np.repeat(begin[s] - (ends - size_[s]), size_[s])
-                    cells = [int(b), name, size_[s].astype(np.uint8).tobytes(), place[s].astype(np.uint8).tobytes(), left[s].tobytes(), doc[first[s]].astype("<i8").tobytes(), chunk.data[take].tobytes()]
+                    cells = [int(b), name, size_[s].astype(np.uint8).tobytes(), place[s].astype(np.uint8).tobytes(), left[s].tobytes(), doc[first[s]].astype("<i8").tobytes(), press.compress(chunk.data[take].tobytes())]
                     types = [pa.int64(), pa.int64()] + [pa.binary()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cells, types, strict=True)], ["bucket", "chunk", "sizes", "places", "lefts", "docs", "bytes"])
 
@@ -320,7 +321,8 @@ def _judge_segments(width: int, k: int):
         place = np.concatenate([np.frombuffer(b, np.uint8) for b in cell["places"]]).astype(np.int64)
         left = np.concatenate([np.frombuffer(b, np.uint8) for b in cell["lefts"]])
         doc = np.concatenate([np.frombuffer(b, "<i8") for b in cell["docs"]])
-        data = np.frombuffer(b"".join(cell["bytes"]), np.uint8)
+        unpress = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(map(unpress.decompress, cell["bytes"])), np.uint8)
         ends = np.cumsum(size)
         begin = ends - size
         prefix = X.prefix_hashes(data)
@@ -344,7 +346,7 @@ def _judge_segments(width: int, k: int):
         crowd = np.flatnonzero(~alone)
         if len(crowd):
             deep = int(size[one[crowd]].max())
-            step = 1 + (1 << 25) // deep // 8
+            step = 1 + (1 << 22) // deep // 8
             cuts = [0]
             while cuts[-1] < len(crowd):  # segments of an anchor stay together; matrices stay small
                 end = cuts[-1] + step
@@ -424,13 +426,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, ch
         raise ValueError("width must be 16 to 56 bytes")
     k = width - width // 2 + 1
     staged = X.written(X.documents_of(docs).mapInArrow(_chunks(chunk_bytes), "chunk long, n_bytes long, ids binary, lens binary, data binary"), "chunks", compression="uncompressed")
-    chunks, total = staged.agg(F.count("*"), F.sum("n_bytes")).first()
+    total = staged.agg(F.sum("n_bytes")).first()[0]
     buckets = max(1, -(-(total or 0) * 2 // (width // 2) // bucket_anchors))
-    tasks = max(1, -(-(chunks or 0) // 2))
-    asked = staged.repartition(tasks, "chunk").mapInArrow(_ask(width, k, buckets), "bucket long, chunk long, ones binary, more binary")
+    asked = staged.mapInArrow(_ask(width, k, buckets), "bucket long, chunk long, ones binary, more binary")
     answered = asked.groupBy("bucket").applyInArrow(_seen_elsewhere, "chunk long, bucket long, answer binary")
     seen = X.written(answered, "seen").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
-    known = X.written(staged.join(seen, "chunk", "left").select("chunk", "n_bytes", "ids", "lens", "data", "answers"), "known", compression="uncompressed")
+    known = staged.join(seen, "chunk", "left").select("chunk", "n_bytes", "ids", "lens", "data", "answers")
     segments = known.mapInArrow(_send(width, k, buckets), "bucket long, chunk long, sizes binary, places binary, lefts binary, docs binary, bytes binary")
     judged = X.written(segments.groupBy("bucket").applyInArrow(_judge_segments(width, k), "chunk long, bucket long, answer binary"), "judged")
     verdicts = judged.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("verdicts"))
