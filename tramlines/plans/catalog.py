@@ -7,13 +7,378 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .. import functions as fx
+from ..operators import aggregate, algebra, evaluate, ordering, schematic, spatial, structure
+from . import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None, base: str = "") -> Callable[[Query], Query]:
+    """Register a query under its function's name with its SQL."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {base.strip().strip(',')}\n{sql}" if base else sql
+        return f
+
+    return keep
+
+
+# Timetables to occurrences
+
+
+@query("SELECT edge_id, a, b, line_id, direction::VARCHAR AS direction, n FROM all_occs", T.BASE)
 def line_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return aggregate.occurrences(T.hops(spark, sf_dir)).withColumn("direction", F.col("direction").cast("string"))
+
+
+@query("SELECT round(avg(n), 6) AS mean_n, count(*)::BIGINT AS occurrences FROM all_occs", T.BASE)
+def agg_mean_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.occurrences(T.hops(spark, sf_dir)).agg(F.round(F.avg("n"), 6).alias("mean_n"), F.count("*").alias("occurrences"))
+
+
+@query("SELECT edge_id, a, b, line_id, direction::VARCHAR AS direction, n FROM occs", T.NEAR)
+def filter_prune_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.prune_rare(T.near_occurrences(spark, sf_dir), 1.0).withColumn("direction", F.col("direction").cast("string"))
+
+
+TRIPS = """
+seqd AS (SELECT user_id AS trip, lag(event_type) OVER w AS from_node, event_type AS to_node, row_number() OVER w AS seq FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+th AS (SELECT * FROM seqd WHERE from_node IS NOT NULL AND from_node <> to_node),
+el AS (SELECT trip, from_node AS node_id, least(from_node, to_node) || '-' || greatest(from_node, to_node) AS edge_b, lag(least(from_node, to_node) || '-' || greatest(from_node, to_node)) OVER (PARTITION BY trip ORDER BY seq) AS edge_a FROM th),
+turns AS (SELECT node_id, least(edge_a, edge_b) AS edge_a, greatest(edge_a, edge_b) AS edge_b, count(*)::BIGINT AS n FROM el WHERE edge_a IS NOT NULL GROUP BY ALL)"""
+
+
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.trip_hops(T.stop_times(spark, sf_dir), "user_id", "event_type", ["ts", "event_id"])
+
+
+@query("SELECT from_node, to_node, count(*)::BIGINT AS n FROM th GROUP BY ALL", TRIPS)
+def win_trip_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trips(spark, sf_dir).groupBy("from_node", "to_node").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM turns", TRIPS)
+def win_occurring_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.occurring_turns(_trips(spark, sf_dir))
+
+
+@query("""SELECT node_id, edge_a, edge_b FROM (SELECT p.node_id, p.edge_id AS edge_a, q.edge_id AS edge_b FROM inc2 p JOIN inc2 q USING (node_id) WHERE p.edge_id < q.edge_id)
+ANTI JOIN (SELECT node_id, edge_a, edge_b FROM turns) USING (node_id, edge_a, edge_b)""",
+TRIPS + """, e2 AS (SELECT DISTINCT least(from_node, to_node) AS a, greatest(from_node, to_node) AS b FROM th),
+inc2 AS (SELECT a || '-' || b AS edge_id, a AS node_id FROM e2 UNION ALL SELECT a || '-' || b, b FROM e2)""")
+def anti_missing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hops = _trips(spark, sf_dir)
+    occs = aggregate.occurrences(hops.select("from_node", "to_node", F.lit("all").alias("line_id")))
+    return aggregate.missing_turns(aggregate.line_graph(T.nodes(spark, sf_dir), occs), aggregate.occurring_turns(hops))
+
+
+# Line graph algebra
+
+
+@query("SELECT node_id, count(*)::BIGINT AS degree, sum(lines)::BIGINT AS line_degree FROM inc JOIN (SELECT edge_id, count(*) AS lines FROM occs GROUP BY 1) USING (edge_id) GROUP BY 1", T.NEAR)
+def agg_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.degrees(T.near(spark, sf_dir))
+
+
+@query("""SELECT (SELECT count(*) FROM pe)::BIGINT AS edges, (SELECT max(n) FROM pe)::BIGINT AS max_lines, (SELECT round(sum(list_sum(list_transform(range(1, n + 1), lambda k: log10(k)))), 6) FROM pe) AS log10_orders,
+(SELECT count(*) FROM deg)::BIGINT AS nodes, (SELECT max(degree) FROM deg)::BIGINT AS max_degree, (SELECT count(DISTINCT line_id) FROM occs)::BIGINT AS lines""",
+T.NEAR + ", pe AS (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1)")
+def agg_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.counts(T.near(spark, sf_dir))
+
+
+@query("SELECT p.node_id, p.edge_id AS edge_a, q.edge_id AS edge_b FROM inc p JOIN inc q USING (node_id) WHERE p.edge_id <> q.edge_id", T.NEAR)
+def join_adjacent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.adjacent_edges(T.near(spark, sf_dir))
+
+
+@query("SELECT node_id, line_id, edge_a, edge_b FROM ctd", T.NEAR)
+def join_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.continuations(T.near(spark, sf_dir))
+
+
+@query("SELECT node_id, line_id, edge_id FROM att WHERE NOT EXISTS (SELECT 1 FROM ctd WHERE ctd.node_id = att.node_id AND ctd.line_id = att.line_id AND ctd.edge_a = att.edge_id)", T.NEAR)
+def anti_termini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.termini(T.near(spark, sf_dir))
+
+
+@query("SELECT node_id, line_id, edge_a AS edge_id, count(DISTINCT edge_b)::BIGINT AS n FROM ctd GROUP BY ALL HAVING count(DISTINCT edge_b) > 1", T.NEAR)
+def filter_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.branching(T.near(spark, sf_dir))
+
+
+@query("SELECT node_id, count(*)::BIGINT AS n FROM ctd WHERE edge_a < edge_b GROUP BY 1", T.NEAR)
+def agg_connection_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.connection_cardinality(T.near(spark, sf_dir))
+
+
+@query("SELECT p.node_id, p.edge_id AS edge_a, q.edge_id AS edge_b, string_agg(p.line_id, ',' ORDER BY p.line_id) AS lines FROM att p JOIN att q USING (node_id, line_id) WHERE p.edge_id < q.edge_id GROUP BY ALL", T.NEAR)
+def join_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.shared_lines(T.near(spark, sf_dir))
+
+
+@query("""SELECT node_id, edge_a, edge_b FROM (SELECT node_id, edge_a, edge_b, count(DISTINCT line_id) AS n FROM ctd WHERE edge_a < edge_b GROUP BY ALL) c
+JOIN pe p ON p.edge_id = edge_a JOIN pe q ON q.edge_id = edge_b WHERE c.n = p.n AND c.n = q.n""", T.NEAR + ", pe AS (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1)")
+def filter_equal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.equal_lines(T.near(spark, sf_dir))
+
+
+@query("SELECT p.line_id AS line_a, q.line_id AS line_b FROM r p JOIN r q ON p.route = q.route AND p.line_id < q.line_id",
+T.BASE + ", r AS (SELECT line_id, string_agg(edge_id, ',' ORDER BY edge_id) AS route FROM all_occs GROUP BY 1)")
+def join_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.partners(T.full(spark, sf_dir))
+
+
+@query("SELECT DISTINCT node_id, line_id FROM att ANTI JOIN exc USING (node_id, line_id)", T.NEAR)
+def anti_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return algebra.served(g, g.exceptions.select("node_id", "line_id").distinct())
+
+
+@query("SELECT node_id, (count(*) // 2)::BIGINT AS n FROM (SELECT DISTINCT node_id, line_id, edge_a FROM exc) GROUP BY 1", T.NEAR)
+def agg_exception_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.exception_count(T.near(spark, sf_dir).exceptions)
+
+
+@query("SELECT DISTINCT line_id, substr(md5(line_id), 1, 6) AS color FROM all_occs", T.BASE)
+def fn_line_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.colours(T.full(spark, sf_dir))
+
+
+# Orders
+
+
+@query("SELECT node_id, edge_id, rank, degree FROM circ", T.NEAR)
+def win_circular_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.circular_order(T.near(spark, sf_dir))
+
+
+@query("SELECT * FROM dist", T.NEAR)
+def win_circular_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.circular_distance(T.near(spark, sf_dir))
+
+
+@query("SELECT * FROM seen", T.NEAR)
+def win_seen_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return ordering.seen_positions(g, ordering.default_order(g))
+
+
+@query("SELECT * FROM same", T.NEAR)
+def score_same_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return ordering.same_crossings(g, ordering.default_order(g))
+
+
+@query("SELECT * FROM diff", T.NEAR)
+def score_different_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return ordering.different_crossings(g, ordering.default_order(g))
+
+
+@query("SELECT * FROM sep", T.NEAR)
+def score_separations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return ordering.separations(g, ordering.default_order(g))
+
+
+@query("""SELECT node_id, degree, coalesce(same, 0) AS same, coalesce(diff, 0) AS diff, coalesce(sep, 0) AS sep,
+round((CASE WHEN degree = 1 THEN 0 ELSE degree END) * (4.0::DOUBLE * coalesce(same, 0) + coalesce(diff, 0) + 3 * coalesce(sep, 0)), 6) AS score
+FROM deg LEFT JOIN same USING (node_id) LEFT JOIN diff USING (node_id) LEFT JOIN sep USING (node_id)""", T.NEAR)
+def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return ordering.score(g, ordering.default_order(g))
+
+
+# Structure
+
+
+@query("""SELECT node_id, min(r) AS component FROM reach GROUP BY 1""", T.BASE + """,
+ze AS (SELECT DISTINCT o.a, o.b FROM all_occs o JOIN nodes p ON p.node_id = o.a JOIN nodes q ON q.node_id = o.b WHERE p.zone = q.zone),
+zz AS (SELECT a AS u, b AS v FROM ze UNION ALL SELECT b, a FROM ze),
+reach(node_id, r) AS (SELECT node_id, node_id FROM nodes UNION SELECT reach.node_id, zz.v FROM reach JOIN zz ON zz.u = reach.r)""")
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = T.nodes(spark, sf_dir)
+    edges = T.full(spark, sf_dir).edges
+    zone = lambda c: nodes.select(F.col("node_id").alias(c), F.col("zone").alias(f"z{c}"))
+    inside = edges.join(zone("a"), "a").join(zone("b"), "b").where("za = zb").select("a", "b")
+    return structure.components(nodes, inside)
+
+
+@query("""SELECT node_id, min(r) AS component FROM reach GROUP BY 1""", T.POINTS + """,
+near AS (SELECT p.id AS u, q.id AS v FROM points p JOIN points q ON p.id <> q.id AND sqrt((p.x - q.x)^2 + (p.y - q.y)^2) <= 0.012),
+reach(node_id, r) AS (SELECT id, id FROM points UNION SELECT reach.node_id, near.v FROM reach JOIN near ON near.u = reach.r)""")
+def graph_distance_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.points(spark, sf_dir)
+    return structure.components(p.select(F.col("id").alias("node_id")), spatial.neighbours(p, 0.012).select("a", "b"))
+
+
+@query("""SELECT least(p, q) || '-' || greatest(p, q) AS edge_id, line_id, sum(n)::BIGINT AS n,
+CASE WHEN count(d) < count(*) OR min(d) <> max(d) THEN NULL ELSE min(d) END::VARCHAR AS direction
+FROM (SELECT coalesce(ma.into_, a) AS p, coalesce(mb.into_, b) AS q, line_id, n, coalesce(md.into_, direction) AS d FROM occs LEFT JOIN m ma ON ma.node_id = a LEFT JOIN m mb ON mb.node_id = b LEFT JOIN m md ON md.node_id = direction)
+WHERE p <> q GROUP BY ALL""", T.NEAR + """,
+short AS (SELECT edge_id, a, b, sqrt((p.x - q.x)^2 + (p.y - q.y)^2) AS len FROM edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b),
+s AS (SELECT * FROM short WHERE len < 1.2), ends AS (SELECT edge_id, len, a AS node_id FROM s UNION ALL SELECT edge_id, len, b FROM s),
+firsts AS (SELECT node_id, arg_min(edge_id, (len, edge_id)) AS edge_id FROM ends GROUP BY 1),
+m AS (SELECT b AS node_id, a AS into_ FROM s JOIN (SELECT edge_id FROM firsts GROUP BY 1 HAVING count(*) = 2) USING (edge_id))""")
+def graph_contract_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.contract_short(T.near(spark, sf_dir), 1.2).occs.select("edge_id", "line_id", "n", F.col("direction").cast("string").alias("direction"))
+
+
+@query("""SELECT node_id, edge_a, edge_b FROM (SELECT node_id, min(edge_id) AS edge_a, max(edge_id) AS edge_b FROM inc JOIN deg USING (node_id) WHERE degree = 2 GROUP BY 1)
+JOIN (SELECT node_id, edge_a, edge_b, count(DISTINCT line_id) AS n FROM ctd GROUP BY ALL) c USING (node_id, edge_a, edge_b)
+JOIN pe p ON p.edge_id = edge_a JOIN pe q ON q.edge_id = edge_b WHERE c.n = p.n AND c.n = q.n""", T.NEAR + ", pe AS (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1)")
+def graph_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.pass_through(T.near(spark, sf_dir))
+
+
+@query("SELECT b AS from_node, a AS to_node, line_id FROM all_occs WHERE direction IS NULL OR direction = a UNION ALL SELECT a, b, line_id FROM all_occs WHERE direction IS NULL OR direction = b", T.BASE)
+def graph_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.directed(T.full(spark, sf_dir))
+
+
+HITS = T.POINTS + """,
+raw AS (SELECT p.id AS a, q.id AS b, (p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1) AS den, p.x1, p.y1, p.x2, p.y2, q.x1 AS x3, q.y1 AS y3, q.x2 AS x4, q.y2 AS y4 FROM segs p JOIN segs q ON p.id < q.id
+        AND least(p.x1, p.x2) <= greatest(q.x1, q.x2) AND least(q.x1, q.x2) <= greatest(p.x1, p.x2)),
+tu AS (SELECT *, ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / nullif(den, 0) AS t, ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / nullif(den, 0) AS u FROM raw),
+hits AS (SELECT a, b, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y, t, u FROM tu WHERE t > 0 AND t < 1 AND u > 0 AND u < 1)"""
+
+
+@query("SELECT a, b, round(x, 6) AS x, round(y, 6) AS y FROM hits", HITS)
+def spatial_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.crossings(T.segments(spark, sf_dir), 0.05).select("a", "b", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT id, (count(DISTINCT s) + 1)::BIGINT AS parts FROM segs LEFT JOIN (SELECT a AS id, round(t, 9) AS s FROM hits UNION ALL SELECT b, round(u, 9) FROM hits) USING (id) GROUP BY 1", HITS)
+def graph_planarise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.planarise(T.segments(spark, sf_dir), 0.05).groupBy("id").agg(F.count("*").alias("parts"))
+
+
+@query("SELECT id, (greatest(1, ceil(sqrt((x2 - x1)^2 + (y2 - y1)^2) / 0.02)) + 1)::BIGINT AS points, round((x1 + x2) / 2, 6) AS mean_x FROM segs", T.POINTS)
+def graph_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.densify(T.segments(spark, sf_dir), 0.02).groupBy("id").agg(F.count("*").alias("points"), F.round(F.avg("x"), 6).alias("mean_x"))
+
+
+# Space
+
+
+@query("SELECT p.id AS a, q.id AS b, round(sqrt((p.x - q.x)^2 + (p.y - q.y)^2), 6) AS d FROM points p JOIN points q ON p.id < q.id AND sqrt((p.x - q.x)^2 + (p.y - q.y)^2) <= 0.01", T.POINTS)
+def spatial_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.neighbours(T.points(spark, sf_dir), 0.01).select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query("""SELECT p.id, arg_min(q.id, (sqrt((p.x - q.x)^2 + (p.y - q.y)^2), q.id)) AS target, round(min(sqrt((p.x - q.x)^2 + (p.y - q.y)^2)), 6) AS d
+FROM points p JOIN points q ON p.id % 2 = 1 AND q.id % 2 = 0 AND sqrt((p.x - q.x)^2 + (p.y - q.y)^2) <= 0.05 GROUP BY 1""", T.POINTS)
+def spatial_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.points(spark, sf_dir)
+    return spatial.nearest(p.where("id % 2 = 1"), p.where("id % 2 = 0"), 0.05).select("id", "target", F.round("d", 6).alias("d"))
+
+
+@query("""SELECT id, arg_min(segment, (d, segment)) AS segment, round(arg_min(pos, (d, segment)), 6) AS pos, round(min(d), 6) AS d FROM (
+SELECT *, sqrt((x - x1 - pos * (x2 - x1))^2 + (y - y1 - pos * (y2 - y1))^2) AS d FROM (
+SELECT p.id, p.x, p.y, s.id AS segment, x1, y1, x2, y2, coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1)^2 + (y2 - y1)^2, 0))), 0) AS pos
+FROM points p, segs s WHERE p.id % 25 = 0 AND s.id % 25 <> 0)) WHERE d <= 0.05 GROUP BY 1""", T.POINTS)
+def spatial_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 25th point looks for the nearest segment of the others."""
+    p, s = T.points(spark, sf_dir).where("id % 25 = 0"), T.segments(spark, sf_dir)
+    rows = spatial.project_on_segments(p, s.where("id % 25 <> 0"), 0.05)
+    return rows.select("id", "segment", F.round("pos", 6).alias("pos"), F.round("d", 6).alias("d"))
+
+
+@query("""SELECT 7::BIGINT AS z, tx, 127 - ty AS ty, count(*)::BIGINT AS n FROM (
+SELECT unnest(range(least(127, greatest(0, floor((least(x1, x2) * 1e7 + 20037508.342789244) / (2 * 20037508.342789244 / 128))))::BIGINT, least(127, greatest(0, floor((greatest(x1, x2) * 1e7 + 20037508.342789244) / (2 * 20037508.342789244 / 128))))::BIGINT + 1)) AS tx, y1, y2 FROM segs) s,
+LATERAL (SELECT unnest(range(least(127, greatest(0, floor((least(y1, y2) * 1e7 + 20037508.342789244) / (2 * 20037508.342789244 / 128))))::BIGINT, least(127, greatest(0, floor((greatest(y1, y2) * 1e7 + 20037508.342789244) / (2 * 20037508.342789244 / 128))))::BIGINT + 1)) AS ty) GROUP BY ALL""", T.POINTS)
+def spatial_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = T.segments(spark, sf_dir)
+    scaled = s.select("id", *[(F.col(c) * 1e7).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return spatial.tiles(scaled, 7).groupBy("z", "tx", "ty").agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(min(x), 6) AS x_min, round(min(y), 6) AS y_min, round(max(x), 6) AS x_max, round(max(y), 6) AS y_max FROM points", T.POINTS)
+def agg_bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.points(spark, sf_dir)
+    return p.agg(*[f(c).alias(f"{c}_{n}") for n, f in (("min", lambda c: F.round(F.min(c), 6)), ("max", lambda c: F.round(F.max(c), 6))) for c in ("x", "y")])
+
+
+@query("""SELECT round(avg(d), 6) AS mean_distance FROM (SELECT inc.node_id, avg(sqrt((p.x - q.x)^2 + (p.y - q.y)^2)) AS d FROM inc JOIN nodes p ON p.node_id = inc.node_id JOIN nodes q ON q.node_id = inc.other GROUP BY 1)""", T.NEAR)
+def agg_mean_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    at = g.nodes.select("node_id", "x", "y")
+    to = g.nodes.select(F.col("node_id").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    d = F.sqrt((F.col("x") - F.col("x1")) ** 2 + (F.col("y") - F.col("y1")) ** 2)
+    return g.incidence().join(at, "node_id").join(to, "other").groupBy("node_id").agg(F.avg(d).alias("d")).agg(F.round(F.avg("d"), 6).alias("mean_distance"))
+
+
+@query("SELECT node_id, n::BIGINT AS line_degree FROM (SELECT node_id, count(*) AS n FROM att GROUP BY 1) ORDER BY n DESC, node_id LIMIT 1", T.NEAR)
+def topk_busiest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.degrees(T.near(spark, sf_dir)).select("node_id", "line_degree").orderBy(F.desc("line_degree"), "node_id").limit(1)
+
+
+@query("""SELECT edge_id, (row_number() OVER (ORDER BY sqrt((p.x - q.x)^2 + (p.y - q.y)^2) DESC, edge_id))::BIGINT AS place FROM edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b ORDER BY place LIMIT 20""", T.NEAR)
+def topk_longest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    at = lambda c: g.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
+    rows = g.edges.join(at("a"), "a").join(at("b"), "b").withColumn("len", F.expr("sqrt(pow(xa - xb, 2) + pow(ya - yb, 2))"))
+    top = rows.orderBy(F.desc("len"), "edge_id").limit(20).agg(F.sort_array(F.collect_list(F.struct((-F.col("len")).alias("l"), "edge_id"))).alias("all"))
+    return top.select(F.posexplode("all").alias("i", "e")).select("e.edge_id", (F.col("i") + 1).cast("long").alias("place"))
+
+
+@query("SELECT id, round(radians(x * 180) * 6378137, 6) AS mx, round(ln(tan(pi() / 4 + radians(y * 85) / 2)) * 6378137, 6) AS my FROM points", T.POINTS)
+def fn_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.points(spark, sf_dir)
+    return p.select("id", F.round(fx.mercator_x(F.col("x") * 180), 6).alias("mx"), F.round(fx.mercator_y(F.col("y") * 85), 6).alias("my"))
+
+
+@query("SELECT event_id, coalesce(nullif(trim(json_extract_string(props, '$.id'), '\" '), ''), nullif(trim(json_extract_string(props, '$.k'), '\" '), '')) AS line FROM events")
+def scan_json_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.read(spark, sf_dir, "events")
+    return e.select("event_id", fx.first_of(F.get_json_object("props", "$.id"), F.get_json_object("props", "$.k")).alias("line"))
+
+
+# Drawing and comparison
+
+
+@query("""SELECT line_id, sum((ang <> 4)::INT)::BIGINT AS turns, round(sum(CASE ang WHEN 4 THEN 0.0 WHEN 3 THEN 1.0 WHEN 2 THEN 1.5 ELSE 2.0 END::DOUBLE), 6) AS cost FROM (
+SELECT line_id, least((p.o - q.o + 8) % 8, 8 - (p.o - q.o + 8) % 8) AS ang FROM ctd JOIN oct p ON p.node_id = ctd.node_id AND p.edge_id = edge_a JOIN oct q ON q.node_id = ctd.node_id AND q.edge_id = edge_b WHERE edge_a < edge_b) GROUP BY 1""",
+T.NEAR + """, oct AS (SELECT inc.node_id, edge_id, ((round(round(atan2(m.x - k.x, m.y - k.y) / (pi() / 4), 9))::BIGINT % 8) + 8) % 8 AS o FROM inc JOIN nodes k ON k.node_id = inc.node_id JOIN nodes m ON m.node_id = inc.other)""")
+def schematic_bends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schematic.bends(T.near(spark, sf_dir))
+
+
+@query("""SELECT id, gx, gy, round(d, 6) AS d, (row_number() OVER (PARTITION BY id ORDER BY d, gx, gy))::BIGINT AS rank FROM (
+SELECT id, gx, gy, round(sqrt((gx * 0.05 - x)^2 + (gy * 0.05 - y)^2), 9) AS d FROM (
+SELECT id, x, y, round(x / 0.05)::BIGINT + i AS gx, round(y / 0.05)::BIGINT + j AS gy FROM points, range(-2, 3) a(i), range(-2, 3) b(j))) WHERE d <= 0.1""", T.POINTS)
+def schematic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schematic.grid_candidates(T.points(spark, sf_dir), 0.05, 2).withColumn("d", F.round("d", 6))
+
+
+@query()
+def schematic_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point gets a grid point of its own; a sequence of rounds, tested by its invariants."""
+    return schematic.snap(T.points(spark, sf_dir), 0.02, 3)
+
+
+@query("SELECT edge_id, line_id, round((pos - (lines - 1) / 2.0::DOUBLE) * 32, 6) AS \"offset\" FROM ord", T.NEAR)
+def render_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schematic.parallel_offsets(ordering.default_order(T.near(spark, sf_dir)))
+
+
+@query("""SELECT line_id, count(t)::BIGINT AS expected, count(f)::BIGINT AS found, sum((t IS NOT NULL AND f IS NOT NULL)::INT)::BIGINT AS matched, round(sum((t IS NOT NULL AND f IS NOT NULL)::INT) / greatest(count(t), 1), 6) AS rate
+FROM (SELECT line_id, edge_id, 1 AS t FROM near_all) FULL JOIN (SELECT line_id, edge_id, 1 AS f FROM occs) USING (line_id, edge_id) GROUP BY 1""", T.NEAR)
+def eval_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = aggregate.line_graph(T.nodes(spark, sf_dir), T.near_occurrences(spark, sf_dir))
+    return evaluate.line_match(truth, T.near(spark, sf_dir))
 
 
-QUERIES["line_graph"] = line_graph
+@query("SELECT id, round(greatest(sqrt((x1 - y1)^2 + (y1 - x1)^2), sqrt((x2 - y2)^2 + (y2 - x2)^2)), 6) AS distance FROM segs", T.POINTS)
+def eval_frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment against its mirror image at the diagonal; both have two points."""
+    s = T.segments(spark, sf_dir)
+    path = lambda *c: F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in c])
+    rows = s.select("id", path(("x1", "y1"), ("x2", "y2")).alias("p"), path(("y1", "x1"), ("y2", "x2")).alias("q"))
+    return evaluate.frechet(rows).select("id", F.round("distance", 6).alias("distance"))
