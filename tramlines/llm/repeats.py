@@ -42,7 +42,9 @@ from . import textops as X
 
 CHUNK_BYTES = 4 << 20
 #: Anchors that a bucket should get.
-BUCKET_ANCHORS = 1 << 20
+BUCKET_ANCHORS = 1 << 19
+#: Bytes of text whose windows are hashed at once; a longer document is hashed whole.
+WINDOW_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -124,7 +126,7 @@ class Chunk:
     def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at, n = 0, len(self.ids)
         while at < n:
-            end = max(at + 1, int(np.searchsorted(self.offs, self.offs[at] + X.SLICE_BYTES, side="right")) - 1)
+            end = max(at + 1, int(np.searchsorted(self.offs, self.offs[at] + WINDOW_BYTES, side="right")) - 1)
             yield at, self.data[self.offs[at] : self.offs[end]], self.offs[at : end + 1] - self.offs[at]
             at = end
 
@@ -346,7 +348,7 @@ def _judge_segments(width: int, k: int):
         crowd = np.flatnonzero(~alone)
         if len(crowd):
             deep = int(size[one[crowd]].max())
-            step = 1 + (1 << 22) // deep // 8
+            step = 1 + (1 << 21) // deep // 8
             cuts = [0]
             while cuts[-1] < len(crowd):  # segments of an anchor stay together; matrices stay small
                 end = cuts[-1] + step

@@ -39,7 +39,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept for the process and grown on demand."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, SLICE_BYTES + 1), U64(base), np.uint64)
+        p = np.full(max(n, 1 << 16, 0 if have is None else 2 * len(have)), U64(base), np.uint64)
         p[0] = 1
         _powers[base] = have = np.cumprod(p, dtype=np.uint64)
     return have[:n]
