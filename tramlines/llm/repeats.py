@@ -40,9 +40,10 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 
-CHUNK_BYTES = 4 << 20
+#: Bytes of text in a chunk: pressed, a row stays well under a megabyte, which heaps take easily.
+CHUNK_BYTES = 1 << 20
 #: Anchors that a bucket should get.
-BUCKET_ANCHORS = 1 << 19
+BUCKET_ANCHORS = 1 << 20
 #: Bytes of text whose windows are hashed at once; a longer document is hashed whole.
 WINDOW_BYTES = 1 << 19
 U64 = np.uint64
