@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import cut
 from ..model import LineGraph
 from .algebra import continuations, degrees
 
@@ -115,9 +116,10 @@ def barycentres(g: LineGraph, order: DataFrame, parity: int) -> DataFrame:
 
 def improve(g: LineGraph, order: DataFrame, sweeps: int = 4) -> DataFrame:
     """Barycentre sweeps that are kept while the score falls; the result never scores worse."""
-    best, least = order.persist(), total(g, order)
+    best = cut(order)
+    least = total(g, best)
     for s in range(sweeps):
-        trial = barycentres(g, best, s % 2).persist()
+        trial = cut(barycentres(g, best, s % 2))
         value = total(g, trial)
         if value < least:
             best, least = trial, value

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import cut
 from ..model import LineGraph
 from .algebra import continuations
 
@@ -28,16 +29,15 @@ def snap(points: DataFrame, size: float, reach: int, rounds: int = 30) -> DataFr
     In each round a free grid point takes the nearest of the points that want it (ties by id) and the
     others turn to their next free candidate; points without one left are not returned.
     """
-    wants = grid_candidates(points, size, reach)
-    placed = wants.where("false").select("id", "gx", "gy", "d")
+    wants = cut(grid_candidates(points, size, reach))
+    placed, n = wants.where("false").select("id", "gx", "gy", "d"), 0
     for _ in range(rounds):
         free = wants.join(placed.select("gx", "gy"), ["gx", "gy"], "left_anti").join(placed.select("id"), "id", "left_anti")
         ask = free.groupBy("id").agg(F.min(F.struct("d", "gx", "gy")).alias("m")).select("id", "m.gx", "m.gy", "m.d")
         won = ask.groupBy("gx", "gy").agg(F.min(F.struct("d", "id")).alias("m")).select("m.id", "gx", "gy", "m.d")
-        before = placed
-        placed = placed.unionByName(won).persist()
-        done = placed.count() == before.count()
-        if done:
+        placed = cut(placed.unionByName(won))
+        before, n = n, placed.count()
+        if n == before:
             break
     return placed
 

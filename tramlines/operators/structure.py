@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import cut
 from ..model import LineGraph, edge_key
 from .aggregate import fold_direction
 from .algebra import continuations, degrees
@@ -20,14 +21,13 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> Data
     """
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct()
     label = nodes.select("node_id", F.col("node_id").alias("component"))
-    reliable = bool(nodes.sparkSession.sparkContext.getCheckpointDir())
     before = None
     for _ in range(max_rounds):
         low = both.join(label.withColumnRenamed("node_id", "v"), "v").groupBy(F.col("u").alias("node_id")).agg(F.min("component").alias("low"))
         step = label.join(low, "node_id", "left").select("node_id", F.least("component", F.coalesce("low", "component")).alias("component"))
         jump = step.select(F.col("node_id").alias("component"), F.col("component").alias("up"))
         label = step.join(jump, "component").select("node_id", F.col("up").alias("component"))
-        label = label.checkpoint() if reliable else label.persist()
+        label = cut(label)
         now = tuple(label.agg(F.count("*"), F.sum(F.xxhash64("node_id", "component").cast("decimal(38,0)"))).first())
         if now == before:
             return label
