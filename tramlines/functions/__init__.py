@@ -61,12 +61,16 @@ def inversions(v: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda s, n: s + n)
 
 
+def _short(v: Column) -> Column:
+    """A number with at most two decimals, as text."""
+    return F.call_function("format_number", v, F.lit("0.##"))
+
+
 def svg_polyline(points: Column, style: Column) -> Column:
     """An SVG polyline of an array of structs x, y."""
-    text = F.array_join(F.transform(points, lambda p: F.concat_ws(",", F.format_number(p["x"], "0.##"), F.format_number(p["y"], "0.##"))), " ")
+    text = F.array_join(F.transform(points, lambda p: F.concat_ws(",", _short(p["x"]), _short(p["y"]))), " ")
     return F.concat(F.lit('<polyline points="'), text, F.lit('" style="'), style, F.lit('"/>'))
 
 
 def svg_circle(x: Column, y: Column, r: Column, style: Column) -> Column:
-    f = lambda v: F.format_number(v, "0.##")
-    return F.concat(F.lit('<circle cx="'), f(x), F.lit('" cy="'), f(y), F.lit('" r="'), f(r), F.lit('" style="'), style, F.lit('"/>'))
+    return F.concat(F.lit('<circle cx="'), _short(x), F.lit('" cy="'), _short(y), F.lit('" r="'), _short(r), F.lit('" style="'), style, F.lit('"/>'))
