@@ -125,10 +125,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     table = known_digests(docs.sparkSession) if known is None else known.select("digest", "license_id")
     table = F.broadcast(table) if known is None else table
     lines = X.documents_of(docs).select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    whole = lines.select("doc_id", _digest(_whole(F.col("lines"))).alias("digest")).join(table, "digest", "left")
-    each = lines.select("doc_id", F.explode("lines").alias("line")).select("doc_id", _digest(F.col("line")).alias("digest")).join(table, "digest")
-    found = each.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("line_licenses"))
-    return whole.join(found, "doc_id", "left").select("doc_id", "digest", "license_id", "line_licenses")
+    part = lambda whole, t: F.struct(F.lit(whole).alias("whole"), _digest(t).alias("digest"))
+    parts = F.concat(F.array(part(True, _whole(F.col("lines")))), F.transform("lines", lambda t: part(False, t)))
+    looked_up = lines.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.whole", "p.digest").join(table, "digest", "left")
+    # One row for each text and for each line that is a licence: small, and written so that texts are canonicalised once.
+    hits = X.written(looked_up.where("whole or license_id is not null"), "licenses")
+    found = hits.where("not whole").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("line_licenses"))
+    return hits.where("whole").join(found, "doc_id", "left").select("doc_id", "digest", "license_id", "line_licenses")
 
 
 def _sql_text(s: str) -> str:
