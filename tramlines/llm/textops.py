@@ -24,6 +24,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
+#: Bytes of one Arrow batch between Spark and Python; bounds the buffers on either side.
+BATCH_BYTES = 4 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -159,8 +161,16 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes, unless the session has a limit: rows alone don't bound texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """The two columns the text operators use."""
+    bound_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
