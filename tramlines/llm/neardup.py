@@ -13,7 +13,8 @@
    decides: |x - y| + |y - x| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so two texts as similar as asked,
    one of them not linked with c, must share more than half of D(y) (less a term for sizes).  Hence
    any such pair meets on a shingle among the rarest half of D(y), where shingles that no other
-   member has meet nobody.  The pairs that do meet are verified like the rest.
+   member has meet nobody; if neither is linked with c, among the rarest half of both.  The pairs
+   that do meet are verified like the rest.
 
 So every colliding pair is verified, ruled out by a proof or already in one component; nothing is
 capped, and a group of copies costs its members, not its pairs.
@@ -217,18 +218,21 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), broadcast_ids:
         # Texts to look for are those not linked with the centre (else both were in one component).
         held = away.where(F.col("label") != F.col("own")).groupBy("c", "shingle").agg(F.count("*").alias("df"))
         other = F.col("df") - (F.col("label") != F.col("own")).cast("long")  # how many other such texts have it
-        shared = away.join(held, ["c", "shingle"]).withColumn("df", other).where("df > 0")
+        shared = away.join(held, ["c", "shingle"]).withColumn("df", other)
         mine = Window.partitionBy("c", "x")
         # Any d - need + 1 shingles of D(x) will do; those that nobody looks for come first and meet nobody.
         rank = F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "shingle"))
         share = (1 - params.threshold) / (1 + params.threshold)
         need = F.floor((F.col("d") + share * (F.col("size_c") - F.col("size")) - 1e-9) / 2) + 1
-        met = X.written(shared.withColumn("need", need).withColumn("indexed", rank <= F.col("d") - F.col("need") + 1).select("c", "x", "shingle", "d", "size", "label", "own", "need", "indexed"), "met")
-        probe = met.where(F.col("label") != F.col("own")).select("c", "shingle", "x", F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("label").alias("lx"))
-        index = met.where("indexed").select("c", "shingle", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("label").alias("ly"), "need")
+        met = X.written(shared.withColumn("need", need).withColumn("indexed", rank <= F.col("d") - F.col("need") + 1).select("c", "x", "shingle", "d", "size", "label", "own", "need", "indexed", "df"), "met")
+        probe = met.where(F.col("label") != F.col("own")).select("c", "shingle", "x", F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("label").alias("lx"), F.col("need").alias("need_x"), F.col("indexed").alias("early"))
+        index = met.where("indexed and df > 0").select("c", "shingle", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("label").alias("ly"), "need", (F.col("label") == F.col("own")).alias("with_c"))
         most = share * (F.col("sx") + F.col("sy")) + 1e-9
-        near = (F.col("lx") != F.col("ly")) & (F.abs(F.col("dx") - F.col("dy")) <= most)
-        least = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - most) / 2) - F.col("need") + 1).alias("least")
+        # Two texts that are both apart from the centre meet once, on a shingle that is early in either's order.
+        once = F.col("with_c") | (F.col("early") & (F.col("x") < F.col("y")))
+        near = (F.col("lx") != F.col("ly")) & once & (F.abs(F.col("dx") - F.col("dy")) <= most)
+        late = F.when(F.col("with_c"), F.col("need")).otherwise(F.greatest("need", "need_x"))
+        least = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - most) / 2) - late + 1).alias("least")
         meetings = probe.join(index, ["c", "shingle"]).where(near).groupBy("c", "x", "y").agg(F.count("*").alias("n"), F.max(least).alias("least"))
         pairs = meetings.where("n >= least").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
         fresh = X.written(pairs.distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti").join(tested.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "fresh")
