@@ -125,6 +125,29 @@ def test_toxicity_pairs_beyond_weights():
     assert ((z > 0) == (label == 1)).mean() > 0.95
 
 
+def test_toxicity_pairs_with_production_settings():
+    """As above with the settings of the registered query: terms of little association of their own are learned too."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)
+    label = ((a == b) & (rng.random(2000) < 0.98)).astype(int)
+    doc, term = np.repeat(np.arange(2000), 2), np.stack([10 + a, 20 + b], 1).ravel()
+    m = toxicity.fit(doc, term, label, toxicity.Fit())
+    z, _ = toxicity._forward(m, m.slot[term], doc, 2000)
+    assert (m.slot >= 0).sum() == 4 and ((z > 0) == (label == 1)).mean() > 0.95
+
+
+def test_toxicity_cap_keeps_the_share(spark, make):
+    """A text without evidence scores the share of toxic labels, whether or not the sample binds."""
+    rows = [(i, f"same words {'here' if i % 2 else 'there'}") for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 10 < 2)) for i, _ in rows], "doc_id long, toxic int")
+    learn = toxicity.remainder(3) != 1
+    got = []
+    for cap in (6000, 100):
+        machine = toxicity.train(make(rows), labels, learn, toxicity.Fit(per_class=cap))
+        got.append(np.mean([r.score for r in toxicity.scores(make(rows), machine).collect()]))
+    assert abs(got[0] - 0.2) < 0.05 and abs(got[1] - 0.2) < 0.08
+
+
 def test_toxicity_without_labels(spark, make):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     machine = toxicity.train(make([(1, "a")]), labels, toxicity.remainder(3) != 1)
