@@ -15,7 +15,7 @@ Blocks are runs of text between block-level tags (and ``br``); white space insid
 one space, blocks are trimmed and joined by one space.
 
 Edge cases: a null, empty or text-free page gives an empty text; plain text without tags is its own
-main text; unclosed elements close where their parent does; very long pages are parsed whole;
+main text; what stands directly in the body is held to the same threshold, bare text there counts; unclosed elements close where their parent does; very long pages are parsed whole;
 repeated rows are handled each on their own; an empty table gives an empty result; other columns of
 the input are ignored.
 """
@@ -208,14 +208,12 @@ def main_text(html: str | None) -> str:
     threshold = min(n.density for n in path)
     chosen = {id(best)}
     for child, parent in zip(path[:-1], path[1:], strict=True):
-        if parent is root:
-            break
         chosen |= {id(c) for c in parent.children if c is child or _belongs(c, threshold)}
     out: list[str] = []
-    if best is root or len(path) <= 2:
+    if best is root:
         _emit(best, out)
     else:
-        top, todo = path[-2], [path[-2]]
+        top, todo = root, [root]
         while todo:
             node = todo.pop()
             if isinstance(node, str):
