@@ -14,8 +14,8 @@ second factor is the smoothed frequency, with one place for unseen tokens, so th
 all tokens sum to one.
 
 Training runs in synchronous rounds over all training documents: each task takes stochastic
-gradient steps from the broadcast weights at every `stride`-th position (another remainder each
-round), and the changes of each row are averaged, weighted by use, in a tree of grouped sums.
+gradient steps from the broadcast weights at every position (a `stride` above 1 would thin them),
+and the changes of each row are averaged, weighted by use, in a tree of grouped sums.
 Scoring is one pass in numpy batches; tokens outside the head are counted by document and joined
 with the count table.
 
@@ -52,7 +52,7 @@ class Shape:
     class_rows: int = 1 << 13
     word_rows: int = 1 << 15
     rounds: int = 2
-    stride: int = 16
+    stride: int = 1
     rate: float = 0.5
     batch: int = 8192
     shard_tokens: int = 10_000_000
