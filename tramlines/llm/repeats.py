@@ -17,6 +17,9 @@ could be equal meet in one bucket, and only anchors that two documents share go
    for every window whether an earlier document has it.  Answers go back as a bit for each window.
 5. Each chunk removes the union of its repeated windows.
 
+An anchor of more than `CROWD_RUNS` runs (a common line among ever new neighbours) has its windows sent
+one by one instead, each to a bucket by its own bytes, so no bucket has to hold all of its segments.
+
 Hot passages cost one segment for each chunk, never one for each pair of documents.  Hash width only
 affects how many anchors are looked at in vain: windows are compared by their bytes.
 
@@ -46,6 +49,10 @@ CHUNK_BYTES = 1 << 20
 BUCKET_ANCHORS = 1 << 20
 #: Bytes of text whose windows are hashed at once; a longer document is hashed whole.
 WINDOW_BYTES = 1 << 19
+#: Runs of an anchor from which its windows are dealt out one by one, so that no bucket holds them all.
+CROWD_RUNS = 1024
+#: Added to the anchor's place in a segment that is a single window of such an anchor.
+SINGLE = 128
 U64 = np.uint64
 
 
@@ -110,10 +117,10 @@ class Runs:
         self.anchor, self.doc = at[self.first], doc[self.first]
         self.gram = X.mix(grams[self.anchor] + U64(1))
 
-    def segments(self, which: np.ndarray, width: int) -> np.ndarray:
-        """Hash of the bytes that the windows of each run cover and of the anchor's place in them."""
-        text = X.span_hashes(self.prefix, self.first[which], self.last[which] + width)
-        return X.mix(text + X.mix((self.anchor[which] - self.first[which]).astype(np.uint64) + U64(7)))
+
+def _segment_hashes(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hash of the bytes begin..end of each segment and of the anchor's place in them."""
+    return X.mix(X.span_hashes(prefix, begin, end) + X.mix(place.astype(np.uint64) + U64(7)))
 
 
 class Chunk:
@@ -138,15 +145,15 @@ class Chunk:
         return parts, np.concatenate([p[3].gram for p in parts] or none), np.concatenate([p[3].doc + p[0] for p in parts] or [np.zeros(0, np.int64)])
 
 
-def _grams_of(gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct gram hashes of a chunk, in order, and whether two of its texts have each."""
+def _grams_of(gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct gram hashes of a chunk, in order, whether two of its texts have each, and its runs."""
     order = np.argsort(gram, kind="stable")
     g, d = gram[order], doc[order]
     head = np.ones(len(g), bool)
     head[1:] = g[1:] != g[:-1]
     at = np.flatnonzero(head)
     many = (np.maximum.reduceat(d, at) != np.minimum.reduceat(d, at)) if len(at) else np.zeros(0, bool)
-    return g[at], many
+    return g[at], many, np.diff(np.append(at, len(g)))
 
 
 def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,73 +171,95 @@ def _ask(width: int, k: int, buckets: int):
             for row in range(batch.num_rows):
                 name, size, *cells = (c[row].as_py() for c in batch.columns)
                 _, gram, doc = Chunk(*cells, size).runs(width, k)
-                keys, many = _grams_of(gram, doc)
+                keys, many, count = _grams_of(gram, doc)
                 order, cuts = _split(keys, buckets)
-                low, many = (keys[order] & U64(0xFFFFFFFF)).astype("<u4"), many[order]
+                low, many, count = (keys[order] & U64(0xFFFFFFFF)).astype("<u4"), many[order], np.minimum(count[order], 65535).astype("<u2")
                 full = np.flatnonzero(np.diff(cuts))
                 ones = [low[cuts[b] : cuts[b + 1]][~many[cuts[b] : cuts[b + 1]]].tobytes() for b in full]
                 more = [low[cuts[b] : cuts[b + 1]][many[cuts[b] : cuts[b + 1]]].tobytes() for b in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(np.full(len(full), name, np.int64)), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], ["bucket", "chunk", "ones", "more"])
+                counts = [np.concatenate([c[~m], c[m]]).tobytes() for b in full for c, m in [(count[cuts[b] : cuts[b + 1]], many[cuts[b] : cuts[b + 1]])]]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(np.full(len(full), name, np.int64)), *(pa.array(x, pa.binary()) for x in (ones, more, counts))], ["bucket", "chunk", "ones", "more", "counts"])
 
     return run
 
 
-def _seen_elsewhere(table: pa.Table) -> pa.Table:
-    """Bucket -> for each chunk a bit for each hash of `ones`: another chunk has it."""
-    ones = [np.frombuffer(b, "<u4") for b in table.column("ones").to_pylist()]
-    more = [np.frombuffer(b, "<u4") for b in table.column("more").to_pylist()]
-    values = np.sort(np.concatenate(ones + more)) if ones else np.zeros(0, np.uint32)
-    shared = np.unique(np.concatenate([values[1:][values[1:] == values[:-1]], *more])) if ones else values
-    chunks, masks = [], []
-    for chunk, mine in zip(table.column("chunk").to_pylist(), ones, strict=True):
-        at = np.searchsorted(shared, mine)
-        hit = np.zeros(len(mine), bool)
-        ok = at < len(shared)
-        hit[ok] = shared[at[ok]] == mine[ok]
-        if hit.any():
-            chunks.append(chunk)
-            masks.append(np.packbits(hit).tobytes())
-    bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-    return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int64()), "answer": pa.array(masks, pa.binary())})
+def _seen_elsewhere(crowd: int):
+    """Bucket -> for each chunk a bit for each hash of `ones`: another chunk has it; and one for each of `ones` and `more`: it has over `crowd` runs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ones = [np.frombuffer(b, "<u4") for b in table.column("ones").to_pylist()]
+        more = [np.frombuffer(b, "<u4") for b in table.column("more").to_pylist()]
+        values = np.concatenate([x for pair in zip(ones, more, strict=True) for x in pair] or [np.zeros(0, np.uint32)])
+        counts = np.concatenate([np.frombuffer(b, "<u2") for b in table.column("counts").to_pylist()] or [np.zeros(0, np.uint16)])
+        order = np.argsort(values, kind="stable")
+        values, counts = values[order], counts[order]
+        shared = np.unique(np.concatenate([values[1:][values[1:] == values[:-1]], *more]))
+        at = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+        hot = values[at][np.add.reduceat(counts.astype(np.int64), at) > crowd] if len(at) else values
+        chunks, masks, hots = [], [], []
+        for chunk, mine, rest in zip(table.column("chunk").to_pylist(), ones, more, strict=True):
+            hit, busy = np.isin(mine, shared), np.isin(np.concatenate([mine, rest]), hot)
+            if hit.any() or busy.any():
+                chunks.append(chunk)
+                masks.append(np.packbits(hit).tobytes())
+                hots.append(np.packbits(busy).tobytes() if busy.any() else b"")
+        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int64()), "answer": pa.array(masks, pa.binary()), "hot": pa.array(hots, pa.binary())})
+
+    return run
 
 
 def _shared_runs(chunk: Chunk, answers: list[dict] | None, width: int, k: int, buckets: int):
-    """The slices of a chunk with their runs, and for each run of all: is its anchor shared."""
+    """The slices of a chunk with their runs, and for each run of all: is its anchor shared, is it crowded."""
     parts, gram, doc = chunk.runs(width, k)
-    keys, many = _grams_of(gram, doc)
+    keys, many, _ = _grams_of(gram, doc)
     order, cuts = _split(keys, buckets)
-    shared = many.copy()
+    shared, hot = many.copy(), np.zeros(len(keys), bool)
     for a in answers or []:
-        mine = order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]
-        mine = mine[~many[mine]]
+        all_ = order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]
+        mine = all_[~many[all_]]
         shared[mine] = np.unpackbits(np.frombuffer(a["answer"], np.uint8), count=len(mine)).astype(bool)
-    return parts, gram, shared[np.searchsorted(keys, gram)]
+        if a["hot"]:
+            hot[np.concatenate([mine, all_[many[all_]]])] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=len(all_)).astype(bool)
+    at = np.searchsorted(keys, gram)
+    return parts, gram, shared[at], hot[at]
 
 
-def _segments_of(chunk: Chunk, parts, gram: np.ndarray, shared: np.ndarray, width: int, buckets: int):
+def _segments_of(chunk: Chunk, parts, gram: np.ndarray, shared: np.ndarray, hot: np.ndarray, width: int, buckets: int):
     """The distinct segments of a chunk's shared runs, dealt to buckets by anchor.
 
-    Returns for each distinct segment, in the order they are sent, a (slice, run) that has it with
-    the smallest document, and its bucket bounds; and for each shared run its segment's number.
+    A run of a crowded anchor counts as runs of one window each, dealt by their bytes: equal windows
+    still meet.  Returns for each distinct segment, in the order they are sent, a run that has it
+    with the smallest document, and its bucket bounds; and for each shared run its segment's number,
+    its slice, first and last window, anchor's place and document.
     """
     where = np.flatnonzero(shared)
     counts = np.cumsum([0] + [len(p[3].first) for p in parts])
+    all_ = lambda name: np.concatenate([getattr(p[3], name) for p in parts] or [np.zeros(0, np.int64)])
+    begin, last = all_("first")[where], all_("last")[where]
+    times = np.where(hot[where], last - begin + 1, 1)
+    off = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    where, begin, last = (np.repeat(x, times) for x in (where, begin, last))
+    single = hot[where]
+    begin = begin + off
+    last = np.where(single, begin, last)
+    place = all_("anchor")[where] - begin + SINGLE * single
     part = np.searchsorted(counts, where, side="right") - 1
     local = where - counts[part]
     seg = np.zeros(len(where), np.uint64)
     doc = np.zeros(len(where), np.int64)
     for i, (at, _, _, runs) in enumerate(parts):
         mine = part == i
-        seg[mine] = runs.segments(local[mine], width)
+        seg[mine] = _segment_hashes(runs.prefix, begin[mine], last[mine] + width, place[mine])
         doc[mine] = chunk.ids[runs.doc[local[mine]] + at]
-    bucket = ((gram[where] >> U64(32)) % U64(buckets)).astype(np.int64)
+    bucket = ((np.where(single, X.mix(seg + U64(1)), gram[where]) >> U64(32)) % U64(buckets)).astype(np.int64)
     order = np.lexsort((doc, seg, bucket))
     head = np.ones(len(order), bool)
     head[1:] = (seg[order][1:] != seg[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(head) - 1
     first = order[head]
-    return first, np.searchsorted(bucket[first], np.arange(buckets + 1)), number, part, local, doc
+    return first, np.searchsorted(bucket[first], np.arange(buckets + 1)), number, part, begin, last, place, doc
 
 
 def _send(width: int, k: int, buckets: int):
@@ -242,16 +271,11 @@ def _send(width: int, k: int, buckets: int):
             for row in range(batch.num_rows):
                 name, size, ids, lens, data, answers = (c[row].as_py() for c in batch.columns)
                 chunk = Chunk(ids, lens, data, size)
-                parts, gram, shared = _shared_runs(chunk, answers, width, k, buckets)
-                first, cuts, _, part, local, doc = _segments_of(chunk, parts, gram, shared, width, buckets)
-                begin, size_, place = (np.zeros(len(first), np.int64) for _ in range(3))
+                parts, *runs = _shared_runs(chunk, answers, width, k, buckets)
+                first, cuts, _, part, begin, last, place, doc = _segments_of(chunk, parts, *runs, width, buckets)
                 base = np.cumsum([0] + [len(p[1]) for p in parts])
-                for i, (_, _, _, runs) in enumerate(parts):
-                    mine = np.flatnonzero(part[first] == i)
-                    at = local[first[mine]]
-                    begin[mine] = runs.first[at] + base[i]
-                    size_[mine] = runs.last[at] + width - runs.first[at]
-                    place[mine] = runs.anchor[at] - runs.first[at]
+                size_, place = last[first] + width - begin[first], place[first]
+                begin = begin[first] + base[part[first]]
                 before = (begin > 0) & ~np.isin(begin, chunk.offs)
                 left = np.where(before, chunk.data[np.maximum(begin - 1, 0)], 0).astype(np.uint8) if len(chunk.data) else np.zeros(0, np.uint8)
                 for b in np.flatnonzero(np.diff(cuts)):
@@ -329,8 +353,10 @@ def _judge_segments(width: int, k: int):
         ends = np.cumsum(size)
         begin = ends - size
         prefix = X.prefix_hashes(data)
-        gram = X.span_hashes(prefix, begin + place, begin + place + k)
-        seg = X.mix(X.span_hashes(prefix, begin, ends) + X.mix(place.astype(np.uint64) + U64(7)))
+        single = place >= SINGLE
+        at = begin + place - SINGLE * single
+        gram = X.span_hashes(prefix, at, at + k)
+        seg = _segment_hashes(prefix, begin, ends, place)
         order = np.lexsort((doc, seg, gram))
         g, s = gram[order], seg[order]
         new_seg = np.ones(len(order), bool)
@@ -343,6 +369,7 @@ def _judge_segments(width: int, k: int):
         same = gram[one][1:] == gram[one][:-1]
         alone[1:] &= ~same
         alone[:-1] &= ~same
+        alone |= single[one]  # equal single windows are equal segments
         windows = size[one] - width + 1
         earlier = np.repeat(owner, windows)
         heads = np.cumsum(windows) - windows
@@ -388,17 +415,17 @@ def _remove(width: int, k: int, buckets: int, with_text: bool):
             for row in range(batch.num_rows):
                 _, size, ids, lens, data, answers, verdicts = (c[row].as_py() for c in batch.columns)
                 chunk = Chunk(ids, lens, data, size)
-                parts, gram, shared = _shared_runs(chunk, answers, width, k, buckets)
-                first, cuts, number, part, local, doc = _segments_of(chunk, parts, gram, shared, width, buckets)
+                parts, *runs = _shared_runs(chunk, answers, width, k, buckets)
+                first, cuts, number, part, begin, last, _, doc = _segments_of(chunk, parts, *runs, width, buckets)
                 bits = np.zeros(len(first), np.uint32)
                 for v in verdicts or []:
                     bits[cuts[v["bucket"]] : cuts[v["bucket"] + 1]] = np.frombuffer(v["answer"], "<u4")
                 # The chunk's first document of a segment has the bucket's bits; later ones repeat all of it.
                 mine = np.where(doc > doc[first][number], np.uint32(0xFFFFFFFF), bits[number]) if len(number) else np.zeros(0, np.uint32)
-                for i, (at, body, offs, runs) in enumerate(parts):
+                for i, (at, body, offs, _) in enumerate(parts):
                     delta = np.zeros(len(body) + 1, np.int32)
                     here = part == i
-                    a, z, m = runs.first[local[here]], runs.last[local[here]], mine[here]
+                    a, z, m = begin[here], last[here], mine[here]
                     for j in range(width - k + 1):
                         on = ((m >> np.uint32(j)) & np.uint32(1)).astype(bool) & (a + j <= z)
                         delta[a[on] + j] += 1
@@ -420,7 +447,7 @@ def _remove(width: int, k: int, buckets: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_anchors: int = BUCKET_ANCHORS, crowd: int = CROWD_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept_text of every document.
 
     `width` is the length in bytes of a repeat, 16 to 56.
@@ -431,9 +458,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, ch
     staged = X.written(X.documents_of(docs).mapInArrow(_chunks(chunk_bytes), "chunk long, n_bytes long, ids binary, lens binary, data binary"), "chunks", compression="uncompressed")
     total = staged.agg(F.sum("n_bytes")).first()[0]
     buckets = max(1, -(-(total or 0) * 2 // (width // 2) // bucket_anchors))
-    asked = staged.mapInArrow(_ask(width, k, buckets), "bucket long, chunk long, ones binary, more binary")
-    answered = asked.groupBy("bucket").applyInArrow(_seen_elsewhere, "chunk long, bucket long, answer binary")
-    seen = X.written(answered, "seen").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+    asked = staged.mapInArrow(_ask(width, k, buckets), "bucket long, chunk long, ones binary, more binary, counts binary")
+    answered = asked.groupBy("bucket").applyInArrow(_seen_elsewhere(crowd), "chunk long, bucket long, answer binary, hot binary")
+    seen = X.written(answered, "seen").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer", "hot")).alias("answers"))
     known = staged.join(seen, "chunk", "left").select("chunk", "n_bytes", "ids", "lens", "data", "answers")
     segments = known.mapInArrow(_send(width, k, buckets), "bucket long, chunk long, sizes binary, places binary, lefts binary, docs binary, bytes binary")
     judged = X.written(segments.groupBy("bucket").applyInArrow(_judge_segments(width, k), "chunk long, bucket long, answer binary"), "judged")
