@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents, but
 the last, which returns packed pieces.  Stages work on all that their predecessor kept, keep nulls
 and other columns as they are, and give the same rows for any partitioning.  Rows without an id
-belong to no decision and are kept; rows that repeat an id share the decision about it.
+belong to no decision and are kept; rows that repeat an id share the decision about it, but repeats
+are cut from each row's own text.
 """
 
 from __future__ import annotations
@@ -41,8 +42,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that is repeated whole goes; n_chars follows the text where the table has it.
     """
-    cut = X.written(repeats.remove_repeats(docs, with_text=True).where("n_removed > 0").groupBy("doc_id").agg(F.min("kept_text").alias("kept_text")), "cut")
-    joined = docs.join(cut, "doc_id", "left").where("kept_text is null or kept_text <> ''")
+    # Rows of one id and one text lose the same bytes, so both together are the key.
+    found = repeats.remove_repeats(docs, with_text=True).where("n_removed > 0 and doc_id is not null")
+    cut = X.written(found.groupBy(F.col("doc_id").alias("cut_id"), "text_sha256").agg(F.min("kept_text").alias("kept_text")), "cut")
+    same = (F.col("doc_id") == F.col("cut_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256"))
+    joined = docs.join(cut, same, "left").where("kept_text is null or kept_text <> ''")
     out = joined.withColumn("text", F.coalesce("kept_text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -25,8 +25,8 @@ affects how many anchors are looked at in vain: windows are compared by their by
 
 Edge cases: a null or empty text has 0 bytes and stays empty; texts under 50 bytes are left alone;
 copies keep only the document of smallest id; rows that repeat an id are not earlier than each
-other; matches never cross documents; an empty table gives an empty result; other columns of the
-input are ignored.  The remaining bytes may split a character; `kept_text` drops such pieces.
+other; matches never cross documents; a text without an id comes after all others and is
+earlier than none; an empty table gives an empty result; other columns of the input are ignored.  The remaining bytes may split a character; `kept_text` drops such pieces.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ BUCKET_ANCHORS = 1 << 20
 WINDOW_BYTES = 1 << 19
 #: Runs of an anchor from which its windows are dealt out one by one, so that no bucket holds them all.
 CROWD_RUNS = 1024
+#: Stands for a null id, which is never earlier than another; a chunk has the complement of such a text's length.
+LAST = np.iinfo(np.int64).max
 #: Added to the anchor's place in a segment that is a single window of such an anchor.
 SINGLE = 128
 U64 = np.uint64
@@ -67,13 +69,14 @@ def _chunks(limit: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["chunk", "n_bytes", "ids", "lens", "data"])
 
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
             for a, b, data, offs in X.slices(batch.column(1)):
                 if held and held + len(data) > limit:
                     yield full()
                     serial, held, ids, lens, bodies = serial + 1, 0, [], [], []
                 ids.append(doc[a:b].astype("<i8"))
-                lens.append(np.diff(offs).astype("<i8"))
+                lens.append(np.where(null[a:b], ~np.diff(offs), np.diff(offs)).astype("<i8"))
                 bodies.append(data.tobytes())
                 held += len(data)
         if ids:
@@ -128,7 +131,9 @@ class Chunk:
 
     def __init__(self, ids: bytes, lens: bytes, data: bytes, n_bytes: int):
         self.ids = np.frombuffer(ids, "<i8")
-        self.offs = np.concatenate([[0], np.cumsum(np.frombuffer(lens, "<i8"))])
+        sizes = np.frombuffer(lens, "<i8")
+        self.null = sizes < 0
+        self.offs = np.concatenate([[0], np.cumsum(np.where(self.null, ~sizes, sizes))])
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=n_bytes) if n_bytes else b"", np.uint8)
 
     def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -408,7 +413,7 @@ def _judge_segments(width: int, k: int):
 
 
 def _remove(width: int, k: int, buckets: int, with_text: bool):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text", "text_sha256"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,16 +444,17 @@ def _remove(width: int, k: int, buckets: int, with_text: bool):
                     keep = body[~gone].tobytes()
                     left = np.concatenate([[0], np.cumsum(np.diff(offs) - removed)])
                     kept = [keep[left[j] : left[j + 1]] for j in range(len(offs) - 1)]
-                    cols = [pa.array(chunk.ids[at : at + len(kept)].astype(np.int64)), pa.array(np.diff(offs).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+                    cols = [pa.array(chunk.ids[at : at + len(kept)].astype(np.int64), mask=chunk.null[at : at + len(kept)]), pa.array(np.diff(offs).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
                     if with_text:
                         cols.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
+                        cols.append(pa.array([hashlib.sha256(body[offs[j] : offs[j + 1]].tobytes()).hexdigest() for j in range(len(kept))]))
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_anchors: int = BUCKET_ANCHORS, crowd: int = CROWD_RUNS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept_text of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept_text and the text_sha256 of the whole text of every document.
 
     `width` is the length in bytes of a repeat, 16 to 56.
     """
@@ -465,5 +471,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, ch
     segments = known.mapInArrow(_send(width, k, buckets), "bucket long, chunk long, sizes binary, places binary, lefts binary, docs binary, bytes binary")
     judged = X.written(segments.groupBy("bucket").applyInArrow(_judge_segments(width, k), "chunk long, bucket long, answer binary"), "judged")
     verdicts = judged.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("verdicts"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, text_sha256 string" * with_text
     return known.join(verdicts, "chunk", "left").select("chunk", "n_bytes", "ids", "lens", "data", "answers", "verdicts").mapInArrow(_remove(width, k, buckets, with_text), schema)
