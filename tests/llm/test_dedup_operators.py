@@ -61,6 +61,26 @@ def test_near_duplicates_repeated_ids_and_empty(make, prose):
     assert neardup.near_duplicates(make([])).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 16, 1 << 10])
+def test_one_large_group_of_near_copies(make, prose, block):
+    """Copies on either side of the threshold around one text, in one block and in many."""
+    base = prose(1, 150)
+    rows = [(1, base)] + [(i, altered(base, i // 3, 0.004 * (i % 25))) for i in range(2, 1500)]  # every third shares its edits
+    out = {r.doc_id: r.component_id for r in neardup.near_duplicates(make(rows), neardup.NearDup(k=4, block_shingles=block)).collect()}
+    assert out == brute_components(rows, 4)[0]
+    assert len(set(out.values())) > 100
+
+
+def test_near_duplicates_of_ids_with_two_texts_and_of_null_ids(make, prose):
+    one, two = prose(1, 150), prose(2, 150)
+    rows = [(1, one), (1, two), (2, altered(one, 1, 0.01)), (3, altered(two, 1, 0.01)), (None, one), (None, None), (2**60 + 1, two), (4, None)]
+    rows += [(10 + i, altered(one, i, 0.09)) for i in range(30)] + [(50 + i, altered(two, i, 0.09)) for i in range(30)]
+    out = neardup.near_duplicates(make(rows), neardup.NearDup(k=4)).collect()
+    assert len(out) == len(rows)
+    assert {r.component_id for r in out if r.doc_id in (1, 2, 3, 2**60 + 1)} == {1}
+    assert all(r.kept and r.component_id is None for r in out if r.doc_id is None) and any(r.doc_id == 2**60 + 1 for r in out)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, pairs):

@@ -9,22 +9,27 @@
 3. Candidates are verified, first on the signatures, then exactly on the full sets, and links are
    closed by alternating large-star and small-star.
 4. Members of one bucket that are in different components have not been compared with each other,
-   only with the centre c.  What a text x differs in from c, D(x) = x without c and c without x,
-   decides: |x - y| + |y - x| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so two texts as similar as asked,
-   one of them not linked with c, must share more than half of D(y) (less a term for sizes).  Hence
-   any such pair meets on a shingle among the rarest half of D(y), where shingles that no other
-   member has meet nobody; if neither is linked with c, among the rarest half of both.  The pairs
-   that do meet are verified like the rest.
-
-So every colliding pair is verified, ruled out by a proof or already in one component; nothing is
-capped, and a group of copies costs its members, not its pairs.
-
-A pair at similarity 0.8 shares none of 32 bands of 5 rows with probability 3e-6.
+   only with the centre c.  What a text x differs in from c, D(x) = x without c and c without x, is
+   all that this takes: |x - y| + |y - x| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so the exact similarity
+   of x and y follows from their sizes and the shingles that D(x) and D(y) share.  The texts apart
+   from the centre are looked up in inverted lists of the members' differences, in blocks of
+   `block_shingles` dealt over tasks; a block returns a link for each text and component at most.
+
+So every colliding pair is compared exactly, ruled out by its signatures or already in one component;
+nothing is capped, no pair makes a row before it is a link, and no task holds more than two blocks.
+A member makes a row for each block of texts apart from the centre: one row in groups up to a
+thousand or so such texts, whatever the number of members.
+
+Two bounds of chance: a pair at similarity 0.8 shares none of 32 bands of 5 rows with probability
+3e-6; signatures rule out pairs with the centre that agree in 7 standard deviations less than 0.8 of
+their minima, which a pair at 0.8 does with probability under 1e-9.  Ties between centres go to the
+largest id, which changes no component.
 
 Edge cases: a null, empty or blank text has an empty set, is linked with nothing and is its own
 component; a text of fewer than k words has its whole word sequence as its one shingle; rows that
-repeat an id are each judged by their own text and linked under that id; an empty table gives an
-empty result; other columns of the input are ignored.
+repeat an id are each judged by their own text and linked under that id; a row without an id is not
+linked with anything, its component_id is null and it is kept; an empty table gives an empty result;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +41,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textops as X
 from .components import connected_components
@@ -51,6 +55,7 @@ class NearDup:
     bands: int = 32
     rows: int = 5
     seed: int = 20240917
+    block_shingles: int = 1 << 16
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
@@ -163,83 +168,104 @@ def _verify(params: NearDup):
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, x) with their sets -> a row for each shingle that only one of the two has."""
+    """(c, x) with their sets -> sizes and the shingles that only one of the two has; `of` names c's set, as ids may repeat."""
     for batch in batches:
-        cs, xs = (batch.column(i).to_pylist() for i in range(2))
-        for c, x, cell_c, cell_x in zip(cs, xs, batch.column(2), batch.column(3), strict=True):
+        names, lengths, sizes, cells = [], [], [], []
+        for cell_c, cell_x in zip(batch.column(3), batch.column(5), strict=True):
             kc, kx = np.frombuffer(cell_c.as_buffer(), np.uint64), np.frombuffer(cell_x.as_buffer(), np.uint64)
-            d = np.setxor1d(kc, kx, assume_unique=True).view(np.int64)
-            full = lambda v: pa.array(np.full(len(d), v, np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([full(c), full(x), full(len(d)), full(len(kc)), full(len(kx)), pa.array(d)], ["c", "x", "d", "size_c", "size", "shingle"])
+            d = np.setxor1d(kc, kx, assume_unique=True)
+            names.append(int(kc.sum(dtype=np.uint64).view(np.int64))), lengths.append(len(d)), sizes.append(len(kx)), cells.append(d.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), batch.column(1), pa.array(lengths, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary())], ["c", "of", "x", "d", "size", "diff"])
+
+
+def _block_links(percent: int):
+    """Members of a block and the texts to look up in it -> links between different components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        col = lambda n: table.column(n).to_numpy()
+        probe, x, label, size, d = col("probe"), col("x"), col("label"), col("size"), col("d")
+        cells = [np.frombuffer(b, np.uint64) for b in table.column("diff").to_pylist()]
+        held, asked = np.flatnonzero(~probe), np.flatnonzero(probe)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(held) and len(asked):
+            shingle = np.concatenate([cells[i] for i in held])
+            member = np.repeat(np.arange(len(held)), d[held])
+            order = np.argsort(shingle, kind="stable")
+            shingle, member = shingle[order], member[order]
+            step = max(1, (1 << 20) // len(held))
+            for at in range(0, len(asked), step):
+                part = asked[at : at + step]
+                want = np.concatenate([cells[i] for i in part])
+                who = np.repeat(np.arange(len(part)), d[part])
+                lo, hi = np.searchsorted(shingle, want), np.searchsorted(shingle, want, side="right")
+                shared = np.zeros(len(part) * len(held), np.int64)
+                few = max(1, (1 << 22) // len(held))  # list entries in hand at once: a few million at most
+                for a in range(0, len(want), few):
+                    n = (hi - lo)[a : a + few]
+                    where = np.arange(n.sum()) + np.repeat(lo[a : a + few] - (np.cumsum(n) - n), n)
+                    shared += np.bincount(np.repeat(who[a : a + few], n) * len(held) + member[where], minlength=len(shared))
+                total = size[part][:, None] + size[held][None, :]
+                differ = d[part][:, None] + d[held][None, :] - 2 * shared.reshape(len(part), len(held))
+                linked = (100 * (total - differ) >= percent * (total + differ)) & (label[part][:, None] != label[held][None, :])
+                i, j = np.nonzero(linked)
+                if len(i):
+                    pair = np.stack([x[part[i]], label[held[j]]])
+                    first = np.unique(pair, axis=1, return_index=True)[1]
+                    found.append((x[part[i[first]]], x[held[j[first]]]))
+        u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
+    return run
 
-def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), broadcast_ids: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, one row per document.
 
-    Candidate texts are picked from the documents by a broadcast of their ids only while there are
-    at most `broadcast_ids` of them, else by a shuffled join.
-    """
+def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, one row per document."""
     docs = X.documents_of(docs)
     profile = X.written(docs.mapInArrow(_profile(params), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "profiles")
-    classes = profile.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
+    classes = profile.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
     members = classes.select("rep", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     crowded = X.written(members.join(buckets.select("key", "n"), "key"), "buckets")
-    popular = crowded.groupBy("rep").agg(F.sum("n").alias("pop"))
-    crowded = X.written(crowded.select("key", "rep").join(popular, "rep"), "crowded")
-    ids = popular.select(F.col("rep").alias("doc_id"))
-    few = ids.count() <= broadcast_ids
-    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    popular = X.written(crowded.groupBy("rep").agg(F.sum("n").alias("pop")), "popular")
+    crowded = crowded.select("key", "rep").join(popular, "rep")
+    wanted = docs.join(popular.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = X.written(wanted.mapInArrow(_sets(params), "doc_id long, sig binary, keys binary"), "sets")
 
-    def verified(pairs: DataFrame, what: str) -> DataFrame:
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """u, v and their signatures and sets; a centre u of many v is dealt out by salt."""
+        salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(256)).alias("salt"))
         left = sets.select(F.col("doc_id").alias("u"), F.col("sig").alias("sig_u"), F.col("keys").alias("keys_u"))
         right = sets.select(F.col("doc_id").alias("v"), F.col("sig").alias("sig_v"), F.col("keys").alias("keys_v"))
-        joined = pairs.join(left, "u").join(right, "v").select("u", "v", "sig_u", "keys_u", "sig_v", "keys_v")
-        return X.written(joined.mapInArrow(_verify(params), "u long, v long, linked boolean"), what)
+        centres = salted.select("u", "salt").distinct().join(left, "u")
+        return salted.join(right, "v").join(centres, ["u", "salt"]).select("u", "v", "sig_u", "keys_u", "sig_v", "keys_v")
 
     centre = crowded.groupBy("key").agg(F.max(F.struct("pop", "rep")).alias("c")).select("key", F.col("c.rep").alias("c"))
-    stars = X.written(crowded.join(centre, "key").where("rep <> c").select(F.col("c").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
-    tested = verified(stars, "star-verified")
+    stars = X.written(crowded.select("key", "rep").join(centre, "key").where("rep <> c").select(F.col("c").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
+    tested = X.written(with_sets(stars).mapInArrow(_verify(params), "u long, v long, linked boolean"), "star-verified")
     labels = X.written(connected_components(tested.where("linked").select("u", "v")), "labels")
 
     # Centres that have members in another component than their own, with all their members.
     names = labels.select(F.col("node").alias("v"), "component")
     member = stars.join(names, "v", "left").select(F.col("u").alias("c"), F.col("v").alias("x"), F.coalesce("component", "v").alias("label"))
     own = stars.select(F.col("u").alias("v")).distinct().join(names, "v", "left").select(F.col("v").alias("c"), F.coalesce("component", "v").alias("own"))
-    member = member.join(own, "c")
-    apart = member.groupBy("c").agg(F.sum(F.when(F.col("label") != F.col("own"), 1).otherwise(0)).alias("apart"), F.count("*").alias("n")).where("apart > 0 and n > 1").select("c")
-    member = X.written(member.join(apart, "c"), "members")
+    apart = member.join(own, "c").groupBy("c", "own").agg(F.sum(F.when(F.col("label") != F.col("own"), 1).otherwise(0)).alias("apart"), F.count("*").alias("n")).where("apart > 0 and n > 1")
+    member = X.written(member.join(apart.select("c", "own"), "c").withColumn("probe", F.col("label") != F.col("own")), "members")
     if not member.isEmpty():
-        keys = lambda name: sets.select(F.col("doc_id").alias(name), F.col("keys").alias(f"keys_{name}"))
-        both = member.select("c", "x").join(keys("c"), "c").join(keys("x"), "x").select("c", "x", "keys_c", "keys_x")
-        away = X.written(both.mapInArrow(_differences, "c long, x long, d long, size_c long, size long, shingle long"), "differences")
-        away = away.join(member, ["c", "x"])
-        # Texts to look for are those not linked with the centre (else both were in one component).
-        held = away.where(F.col("label") != F.col("own")).groupBy("c", "shingle").agg(F.count("*").alias("df"))
-        other = F.col("df") - (F.col("label") != F.col("own")).cast("long")  # how many other such texts have it
-        shared = away.join(held, ["c", "shingle"]).withColumn("df", other)
-        mine = Window.partitionBy("c", "x")
-        # Any d - need + 1 shingles of D(x) will do; those that nobody looks for come first and meet nobody.
-        rank = F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "shingle"))
-        share = (1 - params.threshold) / (1 + params.threshold)
-        need = F.floor((F.col("d") + share * (F.col("size_c") - F.col("size")) - 1e-9) / 2) + 1
-        met = X.written(shared.withColumn("need", need).withColumn("indexed", rank <= F.col("d") - F.col("need") + 1).select("c", "x", "shingle", "d", "size", "label", "own", "need", "indexed", "df"), "met")
-        probe = met.where(F.col("label") != F.col("own")).select("c", "shingle", "x", F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("label").alias("lx"), F.col("need").alias("need_x"), F.col("indexed").alias("early"))
-        index = met.where("indexed and df > 0").select("c", "shingle", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("label").alias("ly"), "need", (F.col("label") == F.col("own")).alias("with_c"))
-        most = share * (F.col("sx") + F.col("sy")) + 1e-9
-        # Two texts that are both apart from the centre meet once, on a shingle that is early in either's order.
-        once = F.col("with_c") | (F.col("early") & (F.col("x") < F.col("y")))
-        near = (F.col("lx") != F.col("ly")) & once & (F.abs(F.col("dx") - F.col("dy")) <= most)
-        late = F.when(F.col("with_c"), F.col("need")).otherwise(F.greatest("need", "need_x"))
-        least = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - most) / 2) - late + 1).alias("least")
-        meetings = probe.join(index, ["c", "shingle"]).where(near).groupBy("c", "x", "y").agg(F.count("*").alias("n"), F.max(least).alias("least"))
-        pairs = meetings.where("n >= least").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-        fresh = X.written(pairs.distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti").join(tested.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "fresh")
-        more = verified(fresh, "fresh-verified").where("linked").select("u", "v")
+        both = with_sets(member.select(F.col("c").alias("u"), F.col("x").alias("v")))
+        away = both.mapInArrow(_differences, "c long, of long, x long, d long, size long, diff binary").join(member, ["c", "x"])
+        away = X.written(away.select("c", "of", "x", "label", "probe", "d", "size", "diff"), "differences")
+        cut = lambda n: F.greatest(F.lit(1), F.ceil(n / params.block_shingles)).cast("int")
+        blocks = away.groupBy("c", "of").agg(cut(F.sum("d")).alias("rows"), cut(F.sum(F.when(F.col("probe"), F.col("d")))).alias("columns"))
+        away = away.join(blocks, ["c", "of"])
+        at = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        held = away.select("c", "of", at("rows").alias("i"), every("columns").alias("j"), F.lit(False).alias("probe"), "x", "label", "d", "size", "diff")
+        asked = away.where("probe").select("c", "of", every("rows").alias("i"), at("columns").alias("j"), "probe", "x", "label", "d", "size", "diff")
+        links = held.union(asked).groupBy("c", "of", "i", "j").applyInArrow(_block_links(round(100 * params.threshold)), "u long, v long")
+        more = X.written(links.distinct(), "block-links")
         if not more.isEmpty():
             labels = X.written(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "labels")
     out = profile.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("n_shingles", "d1", "d2", "rep"), ["n_shingles", "d1", "d2"], "left")
     out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
