@@ -4,24 +4,34 @@ Tokens are lower-cased words and one end token a text.  Three kinds of statistic
 
 * the count of every distinct training token, exact, in a table as large as the vocabulary;
 * a bounded `head` of the most frequent tokens, which is broadcast;
-* the model: the `words` most frequent tokens in classes of equal size by frequency, and the other
-  tokens in classes by the shape of their letters.
-
-P(token) = P(class | context) * P(token | class, context).  Both factors are softmaxes over sums of
-hashed weight rows, one row for each feature: previous word, previous two words, the words two and
-three places back (skips), and the shapes among the last eight words.  Inside a shape class the
-second factor is the smoothed frequency, with one place for unseen tokens, so the probabilities of
-all tokens sum to one.
-
-Training runs in synchronous rounds over all training documents: each task takes stochastic
-gradient steps from the broadcast weights at every position (a `stride` above 1 would thin them),
-and the changes of each row are averaged, weighted by use, in a tree of grouped sums.
+* the model: the `words` most frequent tokens in a tree of classes by frequency, and the other tokens
+  in classes by the shape of their letters.
+
+P(token) = P(group or shape | context) * P(class | group, context) * P(word | class, context).  Each
+factor is a softmax over its frequencies' logarithms plus the sum of hashed rows, one for each feature:
+previous word, previous two words, the words two and three places back (skips), and the shapes among
+the last eight words.  Inside a shape class the last factor is the smoothed frequency, with one place
+for unseen tokens, so the probabilities of all tokens sum to one.
+
+Training is by distributed updates over every position of every training document, in two rounds:
+
+1. An update of iterative scaling from zero: the row of a feature moves by the logarithm of observed
+   over expected counts (each smoothed).  Tasks sum the observed counts; at zero weights the expected
+   ones are the row's uses times the frequencies.  Sums do not depend on how the input is split.
+2. How far each feature should go, by how often its row was seen, is learned by natural-gradient steps
+   on the likelihood of every position, which leave the position's own count out.  Tasks step through
+   their documents and the steps are averaged by positions, so scores vary a little (in the third
+   digit or so) with the split of the input.
+
+The number of hashed rows grows with the training tokens, one for each `tokens_a_row` of a node, up to
+the bounds `rows`, as the model is broadcast; the table of counts grows with the vocabulary.
 Scoring is one pass in numpy batches; tokens outside the head are counted by document and joined
 with the count table.
 
 Edge cases: a null or empty text is its end token; a text of any length is scored whole; rows that
-repeat an id are scored each by itself; without training rows every count is 0 and N and V are 0;
-an empty table gives an empty result; other columns of the input are ignored.
+repeat an id, or have none, are scored each by itself; tokens of equal frequency are ranked by their
+hash; without training rows every count is 0 and N and V are 0; an empty table gives an empty result;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +41,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
 
 END = 0x5E2D0C1B7A694837
 SHAPES = 16
-FEATURES = 5
+#: Features of the three factors: previous word, previous two, two back, three back, shapes.
+FEATURES = ((0, 1, 2, 3, 4), (0, 1, 4), (0, 1, 4))
+#: Rows are told apart by how often they were seen: each bin is four times the one before.
+BINS = 8
+#: A row's counts are emitted in this many parts for each factor.
+BLOCKS = 32
 
 
 @dataclass(frozen=True)
@@ -47,20 +63,18 @@ class Shape:
     """Sizes and learning settings."""
 
     head: int = 1 << 17
-    classes: int = 64
-    words_each: int = 64
-    class_rows: int = 1 << 13
-    word_rows: int = 1 << 15
-    rounds: int = 2
-    stride: int = 1
-    rate: float = 0.5
+    groups: int = 32
+    classes: int = 32
+    each: int = 32
+    rows: tuple[int, int, int] = (1 << 15, 1 << 16, 1 << 17)
+    tokens_a_row: int = 64
+    smooth: float = 4.0
     batch: int = 8192
-    shard_tokens: int = 10_000_000
     fan_in: int = 32
 
     @property
     def words(self) -> int:
-        return self.classes * self.words_each
+        return self.groups * self.classes * self.each
 
 
 @dataclass
@@ -90,6 +104,26 @@ class Lookup:
         return out
 
 
+@dataclass
+class Factor:
+    """One softmax for each node: `start` and `size` place the rows of a node's features in `table`."""
+
+    start: np.ndarray
+    size: np.ndarray
+    prior: np.ndarray
+    table: np.ndarray
+    uses: np.ndarray
+    bins: np.ndarray
+    gain: np.ndarray
+
+    def rows(self, feats: np.ndarray, which: tuple[int, ...], node: np.ndarray) -> np.ndarray:
+        mask = (self.size[node] - 1).astype(np.uint64)
+        out = np.empty((len(which), len(node)), np.int64)
+        for i, f in enumerate(which):
+            out[i] = self.start[node, i] + (feats[:, f] >> X.U64(33) & mask).astype(np.int64)
+        return out
+
+
 @dataclass
 class Model:
     """What scoring needs besides the count table; its size is bounded by Shape."""
@@ -102,10 +136,7 @@ class Model:
     vocabulary: Lookup
     rank: np.ndarray
     shape_total: np.ndarray
-    class_bias: np.ndarray
-    word_bias: np.ndarray
-    class_rows: np.ndarray
-    word_rows: np.ndarray
+    factors: list[Factor]
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,18 +212,30 @@ def start_model(counts: DataFrame, shape: Shape) -> Model:
     per_shape = {r["shape"]: (r["n"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect()}
     total = np.array([sum(per_shape.get(s, (0, 0))) for s in range(SHAPES)], float) + 1
     np.subtract.at(total, shapes[chosen], count[chosen] + 1.0)
-    class_count = np.zeros(shape.classes + SHAPES)
-    word_count = np.zeros((shape.classes, shape.words_each))
-    np.add.at(class_count, rank[chosen] // shape.words_each, count[chosen])
-    word_count[rank[chosen] // shape.words_each, rank[chosen] % shape.words_each] = count[chosen]
-    class_count[shape.classes :] = total
+    words = np.zeros(shape.words)
+    words[rank[chosen]] = count[chosen] + 0.5  # places without a word have probability 0
+    nodes = [words.reshape(-1, shape.each)]
+    nodes.insert(0, nodes[0].sum(1).reshape(-1, shape.classes))
+    nodes.insert(0, np.append(nodes[0].sum(1), total)[None, :])
     return Model(
         shape, int(n or 0), int(v or 0), Lookup(keys), count, Lookup(keys[chosen], 16), rank[chosen], total,
-        np.log(class_count + 0.5).astype(np.float32), np.log(word_count + 0.5).astype(np.float32),
-        np.zeros((shape.class_rows, shape.classes + SHAPES), np.float32), np.zeros((shape.word_rows, shape.words_each), np.float32),
+        [_factor(w, len(which), most, shape) for w, which, most in zip(nodes, FEATURES, shape.rows, strict=True)],
     )
 
 
+def _factor(weight: np.ndarray, features: int, most: int, shape: Shape) -> Factor:
+    """Frequencies of each node's outcomes -> an untrained factor with rows in proportion to them."""
+    mass = weight.sum(1)
+    wanted = np.minimum(mass / shape.tokens_a_row, mass / max(1.0, mass.sum()) * most / features)
+    size = (1 << np.floor(np.log2(np.maximum(wanted, 1))).astype(np.int64)).astype(np.int64)
+    start = np.cumsum(np.repeat(size, features)) - np.repeat(size, features)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        prior = np.maximum(np.log(weight / mass[:, None]), -1e30)
+    prior = np.where(mass[:, None] > 0, prior, -np.log(weight.shape[1])).astype(np.float32)
+    n = int(size.sum()) * features
+    return Factor(start.reshape(-1, features), size, prior, np.zeros((n, weight.shape[1]), np.float32), np.zeros(n, np.float32), np.zeros(n, np.uint8), np.full((features, BINS), 1 / features))
+
+
 def contexts(ids: np.ndarray, shapes: np.ndarray, cuts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Feature hashes (one column each) of the positions `at`."""
     bos = 1 << 20
@@ -203,171 +246,216 @@ def contexts(ids: np.ndarray, shapes: np.ndarray, cuts: np.ndarray, at: np.ndarr
     seen = np.zeros(len(at), np.int64)
     for j in range(1, 9):
         seen |= np.where(place >= j, bits[np.maximum(at - j, 0)], 0)
-    out = np.empty((len(at), FEATURES), np.uint64)
+    out = np.empty((len(at), 5), np.uint64)
     for f, value in enumerate((one, two * X.U64(1 << 21) + one, two, three, seen.astype(np.uint64))):
         out[:, f] = X.mix(value * X.U64(8) + X.U64(f + 1))
     return out
 
 
-def _softmax_rows(rows: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Log-probabilities: bias plus the sum of a table row for each feature, normalised."""
-    z = table[rows[:, 0]]
-    for f in range(1, rows.shape[1]):
-        z += table[rows[:, f]]
-    z += bias
+def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
-def _word_rows(feats: np.ndarray, cls: np.ndarray, n: int) -> np.ndarray:
-    return ((feats + (cls.astype(np.uint64) * X.U64(0x9E3779B97F4A7C15))[:, None]) * X.U64(0xD6E8FEB86659FD93) >> X.U64(40)).astype(np.int64) & (n - 1)
-
-
-def _targets(m: Model, ids: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every token and its place in the class, or -1 in shape classes."""
-    known = ids < m.shape.words
-    cls = np.where(known, ids // m.shape.words_each, m.shape.classes + shapes)
-    return cls, np.where(known, ids % m.shape.words_each, -1)
-
-
 def _ids(m: Model, toks: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """Rank of tokens in the model's vocabulary; other tokens are named by their shape."""
     found = m.vocabulary.find(toks)
     return np.where(found >= 0, m.rank[found] if len(m.rank) else 0, m.shape.words + shapes)
 
 
-def _step(table: np.ndarray, gain: np.ndarray, used: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """One gradient step on the rows of each feature, with a step size of its own for each row."""
-    flat = rows.T.ravel()
-    order = np.argsort(flat, kind="stable")
-    sorted_ = flat[order]
-    at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    total = np.add.reduceat(grad[order % len(grad)], at, 0)
-    u = sorted_[at]
-    count = np.diff(np.append(at, len(sorted_)))
-    gain[u] += (total**2).mean(1)
-    used[u] += count
-    table[u] -= rate * total / np.sqrt(gain[u] + 1e-6)[:, None]
+def _steps(m: Model, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each factor: the positions that it decides, their nodes and outcomes."""
+    s = m.shape
+    known = np.flatnonzero(ids < s.words)
+    i = ids[known]
+    group, cls = i // (s.classes * s.each), i // s.each
+    first = np.where(ids < s.words, ids // (s.classes * s.each), s.groups + ids - s.words)
+    return [(np.arange(len(ids)), np.zeros(len(ids), np.int64), first), (known, group, cls % s.classes), (known, cls, i % s.each)]
+
+
+def _slices(m: Model, batch: pa.RecordBatch, column: int):
+    for a, b, data, offs in X.slices(batch.column(column)):
+        toks, shapes, cuts = tokens(data, offs)
+        yield a, b, toks, shapes, cuts, _ids(m, toks, shapes)
+
 
+def _observe(shared):
+    """Texts -> observed counts of every row and outcome, in blocks."""
 
-def _shard(shared, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        s = m.shape
-        tables = [m.class_rows.copy(), m.word_rows.copy()]
-        gains = [np.full(len(t), 1e-2, np.float32) for t in tables]
-        used = [np.zeros(len(t), np.float32) for t in tables]
+        held: list[list[np.ndarray]] = [[] for _ in m.factors]
+        total = [np.zeros(f.table.size, np.int32) for f in m.factors]
+
+        def settle(least: int) -> None:
+            for k, parts in enumerate(held):
+                if sum(map(len, parts)) > least:
+                    total[k] += np.bincount(np.concatenate(parts), minlength=len(total[k])).astype(np.int32)
+                    parts.clear()
+
         any_ = False
         for batch in batches:
-            for _, _, data, offs in X.slices(batch.column(0)):
-                toks, shapes, cuts = tokens(data, offs)
-                ids = _ids(m, toks, shapes)
-                cls, place = _targets(m, ids, shapes)
-                every = np.arange(number % s.stride, len(toks), s.stride)
-                for part in np.array_split(every, max(1, len(every) // s.batch)):
-                    if not len(part):
-                        continue
-                    any_ = True
-                    feats = contexts(ids, shapes, cuts, part)
-                    rows = (feats >> X.U64(33)).astype(np.int64) & (s.class_rows - 1)
-                    p = np.exp(_softmax_rows(rows, tables[0], m.class_bias))
-                    p[np.arange(len(part)), cls[part]] -= 1
-                    _step(tables[0], gains[0], used[0], rows, p, s.rate / FEATURES)
-                    in_ = place[part] >= 0
-                    if in_.any():
-                        c = cls[part][in_]
-                        rows = _word_rows(feats[in_], c, s.word_rows)
-                        p = np.exp(_softmax_rows(rows, tables[1], m.word_bias[c]))
-                        p[np.arange(len(c)), place[part][in_]] -= 1
-                        _step(tables[1], gains[1], used[1], rows, p, s.rate / FEATURES)
-        if not any_:
-            return
-        part = TaskContext.get().partitionId()
-        for which, (table, base) in enumerate(zip(tables, (m.class_rows, m.word_rows), strict=True)):
-            for block in range(64):
-                size = len(table) // 64
-                rows = np.flatnonzero(used[which][block * size : (block + 1) * size]) + block * size
-                change = (table[rows] - base[rows]).astype("<f2")
-                cells = [which * 64 + block, part, (rows - block * size).astype("<u2").tobytes(), used[which][rows].astype("<f4").tobytes(), change.tobytes()]
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cells, types, strict=True)], ["block", "node", "rows", "uses", "changes"])
+            for _, _, _, shapes, cuts, ids in _slices(m, batch, 0):
+                any_ = True
+                feats = contexts(ids, shapes, cuts, np.arange(len(ids)))
+                for k, (at, node, outcome) in enumerate(_steps(m, ids)):
+                    rows = m.factors[k].rows(feats[at], FEATURES[k], node)
+                    held[k].append((rows * m.factors[k].table.shape[1] + outcome).ravel())
+                settle(2_000_000)
+        settle(0)
+        if any_:
+            part, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+            for k, counts in enumerate(total):
+                for j, cells in enumerate(np.array_split(counts, BLOCKS)):
+                    row = [k * BLOCKS + j, part, press.compress(cells.astype("<i4").tobytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "node", "counts"])
 
     return run
 
 
-CHANGES = "block long, node long, rows binary, uses binary, changes binary"
+COUNTS = "block long, node long, counts binary"
+
+
+def _sum_blocks(table: pa.Table) -> pa.Table:
+    """Counts of one block from several tasks -> their sum."""
+    unpress = zstandard.ZstdDecompressor()
+    total = None
+    for cell in table.column("counts"):
+        counts = np.frombuffer(unpress.decompress(cell.as_py()), "<i4")
+        total = counts.copy() if total is None else np.add(total, counts, out=total)
+    return pa.table({"block": table.column("block")[:1], "node": table.column("node")[:1], "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
 
 
-def _average(table: pa.Table) -> pa.Table:
-    """Changes of one block from several shards -> their average by row, weighted by use."""
-    rows = [np.frombuffer(b, "<u2").astype(np.int64) for b in table.column("rows").to_pylist()]
-    uses = [np.frombuffer(b, "<f4") for b in table.column("uses").to_pylist()]
-    changes = [np.frombuffer(b, "<f2").reshape(len(r), -1) if len(r) else None for b, r in zip(table.column("changes").to_pylist(), rows, strict=True)]
-    size = max((int(r.max()) + 1 for r in rows if len(r)), default=0)
-    width = next((c.shape[1] for c in changes if c is not None), 1)
-    total, weight = np.zeros((size, width), np.float32), np.zeros(size, np.float32)
-    for r, u, c in zip(rows, uses, changes, strict=True):
-        if len(r):
-            total[r] += c.astype(np.float32) * u[:, None]
-            weight[r] += u
-    keep = np.flatnonzero(weight)
-    cells = [table.column("block")[0].as_py(), table.column("node")[0].as_py(), keep.astype("<u2").tobytes(), weight[keep].astype("<f4").tobytes(), (total[keep] / weight[keep, None]).astype("<f2").tobytes()]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table({c: pa.array([v], t) for c, v, t in zip(("block", "node", "rows", "uses", "changes"), cells, types, strict=True)})
+def _scale(f: Factor, counts: np.ndarray, smooth: float) -> None:
+    """Fill in a factor's rows: the logarithm of observed over expected counts."""
+    f.uses = counts.sum(1, dtype=np.int64).astype(np.float32)
+    f.bins = np.minimum(np.log2(f.uses + 1) // 2, BINS - 1).astype(np.uint8)
+    node = np.repeat(np.arange(len(f.size)), f.size * f.gain.shape[0])
+    prior = np.exp(f.prior)
+    for a in range(0, len(counts), 1 << 14):
+        part = slice(a, a + (1 << 14))
+        p = smooth * prior[node[part]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.log((counts[part] + p) / p) - np.log(f.uses[part, None] / smooth + 1)
+        f.table[part] = np.where(p > 0, x, 0)
+
+
+def _learn(shared):
+    """Texts -> the sums over positions of each gain after natural-gradient steps through all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        gains = [f.gain.ravel().copy() for f in m.factors]
+        fisher = [np.eye(len(g)) * 10 for g in gains]
+        seen = 0
+        for batch in batches:
+            for _, _, _, shapes, cuts, ids in _slices(m, batch, 0):
+                seen += len(ids)
+                feats = contexts(ids, shapes, cuts, np.arange(len(ids)))
+                for k, (at, node, outcome) in enumerate(_steps(m, ids)):
+                    for lo in range(0, len(at), m.shape.batch):
+                        part = slice(lo, lo + m.shape.batch)
+                        slope = _slopes(m.factors[k], FEATURES[k], gains[k], feats[at[part]], node[part], outcome[part], m.shape.smooth)
+                        fisher[k] += slope.T @ slope
+                        gains[k] = np.clip(gains[k] - np.linalg.solve(fisher[k], slope.sum(0)), -0.5, 1.5)
+        flat = np.concatenate(gains)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["gain", "sum", "positions"])
+
+    return run
+
+
+def _slopes(f: Factor, which: tuple[int, ...], gain: np.ndarray, feats: np.ndarray, node: np.ndarray, outcome: np.ndarray, smooth: float) -> np.ndarray:
+    """The derivative of each position's loss by every gain, its own count left out."""
+    rows = f.rows(feats, which, node)
+    at = np.arange(len(node))
+    place = np.arange(len(which))[:, None] * BINS + f.bins[rows]
+    g = gain[place].astype(np.float32)
+    xs = [f.table[r] for r in rows]
+    z = f.prior[node]
+    expected = smooth * np.exp(z[at, outcome])
+    less = np.empty((len(which), len(at)), np.float32)
+    for i, x in enumerate(xs):
+        z += g[i, :, None] * x
+        count = np.exp(x[at, outcome]) * (f.uses[rows[i]] / smooth + 1) * expected
+        less[i] = np.log(np.maximum(count - 1, expected) / count)
+    z[at, outcome] += (g * less).sum(0)
+    p = np.exp(_log_softmax(z))
+    out = np.zeros((len(at), len(gain)))
+    for i, x in enumerate(xs):
+        out[at, place[i]] = np.einsum("nc,nc->n", p, x) + (p[at, outcome] - 1) * less[i] - x[at, outcome]
+    return out
 
 
 def train(texts: DataFrame, counts: DataFrame, shape: Shape = Shape()) -> Model:
     """Fit the model on all texts, given their token counts."""
     model = start_model(counts, shape)
+    if not model.n:
+        return model
     sc = texts.sparkSession.sparkContext
-    shards = max(1, -(-model.n // shape.shard_tokens))
-    for number in range(shape.rounds):
-        shared = sc.broadcast(model)
-        level = texts.select("text").coalesce(shards).mapInArrow(_shard(shared, number), CHANGES)
-        nodes = shards
-        while nodes > 1:
-            nodes = -(-nodes // shape.fan_in)
-            level = level.withColumn("node", F.col("node") % nodes).groupBy("block", "node").applyInArrow(_average, CHANGES)
-        for row in level.collect():  # one row for each of 128 blocks
-            which, block = divmod(row.block, 64)
-            table = (model.class_rows, model.word_rows)[which]
-            at = np.frombuffer(row.rows, "<u2").astype(np.int64) + block * (len(table) // 64)
-            if len(at):
-                table[at] += np.frombuffer(row.changes, "<f2").reshape(len(at), -1).astype(np.float32)
+    shared = sc.broadcast(model)
+    level = X.written(texts.select("text").mapInArrow(_observe(shared), COUNTS), "observed")
+    nodes = level.agg(F.max("node")).first()[0] + 1
+    while True:
+        nodes = -(-nodes // shape.fan_in)
+        level = level.withColumn("node", F.col("node") % nodes).groupBy("block", "node").applyInArrow(_sum_blocks, COUNTS)
+        if nodes == 1:
+            break
+    parts: dict[int, bytes] = {r.block: r.counts for r in level.collect()}  # one row for each block of a bounded model
+    unpress = zstandard.ZstdDecompressor()
+    for k, f in enumerate(model.factors):
+        flat = np.concatenate([np.frombuffer(unpress.decompress(parts[k * BLOCKS + j]), "<i4") for j in range(BLOCKS)])
+        _scale(f, flat.reshape(f.table.shape), shape.smooth)
+    shared.unpersist()
+    shared = sc.broadcast(model)
+    learned = texts.select("text").mapInArrow(_learn(shared), "gain long, sum double, positions long").groupBy("gain").agg((F.sum("sum") / F.sum("positions")).alias("value"))
+    value = np.array([v for _, v in sorted(tuple(r) for r in learned.collect())])  # as many as there are gains
+    for f in model.factors:
+        f.gain, value = value[: f.gain.size].reshape(f.gain.shape), value[f.gain.size :]
+    shared.unpersist()
+    return model
+
+
+def applied(model: Model) -> Model:
+    """The model with its gains multiplied into the rows, as scoring uses it."""
+    for f in model.factors:
+        feature = np.repeat(np.tile(np.arange(len(f.gain)), len(f.size)), np.repeat(f.size, len(f.gain)))
+        f.table *= f.gain[feature, f.bins][:, None].astype(np.float32)
+        f.gain = np.ones_like(f.gain)
     return model
 
 
+def outcomes(f: Factor, which: tuple[int, ...], feats: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Log-probabilities of every outcome of the nodes in their contexts; gains are in the rows."""
+    z = f.prior[node]
+    for r in f.rows(feats, which, node):
+        z += f.table[r]
+    return _log_softmax(z)
+
+
 SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, tokens array<long>, times array<int>"
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        s = m.shape
         row = TaskContext.get().partitionId() << 34
         for batch in batches:
-            for a, b, data, offs in X.slices(batch.column(1)):
-                toks, shapes, cuts = tokens(data, offs)
-                ids = _ids(m, toks, shapes)
-                cls, place = _targets(m, ids, shapes)
-                logp = np.empty(len(toks))
-                for lo in range(0, len(toks), s.batch):
-                    part = np.arange(lo, min(lo + s.batch, len(toks)))
-                    feats = contexts(ids, shapes, cuts, part)
-                    rows = (feats >> X.U64(33)).astype(np.int64) & (s.class_rows - 1)
-                    logp[part] = _softmax_rows(rows, m.class_rows, m.class_bias)[np.arange(len(part)), cls[part]]
-                    in_ = np.flatnonzero(place[part] >= 0)
-                    c = cls[part[in_]]
-                    if len(in_):
-                        z = _softmax_rows(_word_rows(feats[in_], c, s.word_rows), m.word_rows, m.word_bias[c])
-                        logp[part[in_]] += z[np.arange(len(in_)), place[part[in_]]]
+            for a, b, toks, shapes, cuts, ids in _slices(m, batch, 1):
+                feats = contexts(ids, shapes, cuts, np.arange(len(ids)))
+                logp = np.zeros(len(toks))
+                for k, (at, node, outcome) in enumerate(_steps(m, ids)):
+                    for lo in range(0, len(at), m.shape.batch):
+                        part = slice(lo, lo + m.shape.batch)
+                        z = outcomes(m.factors[k], FEATURES[k], feats[at[part]], node[part])
+                        logp[at[part]] += z[np.arange(len(z)), outcome[part]]
                 logp /= np.log(10)
                 at = m.head.find(toks)
                 inside = at >= 0
                 one = np.zeros(len(toks))
                 one[inside] = np.log10(m.counts[at[inside]] + 1.0)
-                rest = place < 0
+                rest = ids >= m.shape.words
                 logp[rest] += one[rest] - np.log10(m.shape_total[shapes[rest]])
                 out = np.flatnonzero(~inside)
                 text = np.repeat(np.arange(b - a), np.diff(cuts))[out]
@@ -388,8 +476,9 @@ def _score(shared):
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(applied(model))
     rows = X.written(X.documents_of(docs).mapInArrow(_score(shared), SCORED), "scored")
+    shared.unpersist()
     rare = rows.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("row", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
     found = rare.join(counts.select("token", "count"), "token").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("count") + 1.0)).alias("logs"))
     joined = rows.drop("tokens", "times").join(found, "row", "left")
