@@ -5,25 +5,27 @@ of 2L words, one each L words, L being the longest item, so that any occurrence
 whole in one passage.
 
 * BM25 impacts are computed over all items.  An item's threshold is its score against itself less
-  its `allowed` largest impacts, where `allowed` is how many of its shingles a verified passage may
-  lack: a missing word breaks at least one shingle, so no passage that would pass the overlap check
-  can score below it.
+  its `allowed` largest impacts, where `allowed` is how many of the shingles of its question and its
+  answer a verified passage may lack: a missing word breaks at least one shingle, so no passage that
+  would pass the overlap check can score below it.
 * Items are numbered by threshold and cut into blocks; the index keeps, for each term, its largest
   impact overall and in each block.
 * A vectorised pass bounds every passage by the sums of those maxima over its distinct terms.
   Passages that stay above some block's threshold go through the block-max WAND loop, which returns
   every item at or above its threshold (no top-k).
-* A retrieved item is verified by its distinct five-word shingles: at least `overlap` of them must
-  stand in the passage.  Overlaps of question (all lines but the last) and answer (the last line)
-  are reported; an item of one line is its own question and answer.
-
-The index is broadcast.  Its size is bounded: items are dealt into blocks of at most `block_items`
-items and `block_bytes` of text, and the documents are queried once against each block's index.
-
-Edge cases: a null or empty document has no passage and is clean; null or blank items match
-nothing; an item of fewer than five words is one shingle of its whole sequence; repeated items are
-each reported; an empty benchmark leaves every document clean; an empty table gives an empty
-result; other columns of the inputs are ignored.
+* A retrieved item is verified by its distinct five-word shingles: at least `overlap` of those of its
+  question (all lines but the last) and of those of its answer (the last line) must stand in the
+  passage.  An item of one line is its own question and answer.
+
+The index is broadcast.  Its size is bounded: items are dealt into parts of about `block_items` items
+and `block_bytes` of text, each an index of its own.  Documents pass one part after the other, row by
+row, and are written between parts, so the result is the same for any number of parts.
+
+Edge cases: a null or empty document has no passage and is clean; null or blank items, and items
+without an id, match nothing; an item part of fewer than five words is one shingle of its whole
+sequence; repeated items are each reported; documents that repeat an id, or have none, are each judged
+by their own text; of items with equal overlaps the figures are the same; an empty benchmark leaves
+every document clean; an empty table gives an empty result; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from . import textops as X
 K = 5
 STEP = 4  # items in a block of the index: small, as the vectorised bound is only as tight as a block
 SCHEMA = "doc_id long, n_passages long, n_retrieved long, item_ids array<long>, best_overlap double, question_overlap double, answer_overlap double, contaminated boolean"
+#: Between parts of the benchmark the text goes along.
+BETWEEN = SCHEMA.replace("doc_id long", "doc_id long, text string")
 
 
 @dataclass
@@ -77,8 +80,8 @@ def _shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(X.window_hashes(words, np.array([0, len(words)]), k)[0])
 
 
-def statistics(benchmark: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[int, float, DataFrame]:
-    """Number of items with words, their mean length, and (term, df) of every term."""
+def statistics(benchmark: DataFrame) -> tuple[int, float, int, DataFrame]:
+    """Number of items with words, their mean and largest length, and (term, df) of every term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,11 +92,11 @@ def statistics(benchmark: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[
                     yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.where(np.arange(len(terms)) == 0, z - a, 0))], ["term", "words"])
 
     rows = benchmark.mapInArrow(run, "term long, words long")
-    n, total = rows.agg(F.sum(F.when(F.col("words") > 0, 1).otherwise(0)), F.sum("words")).first()
-    return int(n or 0), float(total or 0) / max(1, n or 0), rows.groupBy("term").agg(F.count("*").alias("df"))
+    n, total, longest = rows.agg(F.sum(F.when(F.col("words") > 0, 1).otherwise(0)), F.sum("words"), F.max("words")).first()
+    return int(n or 0), float(total or 0) / max(1, n or 0), int(longest or 0), rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def build_index(rows: list[tuple[int, str]], n_items: int, mean: float, df: dict[int, int], overlap: float, k1: float = 1.2, b: float = 0.75) -> Index | None:
+def build_index(rows: list[tuple[int, str]], n_items: int, mean: float, longest: int, df: dict[int, int], overlap: float, k1: float = 1.2, b: float = 0.75) -> Index | None:
     """The index of one block of items, with statistics of all items."""
     found = []
     for item, text in rows:
@@ -105,12 +108,13 @@ def build_index(rows: list[tuple[int, str]], n_items: int, mean: float, df: dict
         impact = np.log(1 + (n_items - docs + 0.5) / (docs + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean))
         k = min(K, len(words))
         shingles = _shingles(words, k)
-        allowed = len(shingles) - int(np.ceil(round(overlap * len(shingles), 9)))
         lines = [x for x in (text or "").split("\n") if len(_words([x])[0])]
         question, answer = "\n".join(lines[:-1] or lines), lines[-1]
         parts = [(w := _words([x])[0], _shingles(w, min(K, len(w))), min(K, len(w)))[1:] for x in (question, answer)]
+        lacking = [len(x) - int(np.ceil(round(overlap * len(x), 9))) for x, _ in parts]
+        allowed = min(len(terms), sum(lacking) if len(lines) > 1 else lacking[0])
         least = impact.sum() - np.sort(impact)[len(impact) - allowed :].sum() if allowed else impact.sum()
-        found.append((least - 1e-9, item, terms, impact, shingles, k, parts, len(words)))
+        found.append((least - 1e-9, item, terms, impact, shingles, k, parts))
     if not found:
         return None
     found.sort(key=lambda x: (x[0], x[1]))
@@ -129,7 +133,7 @@ def build_index(rows: list[tuple[int, str]], n_items: int, mean: float, df: dict
         blocks[t][i // STEP] = max(x, blocks[t].get(i // STEP, 0.0))
     lists = (number.tolist(), impact.tolist(), block_top.max(1).tolist(), [f[0] for f in found], blocks)
     return Index(
-        np.array([f[1] for f in found], np.int64), np.array([f[0] for f in found]), terms, np.append(heads, len(term)), number, impact, block_top.max(1), block_top.astype(np.float32), present, lists, max(f[7] for f in found),
+        np.array([f[1] for f in found], np.int64), np.array([f[0] for f in found]), terms, np.append(heads, len(term)), number, impact, block_top.max(1), block_top.astype(np.float32), present, lists, longest,
         [f[4] for f in found], [f[5] for f in found], [f[6][0] for f in found], [f[6][1] for f in found],
     )
 
@@ -242,7 +246,7 @@ def search(index: Index, data: np.ndarray, offs: np.ndarray, overlap: float) ->
             q, r = (_overlap(have[k], s) for s, k in (index.question[h], index.answer[h]))
             if (share, q, r) > tuple(out["best"][i]):
                 out["best"][i] = share, q, r
-            if share >= overlap - 1e-9:
+            if min(q, r) >= overlap - 1e-9:
                 out["items"][i].add(int(index.items[h]))
     return out
 
@@ -254,39 +258,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, b
     docs = X.documents_of(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     n_rows, n_bytes = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    n_items, mean, df = statistics(items)
-    blocks = max(1, -(-n_rows // block_items), -(-(n_bytes or 0) // block_bytes)) if n_items else 0
-    parts = []
-    for number in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number)
+    n_items, mean, longest, df = statistics(items)
+    parts = max(1, -(-n_rows // block_items), -(-(n_bytes or 0) // block_bytes)) if n_items else 0
+    empty = F.array().cast("array<long>")
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    found = docs.select("doc_id", "text", zero.alias("n_passages"), zero.alias("n_retrieved"), empty.alias("item_ids"), none.alias("best_overlap"), none.alias("question_overlap"), none.alias("answer_overlap"), F.lit(False).alias("contaminated"))
+    passed = 0
+    for number in range(parts):
+        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == number)
         texts = [(r.item_id, r.text) for r in mine.collect()]  # bounded by block_items and block_bytes on average
         terms = np.unique(_words([t for _, t in texts])[0]).view(np.int64).tolist() if texts else []
         wanted = spark.createDataFrame([(t,) for t in terms], "term long") if terms else None
         known = {r.term: r.df for r in df.join(F.broadcast(wanted), "term").collect()} if terms else {}
-        index = build_index(texts, n_items, mean, known, overlap)
+        index = build_index(texts, n_items, mean, longest, known, overlap)
         if index is not None:
-            parts.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(index), overlap), SCHEMA))
-    if not parts:
-        empty = F.array().cast("array<long>")
-        zero, none = F.lit(0).cast("long"), F.lit(0.0)
-        return docs.select("doc_id", zero.alias("n_passages"), zero.alias("n_retrieved"), empty.alias("item_ids"), none.alias("best_overlap"), none.alias("question_overlap"), none.alias("answer_overlap"), F.lit(False).alias("contaminated"))
-    if len(parts) == 1:
-        return parts[0]
-    best = F.max(F.struct("best_overlap", "question_overlap", "answer_overlap")).alias("best")
-    merged = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.max("n_passages").alias("n_passages"), F.sum("n_retrieved").alias("n_retrieved"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best, F.max("contaminated").alias("contaminated"))
-    return merged.select("doc_id", "n_passages", "n_retrieved", "item_ids", "best.*", "contaminated")
+            found = X.written(found, "part") if passed else found
+            found = found.mapInArrow(_scan(spark.sparkContext.broadcast(index), overlap), BETWEEN)
+            passed += 1
+    return found.select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def _scan(shared, overlap: float):
+    """doc_id, text and what earlier parts found -> the same with this part's findings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in X.slices(batch.column(1)):
                 out = search(shared.value, data, offs, overlap)
-                found = [sorted(s) for s in out["items"]]
+                before = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns)]
+                found = [sorted(s | set(x)) for s, x in zip(out["items"], before[4].to_pylist(), strict=True)]
+                best = [max(tuple(x), y) for x, y in zip(out["best"].tolist(), zip(*(before[j].to_pylist() for j in (5, 6, 7)), strict=True), strict=True)]
                 cols = [
-                    batch.column(0).slice(a, b - a), pa.array(out["n_passages"].astype(np.int64)), pa.array(out["n_retrieved"]), pa.array(found, pa.list_(pa.int64())),
-                    *(pa.array(np.ascontiguousarray(out["best"][:, j])) for j in range(3)), pa.array([bool(f) for f in found]),
+                    before[0], before[1], pa.array(out["n_passages"].astype(np.int64)), pa.array(out["n_retrieved"] + before[3].to_numpy()), pa.array(found, pa.list_(pa.int64())),
+                    *(pa.array([x[j] for x in best], pa.float64()) for j in range(3)), pa.array([bool(f) for f in found], pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in BETWEEN.split(", ")])
 
     return run
