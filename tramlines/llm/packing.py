@@ -3,20 +3,23 @@
 1. One pass over the documents encodes each, cuts those longer than a sequence (the first piece
    takes the remainder) and packs the pieces of a batch best-fit, longest first.  Nearly full bins
    are final.
-2. Of the other bins each batch hands on its `hold` least filled ones.  They are items of the next
-   round: groups of `fan_in` batches pack them best-fit again, and so on up a tree to one group.
-
-Two bins can only be joined if one of them is at most half full, and best-fit leaves at most one
-such bin in a batch; the least filled bins are also the best partners for it.  So handing on a
-fixed number of bins costs at most a sequence in many thousands, and no task of any round holds
-more than fan_in * hold bins, whatever the input.
-
-Edge cases: a null or empty text holds the end id alone; rows that repeat an id are packed each
-on their own; an empty table gives an empty result; other columns of the input are ignored.
+2. All other bins are items of the next round: they are dealt into groups of about `group_items`, packed
+   best-fit again, and so on up to one group.
+
+Two bins can only be joined if one of them is at most half full, and best-fit leaves at most one such
+bin in a group, so few items remain to be joined after a round.  If they are still more than a group
+holds and a round joins fewer than a hundredth of them (most bins are over half full and fit with
+nothing), the rounds end there; no task ever holds more than a group.
+
+Edge cases: a null or empty text holds the end id alone; rows that repeat an id, or have none, are
+packed each on their own; pieces of equal length go in their order of arrival, so the sequences depend
+on the split of the input, their number hardly; an empty table gives an empty result; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .tokens import encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, batch long, fill long, held boolean"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,30 +61,22 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, at, np.array(fill, np.int64)
 
 
-def _held(fill: np.ndarray, capacity: int, full: float, hold: int) -> np.ndarray:
-    """Which bins go to the next round: the `hold` least filled of those not nearly full."""
-    out = np.zeros(len(fill), bool)
-    least = np.argsort(fill, kind="stable")[:hold]
-    out[least] = fill[least] < full * capacity
-    return out
-
-
-def _pieces(path: str, end: int, capacity: int, full: float, hold: int, batch_items: int):
+def _pieces(path: str, end: int, capacity: int, full: float, batch_items: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
         doc, piece, start, length, crc = [], [], [], [], []
-        serial = 0
+        opened = 0  # bins of this partition so far
 
         def packed() -> pa.RecordBatch:
-            nonlocal serial
+            nonlocal opened
             n = np.array(length, np.int64)
             bins, at, fill = best_fit(n, capacity)
-            first, batch = (part << 32) + serial * (2 * batch_items), (part << 12) + serial
-            serial += 1
-            cols = [np.array(doc, np.int64), np.array(piece, np.int32), np.array(start, np.int64), n, np.array(crc, np.int64), first + bins, at, np.full(len(n), batch), fill[bins], _held(fill, capacity, full, hold)[bins]]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in PIECES.split(", ")])
+            first = (part << 40) + opened
+            opened += len(fill)
+            cols = [np.array(piece, np.int32), np.array(start, np.int64), n, np.array(crc, np.int64), first + bins, at, fill[bins]]
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *map(pa.array, cols)], [c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -101,14 +96,14 @@ def _pieces(path: str, end: int, capacity: int, full: float, hold: int, batch_it
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 1024, full: float = 0.995, hold: int = 64, fan_in: int = 16, batch_items: int = 32_768) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 1024, full: float = 0.995, group_items: int = 1 << 17, batch_items: int = 32_768) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
     `batch_items` bounds the pieces of a local round (one document may add its own on top).
     """
-    pieces = X.written(X.documents_of(docs).mapInArrow(_pieces(tokenizer or X.tokenizer_path(), end_id, capacity, full, hold, batch_items), PIECES), "pieces")
-    level = X.written(pieces.where("held").select(F.col("bin").alias("item"), "fill", F.xxhash64("batch").alias("node")).distinct(), "bins")
-    groups = level.select("node").distinct().count()
+    pieces = X.written(X.documents_of(docs).mapInArrow(_pieces(tokenizer or X.tokenizer_path(), end_id, capacity, full, batch_items), PIECES), "pieces")
+    under = F.col("fill") < math.floor(full * capacity)
+    level = X.written(pieces.where(under & (F.col("at") == 0)).select(F.col("bin").alias("item"), "fill"), "bins")
     moved = None
 
     def round_(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,21 +111,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacit
         b, at, fill = best_fit(pdf["fill"].to_numpy(), capacity)
         name = np.full(len(fill), np.iinfo(np.int64).max)
         np.minimum.at(name, b, pdf["item"].to_numpy())
-        up = _held(fill, capacity, full, hold)
-        return pd.DataFrame({"item": pdf["item"], "into": name[b], "at2": at, "fill": fill[b], "node": pdf["node"], "up": up[b] & (at == 0)})
-
-    while groups > 1:
-        groups = -(-groups // fan_in)
-        # Groups of about fan_in nodes; the hash of a node's number deals them out evenly.
-        step = level.select("item", "fill", F.pmod(F.xxhash64("node"), F.lit(groups)).alias("node")).groupBy("node").applyInPandas(round_, "item long, into long, at2 long, fill long, node long, up boolean")
-        step = X.written(step, "round")
-        level = step.where("up").select(F.col("into").alias("item"), "fill", "node")
+        return pd.DataFrame({"item": pdf["item"], "into": name[b], "at2": at, "fill": fill[b]})
+
+    items, number = level.count(), 0
+    while items > 1:
+        groups = -(-items // group_items)
+        deal = F.pmod(F.xxhash64("item", F.lit(number)), F.lit(groups)).alias("node")
+        step = X.written(level.select("item", "fill", deal).groupBy("node").applyInPandas(round_, "item long, into long, at2 long, fill long"), "round")
+        level = step.where(under & (F.col("at2") == 0)).select(F.col("into").alias("item"), "fill")
         hop = step.select("item", "into", "at2")
         if moved is None:
             moved = hop
         else:
             later = hop.select(F.col("item").alias("into"), F.col("into").alias("into2"), F.col("at2").alias("at3"))
             moved = X.written(moved.join(later, "into", "left").select("item", F.coalesce("into2", "into").alias("into"), (F.col("at2") + F.coalesce("at3", F.lit(0))).alias("at2")), "moved")
+        before, items, number = items, level.count(), number + 1
+        if groups == 1 or 100 * (before - items) < before:
+            break
     out = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "at")
     if moved is None:
         return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
