@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """`df` as a reliable checkpoint: the plan starts anew there and survives lost executors.
 
-    The folder is the one that spark.checkpoint.dir names; only where that is unset (local tests) a
-    folder of this machine takes its place.
+    The folder is the one that spark.checkpoint.dir names; only in a local session (tests) a folder
+    of this machine takes its place where that is unset.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='tramlines-')}")
     return df.checkpoint()

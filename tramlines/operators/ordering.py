@@ -1,10 +1,15 @@
-"""Line orders: circular edge order at nodes, crossings, separations and their weighted score."""
+"""Line orders: circular edge order at nodes, crossings, separations and their weighted score.
+
+Counts that share the connections of lines with their positions take them as `legs`, so that one
+intermediate, cut once, serves them all.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,9 +38,11 @@ def circular_distance(g: LineGraph) -> DataFrame:
 
 
 def default_order(g: LineGraph) -> DataFrame:
-    """(edge_id, line_id, pos, lines): lines of an edge, most frequent first, then by name."""
+    """(edge_id, line_id, pos, lines): lines of an edge in the order of the input where it has one
+    (`pos`), else most frequent first, then by name."""
     w = Window.partitionBy("edge_id")
-    return g.occs.select("edge_id", "line_id", (F.row_number().over(w.orderBy(F.desc("n"), "line_id")) - 1).cast("long").alias("pos"), F.count("*").over(w).alias("lines"))
+    key = ["pos", "line_id"] if "pos" in g.occs.columns else [F.desc("n"), "line_id"]
+    return g.occs.select("edge_id", "line_id", (F.row_number().over(w.orderBy(*key)) - 1).cast("long").alias("pos"), F.count("*").over(w).alias("lines"))
 
 
 def seen_positions(g: LineGraph, order: DataFrame) -> DataFrame:
@@ -44,7 +51,7 @@ def seen_positions(g: LineGraph, order: DataFrame) -> DataFrame:
     return ends.select("edge_id", "line_id", F.explode(F.array(F.struct(F.col("a").alias("node_id"), (F.col("lines") - 1 - F.col("pos")).alias("seen")), F.struct(F.col("b").alias("node_id"), F.col("pos").alias("seen")))).alias("e")).select("e.node_id", "edge_id", "line_id", "e.seen")
 
 
-def _legs(g: LineGraph, order: DataFrame) -> DataFrame:
+def legs_of(g: LineGraph, order: DataFrame) -> DataFrame:
     """(node_id, line_id, edge_a, edge_b, sa, sb): continuations with both seen positions."""
     seen = seen_positions(g, order)
     a = seen.select("node_id", "line_id", F.col("edge_id").alias("edge_a"), F.col("seen").alias("sa"))
@@ -52,39 +59,75 @@ def _legs(g: LineGraph, order: DataFrame) -> DataFrame:
     return continuations(g).join(a, ["node_id", "line_id", "edge_a"]).join(b, ["node_id", "line_id", "edge_b"])
 
 
-def same_crossings(g: LineGraph, order: DataFrame) -> DataFrame:
+def same_crossings(g: LineGraph, order: DataFrame, legs: DataFrame | None = None) -> DataFrame:
     """(node_id, same): pairs of lines that both run from one edge to the same other one and swap sides."""
-    legs = _legs(g, order).where("edge_a < edge_b")
+    legs = (legs_of(g, order) if legs is None else legs).where("edge_a < edge_b")
     second = legs.select("node_id", "edge_a", "edge_b", F.col("line_id").alias("line_2"), F.col("sa").alias("sa2"), F.col("sb").alias("sb2"))
     pairs = legs.join(second, ["node_id", "edge_a", "edge_b"]).where("sb < sb2 and sa < sa2")
     return pairs.groupBy("node_id").agg(F.count("*").alias("same"))
 
 
-def different_crossings(g: LineGraph, order: DataFrame) -> DataFrame:
+def different_crossings(g: LineGraph, order: DataFrame, legs: DataFrame | None = None) -> DataFrame:
     """(node_id, diff): pairs of lines that leave an edge for two different ones on the wrong sides."""
-    legs = _legs(g, order).join(circular_distance(g), ["node_id", "edge_a", "edge_b"])
+    legs = (legs_of(g, order) if legs is None else legs).join(circular_distance(g), ["node_id", "edge_a", "edge_b"])
     second = legs.select("node_id", "edge_a", F.col("edge_b").alias("edge_c"), F.col("line_id").alias("line_2"), F.col("sa").alias("sa2"), F.col("steps").alias("steps2"))
     pairs = legs.join(second, ["node_id", "edge_a"]).where("line_id <> line_2 and steps < steps2 and sa < sa2")
     return pairs.groupBy("node_id").agg(F.count("*").alias("diff"))
 
 
-def separations(g: LineGraph, order: DataFrame) -> DataFrame:
+def separations(g: LineGraph, order: DataFrame, legs: DataFrame | None = None) -> DataFrame:
     """(node_id, sep): neighbours on one edge that both run on to another and are not neighbours there."""
-    legs = _legs(g, order)
+    legs = legs_of(g, order) if legs is None else legs
     second = legs.select("node_id", "edge_a", "edge_b", F.col("sa").alias("sa2"), (F.col("sb") - 1).alias("sb"))
     pairs = legs.join(second, ["node_id", "edge_a", "edge_b", "sb"]).where(F.abs(F.col("sa") - F.col("sa2")) > 1)
     return pairs.groupBy("node_id").agg(F.count("*").alias("sep"))
 
 
-def score(g: LineGraph, order: DataFrame, same: float = 4.0, diff: float = 1.0, sep: float = 3.0, by_degree: bool = True) -> DataFrame:
-    """(node_id, degree, same, diff, sep, score): counts and their weighted sum; weights grow with the
-    node's degree if asked, and a node of degree 1 costs nothing."""
+@dataclass(frozen=True)
+class Penalties:
+    """Prices of a crossing (with the same next edge or with different ones) and of a separation.
+
+    Prices at stations differ; a station of two edges has prices of its own for crossings on the same
+    edges and for separations.  Prices grow with the node's degree where asked.
+    """
+
+    same: float = 4.0
+    diff: float = 1.0
+    sep: float = 3.0
+    station_same: float = 12.0
+    station_diff: float = 3.0
+    station_sep: float = 9.0
+    station_two_same: float = 4.0
+    station_two_sep: float = 3.0
+    cross_by_degree: bool = True
+    sep_by_degree: bool = True
+
+
+def prices(degree: Column, station: Column, p: Penalties) -> tuple[Column, Column, Column]:
+    """Price of a same-edge crossing, a crossing between edges and a separation at a node."""
+    cross = degree if p.cross_by_degree else F.lit(1)
+    split = degree if p.sep_by_degree else F.lit(1)
+    two = station & (degree == 2)
+    same = F.when(degree == 1, 0.0).when(two, p.station_two_same).when(station, p.station_same * cross).otherwise(p.same * cross)
+    diff = F.when(degree == 1, 0.0).when(station, p.station_diff * cross).otherwise(p.diff * cross)
+    sep = F.when(degree == 1, 0.0).when(two, p.station_two_sep).when(station, p.station_sep * split).otherwise(p.sep * split)
+    return same, diff, sep
+
+
+def score(g: LineGraph, order: DataFrame, penalties: Penalties = Penalties(), stations: DataFrame | None = None) -> DataFrame:
+    """(node_id, degree, same, diff, sep, score): counts and their priced sum; a node of degree 1 costs
+    nothing.  `stations` lists the node_ids that are stations."""
+    legs = cut(legs_of(g, order))
     rows = degrees(g).select("node_id", "degree")
     for part in (same_crossings, different_crossings, separations):
-        rows = rows.join(part(g, order), "node_id", "left")
+        rows = rows.join(part(g, order, legs), "node_id", "left")
     rows = rows.fillna(0, ["same", "diff", "sep"])
-    factor = F.when(F.col("degree") == 1, 0).otherwise(F.col("degree") if by_degree else F.lit(1))
-    return rows.withColumn("score", F.round(factor * (same * F.col("same") + diff * F.col("diff") + sep * F.col("sep")), 6))
+    station = F.lit(False)
+    if stations is not None:
+        rows = rows.join(stations.select("node_id").distinct().withColumn("is_station", F.lit(True)), "node_id", "left")
+        station = F.coalesce("is_station", F.lit(False))
+    same, diff, sep = prices(F.col("degree"), station, penalties)
+    return rows.withColumn("score", F.round(same * F.col("same") + diff * F.col("diff") + sep * F.col("sep"), 6)).select("node_id", "degree", "same", "diff", "sep", "score")
 
 
 def apply_order(order: DataFrame, permutation: DataFrame) -> DataFrame:
@@ -100,7 +143,7 @@ def total(g: LineGraph, order: DataFrame) -> float:
 def barycentres(g: LineGraph, order: DataFrame, parity: int) -> DataFrame:
     """One sweep: on every second edge (by a hash of its name) lines are sorted by where the edges they
     run on to would have them; lines that end on both sides keep their place."""
-    legs = _legs(g, order)
+    legs = legs_of(g, order)
     size = order.select(F.col("edge_id").alias("edge_b"), F.col("lines").alias("nb")).distinct()
     wish = legs.join(size, "edge_b").join(g.edges.select(F.col("edge_id").alias("edge_a"), "a"), "edge_a")
     at_node = 1 - (F.col("sb") + 0.5) / F.col("nb")  # uncrossed lines are read in opposite orders from a node

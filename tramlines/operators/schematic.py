@@ -23,11 +23,12 @@ def grid_candidates(points: DataFrame, size: float, reach: int) -> DataFrame:
     return rows.select("id", "gx", "gy", "d", F.row_number().over(w).cast("long").alias("rank"))
 
 
-def snap(points: DataFrame, size: float, reach: int, rounds: int = 30) -> DataFrame:
+def snap(points: DataFrame, size: float, reach: int, rounds: int = 1000) -> DataFrame:
     """(id, gx, gy, d): every point gets a grid point of its own, nearest first.
 
     In each round a free grid point takes the nearest of the points that want it (ties by id) and the
-    others turn to their next free candidate; points without one left are not returned.
+    others turn to their next free candidate; points without one left are not returned.  Rounds go on
+    until nothing is placed any more, and it is an error if `rounds` are not enough.
     """
     wants = cut(grid_candidates(points, size, reach))
     placed, n = wants.where("false").select("id", "gx", "gy", "d"), 0
@@ -38,8 +39,8 @@ def snap(points: DataFrame, size: float, reach: int, rounds: int = 30) -> DataFr
         placed = cut(placed.unionByName(won))
         before, n = n, placed.count()
         if n == before:
-            break
-    return placed
+            return placed
+    raise RuntimeError(f"snapping did not settle in {rounds} rounds")
 
 
 def octant(dx: Column, dy: Column) -> Column:

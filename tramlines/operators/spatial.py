@@ -26,15 +26,20 @@ def neighbours(points: DataFrame, distance: float, key: str = "id") -> DataFrame
     return one.join(two, ["cx", "cy"]).where("a < b").withColumn("d", d).where(F.col("d") <= distance).select("a", "b", "d")
 
 
-def nearest(points: DataFrame, targets: DataFrame, distance: float) -> DataFrame:
-    """(id, target, d): for every point the nearest target within `distance`; ties by target."""
+def nearest(points: DataFrame, targets: DataFrame, distance: float, others: bool = False) -> DataFrame:
+    """(id, target, d): for every point the nearest target within `distance`; ties by target.
+
+    With `others` a point is no target of its own.
+    """
     one = targets.select(F.col("id").alias("target"), F.col("x").alias("x1"), F.col("y").alias("y1"), cell(F.col("x"), distance).alias("cx"), cell(F.col("y"), distance).alias("cy"))
     steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
     two = points.select("id", "x", "y", F.explode(steps).alias("i"))
     two = two.select("id", "x", "y", (cell(F.col("x"), distance) + F.col("i")).alias("cx"), F.explode(steps).alias("j"))
     two = two.select("id", "x", "y", "cx", (cell(F.col("y"), distance) + F.col("j")).alias("cy"))
     d = F.sqrt((F.col("x1") - F.col("x")) ** 2 + (F.col("y1") - F.col("y")) ** 2)
-    best = two.join(one, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= distance).groupBy("id").agg(F.min(F.struct("d", "target")).alias("m"))
+    met = two.join(one, ["cx", "cy"])
+    met = met.where("id <> target") if others else met
+    best = met.withColumn("d", d).where(F.col("d") <= distance).groupBy("id").agg(F.min(F.struct("d", "target")).alias("m"))
     return best.select("id", "m.target", "m.d")
 
 
@@ -56,14 +61,18 @@ def crossings(segments: DataFrame, size: float) -> DataFrame:
     return hit.where((cell(F.col("x"), size) == F.col("cx")) & (cell(F.col("y"), size) == F.col("cy"))).select("a", "b", "x", "y", "t", "u")
 
 
-def project_on_segments(points: DataFrame, segments: DataFrame, distance: float) -> DataFrame:
-    """(id, segment, pos, d): for every point the nearest segment within `distance` and the share of its length."""
+def project_on_segments(points: DataFrame, segments: DataFrame, distance: float, allowed: Column | None = None) -> DataFrame:
+    """(id, segment, pos, d): for every point the nearest segment within `distance` and the share of its length.
+
+    `allowed`, an expression over id and segment, tells which pairs count.
+    """
     boxed = segments.withColumn("cx", F.explode(F.sequence(cell(F.least("x1", "x2") - distance, distance), cell(F.greatest("x1", "x2") + distance, distance))))
     boxed = boxed.withColumn("cy", F.explode(F.sequence(cell(F.least("y1", "y2") - distance, distance), cell(F.greatest("y1", "y2") + distance, distance))))
     boxed = boxed.withColumnRenamed("id", "segment")
     at = points.select("id", "x", "y", cell(F.col("x"), distance).alias("cx"), cell(F.col("y"), distance).alias("cy"))
     t = F.expr("least(1D, greatest(0D, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0D)))")
-    rows = at.join(boxed, ["cx", "cy"]).withColumn("pos", F.coalesce(t, F.lit(0.0)))
+    met = at.join(boxed, ["cx", "cy"])
+    rows = (met if allowed is None else met.where(allowed)).withColumn("pos", F.coalesce(t, F.lit(0.0)))
     rows = rows.withColumn("d", F.expr("sqrt(pow(x - x1 - pos * (x2 - x1), 2) + pow(y - y1 - pos * (y2 - y1), 2))")).where(F.col("d") <= distance)
     best = rows.groupBy("id").agg(F.min(F.struct("d", "segment", "pos")).alias("m"))
     return best.select("id", "m.segment", "m.pos", "m.d")

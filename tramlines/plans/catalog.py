@@ -43,7 +43,7 @@ def agg_mean_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT edge_id, a, b, line_id, direction::VARCHAR AS direction, n FROM occs", T.NEAR)
 def filter_prune_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.prune_rare(T.near_occurrences(spark, sf_dir), 1.0).withColumn("direction", F.col("direction").cast("string"))
+    return aggregate.prune_rare(T.near_occurrences(spark, sf_dir), 0.7).withColumn("direction", F.col("direction").cast("string"))
 
 
 TRIPS = """
@@ -123,9 +123,9 @@ def join_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT node_id, edge_a, edge_b FROM (SELECT node_id, edge_a, edge_b, count(DISTINCT line_id) AS n FROM ctd WHERE edge_a < edge_b GROUP BY ALL) c
-JOIN pe p ON p.edge_id = edge_a JOIN pe q ON q.edge_id = edge_b WHERE c.n = p.n AND c.n = q.n""", T.NEAR + ", pe AS (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1)")
+JOIN pe p ON p.edge_id = edge_a JOIN pe q ON q.edge_id = edge_b WHERE c.n = p.n AND c.n = q.n""", T.SPARSE + ", pe AS (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1)")
 def filter_equal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return algebra.equal_lines(T.near(spark, sf_dir))
+    return algebra.equal_lines(T.sparse(spark, sf_dir))
 
 
 @query("SELECT p.line_id AS line_a, q.line_id AS line_b FROM r p JOIN r q ON p.route = q.route AND p.line_id < q.line_id",
@@ -187,14 +187,25 @@ def score_separations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.separations(g, ordering.default_order(g))
 
 
-@query("""SELECT node_id, degree, coalesce(same, 0) AS same, coalesce(diff, 0) AS diff, coalesce(sep, 0) AS sep,
-round((CASE WHEN degree = 1 THEN 0 ELSE degree END) * (4.0::DOUBLE * coalesce(same, 0) + coalesce(diff, 0) + 3 * coalesce(sep, 0)), 6) AS score
-FROM deg LEFT JOIN same USING (node_id) LEFT JOIN diff USING (node_id) LEFT JOIN sep USING (node_id)""", T.NEAR)
+COUNTS = T.NEAR + """,
+cnt AS (SELECT node_id, degree, coalesce(same, 0) AS same, coalesce(diff, 0) AS diff, coalesce(sep, 0) AS sep, node_id IN (SELECT node_id FROM stations) AS st
+        FROM deg LEFT JOIN same USING (node_id) LEFT JOIN diff USING (node_id) LEFT JOIN sep USING (node_id))"""
+
+
+@query("SELECT node_id, degree, same, diff, sep, round((CASE WHEN degree = 1 THEN 0 ELSE degree END) * (4.0::DOUBLE * same + diff + 3 * sep), 6) AS score FROM cnt", COUNTS)
 def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = T.near(spark, sf_dir)
     return ordering.score(g, ordering.default_order(g))
 
 
+@query("""SELECT node_id, degree, same, diff, sep, round(CASE WHEN degree = 1 THEN 0 WHEN st AND degree = 2 THEN 4.0::DOUBLE * same + 3 * degree * diff + 3 * sep
+WHEN st THEN 12.0::DOUBLE * degree * same + 3 * degree * diff + 9 * sep ELSE 4.0::DOUBLE * degree * same + degree * diff + 3 * sep END, 6) AS score FROM cnt""", COUNTS)
+def score_with_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings are priced by degree, separations are not; stations have prices of their own."""
+    g = T.near(spark, sf_dir)
+    return ordering.score(g, ordering.default_order(g), ordering.Penalties(sep_by_degree=False), T.stations(spark, sf_dir))
+
+
 # Structure
 
 
@@ -232,9 +243,9 @@ def graph_contract_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT node_id, edge_a, edge_b FROM (SELECT node_id, min(edge_id) AS edge_a, max(edge_id) AS edge_b FROM inc JOIN deg USING (node_id) WHERE degree = 2 GROUP BY 1)
 JOIN (SELECT node_id, edge_a, edge_b, count(DISTINCT line_id) AS n FROM ctd GROUP BY ALL) c USING (node_id, edge_a, edge_b)
-JOIN pe p ON p.edge_id = edge_a JOIN pe q ON q.edge_id = edge_b WHERE c.n = p.n AND c.n = q.n""", T.NEAR + ", pe AS (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1)")
+JOIN pe p ON p.edge_id = edge_a JOIN pe q ON q.edge_id = edge_b WHERE c.n = p.n AND c.n = q.n""", T.SPARSE + ", pe AS (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1)")
 def graph_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.pass_through(T.near(spark, sf_dir))
+    return structure.pass_through(T.sparse(spark, sf_dir))
 
 
 @query("SELECT b AS from_node, a AS to_node, line_id FROM all_occs WHERE direction IS NULL OR direction = a UNION ALL SELECT a, b, line_id FROM all_occs WHERE direction IS NULL OR direction = b", T.BASE)
@@ -273,20 +284,20 @@ def spatial_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p.id, arg_min(q.id, (sqrt((p.x - q.x)^2 + (p.y - q.y)^2), q.id)) AS target, round(min(sqrt((p.x - q.x)^2 + (p.y - q.y)^2)), 6) AS d
-FROM points p JOIN points q ON p.id % 2 = 1 AND q.id % 2 = 0 AND sqrt((p.x - q.x)^2 + (p.y - q.y)^2) <= 0.05 GROUP BY 1""", T.POINTS)
+FROM points p JOIN points q ON p.id <> q.id AND sqrt((p.x - q.x)^2 + (p.y - q.y)^2) <= 0.05 GROUP BY 1""", T.POINTS)
 def spatial_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point and the nearest of all others."""
     p = T.points(spark, sf_dir)
-    return spatial.nearest(p.where("id % 2 = 1"), p.where("id % 2 = 0"), 0.05).select("id", "target", F.round("d", 6).alias("d"))
+    return spatial.nearest(p, p, 0.05, others=True).select("id", "target", F.round("d", 6).alias("d"))
 
 
 @query("""SELECT id, arg_min(segment, (d, segment)) AS segment, round(arg_min(pos, (d, segment)), 6) AS pos, round(min(d), 6) AS d FROM (
 SELECT *, sqrt((x - x1 - pos * (x2 - x1))^2 + (y - y1 - pos * (y2 - y1))^2) AS d FROM (
 SELECT p.id, p.x, p.y, s.id AS segment, x1, y1, x2, y2, coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1)^2 + (y2 - y1)^2, 0))), 0) AS pos
-FROM points p, segs s WHERE p.id % 25 = 0 AND s.id % 25 <> 0)) WHERE d <= 0.05 GROUP BY 1""", T.POINTS)
+FROM points p JOIN segs s ON s.id <> p.id - p.id % 2 AND x BETWEEN least(x1, x2) - 0.051 AND greatest(x1, x2) + 0.051)) WHERE d <= 0.05 GROUP BY 1""", T.POINTS)
 def spatial_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th point looks for the nearest segment of the others."""
-    p, s = T.points(spark, sf_dir).where("id % 25 = 0"), T.segments(spark, sf_dir)
-    rows = spatial.project_on_segments(p, s.where("id % 25 <> 0"), 0.05)
+    """Every point looks for the nearest of all segments but its own."""
+    rows = spatial.project_on_segments(T.points(spark, sf_dir), T.segments(spark, sf_dir), 0.05, F.col("segment") != F.col("id") - F.col("id") % 2)
     return rows.select("id", "segment", F.round("pos", 6).alias("pos"), F.round("d", 6).alias("d"))
 
 
@@ -371,7 +382,7 @@ def render_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT line_id, count(t)::BIGINT AS expected, count(f)::BIGINT AS found, sum((t IS NOT NULL AND f IS NOT NULL)::INT)::BIGINT AS matched, round(sum((t IS NOT NULL AND f IS NOT NULL)::INT) / greatest(count(t), 1), 6) AS rate
 FROM (SELECT line_id, edge_id, 1 AS t FROM near_all) FULL JOIN (SELECT line_id, edge_id, 1 AS f FROM occs) USING (line_id, edge_id) GROUP BY 1""", T.NEAR)
 def eval_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = aggregate.line_graph(T.nodes(spark, sf_dir), T.near_occurrences(spark, sf_dir))
+    truth = aggregate.line_graph(T.city_nodes(spark, sf_dir), T.near_occurrences(spark, sf_dir))
     return evaluate.line_match(truth, T.near(spark, sf_dir))
 
 
