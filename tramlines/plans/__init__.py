@@ -1 +1,3 @@
-"""plans."""
+"""The registered queries: both modules add theirs to the catalog."""
+
+from . import catalog, network  # noqa: F401
