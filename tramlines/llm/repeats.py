@@ -43,10 +43,11 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 
-#: Bytes of text in a chunk: pressed, a row stays well under a megabyte, which heaps take easily.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text in a chunk, at least and at most; between, a corpus makes `CHUNKS` of them, so that rows between
+#: chunks and buckets stay large as the corpus grows.
+CHUNK_BYTES, MOST_CHUNK_BYTES, CHUNKS = 1 << 20, 1 << 23, 1 << 13
 #: Anchors that a bucket should get.
-BUCKET_ANCHORS = 1 << 20
+BUCKET_ANCHORS = 1 << 19
 #: Bytes of text whose windows are hashed at once; a longer document is hashed whole.
 WINDOW_BYTES = 1 << 19
 #: Runs of an anchor from which its windows are dealt out one by one, so that no bucket holds them all.
@@ -192,18 +193,22 @@ def _seen_elsewhere(crowd: int):
     """Bucket -> for each chunk a bit for each hash of `ones`: another chunk has it; and one for each of `ones` and `more`: it has over `crowd` runs."""
 
     def run(table: pa.Table) -> pa.Table:
-        ones = [np.frombuffer(b, "<u4") for b in table.column("ones").to_pylist()]
-        more = [np.frombuffer(b, "<u4") for b in table.column("more").to_pylist()]
-        values = np.concatenate([x for pair in zip(ones, more, strict=True) for x in pair] or [np.zeros(0, np.uint32)])
-        counts = np.concatenate([np.frombuffer(b, "<u2") for b in table.column("counts").to_pylist()] or [np.zeros(0, np.uint16)])
-        order = np.argsort(values, kind="stable")
-        values, counts = values[order], counts[order]
-        shared = np.unique(np.concatenate([values[1:][values[1:] == values[:-1]], *more]))
-        at = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
-        hot = values[at][np.add.reduceat(counts.astype(np.int64), at) > crowd] if len(at) else values
+        lists = [np.frombuffer(b, "<u4") for pair in zip(table.column("ones").to_pylist(), table.column("more").to_pylist(), strict=True) for b in pair]
+        lens = np.array([len(x) for x in lists], np.int64)
+        values = np.concatenate([*lists, np.zeros(0, np.uint32)])
+        counts = np.concatenate([*(np.frombuffer(b, "<u2") for b in table.column("counts").to_pylist()), np.zeros(0, np.uint16)]).astype(np.int64)
+        many = np.repeat(np.arange(len(lens)) % 2, lens)
+        shared, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        if len(values):
+            order = np.argsort(values, kind="stable")
+            head = np.append(True, values[order][1:] != values[order][:-1])
+            at, group = np.flatnonzero(head), np.cumsum(head) - 1
+            shared[order] = ((np.diff(np.append(at, len(values))) > 1) | (np.maximum.reduceat(many[order], at) > 0))[group]
+            hot[order] = (np.add.reduceat(counts[order], at) > crowd)[group]
+        cuts = np.concatenate([[0], np.cumsum(lens)])
         chunks, masks, hots = [], [], []
-        for chunk, mine, rest in zip(table.column("chunk").to_pylist(), ones, more, strict=True):
-            hit, busy = np.isin(mine, shared), np.isin(np.concatenate([mine, rest]), hot)
+        for i, chunk in enumerate(table.column("chunk").to_pylist()):
+            hit, busy = shared[cuts[2 * i] : cuts[2 * i + 1]], hot[cuts[2 * i] : cuts[2 * i + 2]]
             if hit.any() or busy.any():
                 chunks.append(chunk)
                 masks.append(np.packbits(hit).tobytes())
@@ -357,11 +362,17 @@ def _judge_segments(width: int, k: int):
         data = np.frombuffer(b"".join(map(unpress.decompress, cell["bytes"])), np.uint8)
         ends = np.cumsum(size)
         begin = ends - size
-        prefix = X.prefix_hashes(data)
         single = place >= SINGLE
         at = begin + place - SINGLE * single
-        gram = X.span_hashes(prefix, at, at + k)
-        seg = _segment_hashes(prefix, begin, ends, place)
+        gram, seg = np.empty(len(size), np.uint64), np.empty(len(size), np.uint64)
+        lo = 0
+        while lo < len(size):  # hashed in windows, so that buffers stay small
+            hi = max(lo + 1, int(np.searchsorted(ends, begin[lo] + WINDOW_BYTES, side="right")))
+            part, base = slice(lo, hi), begin[lo]
+            prefix = X.prefix_hashes(data[base : ends[hi - 1]])
+            gram[part] = X.span_hashes(prefix, at[part] - base, at[part] - base + k)
+            seg[part] = _segment_hashes(prefix, begin[part] - base, ends[part] - base, place[part])
+            lo = hi
         order = np.lexsort((doc, seg, gram))
         g, s = gram[order], seg[order]
         new_seg = np.ones(len(order), bool)
@@ -381,7 +392,7 @@ def _judge_segments(width: int, k: int):
         crowd = np.flatnonzero(~alone)
         if len(crowd):
             deep = int(size[one[crowd]].max())
-            step = 1 + (1 << 21) // deep // 8
+            step = 1 + (1 << 21) // deep // 32
             cuts = [0]
             while cuts[-1] < len(crowd):  # segments of an anchor stay together; matrices stay small
                 end = cuts[-1] + step
@@ -453,7 +464,7 @@ def _remove(width: int, k: int, buckets: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_anchors: int = BUCKET_ANCHORS, crowd: int = CROWD_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, chunk_bytes: int | None = None, bucket_anchors: int = BUCKET_ANCHORS, crowd: int = CROWD_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept_text and the text_sha256 of the whole text of every document.
 
     `width` is the length in bytes of a repeat, 16 to 56.
@@ -461,8 +472,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, ch
     if not 16 <= width <= 56:
         raise ValueError("width must be 16 to 56 bytes")
     k = width - width // 2 + 1
-    staged = X.written(X.documents_of(docs).mapInArrow(_chunks(chunk_bytes), "chunk long, n_bytes long, ids binary, lens binary, data binary"), "chunks", compression="uncompressed")
-    total = staged.agg(F.sum("n_bytes")).first()[0]
+    docs = X.documents_of(docs)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    chunk_bytes = chunk_bytes or min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, (total or 0) // CHUNKS))
+    staged = X.written(docs.mapInArrow(_chunks(chunk_bytes), "chunk long, n_bytes long, ids binary, lens binary, data binary"), "chunks", compression="uncompressed")
     buckets = max(1, -(-(total or 0) * 2 // (width // 2) // bucket_anchors))
     asked = staged.mapInArrow(_ask(width, k, buckets), "bucket long, chunk long, ones binary, more binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(_seen_elsewhere(crowd), "chunk long, bucket long, answer binary, hot binary")

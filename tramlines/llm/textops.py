@@ -23,9 +23,9 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Bytes of one Arrow batch between Spark and Python; bounds the buffers on either side.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 9, 10, 11, 12, 13]] = True
