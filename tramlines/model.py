@@ -3,7 +3,8 @@
 A line graph is a simple undirected graph whose edges carry lines.  It is held as DataFrames:
 
 * ``nodes(node_id, x, y)``, with further columns as a source provides them;
-* ``edges(edge_id, a, b)`` with a < b, at most one row for a pair of nodes;
+* ``edges(edge_id, a, b)`` with a < b, at most one row for a pair of nodes, and where a source has
+  them the vertices ``geom``, an array of structs x, y from a to b;
 * ``occs(edge_id, line_id, direction, n)``: a line on an edge, towards node `direction` or both
   ways (null), seen n times;
 * ``exceptions(node_id, line_id, edge_a, edge_b)``: a line may not turn between two edges; both
@@ -37,5 +38,18 @@ class LineGraph:
 
 
 def edge_key(a, b):
-    """The name of the edge between two nodes, the same from either side."""
-    return F.concat_ws("-", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
+    """The name of the edge between two nodes, the same from either side.
+
+    A hyphen inside a node's name is escaped, so different pairs have different names.
+    """
+    name = lambda c: F.when(F.locate("-", c.cast("string")) > 1, F.regexp_replace(c.cast("string"), "(?<!^)-", r"\\-")).otherwise(c.cast("string"))
+    return F.concat_ws("-", name(F.least(a, b)), name(F.greatest(a, b)))
+
+
+def with_geometry(g: LineGraph) -> LineGraph:
+    """Every edge with vertices: straight from node to node where the source has none."""
+    at = lambda c: g.nodes.select(F.col("node_id").alias(c), F.struct("x", "y").alias(f"p_{c}"))
+    rows = g.edges.join(at("a"), "a").join(at("b"), "b")
+    straight = F.array("p_a", "p_b")
+    geom = F.coalesce("geom", straight) if "geom" in g.edges.columns else straight
+    return g.with_(edges=rows.withColumn("geom", geom).select("edge_id", "a", "b", "geom"))

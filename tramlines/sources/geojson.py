@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import functions as fx
-from ..model import LineGraph, edge_key
+from ..model import LineGraph, edge_key, with_geometry
 
 _NAMES = ("id", "label", "lbl", "color", "colour", "col", "direction")
 LINE = T.StructType([T.StructField(c, T.StringType()) for c in _NAMES])
@@ -21,34 +21,50 @@ PROPERTIES = T.StructType(
     [T.StructField(c, T.StringType()) for c in (*_NAMES, "station_id", "station_label", "station_lbl", "from", "to")]
     + [T.StructField("not_serving", T.ArrayType(T.StringType())), T.StructField("excluded_conn", T.ArrayType(_TURN)), T.StructField("lines", T.ArrayType(LINE))]
 )
+#: Fixed value: the id of a line without id, label and colour.
+NAMELESS = "<EMPTY PLACEHOLDER>"
 #: Coordinates nest differently for points and lines, so they are kept as JSON text at first.
 GEOMETRY = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
 FEATURE = T.StructType([T.StructField("type", T.StringType()), T.StructField("geometry", GEOMETRY), T.StructField("properties", PROPERTIES)])
 COLLECTION = T.StructType([T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(FEATURE))])
 
 
-def features(spark: SparkSession, path: str) -> DataFrame:
-    """Every feature of the files at `path`, whichever of the two forms they have."""
-    lines = spark.read.text(path)
-    single = lines.where(F.col("value").rlike('^\\s*\\{\\s*"type"\\s*:\\s*"Feature"')).select(F.from_json("value", FEATURE).alias("f")).select("f.*")
-    whole = spark.read.text(path, wholetext=True).where(F.col("value").contains('"FeatureCollection"'))
+def features(spark: SparkSession, path: str, form: str = "auto") -> DataFrame:
+    """Every feature of the files at `path`, each once.
+
+    form: "lines" for one feature a line, which never puts a whole file into one task, "collection" for
+    FeatureCollections, which are parsed whole, or "auto", which decides for each file.
+    """
+    if form not in ("auto", "lines", "collection"):
+        raise ValueError(f"unknown form {form!r}")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    if form == "auto":
+        collections = lines.where(F.col("value").contains('"FeatureCollection"')).select("file").distinct()
+        lines, whole = lines.join(collections, "file", "left_anti"), whole.join(collections, "file", "left_semi")
+    single = lines.where(F.col("value").contains("{")).select(F.from_json("value", FEATURE).alias("f")).select("f.*").where("type = 'Feature'")
     many = whole.select(F.explode(F.from_json("value", COLLECTION)["features"]).alias("f")).select("f.*")
-    return single.unionByName(many)
+    return many if form == "collection" else single if form == "lines" else single.unionByName(many)
+
 
+def read(spark: SparkSession, path: str, form: str = "auto", project: bool = False) -> LineGraph:
+    """A line graph from GeoJSON; with `project`, longitudes and latitudes become web mercator metres.
 
-def read(spark: SparkSession, path: str) -> LineGraph:
-    """A line graph from GeoJSON.
+    Edges are stored from their smaller node: an edge that is given the other way has its vertices
+    reversed and its lines in reverse order, so sides are kept.  Of several line strings between two
+    nodes the one of fewest vertices gives the geometry.
 
     The first node of an id counts; nodes without id and edges without ends take the truncated
     coordinates as their name.  Loops, edges without lines and edges to unknown nodes are dropped;
     a line string without `lines` is itself one line.  Line ids fall back to label and colour; the
     smallest label and colour of an id are kept.  Directions count only if they name an end.
     """
-    f = features(spark, path).select("geometry.*", "properties.*").withColumnRenamed("type", "kind")
+    f = features(spark, path, form).select("geometry.*", "properties.*").withColumnRenamed("type", "kind")
+    flat = lambda p: F.array(fx.mercator_x(F.get(p, F.lit(0))), fx.mercator_y(F.get(p, F.lit(1)))) if project else p
     spot = lambda p: F.concat_ws("|", F.get(p, F.lit(0)).cast("long").cast("string"), F.get(p, F.lit(1)).cast("long").cast("string"))
-    point = f.where("kind = 'Point'").withColumn("p", F.from_json("coordinates", "array<double>"))
+    point = f.where("kind = 'Point'").withColumn("p", flat(F.from_json("coordinates", "array<double>")))
     given = point.select(F.coalesce("id", spot(F.col("p"))).alias("node_id"), F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"), fx.first_of(F.col("station_id")).alias("station_id"), fx.first_of(F.col("station_label"), F.col("station_lbl")).alias("station_label"), "not_serving", "excluded_conn")
-    path_ = f.where("kind = 'LineString'").withColumn("p", F.from_json("coordinates", "array<array<double>>"))
+    path_ = f.where("kind = 'LineString'").withColumn("p", F.transform(F.from_json("coordinates", "array<array<double>>"), flat))
     own = F.array(F.struct(*[F.col(c) for c in _NAMES]))
     ends = path_.select(F.coalesce("from", spot(F.get("p", F.lit(0)))).alias("f"), F.coalesce("to", spot(F.element_at("p", -1))).alias("t"), F.col("from").isNull().alias("nf"), F.col("to").isNull().alias("nt"), "p", F.coalesce("lines", own).alias("lines"))
     made = ends.where("nf").select(F.col("f").alias("node_id"), F.get("p", F.lit(0)).alias("q")).union(ends.where("nt").select("t", F.element_at("p", -1)))
@@ -57,45 +73,54 @@ def read(spark: SparkSession, path: str) -> LineGraph:
     nodes = given.withColumn("made", F.lit(0)).unionByName(made.withColumn("made", F.lit(1)), allowMissingColumns=True).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "made")
     known = nodes.select("node_id")
     good = ends.where("f <> t").join(known.withColumnRenamed("node_id", "f"), "f", "left_semi").join(known.withColumnRenamed("node_id", "t"), "t", "left_semi")
-    line = good.select(edge_key(F.col("f"), F.col("t")).alias("edge_id"), F.least("f", "t").alias("a"), F.greatest("f", "t").alias("b"), F.posexplode("lines").alias("pos", "l"))
+    turned = F.col("f") > F.col("t")
+    good = good.withColumn("p", F.when(turned, F.reverse("p")).otherwise(F.col("p"))).withColumn("lines", F.when(turned, F.reverse("lines")).otherwise(F.col("lines")))
+    good = good.select(edge_key(F.col("f"), F.col("t")).alias("edge_id"), F.least("f", "t").alias("a"), F.greatest("f", "t").alias("b"), "p", "lines")
+    line = good.select("edge_id", "a", "b", F.posexplode("lines").alias("pos", "l"))
     label = fx.first_of(F.col("l.label"), F.col("l.lbl"))
     colour = fx.html_colour(fx.first_of(F.col("l.color"), F.col("l.colour"), F.col("l.col")))
-    line = line.select("edge_id", "a", "b", "pos", F.coalesce(fx.first_of(F.col("l.id")), label, colour, F.lit("<EMPTY PLACEHOLDER>")).alias("line_id"), label.alias("label"), colour.alias("color"), "l.direction")
+    line = line.select("edge_id", "a", "b", "pos", F.coalesce(fx.first_of(F.col("l.id")), label, colour, F.lit(NAMELESS)).alias("line_id"), label.alias("label"), colour.alias("color"), "l.direction")
     line = line.withColumn("direction", F.when(F.col("direction").isin(F.col("a"), F.col("b")), F.col("direction")))
     mixed = (F.min("direction") != F.max("direction")) | (F.count("direction") < F.count(F.lit(1)))
     occs = line.groupBy("edge_id", "line_id").agg(F.when(mixed, None).otherwise(F.min("direction")).alias("direction"), F.count("*").alias("n"), F.min("pos").alias("pos"), F.min("label").alias("label"), F.min("color").alias("color"))
     exc = nodes.where("excluded_conn is not null").select("node_id", F.explode("excluded_conn").alias("e")).select("node_id", F.col("e.line").alias("line_id"), edge_key(F.col("node_id"), F.col("e.node_from")).alias("edge_a"), edge_key(F.col("node_id"), F.col("e.node_to")).alias("edge_b")).where("edge_a <> edge_b")
     exceptions = exc.union(exc.select("node_id", "line_id", "edge_b", "edge_a")).distinct()
-    edges = line.select("edge_id", "a", "b").distinct()
+    vertices = F.transform("p", lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y")))
+    carried = line.select("edge_id").distinct()
+    edges = good.join(carried, "edge_id", "left_semi").groupBy("edge_id", "a", "b").agg(F.min(F.struct(F.size("p").alias("n"), vertices.alias("geom"))).alias("m")).select("edge_id", "a", "b", "m.geom")
     on = edges.select("edge_id")
     exceptions = exceptions.join(on.withColumnRenamed("edge_id", "edge_a"), "edge_a", "left_semi").join(on.withColumnRenamed("edge_id", "edge_b"), "edge_b", "left_semi").select("node_id", "line_id", "edge_a", "edge_b")
     return LineGraph(nodes.drop("excluded_conn"), edges, occs, exceptions)
 
 
-def feature_rows(g: LineGraph) -> DataFrame:
-    """One JSON feature per row: nodes with stations and exceptions, edges with their lines in order."""
+def feature_rows(g: LineGraph, project: bool = False) -> DataFrame:
+    """One JSON feature per row: nodes with stations and exceptions, edges with their vertices and lines
+    in order; with `project`, web mercator metres become longitudes and latitudes."""
     extra = [c for c in ("station_id", "station_label", "not_serving") if c in g.nodes.columns]
     nodes = g.nodes
     if g.exceptions is not None:
-        far = lambda c: F.when(F.split(c, "-")[0] == F.col("node_id").cast("string"), F.split(c, "-")[1]).otherwise(F.split(c, "-")[0])
-        banned = g.exceptions.where("edge_a < edge_b").groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct(F.col("line_id").alias("line"), far("edge_a").alias("node_from"), far("edge_b").alias("node_to")))).alias("excluded_conn"))
+        ends = g.edges.select("edge_id", "a", "b")
+        side = lambda c, n: ends.select(F.col("edge_id").alias(c), F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"))
+        far = lambda n: F.when(F.col(f"a{n}") == F.col("node_id"), F.col(f"b{n}")).otherwise(F.col(f"a{n}")).cast("string")
+        banned = g.exceptions.where("edge_a < edge_b").join(side("edge_a", 1), "edge_a").join(side("edge_b", 2), "edge_b")
+        banned = banned.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct(F.col("line_id").alias("line"), far(1).alias("node_from"), far(2).alias("node_to")))).alias("excluded_conn"))
         nodes, extra = nodes.join(banned, "node_id", "left"), [*extra, "excluded_conn"]
     text = lambda c: F.col(c).cast("string")
-    point = nodes.select(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")).alias("geometry"), F.struct(text("node_id").alias("id"), *extra).alias("properties"))
+    pair = lambda p: F.array(fx.lng_of(p["x"]), fx.lat_of(p["y"])) if project else F.array(p["x"], p["y"])
+    point = nodes.select(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), pair(F.struct("x", "y")).alias("coordinates")).alias("geometry"), F.struct(text("node_id").alias("id"), *extra).alias("properties"))
     order = "pos" if "pos" in g.occs.columns else "line_id"
     look = [c for c in ("label", "color") if c in g.occs.columns]
     lines = g.occs.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(text("line_id").alias("id"), *look, text("direction").alias("direction")).alias("line")))).alias("l"))
-    at = lambda c: g.nodes.select(F.col("node_id").alias(c), F.array("x", "y").alias(f"p{c}"))
-    edges = g.edges.join(lines, "edge_id").join(at("a"), "a").join(at("b"), "b")
-    path = edges.select(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.array("pa", "pb").alias("coordinates")).alias("geometry"), F.struct(text("a").alias("from"), text("b").alias("to"), F.transform("l", lambda x: x["line"]).alias("lines")).alias("properties"))
+    edges = with_geometry(g).edges.join(lines, "edge_id")
+    path = edges.select(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.transform("geom", pair).alias("coordinates")).alias("geometry"), F.struct(text("a").alias("from"), text("b").alias("to"), F.transform("l", lambda x: x["line"]).alias("lines")).alias("properties"))
     one = lambda df: df.select(F.to_json(F.struct("type", "geometry", "properties")).alias("value"))
     return one(point).union(one(path))
 
 
-def write(g: LineGraph, path: str, by: DataFrame | None = None) -> None:
+def write(g: LineGraph, path: str, by: DataFrame | None = None, project: bool = False) -> None:
     """Write the features as text, one a line; with by(node_id, component), a folder for each component."""
     if by is None:
-        feature_rows(g).write.text(path)
+        feature_rows(g, project).write.text(path)
         return
-    rows = feature_rows(g).withColumn("node_id", F.coalesce(F.get_json_object("value", "$.properties.from"), F.get_json_object("value", "$.properties.id")))
+    rows = feature_rows(g, project).withColumn("node_id", F.coalesce(F.get_json_object("value", "$.properties.from"), F.get_json_object("value", "$.properties.id")))
     rows.join(by.select(F.col("node_id").cast("string").alias("node_id"), "component"), "node_id").select("value", "component").write.partitionBy("component").text(path)
