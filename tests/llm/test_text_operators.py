@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 import re
 import zlib
 
@@ -182,6 +183,17 @@ def test_token_store_empty(spark, make, tmp_path):
     assert token_store.checksums(spark, f"file://{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("name, license_id", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_complete_licences_of_this_system(make, name, license_id):
+    path = pathlib.Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("this system has no licence texts")
+    text = path.read_text()
+    other = "Copyright (c) 2020 Someone\n" + re.sub(r"\bLICENSE\b", "LICENCE", text.upper()).replace("\n\n", "\n \n")
+    out = {r.doc_id: r.license_id for r in licenses.scan(make([(1, text), (2, other), (3, text + " and more")])).collect()}
+    assert out == {1: license_id, 2: license_id, 3: None}
+
+
 # packing
 
 
