@@ -5,6 +5,7 @@ import math
 import pathlib
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -361,3 +362,21 @@ def test_wand_equals_scan(prose):
         base = np.flatnonzero(dense[:, rng.integers(len(index.items))])
         q = np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, len(index.terms), 12)]))
         assert decontam.block_max_wand(index, q) == np.flatnonzero(dense[q].sum(0) >= index.threshold).tolist()
+
+
+def test_toxicity_learns_planted_pairs_with_production_settings(spark, make, prose):
+    """Two insults and two groups: only some pairs are toxic, no word tells anything by itself."""
+    rows, toxic, rng = [], {}, np.random.default_rng(3)
+    for i in range(1500):
+        a, b = rng.integers(0, 2, 2)
+        rows.append((i, f"{prose(i, 12, 500)} {('dolt', 'knave')[a]} {('northmen', 'southmen')[b]}"))
+        toxic[i] = int(a == b)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    machine = toxicity.train(make(rows), labels, toxicity.remainder(3) != 1)
+    held = [i for i in toxic if zlib.crc32(str(i).encode()) % 3 == 1]
+
+    def right(m):
+        out = {r.doc_id: r.score for r in toxicity.scores(make(rows), m).collect()}
+        return sum((out[i] >= 0.5) == (toxic[i] == 1) for i in held) / len(held)
+
+    assert right(machine) > 0.95 and right(replace(machine, v=np.zeros_like(machine.v))) < 0.6
