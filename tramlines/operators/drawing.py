@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import LineGraph
-from .spatial import WORLD
+from .spatial import WORLD, cell, crossings
 
 
 def edge_widths(g: LineGraph, width: float = 20.0, spacing: float = 10.0) -> DataFrame:
@@ -31,6 +31,57 @@ def node_fronts(g: LineGraph, widths: DataFrame, distance: float) -> DataFrame:
     return rows.select("node_id", "edge_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
 
+def out_angles(g: LineGraph) -> DataFrame:
+    """(node_id, edge_id, angle): the direction in degrees, counter-clockwise from east, in which an edge leaves."""
+    at = g.nodes.select("node_id", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    to = g.nodes.select(F.col("node_id").alias("other"), F.col("x").alias("xo"), F.col("y").alias("yo"))
+    rows = g.incidence().join(at, "node_id").join(to, "other")
+    return rows.select("node_id", "edge_id", F.degrees(F.atan2(F.col("yo") - F.col("y0"), F.col("xo") - F.col("x0"))).alias("angle"))
+
+
+def stop_boxes(fronts: DataFrame, pad: float) -> DataFrame:
+    """(node_id, x1, y1, x2, y2): the box around all of a node's fronts, padded."""
+    xs, ys = F.array("x1", "x2"), F.array("y1", "y2")
+    return fronts.groupBy("node_id").agg(
+        (F.min(F.array_min(xs)) - pad).alias("x1"), (F.min(F.array_min(ys)) - pad).alias("y1"), (F.max(F.array_max(xs)) + pad).alias("x2"), (F.max(F.array_max(ys)) + pad).alias("y2")
+    )
+
+
+def overlapping(boxes: DataFrame, size: float) -> DataFrame:
+    """(a, b): pairs of boxes (node_id, x1, y1, x2, y2) that share a point, a < b; cells are `size` wide."""
+    listed = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x1"), size), cell(F.col("x2"), size)))).withColumn("cy", F.explode(F.sequence(cell(F.col("y1"), size), cell(F.col("y2"), size))))
+    other = listed.select("cx", "cy", F.col("node_id").alias("b"), F.col("x1").alias("x3"), F.col("y1").alias("y3"), F.col("x2").alias("x4"), F.col("y2").alias("y4"))
+    pairs = listed.withColumnRenamed("node_id", "a").join(other, ["cx", "cy"]).where("a < b and x1 <= x4 and x3 <= x2 and y1 <= y4 and y3 <= y2")
+    return pairs.select("a", "b").distinct()
+
+
+def drop_overlapped(boxes: DataFrame, size: float) -> DataFrame:
+    """The boxes that no box of a smaller node overlaps."""
+    return boxes.join(overlapping(boxes, size).select(F.col("b").alias("node_id")).distinct(), "node_id", "left_anti")
+
+
+def label_bands(g: LineGraph, stations: DataFrame, length: float, tilt: float = 0.0) -> DataFrame:
+    """(node_id, turn, x1, y1, x2, y2): eight directions, 45 degrees apart from `tilt`, in which a station's name may run."""
+    rows = stations.select("node_id").join(g.nodes.select("node_id", F.col("x").alias("x1"), F.col("y").alias("y1")), "node_id").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    return rows.select("node_id", "turn", "x1", "y1", (F.col("x1") + length * F.cos(F.radians(F.col("turn") * 45.0 + tilt))).alias("x2"), (F.col("y1") + length * F.sin(F.radians(F.col("turn") * 45.0 + tilt))).alias("y2"))
+
+
+def label_penalties(g: LineGraph, bands: DataFrame, size: float) -> DataFrame:
+    """(node_id, turn, crossed): how many edges a band crosses beyond its own node."""
+    at = lambda c, n: g.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    name = F.concat_ws("#", F.lit("~"), F.col("node_id").cast("string"), F.col("turn").cast("string"))
+    bars = bands.select(name.alias("id"), "x1", "y1", "x2", "y2", "node_id", "turn")
+    edges = g.edges.join(at("a", 1), "a").join(at("b", 2), "b").select(F.col("edge_id").alias("id"), "x1", "y1", "x2", "y2")
+    met = crossings(edges.unionByName(bars.select("id", "x1", "y1", "x2", "y2")), size).where("a not like '~%' and b like '~%'")
+    n = met.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("crossed"))
+    return bars.join(n, "id", "left").select("node_id", "turn", F.coalesce("crossed", F.lit(0)).cast("long").alias("crossed"))
+
+
+def best_labels(penalties: DataFrame) -> DataFrame:
+    """(node_id, turn): the direction of fewest crossings; ties by the smallest turn."""
+    return penalties.groupBy("node_id").agg(F.min(F.struct("crossed", "turn")).alias("m")).select("node_id", "m.turn")
+
+
 def open_fronts(g: LineGraph) -> DataFrame:
     """(node_id, edge_id): fronts at which some line goes on."""
     from .algebra import continuations

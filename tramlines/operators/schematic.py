@@ -23,6 +23,13 @@ def grid_candidates(points: DataFrame, size: float, reach: int) -> DataFrame:
     return rows.select("id", "gx", "gy", "d", F.row_number().over(w).cast("long").alias("rank"))
 
 
+def split_candidates(candidates: DataFrame) -> DataFrame:
+    """(id, gx, gy, d): overlapping candidate sets made disjoint: each grid point stays with the nearest
+    of the points that want it, ties by id."""
+    won = candidates.groupBy("gx", "gy").agg(F.min(F.struct("d", "id")).alias("m"))
+    return won.select("m.id", "gx", "gy", "m.d")
+
+
 def snap(points: DataFrame, size: float, reach: int, rounds: int = 1000) -> DataFrame:
     """(id, gx, gy, d): every point gets a grid point of its own, nearest first.
 

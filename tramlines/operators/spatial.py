@@ -61,6 +61,29 @@ def crossings(segments: DataFrame, size: float) -> DataFrame:
     return hit.where((cell(F.col("x"), size) == F.col("cx")) & (cell(F.col("y"), size) == F.col("cy"))).select("a", "b", "x", "y", "t", "u")
 
 
+def segments_within(segments: DataFrame, distance: float) -> DataFrame:
+    """(a, b, d): pairs of segments at most `distance` apart, a < b; d is 0 where they cross.
+
+    One side is listed in the cells of its box, the other in those of its padded box; a pair that meets
+    in several cells is reported once.
+    """
+    size = distance * 4
+    box = lambda df, pad: df.withColumn("cx", F.explode(F.sequence(cell(F.least("x1", "x2") - pad, size), cell(F.greatest("x1", "x2") + pad, size)))).withColumn("cy", F.explode(F.sequence(cell(F.least("y1", "y2") - pad, size), cell(F.greatest("y1", "y2") + pad, size))))
+    one = box(segments, distance).withColumnRenamed("id", "a")
+    two = box(segments, 0.0).select("cx", "cy", F.col("id").alias("b"), F.col("x1").alias("x3"), F.col("y1").alias("y3"), F.col("x2").alias("x4"), F.col("y2").alias("y4"))
+    apart = lambda px, py, ax, ay, bx, by: F.expr(
+        f"sqrt(pow({px} - {ax} - coalesce(least(1D, greatest(0D, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(pow({bx} - {ax}, 2) + pow({by} - {ay}, 2), 0D))), 0D) * ({bx} - {ax}), 2)"
+        f" + pow({py} - {ay} - coalesce(least(1D, greatest(0D, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(pow({bx} - {ax}, 2) + pow({by} - {ay}, 2), 0D))), 0D) * ({by} - {ay}), 2))"
+    )
+    den = F.expr("(x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3)")
+    t = F.expr("((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / nullif((x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3), 0)")
+    u = F.expr("((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / nullif((x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3), 0)")
+    crossed = (den != 0) & t.between(0, 1) & u.between(0, 1)
+    least = F.least(apart("x1", "y1", "x3", "y3", "x4", "y4"), apart("x2", "y2", "x3", "y3", "x4", "y4"), apart("x3", "y3", "x1", "y1", "x2", "y2"), apart("x4", "y4", "x1", "y1", "x2", "y2"))
+    pairs = one.join(two, ["cx", "cy"]).where("a < b").withColumn("d", F.when(crossed, 0.0).otherwise(least)).where(F.col("d") <= distance)
+    return pairs.select("a", "b", "d").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
 def project_on_segments(points: DataFrame, segments: DataFrame, distance: float, allowed: Column | None = None) -> DataFrame:
     """(id, segment, pos, d): for every point the nearest segment within `distance` and the share of its length.
 

@@ -10,7 +10,7 @@ from ..lineage import cut
 from ..model import LineGraph, edge_key
 from .aggregate import fold_direction
 from .algebra import continuations, degrees
-from .spatial import crossings, neighbours
+from .spatial import crossings, neighbours, project_on_segments
 
 
 def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -117,3 +117,30 @@ def densify(segments: DataFrame, gap: float) -> DataFrame:
     length = F.expr("sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))")
     rows = segments.withColumn("k", F.greatest(F.lit(1), F.ceil(length / gap)).cast("long")).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))))
     return rows.select("id", "seq", F.expr("x1 + (x2 - x1) * seq / k").alias("x"), F.expr("y1 + (y2 - y1) * seq / k").alias("y"))
+
+
+def split_high_degree(g: LineGraph, most: int) -> DataFrame:
+    """(node_id, edge_id, new_node): where nodes have more than `most` edges, the tail of their clockwise
+    order hangs on a new node instead, which one of the node's places leads to."""
+    from .ordering import circular_order
+
+    tail = circular_order(g).where((F.col("degree") > most) & (F.col("rank") >= most - 1))
+    return tail.select("node_id", "edge_id", F.concat(F.col("node_id").cast("string"), F.lit("+")).alias("new_node"))
+
+
+def snap_orphans(g: LineGraph, distance: float) -> DataFrame:
+    """(node_id, edge_id, share): nodes without an edge and where on the nearest edge within `distance`
+    they belong; ties by edge."""
+    bare = g.nodes.join(g.incidence().select("node_id").distinct(), "node_id", "left_anti").select(F.col("node_id").alias("id"), "x", "y")
+    at = lambda c, n: g.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    segments = g.edges.join(at("a", 1), "a").join(at("b", 2), "b").select(F.col("edge_id").alias("id"), "x1", "y1", "x2", "y2")
+    found = project_on_segments(bare, segments, distance)
+    return found.select(F.col("id").alias("node_id"), F.col("segment").alias("edge_id"), F.col("pos").alias("share"))
+
+
+def lengths(g: LineGraph) -> DataFrame:
+    """One row: edges, their total and largest length, and the mean and largest number of lines."""
+    at = lambda c: g.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
+    size = g.occs.groupBy("edge_id").agg(F.count("*").alias("n"))
+    rows = g.edges.join(at("a"), "a").join(at("b"), "b").join(size, "edge_id").withColumn("d", F.expr("sqrt(pow(xa - xb, 2) + pow(ya - yb, 2))"))
+    return rows.agg(F.count("*").alias("edges"), F.round(F.sum("d"), 6).alias("total"), F.round(F.max("d"), 6).alias("longest"), F.round(F.avg("n"), 6).alias("mean_lines"), F.max("n").alias("max_lines"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, algebra, drawing, geometry, grids, ordergraph, ordering, stations, structure, topology
+from ..operators import aggregate, algebra, drawing, geometry, grids, ordergraph, ordering, schematic, spatial, stations, structure, topology
 from . import tables as T
 from .catalog import query
 
@@ -377,3 +377,78 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT node_id FROM nodes WHERE node_id IN (SELECT node_id FROM inc)", T.NEAR)
 def graph_drop_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.drop_isolated(T.near(spark, sf_dir)).nodes.select("node_id")
+
+
+# More of space, structure and drawing
+
+APART = "sqrt(({px} - {ax} - coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax})^2 + ({by} - {ay})^2, 0))), 0) * ({bx} - {ax}))^2 + ({py} - {ay} - coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax})^2 + ({by} - {ay})^2, 0))), 0) * ({by} - {ay}))^2)"
+FOUR = ", ".join(APART.format(px=f"x{p}", py=f"y{p}", ax=f"x{a}", ay=f"y{a}", bx=f"x{b}", by=f"y{b}") for p, a, b in ((1, 3, 4), (2, 3, 4), (3, 1, 2), (4, 1, 2)))
+
+
+@query(f"""SELECT a, b, round(d, 6) AS d FROM (SELECT a, b, CASE WHEN t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 THEN 0.0 ELSE least({FOUR}) END AS d FROM (SELECT *, ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / nullif(den, 0) AS t, ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / nullif(den, 0) AS u FROM (
+SELECT p.id AS a, q.id AS b, (p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1) AS den, p.x1, p.y1, p.x2, p.y2, q.x1 AS x3, q.y1 AS y3, q.x2 AS x4, q.y2 AS y4 FROM segs p JOIN segs q ON p.id < q.id AND least(p.x1, p.x2) <= greatest(q.x1, q.x2) + 0.02 AND least(q.x1, q.x2) <= greatest(p.x1, p.x2) + 0.02))) WHERE d <= 0.01""", T.POINTS)
+def spatial_segments_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.segments_within(T.segments(spark, sf_dir), 0.01).select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query("""SELECT arg_min(id, (d, id)) AS id, gx, gy FROM (SELECT id, gx, gy, round(sqrt((gx * 0.05 - x)^2 + (gy * 0.05 - y)^2), 9) AS d FROM (
+SELECT id, x, y, round(x / 0.05)::BIGINT + i AS gx, round(y / 0.05)::BIGINT + j AS gy FROM points, range(-2, 3) a(i), range(-2, 3) b(j))) WHERE d <= 0.1 GROUP BY gx, gy""", T.POINTS)
+def schematic_split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schematic.split_candidates(schematic.grid_candidates(T.points(spark, sf_dir), 0.05, 2)).select("id", "gx", "gy")
+
+
+@query("SELECT node_id, edge_id, node_id || '+' AS new_node FROM circ WHERE degree > 4 AND rank >= 3", T.NEAR)
+def graph_split_high_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.split_high_degree(T.near(spark, sf_dir), 4)
+
+
+@query("""SELECT node_id, arg_min(edge_id, (d, edge_id)) AS edge_id, round(arg_min(pos, (d, edge_id)), 6) AS share FROM (SELECT *, sqrt((x - x1 - pos * (x2 - x1))^2 + (y - y1 - pos * (y2 - y1))^2) AS d FROM (
+SELECT n.node_id, n.x, n.y, edge_id, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((n.x - p.x) * (q.x - p.x) + (n.y - p.y) * (q.y - p.y)) / ((q.x - p.x)^2 + (q.y - p.y)^2))) AS pos
+FROM nodes n, edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b WHERE n.node_id NOT IN (SELECT node_id FROM inc))) WHERE d <= 1.5 GROUP BY 1""", T.SPARSE.replace("1.0 * ", "1.5 * "))
+def graph_snap_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that only rare edges touch, on the graph without these."""
+    occs = aggregate.occurrences(T.city_hops(spark, sf_dir).withColumn("line_id", F.lit("all")))
+    g = aggregate.line_graph(T.city_nodes(spark, sf_dir), T.cut(aggregate.prune_rare(occs, 1.5)))
+    return structure.snap_orphans(g, 1.5).select("node_id", "edge_id", F.round("share", 6).alias("share"))
+
+
+@query("SELECT count(*)::BIGINT AS edges, round(sum(d), 6) AS total, round(max(d), 6) AS longest, round(avg(n), 6) AS mean_lines, max(n)::BIGINT AS max_lines FROM (SELECT sqrt((p.x - q.x)^2 + (p.y - q.y)^2) AS d, n FROM edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b JOIN (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1) USING (edge_id))", T.NEAR)
+def agg_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.lengths(T.near(spark, sf_dir))
+
+
+@query("SELECT inc.node_id, edge_id, round(degrees(atan2(m.y - k.y, m.x - k.x)), 6) AS angle FROM inc JOIN nodes k ON k.node_id = inc.node_id JOIN nodes m ON m.node_id = inc.other", T.NEAR)
+def draw_out_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawing.out_angles(T.near(spark, sf_dir)).select("node_id", "edge_id", F.round("angle", 6).alias("angle"))
+
+
+FRONTS = T.NEAR + """,
+fr AS (SELECT node_id, x0 + t * ux + uy * total / 2 AS x1, y0 + t * uy - ux * total / 2 AS y1, x0 + t * ux - uy * total / 2 AS x2, y0 + t * uy + ux * total / 2 AS y2 FROM (
+SELECT inc.node_id, edge_id, k.x AS x0, k.y AS y0, least(0.3, len / 2) AS t, (m.x - k.x) / len AS ux, (m.y - k.y) / len AS uy, lines * 0.03 - 0.01 AS total
+FROM inc JOIN nodes k ON k.node_id = inc.node_id JOIN nodes m ON m.node_id = inc.other JOIN (SELECT edge_id, count(*)::DOUBLE AS lines FROM occs GROUP BY 1) USING (edge_id), LATERAL (SELECT sqrt((m.x - k.x)^2 + (m.y - k.y)^2) AS len))),
+bx AS (SELECT node_id, min(least(x1, x2)) - 0.21 AS x1, min(least(y1, y2)) - 0.21 AS y1, max(greatest(x1, x2)) + 0.21 AS x2, max(greatest(y1, y2)) + 0.21 AS y2 FROM fr GROUP BY 1)"""
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return drawing.stop_boxes(drawing.node_fronts(g, drawing.edge_widths(g, 0.02, 0.01), 0.3), 0.21)
+
+
+@query("SELECT node_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM bx", FRONTS)
+def draw_stop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes(spark, sf_dir).select("node_id", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("SELECT node_id FROM bx q WHERE NOT EXISTS (SELECT 1 FROM bx p WHERE p.node_id < q.node_id AND p.x1 <= q.x2 AND q.x1 <= p.x2 AND p.y1 <= q.y2 AND q.y1 <= p.y2)", FRONTS)
+def draw_drop_overlapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawing.drop_overlapped(boxes(spark, sf_dir), 1.0).select("node_id")
+
+
+@query("""SELECT node_id, turn, count(e.edge_id)::BIGINT AS crossed FROM (SELECT node_id, turn, x AS x1, y AS y1, x + 1.3 * cos(radians(turn * 45.0 + 10)) AS x2, y + 1.3 * sin(radians(turn * 45.0 + 10)) AS y2 FROM stations JOIN nodes USING (node_id), range(0, 8) r(turn)) b
+LEFT JOIN (SELECT edge_id, p.x AS x3, p.y AS y3, q.x AS x4, q.y AS y4 FROM edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b) e
+ON ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / nullif((x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3), 0) > 0.0001 AND ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / nullif((x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3), 0) < 0.9999
+AND ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / nullif((x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3), 0) > 0.0001 AND ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / nullif((x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3), 0) < 0.9999
+GROUP BY ALL""", T.NEAR)
+def draw_label_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return drawing.label_penalties(g, drawing.label_bands(g, T.stations(spark, sf_dir), 1.3, 10.0), 1.0)
