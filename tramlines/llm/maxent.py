@@ -252,12 +252,6 @@ def contexts(ids: np.ndarray, shapes: np.ndarray, cuts: np.ndarray, at: np.ndarr
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
 def _ids(m: Model, toks: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """Rank of tokens in the model's vocabulary; other tokens are named by their shape."""
     found = m.vocabulary.find(toks)
@@ -381,7 +375,9 @@ def _slopes(f: Factor, which: tuple[int, ...], gain: np.ndarray, feats: np.ndarr
         count = np.exp(x[at, outcome]) * (f.uses[rows[i]] / smooth + 1) * expected
         less[i] = np.log(np.maximum(count - 1, expected) / count)
     z[at, outcome] += (g * less).sum(0)
-    p = np.exp(_log_softmax(z))
+    z -= z.max(1, keepdims=True)
+    p = np.exp(z, out=z)
+    p /= p.sum(1, keepdims=True)
     out = np.zeros((len(at), len(gain)))
     for i, x in enumerate(xs):
         out[at, place[i]] = np.einsum("nc,nc->n", p, x) + (p[at, outcome] - 1) * less[i] - x[at, outcome]
@@ -426,12 +422,16 @@ def applied(model: Model) -> Model:
     return model
 
 
-def outcomes(f: Factor, which: tuple[int, ...], feats: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Log-probabilities of every outcome of the nodes in their contexts; gains are in the rows."""
+def outcomes(f: Factor, which: tuple[int, ...], feats: np.ndarray, node: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+    """Log-probabilities of every outcome of the nodes in their contexts, or of one each; gains are in the rows."""
     z = f.prior[node]
     for r in f.rows(feats, which, node):
         z += f.table[r]
-    return _log_softmax(z)
+    z -= z.max(1, keepdims=True)
+    if only is None:
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+    own = z[np.arange(len(z)), only]
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, tokens array<long>, times array<int>"
@@ -448,8 +448,7 @@ def _score(shared):
                 for k, (at, node, outcome) in enumerate(_steps(m, ids)):
                     for lo in range(0, len(at), m.shape.batch):
                         part = slice(lo, lo + m.shape.batch)
-                        z = outcomes(m.factors[k], FEATURES[k], feats[at[part]], node[part])
-                        logp[at[part]] += z[np.arange(len(z)), outcome[part]]
+                        logp[at[part]] += outcomes(m.factors[k], FEATURES[k], feats[at[part]], node[part], outcome[part])
                 logp /= np.log(10)
                 at = m.head.find(toks)
                 inside = at >= 0
