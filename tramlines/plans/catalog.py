@@ -68,14 +68,14 @@ def win_occurring_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT node_id, edge_a, edge_b FROM (SELECT p.node_id, p.edge_id AS edge_a, q.edge_id AS edge_b FROM inc2 p JOIN inc2 q USING (node_id) WHERE p.edge_id < q.edge_id)
-ANTI JOIN (SELECT node_id, edge_a, edge_b FROM turns WHERE n >= (SELECT avg(n) FROM turns)) USING (node_id, edge_a, edge_b)""",
+ANTI JOIN (SELECT node_id, edge_a, edge_b FROM turns WHERE n >= 1.25 * (SELECT avg(n) FROM turns)) USING (node_id, edge_a, edge_b)""",
 TRIPS + """, e2 AS (SELECT DISTINCT least(from_node, to_node) AS a, greatest(from_node, to_node) AS b FROM th),
 inc2 AS (SELECT a || '-' || b AS edge_id, a AS node_id FROM e2 UNION ALL SELECT a || '-' || b, b FROM e2)""")
 def anti_missing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     hops = _trips(spark, sf_dir)
     occs = aggregate.occurrences(hops.select("from_node", "to_node", F.lit("all").alias("line_id")))
     turns = aggregate.occurring_turns(hops)
-    usual = turns.crossJoin(F.broadcast(turns.agg(F.avg("n").alias("mean")))).where("n >= mean")  # one row is broadcast
+    usual = turns.crossJoin(F.broadcast(turns.agg(F.avg("n").alias("mean")))).where("n >= 1.25 * mean")  # one row is broadcast
     return aggregate.missing_turns(aggregate.line_graph(T.nodes(spark, sf_dir), occs), usual)
 
 

@@ -199,10 +199,13 @@ def station_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stations.best(stations.candidates(T.near(spark, sf_dir), T.stations(spark, sf_dir), 0.2)).select("name", "kind", "target")
 
 
-@query("SELECT name, line_id FROM slin WHERE NOT EXISTS (SELECT 1 FROM best JOIN touch USING (kind, target) JOIN occs USING (edge_id) WHERE best.name = slin.name AND occs.line_id = slin.line_id)", SCORED)
+@query("""SELECT name, line_id FROM slin WHERE name IN (SELECT name FROM best_edge) AND NOT EXISTS (SELECT 1 FROM best_edge JOIN occs ON occs.edge_id = best_edge.target WHERE best_edge.name = slin.name AND occs.line_id = slin.line_id)""",
+SCORED + """, best_edge AS (SELECT * FROM (SELECT name, target, row_number() OVER (PARTITION BY name ORDER BY round(score, 9), target) AS k FROM sc WHERE kind = 'edge') WHERE k = 1)""")
 def station_unserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the best edge of each cluster leaves unserved."""
     g, s = T.near(spark, sf_dir), T.stations(spark, sf_dir)
-    return stations.unserved(g, s, stations.best(stations.candidates(g, s, 0.2)))
+    chosen = stations.best(stations.candidates(g, s, 0.2).where("kind = 'edge'"))
+    return stations.unserved(g, s, chosen).join(chosen.select("name"), "name", "left_semi")
 
 
 @query("""SELECT node_id, name, (row_number() OVER (ORDER BY (node_id IN (SELECT node_id FROM term))::INT DESC, degree DESC, ld DESC, node_id))::BIGINT AS place
