@@ -107,8 +107,8 @@ def test_polylines_of_few_points(spark):
 
 
 def test_grids_and_bends(spark):
-    octi = grids.octilinear(spark, 3, 2)
-    assert octi.count() == 2 * (4 + 3 + 4) and grids.crossings(octi).count() == 2
+    eight = grids.octilinear(spark, 3, 2)
+    assert eight.count() == 2 * (4 + 3 + 4) and grids.crossings(eight).count() == 2
     assert grids.orthogonal(spark, 3, 2).count() == 2 * (4 + 3)
     hexa = {(r.x, r.y, r.to_x, r.to_y) for r in grids.hexagonal(spark, 4, 4).collect()}
     assert all((c, d, a, b) in hexa for a, b, c, d in hexa)  # every hop leads back

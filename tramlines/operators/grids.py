@@ -31,7 +31,7 @@ class Costs:
 
 
 #: Directions clockwise from north: octilinear has eight, orthogonal every second of them.
-OCTI = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
+EIGHT = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 ORTHO = ((0, 1), (1, 0), (0, -1), (-1, 0))
 #: Hexagonal: six directions, by the parity of the row.
 HEX = (((0, 1), (1, 0), (0, -1), (-1, -1), (-1, 0), (-1, 1)), ((1, 1), (1, 0), (1, -1), (0, -1), (-1, 0), (0, 1)))
@@ -62,7 +62,7 @@ def orthogonal(spark: SparkSession, width: int, height: int, c: Costs = Costs())
 
 
 def octilinear(spark: SparkSession, width: int, height: int, c: Costs = Costs()) -> DataFrame:
-    return _grid(spark, width, height, _listed(OCTI), F.when(F.col("dir") % 4 == 0, c.vertical).when(F.col("dir") % 4 == 2, c.horizontal).otherwise(c.diagonal))
+    return _grid(spark, width, height, _listed(EIGHT), F.when(F.col("dir") % 4 == 0, c.vertical).when(F.col("dir") % 4 == 2, c.horizontal).otherwise(c.diagonal))
 
 
 def hexagonal(spark: SparkSession, width: int, height: int, c: Costs = Costs()) -> DataFrame:

@@ -88,12 +88,12 @@ rel AS (SELECT i.node_id, i.edge_id AS edge_a, j.edge_id AS edge_b, pa.n AS la,
 
 @query("""SELECT node_id, edge_a, edge_b, la::BIGINT AS lines_a, lb::BIGINT AS lines_b, shared::BIGINT AS shared, continued::BIGINT AS continued, same::BIGINT AS same,
 CASE WHEN continued = la AND continued = lb THEN 'equal' WHEN continued = la THEN 'contained' WHEN continued > 0 THEN 'partial' WHEN shared > 0 THEN 'blocked' ELSE 'disjoint' END AS relation FROM rel""", PAIRS)
-def topo_pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.pair_relations(T.near(spark, sf_dir))
 
 
 @query("SELECT node_id, line_id, edge_a, edge_b FROM ctd JOIN (SELECT node_id, line_id, edge_a FROM ctd GROUP BY ALL HAVING count(*) = 1) USING (node_id, line_id, edge_a)", T.NEAR)
-def topo_unique_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_unique_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.unique_extensions(T.near(spark, sf_dir))
 
 
@@ -104,7 +104,7 @@ stuck AS (SELECT exc.node_id, exc.line_id, edge_a AS edge FROM exc JOIN oth ON o
 
 @query("""SELECT node_id, line_id, edge_a, edge_b FROM exc WHERE NOT EXISTS (SELECT 1 FROM stuck s WHERE s.node_id = exc.node_id AND s.line_id = exc.line_id AND s.edge = exc.edge_a)
 AND NOT EXISTS (SELECT 1 FROM stuck s WHERE s.node_id = exc.node_id AND s.line_id = exc.line_id AND s.edge = exc.edge_b)""", STUCK)
-def topo_useful_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_useful_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.useful_exceptions(T.near(spark, sf_dir))
 
 
@@ -116,7 +116,7 @@ stump AS (SELECT DISTINCT edge_id FROM inc JOIN deg USING (node_id) WHERE degree
 
 
 @query("SELECT edge_id, line_id FROM bad JOIN pe USING (edge_id) JOIN gone USING (edge_id) WHERE g < n OR edge_id IN (SELECT edge_id FROM stump)", ORPHANS)
-def topo_orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = T.near(spark, sf_dir)
     served = T.stations(spark, sf_dir).select("node_id").join(g.incidence().join(g.occs, "edge_id").select("node_id", "line_id").distinct(), "node_id")
     return topology.orphan_lines(g, served)
@@ -125,7 +125,7 @@ def topo_orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT line_id, node_id, edge_a, edge_b, round(sqrt(bx^2 + by_^2) + CASE WHEN degrees(acos(greatest(-1, least(1, round((ax * bx + ay * by_) / sqrt((ax^2 + ay^2) * (bx^2 + by_^2)), 12))))) < 60 THEN 5 ELSE 0 END, 6) AS cost
 FROM ctd JOIN (SELECT inc.node_id, edge_id AS edge_a, m.x - k.x AS ax, m.y - k.y AS ay FROM inc JOIN nodes k ON k.node_id = inc.node_id JOIN nodes m ON m.node_id = inc.other) USING (node_id, edge_a)
 JOIN (SELECT inc.node_id, edge_id AS edge_b, m.x - k.x AS bx, m.y - k.y AS by_ FROM inc JOIN nodes k ON k.node_id = inc.node_id JOIN nodes m ON m.node_id = inc.other) USING (node_id, edge_b)""", T.NEAR)
-def topo_turn_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_turn_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.turn_costs(T.near(spark, sf_dir), 5.0, 60.0).withColumn("cost", F.round("cost", 6))
 
 
@@ -136,7 +136,7 @@ named AS (SELECT *, least(u, v) || '-' || greatest(u, v) AS piece FROM pieces)""
 
 @query("""SELECT piece AS edge_id, line_id, CASE WHEN direction = named.b THEN v WHEN direction = named.a THEN u END::VARCHAR AS direction, n FROM named JOIN occs USING (edge_id)
 UNION ALL SELECT edge_id, line_id, direction::VARCHAR, n FROM occs WHERE edge_id NOT IN (SELECT edge_id FROM named)""", SPLIT)
-def topo_split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every edge whose smaller node is even is cut in the middle."""
     g = T.near(spark, sf_dir)
     cuts = g.edges.where("a % 2 = 0").select("edge_id", F.lit(0.5).alias("share"), (-(F.col("a") * 1000003 + F.col("b")) - 1).alias("node_id"))
@@ -144,12 +144,12 @@ def topo_split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT inc.node_id, round(avg(m.x), 6) AS x, round(avg(m.y), 6) AS y FROM inc JOIN nodes m ON m.node_id = inc.other GROUP BY 1", T.NEAR)
-def topo_node_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_node_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.node_means(T.near(spark, sf_dir)).select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query()
-def topo_contract_stray(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_contract_stray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of the sparse graph contracted to a fixpoint; tested against a sequential contraction."""
     g = topology.contract_stray(T.sparse(spark, sf_dir))
     return g.edges
@@ -261,19 +261,19 @@ EXTENT = "ext AS (SELECT 10::BIGINT AS w, (max(c_custkey) // 10 + 1)::BIGINT AS
 GRID = EXTENT + """,
 pts AS (SELECT id % w AS x, id // w AS y, w, h FROM (SELECT unnest(range(w * h)) AS id, w, h FROM ext)),
 mv(dir, dx, dy) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)),
-octi AS (SELECT x, y, dir::BIGINT AS dir, x + dx AS to_x, y + dy AS to_y FROM pts, mv WHERE x + dx >= 0 AND x + dx < w AND y + dy >= 0 AND y + dy < h)"""
+hops8 AS (SELECT x, y, dir::BIGINT AS dir, x + dx AS to_x, y + dy AS to_y FROM pts, mv WHERE x + dx >= 0 AND x + dx < w AND y + dy >= 0 AND y + dy < h)"""
 
 
 def extent(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return 10, T.read(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] // 10 + 1
 
 
-@query("SELECT x, y, dir, to_x, to_y, CASE dir % 4 WHEN 0 THEN 0.0 WHEN 2 THEN 0.0 ELSE 0.5 END::DOUBLE AS cost FROM octi", GRID)
+@query("SELECT x, y, dir, to_x, to_y, CASE dir % 4 WHEN 0 THEN 0.0 WHEN 2 THEN 0.0 ELSE 0.5 END::DOUBLE AS cost FROM hops8", GRID)
 def grid_octilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.octilinear(spark, *extent(spark, sf_dir))
 
 
-@query("SELECT x, y, dir // 2 AS dir, to_x, to_y, CASE WHEN dir // 2 % 2 = 0 THEN 0.25 ELSE 0.75 END::DOUBLE AS cost FROM octi WHERE dir % 2 = 0", GRID)
+@query("SELECT x, y, dir // 2 AS dir, to_x, to_y, CASE WHEN dir // 2 % 2 = 0 THEN 0.25 ELSE 0.75 END::DOUBLE AS cost FROM hops8 WHERE dir % 2 = 0", GRID)
 def grid_orthogonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.orthogonal(spark, *extent(spark, sf_dir), grids.Costs(vertical=0.25, horizontal=0.75))
 
@@ -284,12 +284,12 @@ def grid_hexagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.hexagonal(spark, *extent(spark, sf_dir))
 
 
-@query("SELECT p.x, p.y, p.dir, q.x AS other_x, q.y AS other_y, q.dir AS other_dir FROM octi p JOIN octi q ON p.dir = 1 AND q.dir = 3 AND q.x = p.x AND q.y = p.y + 1", GRID)
+@query("SELECT p.x, p.y, p.dir, q.x AS other_x, q.y AS other_y, q.dir AS other_dir FROM hops8 p JOIN hops8 q ON p.dir = 1 AND q.dir = 3 AND q.x = p.x AND q.y = p.y + 1", GRID)
 def grid_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.crossings(grids.octilinear(spark, *extent(spark, sf_dir)))
 
 
-@query("SELECT x, y, dir, to_x, to_y FROM octi WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 40 AND to_x BETWEEN 2 AND 6 AND to_y BETWEEN 1 AND 40", GRID)
+@query("SELECT x, y, dir, to_x, to_y FROM hops8 WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 40 AND to_x BETWEEN 2 AND 6 AND to_y BETWEEN 1 AND 40", GRID)
 def grid_inside_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.inside_box(grids.octilinear(spark, *extent(spark, sf_dir)), 2, 1, 6, 40).drop("cost")
 
