@@ -62,7 +62,7 @@ U64 = np.uint64
 def _chunks(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, held, ids, lens, bodies = TaskContext.get().partitionId(), 0, 0, [], [], []
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=2)
 
         def full() -> pa.RecordBatch:
             row = [(part << 32) + serial, held, np.concatenate(ids).tobytes(), np.concatenate(lens).tobytes(), press.compress(b"".join(bodies))]
@@ -214,6 +214,7 @@ def _seen_elsewhere(crowd: int):
                 masks.append(np.packbits(hit).tobytes())
                 hots.append(np.packbits(busy).tobytes() if busy.any() else b"")
         bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
+        X.release_memory()
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int64()), "answer": pa.array(masks, pa.binary()), "hot": pa.array(hots, pa.binary())})
 
     return run
@@ -276,7 +277,7 @@ def _send(width: int, k: int, buckets: int):
     """Chunk and its answers -> a row for each bucket with the chunk's distinct shared segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=2)
         for batch in batches:
             for row in range(batch.num_rows):
                 name, size, ids, lens, data, answers = (c[row].as_py() for c in batch.columns)
@@ -292,9 +293,10 @@ def _send(width: int, k: int, buckets: int):
                     s = slice(cuts[b], cuts[b + 1])
                     ends = np.cumsum(size_[s])
                     take = np.arange(ends[-1]) + np.repeat(begin[s] - (ends - size_[s]), size_[s])
-                    cells = [int(b), name, size_[s].astype(np.uint8).tobytes(), place[s].astype(np.uint8).tobytes(), left[s].tobytes(), doc[first[s]].astype("<i8").tobytes(), press.compress(chunk.data[take].tobytes())]
+                    cells = [int(b), name, size_[s].astype(np.uint8).tobytes(), place[s].astype(np.uint8).tobytes(), left[s].tobytes(), press.compress(doc[first[s]].astype("<i8").tobytes()), press.compress(chunk.data[take].tobytes())]
                     types = [pa.int64(), pa.int64()] + [pa.binary()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cells, types, strict=True)], ["bucket", "chunk", "sizes", "places", "lefts", "docs", "bytes"])
+        X.release_memory()
 
     return run
 
@@ -357,8 +359,8 @@ def _judge_segments(width: int, k: int):
         size = np.concatenate([np.frombuffer(b, np.uint8) for b in cell["sizes"]]).astype(np.int64)
         place = np.concatenate([np.frombuffer(b, np.uint8) for b in cell["places"]]).astype(np.int64)
         left = np.concatenate([np.frombuffer(b, np.uint8) for b in cell["lefts"]])
-        doc = np.concatenate([np.frombuffer(b, "<i8") for b in cell["docs"]])
         unpress = zstandard.ZstdDecompressor()
+        doc = np.concatenate([np.frombuffer(unpress.decompress(b), "<i8") for b in cell["docs"]])
         data = np.frombuffer(b"".join(map(unpress.decompress, cell["bytes"])), np.uint8)
         ends = np.cumsum(size)
         begin = ends - size
@@ -418,6 +420,7 @@ def _judge_segments(width: int, k: int):
             bits[has] |= (earlier[heads[number[has]] + j] < doc[has]).astype(np.uint32) << np.uint32(j)
         bounds = np.cumsum([0] + [len(b) for b in cell["sizes"]])
         answer = [bits[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        X.release_memory()
         return pa.table({"chunk": pa.array(cell["chunk"], pa.int64()), "bucket": table.column("bucket"), "answer": pa.array(answer, pa.binary())})
 
     return run
@@ -460,6 +463,7 @@ def _remove(width: int, k: int, buckets: int, with_text: bool):
                         cols.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
                         cols.append(pa.array([hashlib.sha256(body[offs[j] : offs[j + 1]].tobytes()).hexdigest() for j in range(len(kept))]))
                     yield pa.RecordBatch.from_arrays(cols, names)
+        X.release_memory()
 
     return run
 
