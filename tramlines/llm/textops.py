@@ -10,6 +10,9 @@ a finaliser mixes the bits.  They are the same on every machine and in every pro
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -174,6 +177,14 @@ def documents_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers are reused, and what one task needed would stay theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public vocabulary file lies: TRAMLINES_TOKENIZERS, else the installed package."""
     if base := os.environ.get("TRAMLINES_TOKENIZERS"):

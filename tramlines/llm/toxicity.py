@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,23 @@ class Machine:
     v: np.ndarray
 
 
+#: Bytes of a machine in one row between its task and the driver: small rows leave no large objects in a heap.
+PART_BYTES = 1 << 18
+
+
+def pressed(m: Machine) -> bytes:
+    """A machine for transport: terms, weights and factors (in half precision), compressed."""
+    terms = np.flatnonzero(m.slot >= 0).astype(np.int32)
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((terms, m.w0, m.w.astype(np.float32), m.v.astype(np.float16))))
+
+
+def opened(body: bytes) -> Machine:
+    terms, w0, w, v = pickle.loads(zstandard.ZstdDecompressor().decompress(body))
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[terms] = np.arange(len(terms))
+    return Machine(slot, w0, w, v.astype(np.float32))
+
+
 @dataclass(frozen=True)
 class Fit:
     """Bounds and learning settings.
@@ -174,19 +192,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, how: Fit = Fit()) -
         sets = [np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows]
         doc = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
         m = fit(doc, np.concatenate(sets) if sets else np.zeros(0, np.int64), np.array([r[1] for r in rows], np.int64), how, share[1] / share[0])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary())], ["machine"])
+        body = pressed(m)
+        del rows, sets, doc, m
+        X.release_memory()
+        for i, at in enumerate(range(0, len(body), PART_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([body[at : at + PART_BYTES]], pa.binary())], ["part", "machine"])
 
     # At most 2 * per_class rows meet in the one task that fits.
-    fitted = sample.mapInArrow(terms, "doc_id long, toxic int, terms binary").repartition(1).mapInArrow(learner, "machine binary").collect()
-    return pickle.loads(fitted[0].machine)
+    fitted = sample.mapInArrow(terms, "doc_id long, toxic int, terms binary").repartition(1).mapInArrow(learner, "part long, machine binary").collect()
+    return opened(b"".join(r.machine for r in sorted(fitted, key=lambda r: r.part)))
 
 
 def scores(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score, between 0 and 1, of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast(pressed(machine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = opened(shared.value)
         for batch in batches:
             for a, b, data, offs in X.slices(batch.column(1)):
                 text, term = doc_terms(data, offs)
