@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_density, licenses, maxent, neardup, packing, quality, repeats, token_store, toxicity
+from . import decontam, filter_audit, html_density, licenses, maxent, mixing, neardup, packing, quality, repeats, token_store, toxicity, whitening
 from . import textops as X
 
-ORACLE_SQL: dict[str, str] = {"op1_license_digests": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_digests": licenses.oracle_sql(),
+    "op11_filter_lattice": filter_audit.ORACLE_SQL,
+    "op12_source_mixing": mixing.oracle_sql(),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +75,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_filter_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = F.col("deviation")
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation_exact", exact).withColumn("deviation", exact.try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_digests": op1_license_digests,
     "op2_line_first_cleaning": op2_line_first_cleaning,
@@ -82,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_decontamination": op8_bm25_decontamination,
     "op9_repeat_removal": op9_repeat_removal,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_filter_lattice": op11_filter_lattice,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
