@@ -63,12 +63,13 @@ class Basis:
     values: np.ndarray
 
 
-def usable(vectors: DataFrame, grid: Grid = Grid()) -> tuple[DataFrame, int]:
-    """(vec_id, v) of the rows that remain, v as doubles, and their length."""
+def usable(vectors: DataFrame, grid: Grid = Grid(), d: int | None = None) -> tuple[DataFrame, int]:
+    """(vec_id, v) of the rows that remain, v as doubles, and their length, which is counted unless known."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & (F.abs(c) < grid.limit)))  # NaN compares above all numbers
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    d = common["d"] if common else 0
+    if d is None:
+        common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+        d = common["d"] if common else 0
     return rows.where(F.size("v") == d), d
 
 
@@ -140,7 +141,7 @@ def project(vectors: DataFrame, basis: Basis, grid: Grid = Grid()) -> DataFrame:
     deviation: sum over dimensions of (n * x - S)^2 as decimal(38,0), null where it has more digits;
     spread: deviation / n^2; whitened: coordinates of unit variance, an array.
     """
-    rows, d = usable(vectors, grid)
+    rows, d = usable(vectors, grid, len(basis.mean))
     n, mean, rest, wide, axes, values = basis.n, basis.mean, basis.rest, basis.wide, basis.axes, basis.values
     constant, scaled = sum(int(r) ** 2 for r in rest), axes / np.sqrt(values)
 
