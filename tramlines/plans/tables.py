@@ -73,6 +73,11 @@ def near(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> LineGraph:
     return g.with_(exceptions=cut(forbidden(g)))
 
 
+def thin(spark: SparkSession, sf_dir: str) -> LineGraph:
+    """`near` pruned at the average: five lines on many chains of nodes with two edges."""
+    return near(spark, sf_dir, 1.0)
+
+
 def sparse(spark: SparkSession, sf_dir: str) -> LineGraph:
     """All hops as one line, edges seen at least as often as the average: pieces with nodes of two edges."""
     occs = aggregate.occurrences(city_hops(spark, sf_dir).withColumn("line_id", F.lit("all")))
@@ -135,6 +140,7 @@ same AS (SELECT p.node_id, count(*)::BIGINT AS same FROM legs p JOIN legs q USIN
 legd AS (SELECT legs.*, steps FROM legs JOIN dist USING (node_id, edge_a, edge_b)),
 diff AS (SELECT p.node_id, count(*)::BIGINT AS diff FROM legd p JOIN legd q USING (node_id, edge_a) WHERE p.line_id <> q.line_id AND p.steps < q.steps AND p.sa < q.sa GROUP BY 1),
 sep AS (SELECT p.node_id, count(*)::BIGINT AS sep FROM legs p JOIN legs q ON p.node_id = q.node_id AND p.edge_a = q.edge_a AND p.edge_b = q.edge_b AND p.sb = q.sb - 1 WHERE abs(p.sa - q.sa) > 1 GROUP BY 1)"""
+THIN = NEAR.replace("0.7 * ", "1.0 * ")
 SPARSE = NEAR.replace("o_orderpriority AS line_id", "'all' AS line_id").replace("0.7 * ", "1.0 * ").replace("(p.n + q.n) % 4 = 0", "false")
 POINTS = """
 points AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
