@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def distance(p: Column, q: Column) -> Column:
     return F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
 
@@ -33,22 +40,34 @@ def length(p: Column) -> Column:
 
 def point_at(p: Column, share: Column) -> Column:
     """The point at a share (0 to 1) of the polyline's length; null for an empty polyline."""
-    along = arc_lengths(p)
+    return F.when(F.size(p) > 0, let(arc_lengths(p), lambda along: _at(p, along, share)))
+
+
+def _at(p: Column, along: Column, share: Column) -> Column:
+    """The point at a share of a polyline whose arc lengths are known."""
     goal = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * F.element_at(along, -1)
+
+    def on(i: Column) -> Column:
+        """On the segment that starts with vertex i - 1."""
+        a, b = F.get(p, i["i"] - 1), F.coalesce(F.get(p, i["i"]), F.get(p, i["i"] - 1))
+        part = F.get(along, i["i"]) - F.get(along, i["i"] - 1)
+        t = F.when(part > 0, (i["goal"] - F.get(along, i["i"] - 1)) / part).otherwise(F.lit(0.0))
+        return let(F.struct(a.alias("a"), b.alias("b"), t.alias("t")), lambda e: point(e["a"]["x"] + e["t"] * (e["b"]["x"] - e["a"]["x"]), e["a"]["y"] + e["t"] * (e["b"]["y"] - e["a"]["y"])))
+
     # The last segment that starts at or before the goal.
-    i = F.greatest(F.lit(1), F.least(F.size(p) - 1, F.size(F.filter(along, lambda s: s <= goal))))
-    a, b = F.get(p, i - 1), F.coalesce(F.get(p, i), F.get(p, i - 1))
-    part = F.get(along, i) - F.get(along, i - 1)
-    t = F.when(part > 0, (goal - F.get(along, i - 1)) / part).otherwise(F.lit(0.0))
-    return F.when(F.size(p) > 0, point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"])))
+    last = lambda g: F.greatest(F.lit(1), F.least(F.size(p) - 1, F.size(F.filter(along, lambda s: s <= g))))
+    return let(goal, lambda g: let(F.struct(last(g).alias("i"), g.alias("goal")), on))
 
 
 def sub_path(p: Column, start: Column, end: Column) -> Column:
     """The part of a polyline between two shares of its length, start <= end."""
-    along = arc_lengths(p)
-    total = F.element_at(along, -1)
-    inner = F.filter(F.arrays_zip(p.alias("p"), along.alias("s")), lambda e: (e["s"] > start * total) & (e["s"] < end * total))
-    return F.concat(F.array(point_at(p, start)), F.transform(inner, lambda e: e["p"]), F.array(point_at(p, end)))
+
+    def part(along: Column) -> Column:
+        inner = lambda c: F.filter(F.arrays_zip(p.alias("p"), along.alias("s")), lambda e: (e["s"] > c["from"]) & (e["s"] < c["to"]))
+        bounds = F.struct((start * F.element_at(along, -1)).alias("from"), (end * F.element_at(along, -1)).alias("to"))
+        return F.concat(F.array(_at(p, along, start)), F.transform(let(bounds, inner), lambda e: e["p"]), F.array(_at(p, along, end)))
+
+    return let(arc_lengths(p), part)
 
 
 def average(p: Column, q: Column, parts: int) -> Column:
