@@ -43,6 +43,17 @@ def nearest(points: DataFrame, targets: DataFrame, distance: float, others: bool
     return best.select("id", "m.target", "m.d")
 
 
+def within(points: DataFrame, targets: DataFrame, distance: float) -> DataFrame:
+    """(id, target, d): for every point (id, x, y) all targets (id, x, y) at most `distance` away."""
+    one = targets.select(F.col("id").alias("target"), F.col("x").alias("x1"), F.col("y").alias("y1"), cell(F.col("x"), distance).alias("cx"), cell(F.col("y"), distance).alias("cy"))
+    steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    two = points.select("id", "x", "y", F.explode(steps).alias("i"))
+    two = two.select("id", "x", "y", (cell(F.col("x"), distance) + F.col("i")).alias("cx"), F.explode(steps).alias("j"))
+    two = two.select("id", "x", "y", "cx", (cell(F.col("y"), distance) + F.col("j")).alias("cy"))
+    d = F.sqrt((F.col("x1") - F.col("x")) ** 2 + (F.col("y1") - F.col("y")) ** 2)
+    return two.join(one, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= distance).select("id", "target", "d")
+
+
 def crossings(segments: DataFrame, size: float) -> DataFrame:
     """(a, b, x, y): proper intersections of segments (id, x1, y1, x2, y2), a < b.
 

@@ -1,3 +1,3 @@
 """The registered queries: both modules add theirs to the catalog."""
 
-from . import catalog, network, shapes  # noqa: F401
+from . import catalog, network, shapes, ways  # noqa: F401
