@@ -1,11 +1,11 @@
-"""Registered queries of chains and their re-insertion, with their SQL."""
+"""Registered queries of chains, courses, hulls and grids over points, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, geometry
+from ..operators import chains, courses, geometry, hulls
 from . import tables as T
 from .catalog import query
 
@@ -52,3 +52,78 @@ def chain_reinsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = chains.reinsert(g, c, drawn.select("edge_id", bent.alias("geom"))).nodes
     used = g.incidence().select("node_id").distinct()
     return placed.join(used, "node_id", "left_semi").select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# Geometries of one edge
+
+COURSES = """
+v AS (SELECT vec_id, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS y1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS y2, label::BIGINT + 1 AS weight, vec_id // 3 AS edge FROM embeddings),
+l AS (SELECT *, sqrt((x2 - x1)^2 + (y2 - y1)^2) AS len, max(sqrt((x2 - x1)^2 + (y2 - y1)^2)) OVER (PARTITION BY edge) AS longest FROM v),
+g AS (SELECT edge, sum(weight) AS w, sum(weight * x1) / sum(weight) AS ax, sum(weight * y1) / sum(weight) AS ay, sum(weight * x2) / sum(weight) AS bx, sum(weight * y2) / sum(weight) AS by_ FROM l GROUP BY edge)"""
+
+
+@query("""SELECT edge AS edge_id, round(ax, 6) AS x1, round(ay, 6) AS y1, round(bx, 6) AS x2, round(by_, 6) AS y2 FROM g""", COURSES)
+def course_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted mean of three straight courses at a time, which is straight again; its ends."""
+    v = T.read(spark, sf_dir, "embeddings")
+    at = lambda i: geometry.point(F.col("embedding")[2 * i].cast("double"), F.col("embedding")[2 * i + 1].cast("double"))
+    rows = v.select(F.floor(F.col("vec_id") / 3).alias("edge_id"), F.array(at(0), at(1)).alias("geom"), (F.col("label") + 1).cast("double").alias("weight"))
+    p = courses.average(rows, 0.05)
+    first, last = F.get("geom", F.lit(0)), F.element_at("geom", -1)
+    return p.select("edge_id", *[F.round(e[c], 6).alias(f"{c}{i}") for i, e in ((1, first), (2, last)) for c in "xy"])
+
+
+# Straight courses: all vertices are ends, and the distance of a point to a segment decides.
+APART = "sqrt(({p}x - {q}x1 - {t} * ({q}x2 - {q}x1))^2 + ({p}y - {q}y1 - {t} * ({q}y2 - {q}y1))^2)"
+SHARE = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, (({p}x - {q}x1) * ({q}x2 - {q}x1) + ({p}y - {q}y1) * ({q}y2 - {q}y1)) / {q}len^2))"
+
+
+def _apart(point: tuple[str, str], q: str) -> str:
+    t = SHARE.replace("{p}x", point[0]).replace("{p}y", point[1]).replace("{q}", q)
+    return APART.replace("{p}x", point[0]).replace("{p}y", point[1]).replace("{q}", q).replace("{t}", t)
+
+
+def _holds(a: str, b: str) -> str:
+    """Whether course a has both ends of course b within 0.3."""
+    return " AND ".join(f"{_apart((f'{b}x{i}', f'{b}y{i}'), a)} <= 0.3" for i in (1, 2))
+
+
+HELD = COURSES + f""",
+h AS (SELECT q.edge, q.vec_id AS small, p.vec_id AS big, p.len FROM l p JOIN l q ON p.edge = q.edge AND p.len > q.len WHERE {_holds('p.', 'q.')} AND NOT ({_holds('q.', 'p.')})),
+top AS (SELECT edge, arg_max(vec_id, (len, vec_id::VARCHAR)) AS top FROM l GROUP BY 1),
+goal AS (SELECT h.edge, small, coalesce(arg_max(big, (len, big::VARCHAR)) FILTER (big NOT IN (SELECT small FROM h)), any_value(top)) AS goal FROM h JOIN top ON top.edge = h.edge GROUP BY ALL)"""
+
+
+@query("SELECT coalesce(goal, vec_id)::VARCHAR AS course, l.edge AS edge_id, sum(weight)::DOUBLE AS weight FROM l LEFT JOIN goal ON goal.edge = l.edge AND small = vec_id GROUP BY ALL", HELD)
+def course_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of three straight courses at a time stay, and the weight they come to."""
+    v = T.read(spark, sf_dir, "embeddings")
+    at = lambda i: geometry.point(F.col("embedding")[2 * i].cast("double"), F.col("embedding")[2 * i + 1].cast("double"))
+    rows = v.select(F.floor(F.col("vec_id") / 3).alias("edge_id"), F.col("vec_id").cast("string").alias("course"), F.array(at(0), at(1)).alias("geom"), (F.col("label") + 1).cast("double").alias("weight"))
+    return courses.absorb(rows, 0.3).select("course", "edge_id", "weight")
+
+
+# Hulls of the nodes of each zone
+
+HULLS = T.CITY + """,
+side AS (SELECT p.zone, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM nodes p JOIN nodes q ON p.zone = q.zone AND (p.x <> q.x OR p.y <> q.y)
+         WHERE NOT EXISTS (SELECT 1 FROM nodes o WHERE o.zone = p.zone AND ((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) < 0
+           OR ((q.x - p.x) * (o.y - p.y) = (q.y - p.y) * (o.x - p.x) AND ((o.x - p.x) * (q.x - o.x) < 0 OR (o.y - p.y) * (q.y - o.y) < 0))))),
+corner AS (SELECT zone, ax AS x, ay AS y FROM side UNION SELECT zone, bx, by_ FROM side),
+bnd AS (SELECT zone, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM nodes GROUP BY 1),
+spot AS (SELECT zone, gx, gy, x0 + gx AS x, y0 + gy AS y FROM (SELECT *, unnest(range((y1 - y0)::BIGINT + 1)) AS gy FROM (SELECT *, unnest(range((x1 - x0)::BIGINT + 1)) AS gx FROM bnd))),
+pin AS (SELECT zone, gx, gy FROM spot WHERE (SELECT count(*) FROM corner c WHERE c.zone = spot.zone) > 2
+        AND NOT EXISTS (SELECT 1 FROM side s WHERE s.zone = spot.zone AND (bx - ax) * (spot.y - ay) < (by_ - ay) * (spot.x - ax)))"""
+
+
+@query("SELECT zone, x, y FROM corner", HULLS)
+def hull_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hulls.convex_hulls(T.city_nodes(spark, sf_dir), "zone")
+    return found.select("zone", F.explode("hull").alias("p")).select("zone", "p.x", "p.y")
+
+
+@query("""SELECT p.zone, p.gx, p.gy, dir::BIGINT AS dir, q.gx AS to_gx, q.gy AS to_gy FROM pin p JOIN (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)) m(dir, dx, dy) ON true
+JOIN pin q ON q.zone = p.zone AND q.gx = p.gx + dx AND q.gy = p.gy + dy""", HULLS)
+def hull_octilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the eight-way grids in the hulls of the zones' nodes."""
+    return hulls.hull_grid(T.city_nodes(spark, sf_dir), "zone", 1.0)[1]

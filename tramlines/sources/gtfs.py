@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import functions as fx
+from ..lineage import cut
 from ..model import LineGraph, edge_key
-from ..operators import aggregate, geometry
+from ..operators import aggregate, courses, geometry
 
 
 def read(spark: SparkSession, folder: str, shapes: bool = False) -> dict[str, DataFrame]:
@@ -21,10 +22,14 @@ def _place(lng: str, lat: str) -> tuple[Column, Column]:
     return fx.mercator_x(F.col(lng).cast("double")), fx.mercator_y(F.col(lat).cast("double"))
 
 
+#: Geometries that lie in a corridor of CORRIDOR around a longer one are absorbed; means are taken every STEP (metres).
+CORRIDOR, STEP = 50.0, 20.0
+
+
 def hop_geometries(feed: dict[str, DataFrame], hops: DataFrame, trips: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(edge_id, geom): each edge's most travelled geometry, from its smaller node.
+    """(edge_id, geom): each edge's mean geometry, from its smaller node, by the number of its hops.
 
-    A hop runs along its trip's shape between the places nearest to its stops, or straight if there is
+    Geometries within the corridor of a longer one are absorbed first.  A hop runs along its trip's shape between the places nearest to its stops, or straight if there is
     no shape or it does not lead on from the first to the second.  A shape's points are gathered in
     one row, which its length bounds.
     """
@@ -38,8 +43,10 @@ def hop_geometries(feed: dict[str, DataFrame], hops: DataFrame, trips: DataFrame
     ways = ways.withColumn("s", start).withColumn("e", end)
     along = F.when(F.col("p").isNotNull() & (F.size("p") > 1) & (F.col("s") < F.col("e")), geometry.sub_path(F.col("p"), F.col("s"), F.col("e"))).otherwise(F.array("u", "v"))
     folded = F.when(F.col("from_node") > F.col("to_node"), F.reverse("geom")).otherwise(F.col("geom"))
-    rows = ways.withColumn("geom", along).select(edge_key(F.col("from_node"), F.col("to_node")).alias("edge_id"), "n", F.coalesce("shape_id", F.lit("")).alias("shape_id"), folded.alias("geom"))
-    return rows.groupBy("edge_id").agg(F.max_by("geom", F.struct("n", "shape_id", "geom")).alias("geom"))
+    rows = ways.withColumn("geom", along).select(edge_key(F.col("from_node"), F.col("to_node")).alias("edge_id"), "n", folded.alias("geom"))
+    # Hops of equal geometry are one course.
+    seen = rows.groupBy("edge_id", "geom").agg(F.sum("n").cast("double").alias("weight")).withColumn("course", F.sha2(F.col("geom").cast("string"), 256))
+    return courses.merge(cut(seen), CORRIDOR, STEP)
 
 
 def line_graph(feed: dict[str, DataFrame], route_types: list[int] | None = None, prune: float | None = None, turns: bool = False) -> LineGraph:
