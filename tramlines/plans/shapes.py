@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, courses, geometry, hulls
+from ..operators import chains, courses, geometry, hulls, sparse_grids
 from . import tables as T
 from .catalog import query
 
@@ -127,3 +127,65 @@ JOIN pin q ON q.zone = p.zone AND q.gx = p.gx + dx AND q.gy = p.gy + dy""", HULL
 def hull_octilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the eight-way grids in the hulls of the zones' nodes."""
     return hulls.hull_grid(T.city_nodes(spark, sf_dir), "zone", 1.0)[1]
+
+
+# Sparse grids of each zone's nodes, whose coordinates are whole
+
+SPOTS = T.CITY + """,
+bnd AS (SELECT zone, min(x)::BIGINT AS x0, min(y)::BIGINT AS y0, (max(x) - min(x))::BIGINT AS w, (max(y) - min(y))::BIGINT AS h FROM nodes GROUP BY 1),
+seed AS (SELECT zone, x::BIGINT - x0 AS x, y::BIGINT - y0 AS y FROM nodes JOIN bnd USING (zone)),
+spot AS (SELECT zone, x, y FROM (SELECT *, unnest(range(h + 1)) AS y FROM (SELECT *, unnest(range(w + 1)) AS x FROM bnd)))"""
+
+
+def _round(before: str, after: str) -> str:
+    """Points of `before` become lines, and the spots on two of them the points of `after`."""
+    n = after
+    return f""",
+{n}0 AS (SELECT DISTINCT zone, y AS k FROM {before}), {n}1 AS (SELECT DISTINCT zone, x AS k FROM {before}), {n}2 AS (SELECT DISTINCT zone, x - y AS k FROM {before}), {n}3 AS (SELECT DISTINCT zone, x + y AS k FROM {before}),
+{n} AS (SELECT s.zone, x, y, a.k IS NOT NULL AS f0, b.k IS NOT NULL AS f1, c.k IS NOT NULL AS f2, d.k IS NOT NULL AS f3 FROM spot s LEFT JOIN {n}0 a ON a.zone = s.zone AND a.k = y LEFT JOIN {n}1 b ON b.zone = s.zone AND b.k = x
+  LEFT JOIN {n}2 c ON c.zone = s.zone AND c.k = x - y LEFT JOIN {n}3 d ON d.zone = s.zone AND d.k = x + y
+  WHERE (a.k IS NOT NULL)::INT + (b.k IS NOT NULL)::INT + (c.k IS NOT NULL)::INT + (d.k IS NOT NULL)::INT > 1)"""
+
+
+def _ways(points: str) -> str:
+    one = lambda f, d, at: f"SELECT zone, x AS gx, y AS gy, {d}::BIGINT AS dir, lead(x) OVER w AS to_gx, lead(y) OVER w AS to_gy FROM {points} WHERE {f} WINDOW w AS (PARTITION BY zone, {at} ORDER BY x, y)"
+    parts = [one("f0", 2, "y"), one("f1", 0, "x"), one("f2", 1, "x - y"), one("f3", 3, "x + y")]
+    return f"SELECT *, greatest(to_gx - gx, abs(to_gy - gy)) AS hops FROM ({' UNION ALL '.join(parts)}) WHERE to_gx IS NOT NULL"
+
+
+@query("SELECT zone, x AS gx, y AS gy FROM one", SPOTS + _round("seed", "one"))
+def hanan_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_grids.hanan(T.city_nodes(spark, sf_dir), "zone", 1.0)[0]
+
+
+@query(_ways("two"), SPOTS + _round("seed", "one") + _round("one", "two"))
+def hanan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the grids after two rounds."""
+    return sparse_grids.hanan(T.city_nodes(spark, sf_dir), "zone", 1.0, 2)[1]
+
+
+@query("""SELECT p.zone, p.gx, p.gy, p.to_gx, p.to_gy, q.gx AS other_gx, q.gy AS other_gy, q.to_gx AS other_to_gx, q.to_gy AS other_to_gy FROM way p JOIN way q ON p.zone = q.zone AND p.dir = 1 AND q.dir = 3
+AND (p.gx - p.gy + q.gx + q.gy) % 2 <> 0 AND (p.gx - p.gy + q.gx + q.gy) / 2.0 BETWEEN greatest(p.gx, q.gx) AND least(p.to_gx, q.to_gx)""", SPOTS + _round("seed", "one") + f", way AS ({_ways('one')})")
+def hanan_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_grids.diagonal_crossings(sparse_grids.hanan(T.city_nodes(spark, sf_dir), "zone", 1.0)[1], "zone")
+
+
+QUADS = SPOTS + """,
+root AS (SELECT zone, ceil(log2(greatest(1, w, h)))::BIGINT AS depth FROM bnd),
+lvl AS (SELECT zone, depth, unnest(range(depth)) AS level FROM root),
+cnt AS (SELECT l.zone, l.depth, level, least((1 << depth) - 1, x) >> (depth - level) AS qx, least((1 << depth) - 1, y) >> (depth - level) AS qy FROM lvl l JOIN seed USING (zone) GROUP BY ALL HAVING count(*) > 1),
+sub AS (SELECT zone, depth, level + 1 AS level, 2 * qx + i AS qx, 2 * qy + j AS qy FROM cnt, range(2) a(i), range(2) b(j) UNION ALL SELECT zone, depth, 0, 0, 0 FROM root),
+leaf AS (SELECT zone, level::BIGINT AS level, (qx << (depth - level))::BIGINT AS gx, (qy << (depth - level))::BIGINT AS gy, (1 << (depth - level))::BIGINT AS side FROM sub
+         WHERE NOT EXISTS (SELECT 1 FROM cnt c WHERE c.zone = sub.zone AND c.level = sub.level AND c.qx = sub.qx AND c.qy = sub.qy))"""
+
+
+@query("SELECT zone, level, gx, gy, side FROM leaf", QUADS)
+def quadtree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of at most one node."""
+    return sparse_grids.quadtree(T.city_nodes(spark, sf_dir), "zone", 1.0, 1)
+
+
+@query("""SELECT zone, gx, gy, dir::BIGINT AS dir, gx + min(side) * any_value(ux) AS to_gx, gy + min(side) * any_value(uy) AS to_gy, min(side) AS hops FROM (
+SELECT zone, gx + px * side AS gx, gy + py * side AS gy, dir, side, ux, uy FROM leaf, (VALUES (1, 0, 0, 1, 1), (3, 0, 1, 1, -1), (2, 0, 0, 1, 0), (2, 0, 1, 1, 0), (0, 0, 0, 0, 1), (0, 1, 0, 0, 1)) e(dir, px, py, ux, uy)) GROUP BY zone, gx, gy, dir""", QUADS)
+def quadtree_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_grids.quadtree_edges(sparse_grids.quadtree(T.city_nodes(spark, sf_dir), "zone", 1.0, 1), "zone")
