@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..model import LineGraph
+from ..lineage import cut
+from ..model import LineGraph, with_geometry
+from . import geometry
 from .spatial import WORLD, cell, crossings
 
 
@@ -55,9 +57,27 @@ def overlapping(boxes: DataFrame, size: float) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def drop_overlapped(boxes: DataFrame, size: float) -> DataFrame:
-    """The boxes that no box of a smaller node overlaps."""
-    return boxes.join(overlapping(boxes, size).select(F.col("b").alias("node_id")).distinct(), "node_id", "left_anti")
+def drop_overlapped(boxes: DataFrame, size: float, order: Column | None = None, rounds: int = 1000) -> DataFrame:
+    """The boxes that stay if they are taken in order and one that overlaps a box taken before goes.
+
+    In each round boxes stay that no undecided box before them overlaps, and what they overlap goes.  In
+    the order of a hash (the default) a few rounds decide all; an order by place may take as many as
+    the longest chain.
+    """
+    key = F.struct((F.xxhash64("node_id") if order is None else order).alias("k"), F.col("node_id"))
+    keyed = boxes.select("node_id", key.alias("key"))
+    pairs = overlapping(boxes, size)
+    both = cut(pairs.union(pairs.select("b", "a")).join(keyed.select(F.col("node_id").alias("b"), F.col("key").alias("before")), "b").select(F.col("a").alias("node_id"), "b", "before"))
+    open_, stay = cut(keyed), None
+    for _ in range(rounds):
+        if open_.isEmpty():
+            return boxes.join(stay, "node_id", "left_semi") if stay is not None else boxes
+        first = both.join(open_.select(F.col("node_id").alias("b")), "b", "left_semi").groupBy("node_id").agg(F.min("before").alias("first"))
+        taken = open_.join(first, "node_id", "left").where("first is null or key < first").select("node_id")
+        stay = cut(taken if stay is None else stay.union(taken))
+        near = both.join(stay.withColumnRenamed("node_id", "b"), "b", "left_semi").select("node_id").union(stay).distinct()
+        open_ = cut(open_.join(near, "node_id", "left_anti"))
+    raise RuntimeError(f"boxes did not settle in {rounds} rounds")
 
 
 def label_bands(g: LineGraph, stations: DataFrame, length: float, tilt: float = 0.0) -> DataFrame:
@@ -69,11 +89,9 @@ def label_bands(g: LineGraph, stations: DataFrame, length: float, tilt: float =
 def label_penalties(g: LineGraph, bands: DataFrame, size: float) -> DataFrame:
     """(node_id, turn, crossed): how many edges a band crosses beyond its own node."""
     at = lambda c, n: g.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
-    name = F.concat_ws("#", F.lit("~"), F.col("node_id").cast("string"), F.col("turn").cast("string"))
-    bars = bands.select(name.alias("id"), "x1", "y1", "x2", "y2", "node_id", "turn")
+    bars = bands.withColumn("id", F.concat_ws("#", F.col("node_id").cast("string"), F.col("turn").cast("string")))
     edges = g.edges.join(at("a", 1), "a").join(at("b", 2), "b").select(F.col("edge_id").alias("id"), "x1", "y1", "x2", "y2")
-    met = crossings(edges.unionByName(bars.select("id", "x1", "y1", "x2", "y2")), size).where("a not like '~%' and b like '~%'")
-    n = met.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("crossed"))
+    n = crossings(edges, size, bars).groupBy(F.col("b").alias("id")).agg(F.count("*").alias("crossed"))
     return bars.join(n, "id", "left").select("node_id", "turn", F.coalesce("crossed", F.lit(0)).cast("long").alias("crossed"))
 
 
@@ -82,11 +100,19 @@ def best_labels(penalties: DataFrame) -> DataFrame:
     return penalties.groupBy("node_id").agg(F.min(F.struct("crossed", "turn")).alias("m")).select("node_id", "m.turn")
 
 
-def open_fronts(g: LineGraph) -> DataFrame:
-    """(node_id, edge_id): fronts at which some line goes on."""
-    from .algebra import continuations
+def open_fronts(g: LineGraph, fronts: DataFrame, stations: DataFrame, pitch: float) -> DataFrame:
+    """(node_id, edge_id): fronts of edges longer than `pitch`, of edges with a station at either end, and
+    of those whose front at the other end is more than six pitches away from the node there.
 
-    return continuations(g).select("node_id", F.col("edge_a").alias("edge_id")).distinct()
+    `pitch` is a line's width with its outlines and the space to the next one.
+    """
+    long = with_geometry(g).edges.select("edge_id", (geometry.length(F.col("geom")) > pitch).alias("long"))
+    served = g.incidence().join(stations.select("node_id"), "node_id", "left_semi").select("edge_id").distinct().withColumn("served", F.lit(True))
+    at = g.nodes.select("node_id", "x", "y")
+    side = F.array(geometry.point(F.col("x1"), F.col("y1")), geometry.point(F.col("x2"), F.col("y2")))
+    away = fronts.join(at, "node_id").select(F.col("node_id").alias("other"), "edge_id", (geometry.nearest_on(side, F.col("x"), F.col("y"))["d"] > 6 * pitch).alias("away"))
+    rows = fronts.select("node_id", "edge_id").join(g.incidence(), ["node_id", "edge_id"]).join(away, ["other", "edge_id"]).join(long, "edge_id").join(served, "edge_id", "left")
+    return rows.where("long or away or served").select("node_id", "edge_id")
 
 
 def inner_connections(g: LineGraph, order: DataFrame) -> DataFrame:

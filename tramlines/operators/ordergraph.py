@@ -4,19 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..model import LineGraph
-from .algebra import termini
+from ..lineage import cut
+from ..model import LineGraph, edge_key
+from .algebra import degrees, termini
+from .numbering import numbered
 from .structure import components
 
 
-def cut_single(g: LineGraph) -> LineGraph:
-    """Without edges of one line, whose order is trivial, and the nodes that these leave bare."""
-    many = g.occs.groupBy("edge_id").agg(F.count("*").alias("n")).where("n > 1").select("edge_id")
-    edges, occs = g.edges.join(many, "edge_id", "left_semi"), g.occs.join(many, "edge_id", "left_semi")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
-    return g.with_(edges=edges, occs=occs, nodes=g.nodes.join(ends, "node_id", "left_semi"))
+def cut_single(g: LineGraph, name=None) -> LineGraph:
+    """Edges of one line cut in the middle into two dead ends, as their order is trivial.
+
+    An edge one of whose nodes has no other edge is such an end already and stays.  Each half hangs on a
+    new node near the middle (at 45 and 55 % from the smaller end) and keeps its line and its direction;
+    exceptions follow the halves.  `name` (edge, half, 1 or 2) makes the new nodes' names.
+    """
+    name = name or (lambda edge, half: F.concat(edge.cast("string"), F.lit("|"), half.cast("string")))
+    one = g.occs.groupBy("edge_id").agg(F.count("*").alias("n")).where("n = 1").select("edge_id")
+    stump = degrees(g).where("degree < 2").select("node_id")
+    ends = g.edges.join(one, "edge_id", "left_semi").join(stump.withColumnRenamed("node_id", "a"), "a", "left_anti").join(stump.withColumnRenamed("node_id", "b"), "b", "left_anti")
+    halves = F.explode(F.array(F.struct(F.lit(1).alias("half"), F.col("a").alias("node"), F.lit(0.45).alias("share")), F.struct(F.lit(2).alias("half"), F.col("b").alias("node"), F.lit(0.55).alias("share"))))
+    cuts = ends.select("edge_id", "a", "b", halves.alias("h")).select("edge_id", "a", "b", "h.half", "h.node", "h.share", name(F.col("edge_id"), F.col("h.half")).alias("end"))
+    cuts = cut(cuts.withColumn("to", edge_key(F.col("node"), F.col("end"))))
+    at = lambda c: g.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x_{c}"), F.col("y").alias(f"y_{c}"))
+    new = cuts.join(at("a"), "a").join(at("b"), "b").select(F.col("end").alias("node_id"), F.expr("x_a + share * (x_b - x_a)").alias("x"), F.expr("y_a + share * (y_b - y_a)").alias("y"))
+    rest = [c for c in g.occs.columns if c not in ("edge_id", "direction")]
+    # Towards the half's own node, or away from it towards the cut.
+    towards = F.when(F.col("direction") == F.col("node"), F.col("node")).when(F.col("direction").isNotNull(), F.col("end"))
+    occs = g.occs.join(cuts, "edge_id").select(F.col("to").alias("edge_id"), towards.alias("direction"), *rest)
+    whole = cuts.select("edge_id").distinct()
+    edges = g.edges.join(whole, "edge_id", "left_anti").select("edge_id", "a", "b").union(cuts.select("to", F.least("node", "end"), F.greatest("node", "end")))
+    exceptions = g.exceptions
+    if exceptions is not None:
+        for c in ("edge_a", "edge_b"):
+            moved = cuts.select(F.col("edge_id").alias(c), F.col("node").alias("node_id"), "to")
+            exceptions = exceptions.join(moved, [c, "node_id"], "left").withColumn(c, F.coalesce("to", c)).select("node_id", "line_id", "edge_a", "edge_b")
+    return LineGraph(g.nodes.unionByName(new, allowMissingColumns=True), edges, g.occs.join(whole, "edge_id", "left_anti").select(*g.occs.columns).union(occs.select(*g.occs.columns)), exceptions)
 
 
 def detached_ends(g: LineGraph) -> DataFrame:
@@ -42,6 +65,5 @@ def edge_ordering(g: LineGraph) -> DataFrame:
     size = g.occs.groupBy("edge_id").agg(F.count("*").alias("lines"))
     degree = g.incidence().groupBy("node_id").agg(F.count("*").alias("degree"))
     side = g.incidence().join(degree, "node_id").groupBy("edge_id").agg(F.sum("degree").alias("degrees"))
-    # A global order: only keys go to its one task.
-    w = Window.orderBy(F.desc("lines"), F.desc("degrees"), "edge_id")
-    return size.join(side, "edge_id").select("edge_id", F.row_number().over(w).cast("long").alias("place"))
+    rows = size.join(side, "edge_id").select("edge_id", (-F.col("lines")).alias("l"), (-F.col("degrees")).alias("d"))
+    return numbered(rows, "l", "d", "edge_id").select("edge_id", (F.col("at") + 1).alias("place"))

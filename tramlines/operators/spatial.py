@@ -54,16 +54,17 @@ def within(points: DataFrame, targets: DataFrame, distance: float) -> DataFrame:
     return two.join(one, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= distance).select("id", "target", "d")
 
 
-def crossings(segments: DataFrame, size: float) -> DataFrame:
-    """(a, b, x, y): proper intersections of segments (id, x1, y1, x2, y2), a < b.
+def crossings(segments: DataFrame, size: float, others: DataFrame | None = None) -> DataFrame:
+    """(a, b, x, y): proper intersections of segments (id, x1, y1, x2, y2), a < b, or of segments with `others`.
 
     Segments are listed in all cells of their bounding box; a pair is kept in the one cell that holds
     its intersection, so it is reported once.
     """
-    boxed = segments.withColumn("cx", F.explode(F.sequence(cell(F.least("x1", "x2"), size), cell(F.greatest("x1", "x2"), size))))
-    boxed = boxed.withColumn("cy", F.explode(F.sequence(cell(F.least("y1", "y2"), size), cell(F.greatest("y1", "y2"), size))))
-    other = boxed.select("cx", "cy", F.col("id").alias("b"), F.col("x1").alias("x3"), F.col("y1").alias("y3"), F.col("x2").alias("x4"), F.col("y2").alias("y4"))
-    pairs = boxed.withColumnRenamed("id", "a").join(other, ["cx", "cy"]).where("a < b")
+    range_of = lambda c: F.explode(F.sequence(cell(F.least(f"{c}1", f"{c}2"), size), cell(F.greatest(f"{c}1", f"{c}2"), size)))
+    listed = lambda df: df.select("id", "x1", "y1", "x2", "y2").withColumn("cx", range_of("x")).withColumn("cy", range_of("y"))
+    other = listed(segments if others is None else others).select("cx", "cy", F.col("id").alias("b"), F.col("x1").alias("x3"), F.col("y1").alias("y3"), F.col("x2").alias("x4"), F.col("y2").alias("y4"))
+    pairs = listed(segments).withColumnRenamed("id", "a").join(other, ["cx", "cy"])
+    pairs = pairs.where("a < b") if others is None else pairs
     den = F.expr("(x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3)")
     t = F.expr("((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / nullif(den, 0)")
     u = F.expr("((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / nullif(den, 0)")

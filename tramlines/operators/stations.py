@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import LineGraph
+from .numbering import numbered
 from .spatial import cell
 
 
@@ -92,9 +93,8 @@ def label_order(g: LineGraph, stations: DataFrame) -> DataFrame:
 
     ends = termini(g).select("node_id").distinct().withColumn("ends", F.lit(1))
     rows = stations.join(degrees(g), "node_id").join(ends, "node_id", "left").fillna(0, ["ends"])
-    # One row for each station, dealt to one task by nature of a global order; only the keys go there.
-    w = Window.orderBy(F.desc("ends"), F.desc("degree"), F.desc("line_degree"), "node_id")
-    return rows.select("node_id", "name", F.row_number().over(w).cast("long").alias("place"))
+    keyed = rows.select("node_id", "name", *[(-F.col(c)).alias(c) for c in ("ends", "degree", "line_degree")])
+    return numbered(keyed, "ends", "degree", "line_degree", "node_id").select("node_id", "name", (F.col("at") + 1).alias("place"))
 
 
 def biggest(stations: DataFrame, size: str) -> DataFrame:

@@ -119,13 +119,64 @@ def densify(segments: DataFrame, gap: float) -> DataFrame:
     return rows.select("id", "seq", F.expr("x1 + (x2 - x1) * seq / k").alias("x"), F.expr("y1 + (y2 - y1) * seq / k").alias("y"))
 
 
-def split_high_degree(g: LineGraph, most: int) -> DataFrame:
-    """(node_id, edge_id, new_node): where nodes have more than `most` edges, the tail of their clockwise
-    order hangs on a new node instead, which one of the node's places leads to."""
+def split_high_degree(g: LineGraph, most: int, shift: float = 10.0, name=None) -> LineGraph:
+    """Nodes of more than `most` (three or more) edges handed on to a chain of new nodes, none with more.
+
+    Of a node's edges in clockwise order the first most - 1 stay; the rest hangs on a new node, `shift`
+    away in their mean direction, and what is too much for that on the next.  A trunk edge with all lines
+    of the edges beyond it joins each node of the chain to the one before.  Exceptions at the old node
+    move from an edge to its trunk; at new nodes lines only run along the trunk that leads back, so
+    all other pairs of their edges become exceptions.  `name` (node, level) makes the new names.
+    """
     from .ordering import circular_order
 
-    tail = circular_order(g).where((F.col("degree") > most) & (F.col("rank") >= most - 1))
-    return tail.select("node_id", "edge_id", F.concat(F.col("node_id").cast("string"), F.lit("+")).alias("new_node"))
+    name = name or (lambda node, level: F.concat(node.cast("string"), F.lit("+"), level.cast("string")))
+    rest = F.col("rank") - (most - 1)
+    levels = F.ceil((F.col("degree") - most) / F.lit(most - 2))  # the last node takes one edge more, as no trunk leads on from it
+    moved = circular_order(g).where((F.col("degree") > most) & (rest >= 0))
+    moved = cut(moved.select("node_id", "edge_id", F.least(levels, F.floor(rest / (most - 2)) + 1).cast("int").alias("level"), levels.cast("int").alias("levels")))
+    hung = moved.withColumn("new", name(F.col("node_id"), F.col("level")))
+    at = lambda end: hung.select("edge_id", F.col("node_id").alias(end), F.col("new").alias(f"new_{end}"))
+    ends = g.edges.join(at("a"), ["edge_id", "a"], "left").join(at("b"), ["edge_id", "b"], "left").withColumn("p", F.coalesce("new_a", "a")).withColumn("q", F.coalesce("new_b", "b"))
+    named = cut(ends.select("edge_id", "a", "b", "p", "q", F.when(F.col("new_a").isNull() & F.col("new_b").isNull(), F.col("edge_id")).otherwise(edge_key(F.col("p"), F.col("q"))).alias("to")))
+    towards = F.when(F.col("direction") == F.col("a"), F.col("p")).when(F.col("direction") == F.col("b"), F.col("q"))
+    others = [c for c in g.occs.columns if c not in ("edge_id", "direction", "line_id")]
+    occs = g.occs.join(named, "edge_id").select(F.col("to").alias("edge_id"), "line_id", towards.alias("direction"), *others)
+    # A trunk to each level carries the lines of that level and of all beyond.
+    before = F.when(F.col("at") == 1, F.col("node_id")).otherwise(name(F.col("node_id"), F.col("at") - 1))
+    trunks = hung.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("level")))).withColumn("u", before).withColumn("v", name(F.col("node_id"), F.col("at"))).withColumn("trunk", edge_key(F.col("u"), F.col("v")))
+    trunks = cut(trunks.select("node_id", "edge_id", "at", "u", "v", "trunk"))
+    carried = trunks.join(g.occs, "edge_id").groupBy(F.col("trunk").alias("edge_id"), "line_id").agg(*[F.sum(c).alias(c) if c == "n" else F.first(c).alias(c) for c in others])
+    place = g.nodes.select("node_id", "x", "y")
+    far = g.incidence().join(place.select(F.col("node_id").alias("other"), F.col("x").alias("xo"), F.col("y").alias("yo")), "other")
+    angle = F.atan2(F.col("yo") - F.col("y"), F.col("xo") - F.col("x"))
+    # The direction from the place before is that of all edges beyond, seen from the old node.
+    mean = trunks.join(far.select("node_id", "edge_id", "xo", "yo"), ["node_id", "edge_id"]).join(place, "node_id").groupBy("node_id", "at", "v", "x", "y").agg(F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle))).alias("dir"))
+    w = Window.partitionBy("node_id").orderBy("at")
+    new = mean.select(F.col("v").alias("node_id"), (F.col("x") + shift * F.sum(F.cos("dir")).over(w)).alias("x"), (F.col("y") + shift * F.sum(F.sin("dir")).over(w)).alias("y"))
+    swap = F.col("p") > F.col("q")
+    kept = named.select(F.col("to").alias("edge_id"), F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("edge_id").alias("old"), swap.alias("swap"))
+    extra = trunks.select(F.col("trunk").alias("edge_id"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    if "geom" in g.edges.columns:
+        kept = kept.join(g.edges.select(F.col("edge_id").alias("old"), "geom"), "old").withColumn("geom", F.when(F.col("swap"), F.reverse("geom")).otherwise(F.col("geom")))
+        spot = place.unionByName(new)
+        end = lambda c: spot.select(F.col("node_id").alias(c), F.struct("x", "y").alias(f"p_{c}"))
+        extra = extra.join(end("a"), "a").join(end("b"), "b").withColumn("geom", F.array("p_a", "p_b")).drop("p_a", "p_b")
+    edges = kept.drop("old", "swap").unionByName(extra)
+    # At new nodes: their own edges and the trunk that leads on, each with its lines.
+    own = hung.join(named.select("edge_id", "to"), "edge_id").join(g.occs.select("edge_id", "line_id"), "edge_id").select(F.col("new").alias("node_id"), "line_id", F.col("to").alias("edge"))
+    onward = trunks.where("at > 1").select(F.col("u").alias("node_id"), F.col("trunk").alias("edge")).distinct().join(carried.select(F.col("edge_id").alias("edge"), "line_id"), "edge").select("node_id", "line_id", "edge")
+    there = cut(own.union(onward))
+    barred = there.select("node_id", "line_id", F.col("edge").alias("edge_a")).join(there.select("node_id", "line_id", F.col("edge").alias("edge_b")), ["node_id", "line_id"]).where("edge_a <> edge_b")
+    if g.exceptions is not None:
+        first = trunks.where("at = 1").select("node_id", "edge_id", "trunk")
+        here = named.select("edge_id", "to").join(g.incidence(), "edge_id").select("edge_id", "node_id", "to").join(first, ["node_id", "edge_id"], "left").select("node_id", "edge_id", F.coalesce("trunk", "to").alias("to"))
+        old = g.exceptions
+        for c in ("edge_a", "edge_b"):
+            old = old.join(here.withColumnRenamed("edge_id", c), ["node_id", c]).withColumn(c, F.col("to")).drop("to")
+        barred = barred.select("node_id", "line_id", "edge_a", "edge_b").unionByName(old.where("edge_a <> edge_b").select("node_id", "line_id", "edge_a", "edge_b")).distinct()
+    all_occs = occs.unionByName(carried.withColumn("direction", F.lit(None).cast(g.occs.schema["direction"].dataType)))
+    return LineGraph(g.nodes.unionByName(new, allowMissingColumns=True), edges, all_occs.select(*g.occs.columns), barred.select("node_id", "line_id", "edge_a", "edge_b"))
 
 
 def snap_orphans(g: LineGraph, distance: float) -> DataFrame:

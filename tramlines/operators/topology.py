@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from ..model import LineGraph, edge_key
+from ..model import LineGraph, edge_key, with_geometry
 from . import geometry
 from .algebra import continuations, degrees, termini
 from .structure import drop_isolated, pass_through
@@ -71,11 +71,27 @@ def orphan_lines(g: LineGraph, served: DataFrame) -> DataFrame:
     return ends.join(free, "edge_id", "left_semi").select("edge_id", "line_id")
 
 
+def lift_between(g: LineGraph, gone: DataFrame) -> DataFrame:
+    """The exceptions without those between two edges that a line of `gone` (edge_id, line_id) joined over that edge."""
+    on = continuations(g).join(gone.withColumnRenamed("edge_id", "edge_a"), ["edge_a", "line_id"], "left_semi")
+    left = on.select("node_id", "line_id", "edge_a", F.col("edge_b").alias("one"))
+    joined = left.join(on.select("node_id", "line_id", "edge_a", F.col("edge_b").alias("two")), ["node_id", "line_id", "edge_a"]).where("one <> two")
+    free = joined.select("node_id", "line_id", F.col("one").alias("edge_a"), F.col("two").alias("edge_b")).distinct()
+    return g.exceptions.join(free, ["node_id", "line_id", "edge_a", "edge_b"], "left_anti").select("node_id", "line_id", "edge_a", "edge_b")
+
+
 def drop_orphans(g: LineGraph, served: DataFrame, rounds: int = 1000) -> LineGraph:
-    """Remove orphan lines, empty edges and bare nodes until none is left; their exceptions go with them."""
+    """Remove orphan lines, empty edges and bare nodes until none is left; their exceptions go with them.
+
+    Where a line ran between two edges only by way of an edge that it leaves, it may now run between
+    them directly: the exception between these two is lifted.
+    """
     before = -1
     for _ in range(rounds):
-        occs = cut(g.occs.join(orphan_lines(g, served), ["edge_id", "line_id"], "left_anti").select(*g.occs.columns))
+        gone = cut(orphan_lines(g, served))
+        if g.exceptions is not None:
+            g = g.with_(exceptions=cut(lift_between(g, gone)))
+        occs = cut(g.occs.join(gone, ["edge_id", "line_id"], "left_anti").select(*g.occs.columns))
         now = occs.count()
         edges = cut(g.edges.join(occs.select("edge_id").distinct(), "edge_id", "left_semi"))
         g = drop_isolated(g.with_(occs=occs, edges=edges))
@@ -173,6 +189,6 @@ def contract_stray(g: LineGraph, stops: DataFrame | None = None, rounds: int = 1
 
 
 def node_means(g: LineGraph) -> DataFrame:
-    """(node_id, x, y): the mean of the far ends of each node's edges."""
-    to = g.nodes.select(F.col("node_id").alias("other"), "x", "y")
-    return g.incidence().join(to, "other").groupBy("node_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    """(node_id, x, y): the mean of the ends at each node of its edges' geometries."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.get("geom", F.lit(0)).alias("p")), F.struct(F.col("b").alias("node_id"), F.element_at("geom", -1).alias("p"))))
+    return with_geometry(g).edges.select(ends.alias("e")).groupBy("e.node_id").agg(F.avg("e.p.x").alias("x"), F.avg("e.p.y").alias("y"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import with_geometry
 from ..operators import aggregate, algebra, drawing, geometry, grids, ordergraph, ordering, schematic, spatial, stations, structure, topology
 from . import tables as T
 from .catalog import query
@@ -143,9 +144,14 @@ def topology_split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.split_edges(g, cuts).occs.select("edge_id", "line_id", F.col("direction").cast("string").alias("direction"), "n")
 
 
-@query("SELECT inc.node_id, round(avg(m.x), 6) AS x, round(avg(m.y), 6) AS y FROM inc JOIN nodes m ON m.node_id = inc.other GROUP BY 1", T.NEAR)
+@query("""SELECT node_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM (
+SELECT a AS node_id, p.x + 0.1 * (q.x - p.x) AS x, p.y + 0.1 * (q.y - p.y) AS y FROM edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b
+UNION ALL SELECT b, p.x + 0.7 * (q.x - p.x), p.y + 0.7 * (q.y - p.y) FROM edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b) GROUP BY 1""", T.NEAR)
 def topology_node_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.node_means(T.near(spark, sf_dir)).select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Edges whose geometries reach from 10 to 70 % of the way between their nodes."""
+    g = with_geometry(T.near(spark, sf_dir))
+    g = g.with_(edges=g.edges.withColumn("geom", geometry.sub_path(F.col("geom"), F.lit(0.1), F.lit(0.7))))
+    return topology.node_means(g).select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query()
@@ -223,11 +229,19 @@ def station_biggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Order graph
 
 
-@query("""SELECT count(*)::BIGINT AS edges, sum(n)::BIGINT AS lines, (SELECT count(*) FROM (SELECT a FROM e2 UNION SELECT b FROM e2))::BIGINT AS nodes FROM pe""",
-T.NEAR + ", pe AS (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1 HAVING count(*) > 1), e2 AS (SELECT a, b FROM edges WHERE edge_id IN (SELECT edge_id FROM pe))")
+SINGLES = T.NEAR + """,
+single AS (SELECT edge_id, a, b FROM edges WHERE (SELECT count(*) FROM occs o WHERE o.edge_id = edges.edge_id) = 1 AND a IN (SELECT node_id FROM deg WHERE degree > 1) AND b IN (SELECT node_id FROM deg WHERE degree > 1)),
+halves AS (SELECT edge_id, a AS node, -(a * 1000003 + b) * 2 - 1 AS fresh FROM single UNION ALL SELECT edge_id, b, -(a * 1000003 + b) * 2 - 2 FROM single)"""
+
+
+@query("""SELECT edge_id, line_id, direction::VARCHAR AS direction FROM occs WHERE edge_id NOT IN (SELECT edge_id FROM single)
+UNION ALL SELECT least(node, fresh) || '-' || greatest(node, fresh), line_id, CASE WHEN direction = node THEN node WHEN direction IS NOT NULL THEN fresh END::VARCHAR FROM halves JOIN occs USING (edge_id)""", SINGLES)
 def order_cut_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = ordergraph.cut_single(T.near(spark, sf_dir))
-    return g.edges.agg(F.count("*").alias("edges")).crossJoin(g.occs.agg(F.count("*").alias("lines"))).crossJoin(g.nodes.agg(F.count("*").alias("nodes")))  # three single rows
+    """The lines on edges after those of one line are cut in two."""
+    g = T.near(spark, sf_dir)
+    a, b = F.split("edge_id", "-")[0].cast("long"), F.split("edge_id", "-")[1].cast("long")
+    name = lambda edge, half: -(a * 1000003 + b) * 2 - half
+    return ordergraph.cut_single(g, name).occs.select("edge_id", "line_id", F.col("direction").cast("string").alias("direction"))
 
 
 @query("SELECT node_id, edge_id, node_id || '|' || edge_id AS end_id FROM (SELECT node_id, edge_id, count(*) AS n FROM term GROUP BY ALL) JOIN pe USING (edge_id, n) JOIN deg USING (node_id) WHERE degree > 1", ORPHANS)
@@ -325,9 +339,12 @@ def draw_node_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("node_id", "edge_id", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("SELECT DISTINCT node_id, edge_a AS edge_id FROM ctd", T.NEAR)
+@query("""SELECT node_id, edge_id FROM inc JOIN nodes k USING (node_id) JOIN nodes m ON m.node_id = inc.other, LATERAL (SELECT sqrt((m.x - k.x)^2 + (m.y - k.y)^2) AS len)
+WHERE len > 1.2 OR least(0.3, len / 2) > 6 * 1.2 OR node_id IN (SELECT node_id FROM stations) OR other IN (SELECT node_id FROM stations)""", T.NEAR)
 def draw_open_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing.open_fronts(T.near(spark, sf_dir))
+    """Fronts stand at right angles 0.3 from their nodes, so that is their distance."""
+    g = T.near(spark, sf_dir)
+    return drawing.open_fronts(g, drawing.node_fronts(g, drawing.edge_widths(g, 0.02, 0.01), 0.3), T.stations(spark, sf_dir), 1.2)
 
 
 @query("SELECT node_id, line_id, edge_a, edge_b, sa AS pos_a, sb AS pos_b FROM legs WHERE edge_a < edge_b", T.NEAR)
@@ -400,9 +417,18 @@ def schematic_split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schematic.split_candidates(schematic.grid_candidates(T.points(spark, sf_dir), 0.05, 2)).select("id", "gx", "gy")
 
 
-@query("SELECT node_id, edge_id, node_id || '+' AS new_node FROM circ WHERE degree > 4 AND rank >= 3", T.NEAR)
+CHAINED = T.NEAR + """,
+mv AS (SELECT node_id, edge_id, least(ceil((degree - 4) / 2.0), (rank - 3) // 2 + 1)::BIGINT AS level FROM circ WHERE degree > 4 AND rank >= 3),
+fin AS (SELECT e.edge_id, coalesce(-(a * 100 + p.level), a) AS p, coalesce(-(b * 100 + q.level), b) AS q, a, b FROM edges e LEFT JOIN mv p ON p.edge_id = e.edge_id AND p.node_id = a LEFT JOIN mv q ON q.edge_id = e.edge_id AND q.node_id = b),
+trk AS (SELECT edge_id, CASE WHEN l = 1 THEN node_id ELSE -(node_id * 100 + l - 1) END AS u, -(node_id * 100 + l) AS v FROM (SELECT *, unnest(range(1, level + 1)) AS l FROM mv))"""
+
+
+@query("""SELECT least(p, q) || '-' || greatest(p, q) AS edge_id, line_id, CASE WHEN direction = fin.a THEN p WHEN direction = fin.b THEN q END::VARCHAR AS direction, n FROM fin JOIN occs USING (edge_id)
+UNION ALL SELECT least(u, v) || '-' || greatest(u, v), line_id, NULL, sum(n)::BIGINT FROM trk JOIN occs USING (edge_id) GROUP BY u, v, line_id""", CHAINED)
 def graph_split_high_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.split_high_degree(T.near(spark, sf_dir), 4)
+    """Lines on the edges of a graph whose nodes have at most four edges."""
+    g = structure.split_high_degree(T.near(spark, sf_dir), 4, name=lambda node, level: -(node * 100 + level).cast("long"))
+    return g.occs.select("edge_id", "line_id", F.col("direction").cast("string").alias("direction"), "n")
 
 
 @query("""SELECT node_id, arg_min(edge_id, (d, edge_id)) AS edge_id, round(arg_min(pos, (d, edge_id)), 6) AS share FROM (SELECT *, sqrt((x - x1 - pos * (x2 - x1))^2 + (y - y1 - pos * (y2 - y1))^2) AS d FROM (
@@ -442,9 +468,23 @@ def draw_stop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select("node_id", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("SELECT node_id FROM bx q WHERE NOT EXISTS (SELECT 1 FROM bx p WHERE p.node_id < q.node_id AND p.x1 <= q.x2 AND q.x1 <= p.x2 AND p.y1 <= q.y2 AND q.y1 <= p.y2)", FRONTS)
+def _rounds(n: int) -> str:
+    """The rounds in which boxes stay and go, each as tables of what is open and what stays."""
+    out = """,
+k AS (SELECT *, (node_id * 7919) % 100003 AS key FROM bx),
+hit AS MATERIALIZED (SELECT p.node_id AS a, q.node_id AS b, (p.key, p.node_id) < (q.key, q.node_id) AS before FROM k p JOIN k q ON p.node_id <> q.node_id AND p.x1 <= q.x2 AND q.x1 <= p.x2 AND p.y1 <= q.y2 AND q.y1 <= p.y2),
+u0 AS MATERIALIZED (SELECT node_id FROM k)"""
+    for i in range(n):
+        out += f""",
+s{i} AS MATERIALIZED (SELECT node_id FROM u{i} WHERE NOT EXISTS (SELECT 1 FROM hit JOIN u{i} o ON o.node_id = hit.a WHERE hit.b = u{i}.node_id AND before)),
+u{i + 1} AS MATERIALIZED (SELECT node_id FROM u{i} WHERE node_id NOT IN (SELECT node_id FROM s{i}) AND node_id NOT IN (SELECT hit.b FROM hit JOIN s{i} ON s{i}.node_id = hit.a))"""
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT node_id FROM s{i}" for i in range(24)), FRONTS + _rounds(24))
 def draw_drop_overlapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing.drop_overlapped(boxes(spark, sf_dir), 1.0).select("node_id")
+    """Boxes of nodes taken in a mixed order; one that overlaps a box taken before goes."""
+    return drawing.drop_overlapped(boxes(spark, sf_dir), 1.0, F.col("node_id") * 7919 % 100003).select("node_id")
 
 
 @query("""SELECT node_id, turn, count(e.edge_id)::BIGINT AS crossed FROM (SELECT node_id, turn, x AS x1, y AS y1, x + 1.3 * cos(radians(turn * 45.0 + 10)) AS x2, y + 1.3 * sin(radians(turn * 45.0 + 10)) AS y2 FROM stations JOIN nodes USING (node_id), range(0, 8) r(turn)) b
