@@ -8,7 +8,9 @@ A line graph is a simple undirected graph whose edges carry lines.  It is held a
 * ``occs(edge_id, line_id, direction, n)``: a line on an edge, towards node `direction` or both
   ways (null), seen n times;
 * ``exceptions(node_id, line_id, edge_a, edge_b)``: a line may not turn between two edges; both
-  orders of a pair are kept.
+  orders of a pair are kept;
+* ``origins(edge_id, original_id)``, where they are tracked: the edges of an earlier graph that an edge
+  was made of.  Stages that rename, merge or cut edges carry it along.
 """
 
 from __future__ import annotations
@@ -27,6 +29,21 @@ class LineGraph:
     edges: DataFrame
     occs: DataFrame
     exceptions: DataFrame | None = None
+    origins: DataFrame | None = None
+
+    def tracked(self) -> LineGraph:
+        """The graph with every edge as its own origin: later stages are traced back to this one."""
+        return self.with_(origins=self.edges.select("edge_id", F.col("edge_id").alias("original_id")))
+
+    def traced(self, moves: DataFrame, rest: bool = True) -> DataFrame | None:
+        """Origins after moves(edge_id, to): an edge may go over to several and several to one.
+
+        Edges without a move stay, or are gone if `rest` is false.
+        """
+        if self.origins is None:
+            return None
+        moved = self.origins.join(moves.select("edge_id", "to"), "edge_id", "left" if rest else "inner")
+        return moved.select(F.coalesce("to", "edge_id").alias("edge_id"), "original_id").distinct()
 
     def with_(self, **tables: DataFrame) -> LineGraph:
         return replace(self, **tables)

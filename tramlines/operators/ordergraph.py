@@ -39,7 +39,7 @@ def cut_single(g: LineGraph, name=None) -> LineGraph:
         for c in ("edge_a", "edge_b"):
             moved = cuts.select(F.col("edge_id").alias(c), F.col("node").alias("node_id"), "to")
             exceptions = exceptions.join(moved, [c, "node_id"], "left").withColumn(c, F.coalesce("to", c)).select("node_id", "line_id", "edge_a", "edge_b")
-    return LineGraph(g.nodes.unionByName(new, allowMissingColumns=True), edges, g.occs.join(whole, "edge_id", "left_anti").select(*g.occs.columns).union(occs.select(*g.occs.columns)), exceptions)
+    return LineGraph(g.nodes.unionByName(new, allowMissingColumns=True), edges, g.occs.join(whole, "edge_id", "left_anti").select(*g.occs.columns).union(occs.select(*g.occs.columns)), exceptions, g.traced(cuts.select("edge_id", "to")))
 
 
 def detached_ends(g: LineGraph) -> DataFrame:

@@ -151,14 +151,18 @@ def handles(g: LineGraph, original: LineGraph, origins: DataFrame, rules: Infere
     return rows.select("edge_id", "side", "original_id", pos.alias("pos")).distinct()
 
 
-def infer_restrictions(g: LineGraph, original: LineGraph, origins: DataFrame, rules: Inference = Inference()) -> LineGraph:
+def infer_restrictions(g: LineGraph, original: LineGraph, origins: DataFrame | None = None, rules: Inference = Inference()) -> LineGraph:
     """`g` with the exceptions that its lines' ways through the original graph imply.
 
-    origins(edge_id, original_id) tells which original edges an edge was made of.  A line may turn
+    origins(edge_id, original_id) tells which original edges an edge was made of; by default the graph's
+    own.  A line may turn
     between two edges of a node if, in the original graph, it gets from a handle of the one to a handle
     of the other, in either direction, by a way at most `deviation` longer than a third of both edges.
     Exceptions that would leave a line no way to go on from an edge are lifted again.
     """
+    origins = g.origins if origins is None else origins
+    if origins is None:
+        raise ValueError("the graph tracks no origins, so they must be given")
     g, original = with_geometry(g), with_geometry(original)
     g = g.with_(edges=cut(g.edges))
     directed = cut(arcs(original))

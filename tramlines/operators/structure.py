@@ -63,7 +63,13 @@ def remap(g: LineGraph, mapping: DataFrame) -> LineGraph:
         to = moved.select(F.col("edge_id").alias("e"), "new_edge")
         exceptions = exceptions.join(to.select(F.col("e").alias("edge_a"), F.col("new_edge").alias("na")), "edge_a").join(to.select(F.col("e").alias("edge_b"), F.col("new_edge").alias("nb")), "edge_b")
         exceptions = exceptions.join(m, "node_id", "left").where("na <> nb").select(F.coalesce("into", "node_id").alias("node_id"), "line_id", F.col("na").alias("edge_a"), F.col("nb").alias("edge_b")).distinct()
-    return LineGraph(nodes, edges, occs, exceptions)
+    return LineGraph(nodes, edges, occs, exceptions, g.traced(moved.select("edge_id", F.col("new_edge").alias("to")), rest=False))
+
+
+def merged_edges(g: LineGraph) -> DataFrame:
+    """One row: edges with tracked origins, and the mean and largest number of origins of one."""
+    size = g.origins.groupBy("edge_id").agg(F.count("*").alias("n"))
+    return size.agg(F.count("*").alias("edges"), F.avg("n").alias("mean_merged"), F.max("n").alias("max_merged"))
 
 
 def contract_short(g: LineGraph, length: float, keep: DataFrame | None = None) -> LineGraph:
@@ -176,7 +182,7 @@ def split_high_degree(g: LineGraph, most: int, shift: float = 10.0, name=None) -
             old = old.join(here.withColumnRenamed("edge_id", c), ["node_id", c]).withColumn(c, F.col("to")).drop("to")
         barred = barred.select("node_id", "line_id", "edge_a", "edge_b").unionByName(old.where("edge_a <> edge_b").select("node_id", "line_id", "edge_a", "edge_b")).distinct()
     all_occs = occs.unionByName(carried.withColumn("direction", F.lit(None).cast(g.occs.schema["direction"].dataType)))
-    return LineGraph(g.nodes.unionByName(new, allowMissingColumns=True), edges, all_occs.select(*g.occs.columns), barred.select("node_id", "line_id", "edge_a", "edge_b"))
+    return LineGraph(g.nodes.unionByName(new, allowMissingColumns=True), edges, all_occs.select(*g.occs.columns), barred.select("node_id", "line_id", "edge_a", "edge_b"), g.traced(named.select("edge_id", "to")))
 
 
 def snap_orphans(g: LineGraph, distance: float) -> DataFrame:

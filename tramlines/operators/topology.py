@@ -123,23 +123,27 @@ def turn_costs(g: LineGraph, penalty: float, full_turn: float) -> DataFrame:
 def split_edges(g: LineGraph, cuts: DataFrame) -> LineGraph:
     """Cut edges at new nodes: cuts(edge_id, share, node_id), any number for an edge, shares in (0, 1).
 
-    The pieces carry the edge's lines, direction towards the end that it pointed to; exceptions move to
-    the piece that touches their node.
+    The pieces carry the edge's lines, direction towards the end that it pointed to, and their part of
+    its vertices if the graph has any; exceptions move to the piece that touches their node.
     """
-    at = lambda c: g.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x_{c}"), F.col("y").alias(f"y_{c}"))
-    placed = cuts.join(g.edges, "edge_id").join(at("a"), "a").join(at("b"), "b")
-    new = placed.select("node_id", F.expr("x_a + share * (x_b - x_a)").alias("x"), F.expr("y_a + share * (y_b - y_a)").alias("y"))
-    stops = g.edges.join(cuts.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("share", "node_id"))).alias("s")), "edge_id")
-    chain = F.concat(F.array("a"), F.transform("s", lambda x: x["node_id"]), F.array("b"))
-    hops = stops.withColumn("c", chain).select("edge_id", "a", "b", "c", F.posexplode("c").alias("i", "u")).where(F.col("i") < F.size("c") - 1)
-    hops = hops.select("edge_id", F.col("a").alias("old_a"), F.col("b").alias("old_b"), "u", F.get("c", F.col("i") + 1).alias("v"))
-    piece = hops.select("edge_id", "old_a", "old_b", "u", "v", edge_key(F.col("u"), F.col("v")).alias("piece"))
+    bent = "geom" in g.edges.columns
+    whole_edges = cut(with_geometry(g).edges)
+    placed = cuts.join(whole_edges, "edge_id").withColumn("p", geometry.point_at(F.col("geom"), F.col("share")))
+    new = placed.select("node_id", "p.x", "p.y")
+    stops = whole_edges.join(cuts.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("share", "node_id"))).alias("s")), "edge_id")
+    chain = F.concat(F.array(F.struct(F.lit(0.0).alias("share"), F.col("a").alias("node_id"))), F.col("s"), F.array(F.struct(F.lit(1.0).alias("share"), F.col("b").alias("node_id"))))
+    hops = stops.withColumn("c", chain).select("edge_id", "a", "b", "geom", "c", F.posexplode("c").alias("i", "u")).where(F.col("i") < F.size("c") - 1)
+    hops = hops.select("edge_id", F.col("a").alias("old_a"), F.col("b").alias("old_b"), "geom", F.col("u.node_id").alias("u"), F.col("u.share").alias("from"), F.get("c", F.col("i") + 1).alias("v"))
+    hops = hops.select("edge_id", "old_a", "old_b", "geom", "u", "from", F.col("v.node_id").alias("v"), F.col("v.share").alias("to"))
+    piece = cut(hops.withColumn("piece", edge_key(F.col("u"), F.col("v"))))
     lines = piece.join(g.occs, "edge_id")
     towards = F.when(F.col("direction") == F.col("old_b"), F.col("v")).when(F.col("direction") == F.col("old_a"), F.col("u"))
     rest = [c for c in g.occs.columns if c not in ("edge_id", "direction")]
     occs = lines.select(F.col("piece").alias("edge_id"), towards.alias("direction"), *rest).select(*g.occs.columns)
     whole = stops.select("edge_id")
-    edges = piece.select(F.col("piece").alias("edge_id"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    columns = ["edge_id", "a", "b", *(["geom"] if bent else [])]
+    part = geometry.sub_path(F.col("geom"), F.col("from"), F.col("to"))
+    edges = piece.select(F.col("piece").alias("edge_id"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), *([F.when(F.col("u") < F.col("v"), part).otherwise(F.reverse(part)).alias("geom")] if bent else []))
     exceptions = g.exceptions
     if exceptions is not None:
         touch = piece.select("edge_id", "piece", F.explode(F.array("u", "v")).alias("node_id"))
@@ -147,8 +151,8 @@ def split_edges(g: LineGraph, cuts: DataFrame) -> LineGraph:
             moved = exceptions.join(touch.select(F.col("edge_id").alias(c), "node_id", "piece"), [c, "node_id"], "left")
             exceptions = moved.withColumn(c, F.coalesce("piece", c)).select("node_id", "line_id", "edge_a", "edge_b")
     return LineGraph(
-        g.nodes.unionByName(new, allowMissingColumns=True), g.edges.join(whole, "edge_id", "left_anti").select("edge_id", "a", "b").union(edges),
-        g.occs.join(whole, "edge_id", "left_anti").select(*g.occs.columns).union(occs), exceptions,
+        g.nodes.unionByName(new, allowMissingColumns=True), g.edges.join(whole, "edge_id", "left_anti").select(*columns).union(edges),
+        g.occs.join(whole, "edge_id", "left_anti").select(*g.occs.columns).union(occs), exceptions, g.traced(piece.select("edge_id", F.col("piece").alias("to"))),
     )
 
 
@@ -183,8 +187,19 @@ def contract_stray(g: LineGraph, stops: DataFrame | None = None, rounds: int = 1
             for c in ("edge_a", "edge_b"):
                 exceptions = exceptions.join(to.withColumnRenamed("e", c), [c, "node_id"], "left").withColumn(c, F.coalesce("new", c)).select("node_id", "line_id", "edge_a", "edge_b")
             exceptions = cut(exceptions.join(chosen.select("node_id"), "node_id", "left_anti"))
-        edges = g.edges.join(gone, "edge_id", "left_anti").select("edge_id", "a", "b").union(chosen.select(edge_key(F.col("p"), F.col("q")), "p", "q"))
-        g = LineGraph(cut(g.nodes.join(chosen.select("node_id"), "node_id", "left_anti")), cut(edges), cut(g.occs.join(gone, "edge_id", "left_anti").select(*g.occs.columns).union(merged)), exceptions)
+        fresh = chosen.select(edge_key(F.col("p"), F.col("q")).alias("edge_id"), F.col("p").alias("a"), F.col("q").alias("b"))
+        columns = ["edge_id", "a", "b"]
+        if "geom" in g.edges.columns:
+            # From p to the node and from there to q; vertices run from an edge's smaller node.
+            bent = old.join(g.edges.select("edge_id", "geom"), "edge_id")
+            first = bent.where("other = p").select(F.col("new").alias("edge_id"), F.when(F.col("p") < F.col("node_id"), F.col("geom")).otherwise(F.reverse("geom")).alias("one"))
+            second = bent.where("other = q").select(F.col("new").alias("edge_id"), F.when(F.col("node_id") < F.col("q"), F.col("geom")).otherwise(F.reverse("geom")).alias("two"))
+            fresh = fresh.join(first, "edge_id").join(second, "edge_id").withColumn("geom", F.concat("one", F.slice("two", F.lit(2), F.size("two"))))
+            columns.append("geom")
+        edges = g.edges.join(gone, "edge_id", "left_anti").select(*columns).union(fresh.select(*columns))
+        origins = g.traced(old.select("edge_id", F.col("new").alias("to")))
+        origins = origins if origins is None else cut(origins)
+        g = LineGraph(cut(g.nodes.join(chosen.select("node_id"), "node_id", "left_anti")), cut(edges), cut(g.occs.join(gone, "edge_id", "left_anti").select(*g.occs.columns).union(merged)), exceptions, origins)
     raise RuntimeError(f"stray nodes did not settle in {rounds} rounds")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, courses, geometry, hulls, sparse_grids
+from ..operators import chains, courses, geometry, hulls, sparse_grids, tiles
 from . import tables as T
 from .catalog import query
+from .network import PATHS
 
 # Chains of nodes with two edges
 
@@ -189,3 +190,24 @@ def quadtree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT zone, gx + px * side AS gx, gy + py * side AS gy, dir, side, ux, uy FROM leaf, (VALUES (1, 0, 0, 1, 1), (3, 0, 1, 1, -1), (2, 0, 0, 1, 0), (2, 0, 1, 1, 0), (0, 0, 0, 0, 1), (0, 1, 0, 0, 1)) e(dir, px, py, ux, uy)) GROUP BY zone, gx, gy, dir""", QUADS)
 def quadtree_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_grids.quadtree_edges(sparse_grids.quadtree(T.city_nodes(spark, sf_dir), "zone", 1.0, 1), "zone")
+
+
+# Tiles of polylines of four points, a unit being ten thousand kilometres
+
+TILES = PATHS + """,
+seg AS (SELECT id, i, CASE i WHEN 0 THEN x1 WHEN 1 THEN x2 ELSE x3 END * 1e7 AS x1, CASE i WHEN 0 THEN y1 WHEN 1 THEN y2 ELSE y3 END * 1e7 AS y1, CASE i WHEN 0 THEN x2 WHEN 1 THEN x3 ELSE x4 END * 1e7 AS x2, CASE i WHEN 0 THEN y2 WHEN 1 THEN y3 ELSE y4 END * 1e7 AS y2 FROM v, range(0, 3) r(i)),
+zoom AS (SELECT z, 20037508.342789244 AS h, 2 * 20037508.342789244 / (1 << z) AS w, 2 * 20037508.342789244 / (1 << z) * 50 / 1024 AS m FROM (VALUES (3), (6)) t(z)),
+col AS (SELECT *, unnest(range(greatest(0, floor((least(x1, x2) - m + h) / w))::BIGINT, least((1 << z) - 1, floor((greatest(x1, x2) + m + h) / w))::BIGINT + 1)) AS tx FROM seg, zoom),
+cel AS (SELECT *, unnest(range(greatest(0, floor((least(y1, y2) - m + h) / w))::BIGINT, least((1 << z) - 1, floor((greatest(y1, y2) + m + h) / w))::BIGINT + 1)) AS sy FROM col),
+bxd AS (SELECT *, tx * w - h - m AS p1, (tx + 1) * w - h + m AS p2, sy * w - h - m AS q1, (sy + 1) * w - h + m AS q2 FROM cel),
+cut_ AS (SELECT *, [(x2 - x1) * (q1 - y1) - (y2 - y1) * (p1 - x1), (x2 - x1) * (q2 - y1) - (y2 - y1) * (p1 - x1), (x2 - x1) * (q1 - y1) - (y2 - y1) * (p2 - x1), (x2 - x1) * (q2 - y1) - (y2 - y1) * (p2 - x1)] AS s FROM bxd
+         WHERE greatest(x1, x2) >= p1 AND least(x1, x2) <= p2 AND greatest(y1, y2) >= q1 AND least(y1, y2) <= q2),
+isl AS (SELECT z, tx, (1 << z) - 1 - sy AS ty, id, i, i - row_number() OVER (PARTITION BY z, tx, sy, id ORDER BY i) AS k FROM cut_ WHERE NOT (list_min(s) > 0 OR list_max(s) < 0))"""
+
+
+@query("SELECT z::INT AS z, tx, ty::BIGINT AS ty, id, (row_number() OVER (PARTITION BY z, tx, ty, id ORDER BY k) - 1)::BIGINT AS part, n FROM (SELECT z, tx, ty, id, k, count(*)::BIGINT + 1 AS n FROM isl GROUP BY ALL)", TILES)
+def tile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points the parts of each line have in each tile, on two zooms."""
+    at = lambda i: geometry.point(F.col("embedding")[2 * i].cast("double") * 1e7, F.col("embedding")[2 * i + 1].cast("double") * 1e7)
+    lines = T.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[at(i) for i in range(4)]).alias("geom"))
+    return tiles.tiled(lines, [3, 6]).select("z", "tx", "ty", "id", "part", F.size("points").cast("long").alias("n"))

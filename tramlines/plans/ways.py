@@ -1,11 +1,12 @@
-"""Registered queries of ways that lines may take: restriction inference and sampled routes, with their SQL."""
+"""Registered queries of ways that lines may take, what stands in their way, and where edges stem from, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, evaluate, routing
+from ..lineage import cut
+from ..operators import aggregate, evaluate, obstacles, routing, structure, topology
 from . import tables as T
 from .catalog import query
 
@@ -65,3 +66,79 @@ def eval_sampled_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate and distances of the same routes; tests compare it with plain searches."""
     return evaluate.route_summary(_routes(spark, sf_dir), 0.5)
+
+
+# Obstacles: a triangle of every third embedding, and the segments of the others
+
+AREAS = T.POINTS + """,
+tri AS (SELECT vec_id AS polygon, [embedding[1]::DOUBLE, embedding[3]::DOUBLE, embedding[5]::DOUBLE] AS px, [embedding[2]::DOUBLE, embedding[4]::DOUBLE, embedding[6]::DOUBLE] AS py FROM embeddings WHERE vec_id % 3 = 1),
+tside AS (SELECT polygon, px[i] AS x3, py[i] AS y3, px[i % 3 + 1] AS x4, py[i % 3 + 1] AS y4 FROM tri, range(1, 4) r(i)),
+touched AS (SELECT id, polygon FROM segs, tside WHERE ((x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1)) * ((x2 - x1) * (y4 - y1) - (y2 - y1) * (x4 - x1)) <= 0
+            AND ((x4 - x3) * (y1 - y3) - (y4 - y3) * (x1 - x3)) * ((x4 - x3) * (y2 - y3) - (y4 - y3) * (x2 - x3)) <= 0),
+held AS (SELECT id, polygon FROM segs, tside WHERE (y3 <= y1) <> (y4 <= y1) AND x1 < x3 + (y1 - y3) / (y4 - y3) * (x4 - x3) GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.struct(F.col("embedding")[2 * i].cast("double").alias("x"), F.col("embedding")[2 * i + 1].cast("double").alias("y"))
+    return T.read(spark, sf_dir, "embeddings").where("vec_id % 3 = 1").select(F.col("vec_id").alias("polygon"), F.array(at(0), at(1), at(2)).alias("ring"))
+
+
+@query("SELECT id, count(*)::BIGINT AS polygons FROM (SELECT * FROM touched UNION SELECT * FROM held) GROUP BY 1", AREAS)
+def obstacle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many triangles each segment meets or lies in."""
+    return obstacles.blocked(T.segments(spark, sf_dir), _areas(spark, sf_dir), 0.1).groupBy("id").agg(F.count("*").alias("polygons"))
+
+
+@query("SELECT p.id, polygon FROM points p, tside WHERE (y3 <= p.y) <> (y4 <= p.y) AND p.x < x3 + (p.y - y3) / (y4 - y3) * (x4 - x3) GROUP BY ALL HAVING count(*) % 2 = 1", AREAS)
+def obstacle_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which points lie in which triangles; corners are none's inside by parity."""
+    return obstacles.points_inside(T.points(spark, sf_dir), _areas(spark, sf_dir), 0.1)
+
+
+# Course penalties: steps of a lattice of 0.05 between lattice places that have points, and segments as courses
+
+LATTICE = T.POINTS + """,
+lat AS (SELECT DISTINCT round(x / 0.05)::BIGINT AS gx, round(y / 0.05)::BIGINT AS gy FROM points),
+hop AS (SELECT p.gx * 1000 + p.gy * 2 + (q.gy - p.gy) AS id, p.gx * 0.05 AS hx1, p.gy * 0.05 AS hy1, q.gx * 0.05 AS hx2, q.gy * 0.05 AS hy2 FROM lat p JOIN lat q ON (q.gx = p.gx + 1 AND q.gy = p.gy) OR (q.gx = p.gx AND q.gy = p.gy + 1)),
+par AS (SELECT s.id AS edge_id, hop.id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((hx1 - x1) * (x2 - x1) + (hy1 - y1) * (y2 - y1)) / ((x2 - x1)^2 + (y2 - y1)^2))) AS t,
+        least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((hx2 - x1) * (x2 - x1) + (hy2 - y1) * (y2 - y1)) / ((x2 - x1)^2 + (y2 - y1)^2))) AS u, * EXCLUDE (id) FROM segs s, hop)"""
+
+
+@query("""SELECT edge_id, id, round(penalty, 6) AS penalty FROM (SELECT edge_id, id, 3 * greatest(sqrt((hx1 - x1 - t * (x2 - x1))^2 + (hy1 - y1 - t * (y2 - y1))^2), sqrt((hx2 - x1 - u * (x2 - x1))^2 + (hy2 - y1 - u * (y2 - y1))^2))^2 / 0.05^2 AS penalty FROM par) WHERE penalty <= 6.7""", LATTICE)
+def obstacle_course_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = lambda c: F.round(F.col(c) / 0.05).cast("long")
+    lattice = T.points(spark, sf_dir).select(place("x").alias("gx"), place("y").alias("gy")).distinct()
+    ahead = lattice.select("gx", "gy", F.explode(F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")))).alias("m")).select("gx", "gy", (F.col("gx") + F.col("m.dx")).alias("qx"), (F.col("gy") + F.col("m.dy")).alias("qy"))
+    steps = ahead.join(lattice.select(F.col("gx").alias("qx"), F.col("gy").alias("qy")), ["qx", "qy"])
+    hops = steps.select((F.col("gx") * 1000 + F.col("gy") * 2 + F.col("qy") - F.col("gy")).alias("id"), *[(F.col(c) * 0.05).alias(n) for c, n in (("gx", "x1"), ("gy", "y1"), ("qx", "x2"), ("qy", "y2"))])
+    s = T.segments(spark, sf_dir)
+    courses = s.select(F.col("id").alias("edge_id"), F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))).alias("geom"))
+    return obstacles.course_penalties(hops, courses, 0.05, 3.0, 6.7).select("edge_id", "id", F.round("penalty", 6).alias("penalty"))
+
+
+# Origins through a merge of nodes and a cut of edges
+
+TRACED = T.NEAR + """,
+fold AS (SELECT DISTINCT edge_id AS original_id, least(a - a % 3, b - b % 3) AS p, greatest(a - a % 3, b - b % 3) AS q FROM edges WHERE a - a % 3 <> b - b % 3),
+cutup AS (SELECT original_id, p AS u, -(p * 1000003 + q) - 1 AS v FROM fold WHERE p % 2 = 0 UNION ALL SELECT original_id, -(p * 1000003 + q) - 1, q FROM fold WHERE p % 2 = 0 UNION ALL SELECT original_id, p, q FROM fold WHERE p % 2 <> 0)"""
+
+
+def _traced(spark: SparkSession, sf_dir: str):
+    """The graph with every three nodes in a row merged, and then edges from even nodes cut in the middle."""
+    g = T.near(spark, sf_dir).tracked()
+    merged = structure.remap(g, g.nodes.select("node_id", (F.col("node_id") - F.col("node_id") % 3).alias("into")))
+    names = g.nodes.select((F.col("node_id") - F.col("node_id") % 3).alias("node_id"), "x", "y").dropDuplicates(["node_id"])
+    merged = merged.with_(nodes=names, edges=cut(merged.edges))
+    cuts = merged.edges.where("a % 2 = 0").select("edge_id", F.lit(0.5).alias("share"), (-(F.col("a") * 1000003 + F.col("b")) - 1).alias("node_id"))
+    return topology.split_edges(merged, cuts)
+
+
+@query("SELECT DISTINCT least(u, v) || '-' || greatest(u, v) AS edge_id, original_id FROM cutup", TRACED)
+def lineage_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _traced(spark, sf_dir).origins
+
+
+@query("SELECT count(*)::BIGINT AS edges, round(avg(n), 6) AS mean_merged, max(n)::BIGINT AS max_merged FROM (SELECT u, v, count(DISTINCT original_id) AS n FROM cutup GROUP BY ALL)", TRACED)
+def lineage_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.merged_edges(_traced(spark, sf_dir))
+    return found.select("edges", F.round("mean_merged", 6).alias("mean_merged"), "max_merged")

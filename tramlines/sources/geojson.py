@@ -93,6 +93,15 @@ def read(spark: SparkSession, path: str, form: str = "auto", project: bool = Fal
     return LineGraph(nodes.drop("excluded_conn"), edges, occs, exceptions)
 
 
+def polygons(spark: SparkSession, path: str, form: str = "auto", project: bool = False) -> DataFrame:
+    """(polygon, ring): outer rings of the polygons at `path`, arrays of structs x, y, named by a hash of their corners."""
+    f = features(spark, path, form).where("geometry.type = 'Polygon'").select(F.get(F.from_json("geometry.coordinates", "array<array<array<double>>>"), F.lit(0)).alias("r"))
+    at = lambda p, i: F.get(p, F.lit(i))
+    corner = lambda p: F.struct((fx.mercator_x(at(p, 0)) if project else at(p, 0)).alias("x"), (fx.mercator_y(at(p, 1)) if project else at(p, 1)).alias("y"))
+    rings = f.where(F.size("r") > 2).select(F.transform("r", corner).alias("ring"))
+    return rings.select(F.sha2(F.col("ring").cast("string"), 256).alias("polygon"), "ring").dropDuplicates(["polygon"])
+
+
 def feature_rows(g: LineGraph, project: bool = False) -> DataFrame:
     """One JSON feature per row: nodes with stations and exceptions, edges with their vertices and lines
     in order; with `project`, web mercator metres become longitudes and latitudes."""
