@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import cut
 from ..model import LineGraph
 from .numbering import numbered
 from .spatial import cell
@@ -78,6 +79,33 @@ def best(found: DataFrame) -> DataFrame:
     return found.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
+def insert(g: LineGraph, stations: DataFrame, chosen: DataFrame, distance: float, name=None) -> LineGraph:
+    """The graph with each cluster's chosen candidate (name, kind, target) as its station.
+
+    A chosen edge is cut where it is nearest to the cluster, several stations on one edge in order; a
+    chosen node becomes the station.  Former stations lose their label.  Nodes get station_label, and
+    not_serving with the lines at the station that the cluster does not serve.  `name` makes the
+    names of new nodes from those of clusters.
+    """
+    from .topology import split_edges
+
+    name = name or (lambda c: F.concat(F.lit("station:"), c))
+    placed = candidate_edges(g, clusters(g, stations).select("name", "x", "y"), distance)
+    near = chosen.where("kind = 'edge'").select("name", F.col("target").alias("edge_id")).join(placed.select("name", "edge_id", "share"), ["name", "edge_id"])
+    # Ends of the edge are nodes already: a place there is that node.
+    ends = near.join(g.edges.select("edge_id", "a", "b"), "edge_id").where("share <= 0 or share >= 1").select("name", F.when(F.col("share") <= 0, F.col("a")).otherwise(F.col("b")).alias("node_id"))
+    cuts = cut(near.where("share > 0 and share < 1").select("edge_id", "share", name(F.col("name")).alias("node_id"), "name"))
+    wanted = cut(served_sets(g, stations)[1])
+    out = split_edges(g, cuts.select("edge_id", "share", "node_id"))
+    key = g.nodes.schema["node_id"].dataType
+    on_nodes = chosen.where("kind = 'node'").select("name", F.col("target").cast(key).alias("node_id"))
+    labels = cuts.select("name", "node_id").union(on_nodes.select("name", "node_id")).union(ends.select("name", "node_id")).groupBy("node_id").agg(F.min("name").alias("station_label"))
+    there = labels.join(out.incidence(), "node_id").join(out.occs.select("edge_id", "line_id"), "edge_id").select("node_id", F.col("station_label").alias("name"), "line_id").distinct()
+    wrong = there.join(wanted, ["name", "line_id"], "left_anti").groupBy("node_id").agg(F.array_sort(F.collect_set("line_id")).alias("not_serving"))
+    nodes = out.nodes.drop("station_label", "not_serving").join(labels, "node_id", "left").join(wrong, "node_id", "left")
+    return out.with_(nodes=nodes)
+
+
 def unserved(g: LineGraph, stations: DataFrame, chosen: DataFrame) -> DataFrame:
     """(name, line_id): lines that a cluster should serve and its chosen candidate does not."""
     touches = g.edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("target"), "edge_id").union(g.incidence().select(F.lit("node"), F.col("node_id").cast("string"), "edge_id"))

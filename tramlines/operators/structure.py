@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import cut
-from ..model import LineGraph, edge_key
+from ..model import LineGraph, edge_key, with_geometry
+from . import geometry
 from .aggregate import fold_direction
 from .algebra import continuations, degrees
+from .courses import average
 from .spatial import crossings, neighbours, project_on_segments
 
 
@@ -46,9 +48,10 @@ def drop_isolated(g: LineGraph) -> LineGraph:
     return g.with_(nodes=g.nodes.join(g.incidence().select("node_id").distinct(), "node_id", "left_semi"))
 
 
-def remap(g: LineGraph, mapping: DataFrame) -> LineGraph:
-    """Merge nodes by mapping(node_id, into): edges are re-hung, parallel ones merged with their lines
-    and folded directions, loops dropped; exceptions follow their edges while these stay different."""
+def remap(g: LineGraph, mapping: DataFrame, step: float = 20.0) -> LineGraph:
+    """Merge nodes by mapping(node_id, into): edges are re-hung, parallel ones merged with their lines,
+    folded directions and, where there are vertices, the mean of their geometries (a point every `step`);
+    loops are dropped; exceptions follow their edges while these stay different."""
     m = mapping.select("node_id", "into")
     name = lambda c: F.coalesce(f"into_{c}", c)
     side = lambda c: m.select(F.col("node_id").alias(c), F.col("into").alias(f"into_{c}"))
@@ -58,6 +61,10 @@ def remap(g: LineGraph, mapping: DataFrame) -> LineGraph:
     occs = occs.groupBy(F.col("new_edge").alias("edge_id"), "line_id").agg(fold_direction(F.coalesce("into", "direction")).alias("direction"), F.sum("n").alias("n"))
     nodes = g.nodes.join(m.where("node_id <> into"), "node_id", "left_anti")
     edges = moved.select(F.col("new_edge").alias("edge_id"), "a", "b").distinct()
+    if "geom" in g.edges.columns:
+        turned = hung.select("edge_id", (F.col("p") > F.col("q")).alias("turned"))
+        bent = g.edges.select("edge_id", "geom").join(turned, "edge_id").join(moved.select("edge_id", "new_edge"), "edge_id")
+        edges = edges.join(average(bent.select(F.col("new_edge").alias("edge_id"), F.when(F.col("turned"), F.reverse("geom")).otherwise(F.col("geom")).alias("geom"), F.lit(1.0).alias("weight")), step), "edge_id")
     exceptions = g.exceptions
     if exceptions is not None:
         to = moved.select(F.col("edge_id").alias("e"), "new_edge")
@@ -88,6 +95,45 @@ def contract_short(g: LineGraph, length: float, keep: DataFrame | None = None) -
     return remap(g, short.join(taken, "edge_id").select(F.col("b").alias("node_id"), F.col("a").alias("into")))
 
 
+def contract_edges(g: LineGraph, length: float, stops: DataFrame | None = None, only_free: bool = False, step: float = 20.0, rounds: int = 1000) -> LineGraph:
+    """Contract edges shorter than `length` until none is left that may be: first those of few neighbours.
+
+    Edges come by the whole part of the degrees of their ends and their length together, then by length
+    and a hash of their name (by name, a row of equal edges would take a round each).  An edge stays if its larger end is a dead end, if a station is a dead end, or if its ends
+    are stations of different names (stops(node_id, name)); with `only_free` every edge at a station
+    stays.  The ends meet midway, under the name of the station if one is, else of the smaller end.
+    Parallel edges are folded with their lines, directions and mean geometry.
+
+    In each round all edges go that come first among the candidates at their ends and at the ends'
+    neighbours, as these don't change each other's place or degree.
+    """
+    named = stops.groupBy("node_id").agg(F.min("name").alias("stop")) if stops is not None else g.nodes.select("node_id", F.lit(None).cast("string").alias("stop")).where("false")
+    for _ in range(rounds):
+        g = with_geometry(g)
+        at = degrees(g).select("node_id", "degree").join(named, "node_id", "left")
+        end = lambda c: at.select(F.col("node_id").alias(c), F.col("degree").alias(f"d_{c}"), F.col("stop").alias(f"s_{c}"))
+        short = g.edges.withColumn("length", geometry.length(F.col("geom"))).where(F.col("length") < length).join(end("a"), "a").join(end("b"), "b")
+        free = (F.col("d_b") > 1) & (F.col("s_a").isNull() | (F.col("d_a") > 1)) & (F.col("s_a").isNull() | F.col("s_b").isNull() | (F.col("s_a") == F.col("s_b")))
+        if only_free:
+            free = free & F.col("s_a").isNull() & F.col("s_b").isNull()
+        key = F.struct(F.floor(F.col("d_a") + F.col("d_b") + F.col("length")).alias("k"), F.col("length"), F.xxhash64("edge_id"), F.col("edge_id"))
+        found = cut(short.where(free).select("edge_id", "a", "b", "s_a", "s_b", key.alias("key")))
+        if found.isEmpty():
+            return g
+        here = found.select(F.explode(F.array("a", "b")).alias("node_id"), "key").groupBy("node_id").agg(F.min("key").alias("key"))
+        near = g.incidence().join(here.withColumnRenamed("node_id", "other"), "other").select("node_id", "key").union(here).groupBy("node_id").agg(F.min("key").alias("key"))
+        one = lambda c: near.select(F.col("node_id").alias(c), F.col("key").alias(f"first_{c}"))
+        taken = found.join(one("a"), "a").join(one("b"), "b").where("key = first_a and key = first_b")
+        stay = F.when(F.col("s_b").isNotNull(), F.col("b")).otherwise(F.col("a"))
+        moves = cut(taken.select(stay.alias("into"), F.when(F.col("s_b").isNotNull(), F.col("a")).otherwise(F.col("b")).alias("node_id")))
+        spot = g.nodes.select("node_id", "x", "y")
+        mid = moves.join(spot, "node_id").join(spot.select(F.col("node_id").alias("into"), F.col("x").alias("x2"), F.col("y").alias("y2")), "into").select(F.col("into").alias("node_id"), ((F.col("x") + F.col("x2")) / 2).alias("mx"), ((F.col("y") + F.col("y2")) / 2).alias("my"))
+        g = remap(g, moves, step)
+        nodes = g.nodes.join(mid, "node_id", "left").withColumn("x", F.coalesce("mx", "x")).withColumn("y", F.coalesce("my", "y")).drop("mx", "my")
+        g = LineGraph(cut(nodes), cut(g.edges), cut(g.occs), g.exceptions if g.exceptions is None else cut(g.exceptions), g.origins if g.origins is None else cut(g.origins))
+    raise RuntimeError(f"edges did not settle in {rounds} rounds")
+
+
 def pass_through(g: LineGraph, stops: DataFrame | None = None) -> DataFrame:
     """(node_id, edge_a, edge_b): nodes of two edges, without a stop, over which every line of both runs."""
     two = degrees(g).where("degree = 2").select("node_id")
@@ -195,6 +241,23 @@ def snap_orphans(g: LineGraph, distance: float) -> DataFrame:
     return found.select(F.col("id").alias("node_id"), F.col("segment").alias("edge_id"), F.col("pos").alias("share"))
 
 
+def attach_orphans(g: LineGraph, distance: float) -> LineGraph:
+    """Nodes without an edge moved onto the nearest edge within `distance`, which is cut there.
+
+    A node whose place on the edge is one of its ends goes, as that end stands for it; nodes with no
+    edge near stay as they are.
+    """
+    from .topology import split_edges
+
+    found = cut(snap_orphans(g, distance))
+    rest = g.with_(nodes=g.nodes.join(found.select("node_id"), "node_id", "left_anti"))
+    out = split_edges(rest, found.where("share > 0 and share < 1"))
+    extra = [c for c in g.nodes.columns if c not in ("x", "y")]
+    # What else is known of the moved nodes comes back with them.
+    known = out.nodes.select("node_id", "x", "y").join(g.nodes.select(*extra), "node_id", "left")
+    return out.with_(nodes=known.select(*g.nodes.columns))
+
+
 def lengths(g: LineGraph) -> DataFrame:
     """One row: edges, their total and largest length, and the mean and largest number of lines."""
     at = lambda c: g.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..model import with_geometry
 from ..operators import aggregate, algebra, drawing, geometry, grids, ordergraph, ordering, schematic, spatial, stations, structure, topology
 from . import tables as T
@@ -441,6 +442,32 @@ def graph_snap_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.snap_orphans(g, 1.5).select("node_id", "edge_id", F.round("share", 6).alias("share"))
 
 
+SNAPPED = T.SPARSE.replace("1.0 * ", "1.5 * ") + """,
+snap AS (SELECT node_id, arg_min(edge_id, (d, edge_id)) AS edge_id, round(arg_min(pos, (d, edge_id)), 6) AS share FROM (SELECT *, sqrt((x - x1 - pos * (x2 - x1))^2 + (y - y1 - pos * (y2 - y1))^2) AS d FROM (
+SELECT n.node_id, n.x, n.y, edge_id, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((n.x - p.x) * (q.x - p.x) + (n.y - p.y) * (q.y - p.y)) / ((q.x - p.x)^2 + (q.y - p.y)^2))) AS pos
+FROM nodes n, edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b WHERE n.node_id NOT IN (SELECT node_id FROM inc))) WHERE d <= 1.5 GROUP BY 1),
+stop AS (SELECT edge_id, a AS node_id, 0 AS k, 0.0::DOUBLE AS share FROM edges UNION ALL SELECT edge_id, node_id, 1, share FROM snap WHERE share > 0 AND share < 1 UNION ALL SELECT edge_id, b, 2, 1.0 FROM edges),
+hop AS (SELECT edge_id, node_id AS u, lead(node_id) OVER (PARTITION BY edge_id ORDER BY k, share, node_id) AS v FROM stop)"""
+
+
+@query("SELECT least(u, v) || '-' || greatest(u, v) AS edge_id FROM hop WHERE v IS NOT NULL", SNAPPED)
+def graph_attach_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after the nodes that only rare edges touch were put on the nearest of the others."""
+    occs = cut(aggregate.prune_rare(aggregate.occurrences(T.city_hops(spark, sf_dir).withColumn("line_id", F.lit("all"))), 1.5))
+    return structure.attach_orphans(aggregate.line_graph(T.city_nodes(spark, sf_dir), occs), 1.5).edges.select("edge_id")
+
+
+@query()
+def graph_contract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges shorter than a diagonal, away from stations, contracted on the thin graph; tested against one at a time.
+
+    All nodes but two in seven are stations.
+    """
+    stops = T.city_nodes(spark, sf_dir).where("node_id % 7 > 1").select("node_id", F.col("node_id").cast("string").alias("name"))
+    g = structure.contract_edges(T.thin(spark, sf_dir), 1.2, stops, only_free=True, step=0.5)
+    return g.occs.select("edge_id", "line_id", F.col("direction").cast("string").alias("direction"), "n")
+
+
 @query("SELECT count(*)::BIGINT AS edges, round(sum(d), 6) AS total, round(max(d), 6) AS longest, round(avg(n), 6) AS mean_lines, max(n)::BIGINT AS max_lines FROM (SELECT sqrt((p.x - q.x)^2 + (p.y - q.y)^2) AS d, n FROM edges JOIN nodes p ON p.node_id = a JOIN nodes q ON q.node_id = b JOIN (SELECT edge_id, count(*) AS n FROM occs GROUP BY 1) USING (edge_id))", T.NEAR)
 def agg_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.lengths(T.near(spark, sf_dir))
