@@ -144,12 +144,15 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder for a table that cuts lineage, under spark.checkpoint.dir.
 
     The setting is read from the session, so a cluster's shared store is used.  Only where it is
-    unset (local tests) a folder of this machine is chosen and put in its place.
+    unset in a local session (tests) a folder of this machine is chosen and put in its place; elsewhere
+    that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='tramlines-')}"

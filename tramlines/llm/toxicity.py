@@ -221,5 +221,8 @@ def scores(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def remainder(divisor: int) -> Column:
-    """CRC-32 of the id as text, modulo `divisor`: the folds of training and held-out documents."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+    """CRC-32 of the id as text, modulo `divisor`: the folds of training and held-out documents.
+
+    A null id counts as an empty text, whose CRC-32 is 0, so its row is no held-out one.
+    """
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
