@@ -1,5 +1,6 @@
 """Operators, sources and queries of the line graph library."""
 
+import functools
 import itertools
 import math
 import random
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tramlines import functions as fx
 from tramlines.model import LineGraph
 from tramlines.operators import aggregate, algebra, evaluate, ordering, schematic, spatial, structure
-from tramlines.plans import catalog
+from tramlines.plans import catalog, tables
 from tramlines.sources import dot, geojson, gtfs, svg
 from tramlines.streaming.hops import windowed_occurrences
 
@@ -248,8 +249,19 @@ def plain(v):
     return f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
+@pytest.fixture(scope="module")
+def shared_graphs():
+    """Graphs of the tables are made once for all queries; what a stage cut is only read."""
+    kept = {n: getattr(tables, n) for n in ("near", "sparse", "full")}
+    for n, make in kept.items():
+        setattr(tables, n, functools.cache(make))
+    yield
+    for n, make in kept.items():
+        setattr(tables, n, make)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
-def test_query_equals_sql(spark, duck, name):
+def test_query_equals_sql(spark, duck, shared_graphs, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(tuple(map(plain, r)) for r in df.select(*cols).collect())

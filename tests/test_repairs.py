@@ -97,3 +97,15 @@ def test_boxes_stay_unless_one_that_stays_overlaps(spark, by_hash):
     got = drawing.drop_overlapped(df, 3.0, None if by_hash else F.col("node_id") * 37 % 101)
     assert rows(got, "node_id") == sorted((b[0],) for b in stay)
     assert drawing.drop_overlapped(df.where("false"), 3.0).count() == 0
+
+
+def test_cliques_break_where_places_don_t_follow(spark):
+    """Five lines straight over a node; the order on the far edge has one line out of place."""
+    g = graph(spark, {"a": (-1, 0), "m": (0, 0), "z": (1, 0)}, {str(i): [("a", "m", None), ("m", "z", None)] for i in range(5)})
+    places = {"a-m": [0, 1, 2, 3, 4], "m-z": [0, 1, 4, 2, 3]}
+    order = spark.createDataFrame([(e, str(i), p, 5) for e, ps in places.items() for i, p in enumerate(ps)], "edge_id string, line_id string, pos long, lines long")
+    got = drawing.adjacent_cliques(g, order).collect()
+    assert sorted(r.lines for r in got) == [1, 2, 2]
+    assert {r.lines: r.z for r in got}[1] == 2 and sorted(r.clique for r in got) == [0, 1, 2]
+    straight = order.withColumn("pos", F.col("line_id").cast("long"))
+    assert [(r.lines, r.z) for r in drawing.adjacent_cliques(g, straight).collect()] == [(5, 0)]

@@ -123,6 +123,24 @@ def inner_connections(g: LineGraph, order: DataFrame) -> DataFrame:
     return legs.select("node_id", "line_id", "edge_a", "edge_b", F.col("sa").alias("pos_a"), F.col("sb").alias("pos_b"))
 
 
+def adjacent_cliques(g: LineGraph, order: DataFrame) -> DataFrame:
+    """(node_id, edge_a, edge_b, clique, lines, pos_a, pos_b, reference, z): strokes drawn as one, without gaps.
+
+    Two strokes between the same edges lie side by side if their places differ by one on both edges, and
+    so that they don't cross: seen from the node, one place up on the one edge is one down on the other.
+    A clique is a run of such strokes; pos_a and pos_b are the places of its first stroke, which the
+    others are drawn parallel to, reference is its line.  Larger cliques are drawn first (z from 0).
+    """
+    strokes = inner_connections(g, order).withColumn("turn", F.col("pos_a") + F.col("pos_b"))
+    side = Window.partitionBy("node_id", "edge_a", "edge_b", "turn").orderBy("pos_a", "line_id")
+    runs = strokes.withColumn("run", F.col("pos_a") - F.row_number().over(side))
+    first = F.min(F.struct("pos_a", "pos_b", F.col("line_id").alias("reference")))
+    cliques = runs.groupBy("node_id", "edge_a", "edge_b", "turn", "run").agg(F.count("*").alias("lines"), first.alias("f")).select("node_id", "edge_a", "edge_b", "lines", "f.*")
+    number = F.row_number().over(Window.partitionBy("node_id", "edge_a", "edge_b").orderBy("pos_a", "pos_b")) - 1
+    depth = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("lines"), "edge_a", "edge_b", "pos_a")) - 1
+    return cliques.select("node_id", "edge_a", "edge_b", number.cast("long").alias("clique"), "lines", "pos_a", "pos_b", "reference", depth.cast("long").alias("z"))
+
+
 def inner_cliques(g: LineGraph, order: DataFrame) -> DataFrame:
     """(node_id, edge_a, edge_b, lines, z): strokes between the same edges, the largest drawn first."""
     groups = inner_connections(g, order).groupBy("node_id", "edge_a", "edge_b").agg(F.count("*").alias("lines"))

@@ -478,6 +478,17 @@ def draw_out_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing.out_angles(T.near(spark, sf_dir)).select("node_id", "edge_id", F.round("angle", 6).alias("angle"))
 
 
+@query("""SELECT node_id, edge_a, edge_b, (row_number() OVER (PARTITION BY node_id, edge_a, edge_b ORDER BY pos_a) - 1)::BIGINT AS clique, lines, pos_a, pos_b, reference,
+(row_number() OVER (PARTITION BY node_id ORDER BY lines DESC, edge_a, edge_b, pos_a) - 1)::BIGINT AS z FROM clq""", T.NEAR + """,
+stk AS (SELECT node_id, line_id, edge_a, edge_b, sa, sb FROM legs WHERE edge_a < edge_b),
+tops AS (SELECT * FROM stk p WHERE NOT EXISTS (SELECT 1 FROM stk q WHERE q.node_id = p.node_id AND q.edge_a = p.edge_a AND q.edge_b = p.edge_b AND q.sa = p.sa - 1 AND q.sb = p.sb + 1)),
+grow(node_id, edge_a, edge_b, sa, sb, k) AS (SELECT node_id, edge_a, edge_b, sa, sb, 1::BIGINT FROM tops UNION ALL SELECT w.node_id, w.edge_a, w.edge_b, w.sa, w.sb, w.k + 1 FROM grow w JOIN stk q ON q.node_id = w.node_id AND q.edge_a = w.edge_a AND q.edge_b = w.edge_b AND q.sa = w.sa + w.k AND q.sb = w.sb - w.k),
+clq AS (SELECT g.node_id, g.edge_a, g.edge_b, g.sa AS pos_a, g.sb AS pos_b, max(k) AS lines, any_value(t.line_id) AS reference FROM grow g JOIN tops t ON t.node_id = g.node_id AND t.edge_a = g.edge_a AND t.edge_b = g.edge_b AND t.sa = g.sa AND t.sb = g.sb GROUP BY ALL)""")
+def draw_adjacent_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.near(spark, sf_dir)
+    return drawing.adjacent_cliques(g, ordering.default_order(g))
+
+
 FRONTS = T.NEAR + """,
 fr AS (SELECT node_id, x0 + t * ux + uy * total / 2 AS x1, y0 + t * uy - ux * total / 2 AS y1, x0 + t * ux - uy * total / 2 AS x2, y0 + t * uy + ux * total / 2 AS y2 FROM (
 SELECT inc.node_id, edge_id, k.x AS x0, k.y AS y0, least(0.3, len / 2) AS t, (m.x - k.x) / len AS ux, (m.y - k.y) / len AS uy, lines * 0.03 - 0.01 AS total
