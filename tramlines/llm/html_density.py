@@ -15,7 +15,8 @@ Blocks are runs of text between block-level tags (and ``br``); white space insid
 one space, blocks are trimmed and joined by one space.
 
 Edge cases: a null, empty or text-free page gives an empty text; plain text without tags is its own
-main text; what stands directly in the body is held to the same threshold, bare text there counts; unclosed elements close where their parent does; very long pages are parsed whole;
+main text; what stands directly in the body is held to the same threshold, bare text there counts; unclosed elements close where their parent does; a `<` that no `>` closes is text; very
+long, deep or broken pages are parsed whole, in time that grows with their length;
 repeated rows are handled each on their own; an empty table gives an empty result; other columns of
 the input are ignored.
 """
@@ -31,7 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"</?[a-zA-Z]|<[!?]")
+_NAME_END = re.compile(r"[\s/>]")
+_GREATER = re.compile(">")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SECTIONS = frozenset("div section article main table tbody tr td center".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +50,8 @@ _HEADER = frozenset("header masthead topbar".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 #: A start tag of the first kind ends an open element of the second.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "a": {"a"}}
+#: End tags of inline elements and paragraphs don't close these.
+_CELLS = ("td", "th", "article", "main")
 _KEEPS_P = _INLINE | {"br", "img", "wbr", "button", "select", "option", "script", "style", "noscript", "svg", "object", "embed", "input", "iframe", "canvas", "map", "area"}
 
 
@@ -76,72 +82,141 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+class _Tags:
+    """The tags of a page from left to right, in time that grows with its length alone.
+
+    A `<` without a matching `>` is text.  What a search without success has passed is remembered, so
+    that no stretch of the page is searched again by every tag that stays open.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.near: dict[re.Pattern, int] = {}
+        self.dead: set[int] = set()
+
+    def _next(self, pattern: re.Pattern, pos: int) -> int:
+        """Where the pattern is met first at or after pos, which never goes back."""
+        at = self.near.get(pattern, -1)
+        if at < pos:
+            m = pattern.search(self.html, pos)
+            at = self.near[pattern] = m.start() if m else len(self.html)
+        return at
+
+    def _close(self, pos: int) -> int:
+        """The first > from pos that stands outside quotes, or -1."""
+        html, met = self.html, []
+        at = self._next(_SPECIAL, pos)
+        while at < len(html) and at not in self.dead:
+            if html[at] == ">":
+                return at
+            met.append(at)
+            end = html.find(html[at], at + 1)
+            if end < 0:
+                break
+            m = _SPECIAL.search(html, end + 1)
+            at = m.start() if m else len(html)
+        self.dead.update(met)
+        return -1
+
+    def find(self, pos: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closes, name, attributes) of the next tag; comments and declarations have no name."""
+        html = self.html
+        while m := _TAG.search(html, pos):
+            start, pos = m.span()
+            if html[pos - 1] in "!?":
+                if html.startswith("<!--", start):
+                    end = html.find("-->", start + 4)
+                    return start, end + 3 if end >= 0 else len(html), False, "", ""
+                end = self._next(_GREATER, pos)
+                if end < len(html):
+                    return start, end + 1, False, "", ""
+                continue
+            name = self._next(_NAME_END, pos)
+            end = self._close(name) if name < len(html) else -1
+            if end >= 0:
+                return start, end + 1, html[start + 1] == "/", html[pos - 1 : name].lower(), html[name:end]
+        return None
+
+
+class _Open:
+    """The open elements, with the places of each tag and of what stops a search."""
+
+    def __init__(self, root: _Node):
+        self.nodes: list[_Node] = []
+        self.places: dict[str, list[int]] = {}
+        #: Elements that are not inline, and those that are neither inline nor paragraphs.
+        self.solid: list[int] = []
+        self.walls: list[int] = []
+        self.push(root)
+
+    def push(self, node: _Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag not in _INLINE:
+            self.solid.append(at)
+            if node.tag != "p":
+                self.walls.append(at)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost element of these tags, or 0."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it; the root stays open."""
+        while len(self.nodes) > max(at, 1):
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag not in _INLINE:
+                self.solid.pop()
+                if tag != "p":
+                    self.walls.pop()
+
+
 def parse(html: str) -> _Node:
     """The tree of a page's elements with the text between them."""
-    root = body = _Node("body", None, False)
-    stack, at, articles = [body], 0, 0
+    root = _Node("body", None, False)
+    tags, stack = _Tags(html), _Open(root)
+    at = 0
 
     def text(upto: int) -> None:
-        if upto > at and not stack[-1].skip:
-            stack[-1].parts.append(unescape(html[at:upto]))
-
-    def pop() -> None:
-        nonlocal articles
-        articles -= stack.pop().tag in ("article", "main")
-
-    pos = 0
-    while m := _TOKEN.search(html, pos):
-        text(m.start())
-        at = pos = m.end()
-        if not m[2]:
+        if upto > at and not stack.nodes[-1].skip:
+            stack.nodes[-1].parts.append(unescape(html[at:upto]))
+
+    while found := tags.find(at):
+        start, end, closes, tag, attrs = found
+        text(start)
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].tag in ("td", "th", "article", "main") and tag in _INLINE | {"p"}:
-                    break
+        if closes:
+            place = stack.last(tag)
+            if place and not (tag in _INLINE or tag == "p") or place > stack.last(*_CELLS):
+                stack.cut(place)
             continue
         if tag in ("html", "body"):
-            while len(stack) > 1 and stack[1].tag == "head":
-                pop()
+            if len(stack.nodes) > 1 and stack.nodes[1].tag == "head":
+                stack.cut(1)
             continue
         if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, pos)
-            if close:
-                gt = html.find(">", close.start())
-                at = pos = gt + 1 if gt >= 0 else len(html)
-            else:
-                at = pos = len(html)
+            close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+            gt = html.find(">", close.start()) if close else -1
+            at = gt + 1 if gt >= 0 else len(html)
             continue
-        if tag not in _KEEPS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].tag not in _INLINE:
-                    break
+        if tag not in _KEEPS_P and stack.nodes[stack.solid[-1]].tag == "p":
+            stack.cut(stack.solid[-1])
         if tag in _ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _ENDS[tag]:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].tag not in _INLINE and stack[i].tag != "p":
-                    break
-        if stack[-1].tag == "head" and tag not in ("meta", "link", "base"):
-            pop()
-        parent = stack[-1]
-        node = _Node(tag, parent, parent.skip or _boilerplate(tag, m[3], articles > 0))
+            place = stack.last(*_ENDS[tag])
+            if place and place >= stack.walls[-1]:
+                stack.cut(place)
+        if stack.nodes[-1].tag == "head" and tag not in ("meta", "link", "base"):
+            stack.cut(len(stack.nodes) - 1)
+        parent = stack.nodes[-1]
+        node = _Node(tag, parent, parent.skip or _boilerplate(tag, attrs, stack.last("article", "main") > 0))
         parent.children.append(node)
         parent.parts.append(node)
-        if tag not in _VOID and not m[3].endswith("/"):
-            stack.append(node)
-            articles += tag in ("article", "main")
+        if tag not in _VOID and not attrs.endswith("/"):
+            stack.push(node)
     text(len(html))
     return root
 
@@ -205,6 +280,7 @@ def main_text(html: str | None) -> str:
     while node is not None:
         path.append(node)
         node = node.parent
+    on_path = {id(n) for n in path}
     threshold = min(n.density for n in path)
     chosen = {id(best)}
     for child, parent in zip(path[:-1], path[1:], strict=True):
@@ -218,10 +294,10 @@ def main_text(html: str | None) -> str:
             node = todo.pop()
             if isinstance(node, str):
                 out.append(node)
-            elif id(node) in chosen and not (node in path and node is not best):
+            elif id(node) in chosen and (node is best or id(node) not in on_path):
                 _emit(node, out)
-            elif node is top or node in path:
-                todo.extend(["\0", *(p for p in reversed(node.parts) if isinstance(p, str) or id(p) in chosen or p in path), "\0"])
+            elif node is top or id(node) in on_path:
+                todo.extend(["\0", *(p for p in reversed(node.parts) if isinstance(p, str) or id(p) in chosen or id(p) in on_path), "\0"])
     blocks = (" ".join(b.split()) for b in "".join(out).split("\0"))
     return " ".join(b for b in blocks if b)
 
