@@ -80,3 +80,44 @@ def test_gtfs_shapes_pruning_and_turns(spark, tmp_path):
     assert geom == {"A-B": 3, "B-C": 2, "B-D": 2}
     assert rows(g.exceptions, "node_id", "edge_a", "edge_b") == [("B", "A-B", "B-D"), ("B", "B-C", "B-D"), ("B", "B-D", "A-B"), ("B", "B-D", "B-C")]
     assert rows(gtfs.line_graph(feed, prune=1.0).edges, "edge_id") == [("A-B",), ("B-C",)]
+
+
+def test_components_statistics_and_labels_go_through_files(spark, tmp_path):
+    from tests.test_line_graph import graph
+    from tramlines.operators import structure
+
+    nodes = {"a": (0, 0), "b": (3, 4), "c": (6, 8), "p": (0, 9), "q": (5, 9), "z": (9, 9)}
+    g = graph(spark, nodes, {"1": [("a", "b", None), ("b", "c", None)], "2": [("b", "c", "c"), ("p", "q", "q")]}, [("b", "1", "a-b", "b-c")])
+    g = g.with_(occs=g.occs.withColumn("label", F.when(F.col("line_id") == "1", "one")))
+    after = structure.with_components(g.tracked())
+    stats = structure.build_statistics(g, after, spark.createDataFrame([("a",), ("z",), ("gone",)], "node_id string"))
+    want = {"num_nds_in": 6, "num_edgs_in": 3, "len_before": 15.0, "num_nds_out": 6, "num_edgs_out": 3, "num_stations_out": 2, "num_components": 3, "num_restrs": 1, "len_after": 15.0,
+            "tot_merged_edgs": 3, "tot_support_graph_edgs": 3, "max_merged_edgs": 1, "avg_merged_edgs": 1.0}
+    assert stats.first().asDict() == want
+    path = f"file://{tmp_path}/out"
+    geojson.write(after, path, statistics=stats)
+    back = geojson.read(spark, path)
+    assert rows(back.nodes, "node_id", "component") == [("a", 0), ("b", 0), ("c", 0), ("p", 1), ("q", 1), ("z", 2)] and rows(back.edges, "edge_id") == [("a-b",), ("b-c",), ("p-q",)]
+    props = [json.loads(r.value)["properties"] for r in spark.read.text(path).collect()]
+    assert sorted((p["from"], p["dbg_lines"], p["component"]) for p in props if "from" in p) == [("a", "one", 0), ("b", "one,", 0), ("p", "", 1)]
+    assert geojson.prior_statistics(spark, path).first().asDict() == want
+    # A stage after it: what was before stays, merged edges add up.
+    whole = F.lit("a-b").alias("to")
+    merged = back.tracked()
+    merged = merged.with_(origins=merged.traced(spark.createDataFrame([("b-c",)], "edge_id string").withColumn("to", whole)), edges=merged.edges.where("edge_id <> 'b-c'"), nodes=merged.nodes.where("node_id <> 'c'"), exceptions=None)
+    later = structure.build_statistics(back, merged, prior=geojson.prior_statistics(spark, path)).first()
+    assert (later.num_nds_in, later.num_nds_out, later.len_before, later.len_after, later.num_restrs) == (6, 5, 15.0, 10.0, 0)
+    assert (later.tot_merged_edgs, later.tot_support_graph_edgs, later.max_merged_edgs, later.avg_merged_edgs) == (6, 5, 2, 1.2)
+    geojson.write(after, f"file://{tmp_path}/parts", by=after.nodes, statistics=stats)
+    assert rows(geojson.read(spark, f"file://{tmp_path}/parts/component=1").nodes, "node_id") == [("p",), ("q",)]
+    assert geojson.prior_statistics(spark, f"file://{tmp_path}/parts/component=statistics").count() == 1
+
+
+def test_properties_of_collections_and_awkward_components(spark, tmp_path):
+    features = [feature("Point", [0, 0], id="a", component=7), feature("Point", [1, 0], id="b", component="x"), feature("LineString", [[1, 0], [4, 0]], **{"from": "b"}, component=3, lines=[{"id": "1"}])]
+    (tmp_path / "one.json").write_text(json.dumps({"type": "FeatureCollection", "properties": {"statistics": {"num_nds_in": 9, "len_before": 2.5, "iters": 4}}, "features": features}, indent=1))
+    (tmp_path / "none.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    got = geojson.prior_statistics(spark, f"file://{tmp_path}/one.json").collect()
+    assert [(r.num_nds_in, r.len_before, r.num_nds_out) for r in got] == [(9, 2.5, None)] and geojson.prior_statistics(spark, f"file://{tmp_path}/none.json").count() == 0
+    assert json.loads(geojson.properties(spark, f"file://{tmp_path}/one.json").first().value)["statistics"]["iters"] == 4
+    assert rows(geojson.read(spark, f"file://{tmp_path}/one.json").nodes, "node_id", "component") == [("4|0", 3), ("a", 7), ("b", None)]

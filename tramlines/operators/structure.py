@@ -12,6 +12,7 @@ from . import geometry
 from .aggregate import fold_direction
 from .algebra import continuations, degrees
 from .courses import average
+from .numbering import numbered
 from .spatial import crossings, neighbours, project_on_segments
 
 
@@ -79,6 +80,47 @@ def merged_edges(g: LineGraph) -> DataFrame:
     return size.agg(F.count("*").alias("edges"), F.avg("n").alias("mean_merged"), F.max("n").alias("max_merged"))
 
 
+def with_components(g: LineGraph) -> LineGraph:
+    """The graph with the number of each node's component, from 0 in the order of their smallest nodes."""
+    label = components(g.nodes, g.edges.select("a", "b"))
+    place = numbered(label.select("component").distinct(), "component").select("component", F.col("at").alias("place"))
+    named = label.join(place, "component").select("node_id", F.col("place").alias("component"))
+    return g.with_(nodes=g.nodes.drop("component").join(named, "node_id"))
+
+
+def build_statistics(before: LineGraph, after: LineGraph, stops: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
+    """One row: nodes, edges and length before and after, stations, components, exceptions, merged edges.
+
+    stops(node_id) are the stations of `after`.  Its tracked origins give how many former edges an edge
+    was made of: edges that have any, the sum, the largest and the mean number.  With prior(...), such a
+    row of an earlier stage, the figures before are that stage's, and merged edges add up over both.
+    """
+    size = lambda g: F.expr("aggregate(transform(sequence(1, size(geom) - 1), i -> sqrt(pow(geom[i].x - geom[i - 1].x, 2) + pow(geom[i].y - geom[i - 1].y, 2))), 0D, (s, v) -> s + v)")
+    long = lambda g, name: with_geometry(g).edges.where("size(geom) > 1").agg(F.coalesce(F.sum(size(g)), F.lit(0.0)).alias(name))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    label = components(after.nodes, after.edges.select("a", "b"))
+    sizes = (after.origins if after.origins is not None else after.tracked().origins).groupBy("edge_id").agg(F.count("*").alias("n"))
+    merged = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tot_merged_edgs"), F.count("*").alias("tot_support_graph_edgs"), F.coalesce(F.max("n"), F.lit(0)).alias("max_merged_edgs"))
+    # In files a pair of edges is one exception, whichever way it is turned.
+    banned = after.exceptions.where("edge_a < edge_b") if after.exceptions is not None else after.nodes.limit(0)
+    stations = stops.select("node_id").distinct().join(after.nodes, "node_id", "left_semi") if stops is not None else after.nodes.limit(0)
+    rows = [
+        count(before.nodes, "num_nds_in"), count(before.edges, "num_edgs_in"), long(before, "len_before"), count(after.nodes, "num_nds_out"), count(after.edges, "num_edgs_out"),
+        count(stations, "num_stations_out"), label.agg(F.countDistinct("component").alias("num_components")), count(banned, "num_restrs"), long(after, "len_after"), merged,
+    ]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.crossJoin(row)  # single rows
+    names = out.columns
+    if prior is not None:
+        first, summed = ("num_nds_in", "num_edgs_in", "len_before"), ("tot_merged_edgs", "tot_support_graph_edgs")
+        last = prior.agg(*[F.max(c).alias(f"p_{c}") for c in (*first, "max_merged_edgs")], *[F.sum(c).alias(f"p_{c}") for c in summed])
+        out = out.crossJoin(last)  # single rows
+        taken = {c: F.coalesce(f"p_{c}", c) for c in first} | {c: F.col(c) + F.coalesce(f"p_{c}", F.lit(0)) for c in summed} | {"max_merged_edgs": F.greatest("max_merged_edgs", "p_max_merged_edgs")}
+        out = out.select(*[taken.get(c, F.col(c)).alias(c) for c in names])
+    return out.withColumn("avg_merged_edgs", F.try_divide("tot_merged_edgs", "tot_support_graph_edgs"))
+
+
 def contract_short(g: LineGraph, length: float, keep: DataFrame | None = None) -> LineGraph:
     """One round of contracting edges shorter than `length`: an independent set of them, shortest first.
 
