@@ -82,7 +82,7 @@ def merged_edges(g: LineGraph) -> DataFrame:
 
 def with_components(g: LineGraph) -> LineGraph:
     """The graph with the number of each node's component, from 0 in the order of their smallest nodes."""
-    label = components(g.nodes, g.edges.select("a", "b"))
+    label = components(g.nodes, cut(g.edges.select("a", "b")))
     place = numbered(label.select("component").distinct(), "component").select("component", F.col("at").alias("place"))
     named = label.join(place, "component").select("node_id", F.col("place").alias("component"))
     return g.with_(nodes=g.nodes.drop("component").join(named, "node_id"))
@@ -95,8 +95,10 @@ def build_statistics(before: LineGraph, after: LineGraph, stops: DataFrame | Non
     was made of: edges that have any, the sum, the largest and the mean number.  With prior(...), such a
     row of an earlier stage, the figures before are that stage's, and merged edges add up over both.
     """
-    size = lambda g: F.expr("aggregate(transform(sequence(1, size(geom) - 1), i -> sqrt(pow(geom[i].x - geom[i - 1].x, 2) + pow(geom[i].y - geom[i - 1].y, 2))), 0D, (s, v) -> s + v)")
-    long = lambda g, name: with_geometry(g).edges.where("size(geom) > 1").agg(F.coalesce(F.sum(size(g)), F.lit(0.0)).alias(name))
+    # What is counted several times is held; the graphs may come straight from files.
+    before, after = (g.with_(nodes=cut(g.nodes.select("node_id", "x", "y")), edges=cut(g.edges)) for g in (before, after))
+    size = F.expr("aggregate(transform(sequence(1, size(geom) - 1), i -> sqrt(pow(geom[i].x - geom[i - 1].x, 2) + pow(geom[i].y - geom[i - 1].y, 2))), 0D, (s, v) -> s + v)")
+    long = lambda g, name: with_geometry(g).edges.where("size(geom) > 1").agg(F.coalesce(F.sum(size), F.lit(0.0)).alias(name))
     count = lambda df, name: df.agg(F.count("*").alias(name))
     label = components(after.nodes, after.edges.select("a", "b"))
     sizes = (after.origins if after.origins is not None else after.tracked().origins).groupBy("edge_id").agg(F.count("*").alias("n"))

@@ -250,6 +250,38 @@ def order_detached_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordergraph.detached_ends(T.near(spark, sf_dir))
 
 
+DETACHED = ORPHANS + """,
+ends AS (SELECT node_id, edge_id FROM (SELECT node_id, edge_id, count(*) AS n FROM term GROUP BY ALL) JOIN pe USING (edge_id, n) JOIN deg USING (node_id) WHERE degree > 1),
+one AS (SELECT min(node_id) AS node_id, edge_id FROM ends GROUP BY edge_id),
+off AS (SELECT node_id, edge_id, -(a * 1000003 + b) AS fresh, CASE WHEN node_id = a THEN b ELSE a END AS other FROM one JOIN edges USING (edge_id)
+        WHERE (node_id, edge_id) NOT IN (SELECT node_id, max(edge_id) FROM one JOIN deg USING (node_id) GROUP BY node_id, degree HAVING count(*) = degree))"""
+
+
+@query("""SELECT coalesce(least(other, fresh) || '-' || greatest(other, fresh), edge_id) AS edge_id, line_id, CASE WHEN direction = node_id THEN fresh ELSE direction END::VARCHAR AS direction FROM occs LEFT JOIN off USING (edge_id)""", DETACHED)
+def order_detach_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines on edges after ends without a line that goes on are hung on nodes of their own."""
+    a, b = F.split("edge_id", "-")[0].cast("long"), F.split("edge_id", "-")[1].cast("long")
+    g = ordergraph.detach_ends(T.near(spark, sf_dir), lambda node, edge: -(a * 1000003 + b))
+    return g.occs.select("edge_id", "line_id", F.col("direction").cast("string").alias("direction"))
+
+
+@query("""SELECT DISTINCT min(line_id) OVER (PARTITION BY path) AS representative, line_id, edge_id FROM (SELECT path, line_id, count(*) OVER (PARTITION BY path) AS size FROM partner) JOIN part USING (path) WHERE size > 1""",
+T.THIN + """, hop AS (SELECT line_id, a AS u, b AS v FROM occs UNION ALL SELECT line_id, b, a FROM occs),
+reach(line_id, node_id, r) AS (SELECT DISTINCT line_id, u, u FROM hop UNION SELECT reach.line_id, reach.node_id, hop.v FROM reach JOIN hop ON hop.line_id = reach.line_id AND hop.u = reach.r),
+piece AS (SELECT line_id || '/' || min(r) AS path, line_id, node_id FROM reach GROUP BY line_id, node_id),
+inner_ AS (SELECT p.path, e.edge_id, e.a, e.b FROM edges e JOIN piece p ON p.node_id = e.a JOIN piece q ON q.node_id = e.b AND q.path = p.path),
+degs AS (SELECT path, node_id, count(*) AS d FROM (SELECT path, a AS node_id FROM inner_ UNION ALL SELECT path, b FROM inner_) GROUP BY ALL),
+simple AS (SELECT path FROM degs GROUP BY path HAVING max(d) <= 2 AND min(d) = 1),
+part AS (SELECT path, edge_id, (count(*) OVER (PARTITION BY path)) AS n FROM inner_ WHERE path IN (SELECT path FROM simple)),
+whole AS (SELECT path, part.n AS n, line_id FROM part JOIN occs USING (edge_id) GROUP BY ALL HAVING count(*) = part.n),
+ways AS (SELECT p.path, c.line_id, count(*) FILTER (WHERE q.path IS NOT NULL AND edge_a < edge_b) AS over_, count(*) FILTER (WHERE q.path IS NULL) AS beside
+         FROM part p JOIN ctd c ON c.edge_a = p.edge_id LEFT JOIN part q ON q.path = p.path AND q.edge_id = c.edge_b GROUP BY ALL),
+partner AS (SELECT w.path, w.line_id FROM whole w LEFT JOIN ways v ON v.path = w.path AND v.line_id = w.line_id WHERE coalesce(over_, 0) = n - 1 AND coalesce(beside, 0) = 0)""")
+def order_partner_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that always run together along a simple path, with the path's edges."""
+    return ordergraph.partner_groups(T.thin(spark, sf_dir))
+
+
 @query("""SELECT component, (SELECT count(*) FROM comp c WHERE c.component = e.component)::BIGINT AS nodes, count(*)::BIGINT AS edges, max(n)::BIGINT AS max_lines, round(sum(list_sum(list_transform(range(1, n + 1), lambda k: log10(k)))), 6) AS log10_orders
 FROM (SELECT component, n FROM edges JOIN comp ON comp.node_id = a JOIN pe USING (edge_id)) e GROUP BY component""",
 T.SPARSE + """, pe AS (SELECT edge_id, count(*)::BIGINT AS n FROM occs GROUP BY 1), hop AS (SELECT a AS u, b AS v FROM edges UNION ALL SELECT b, a FROM edges),
