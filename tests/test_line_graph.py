@@ -109,6 +109,14 @@ def test_components_of_a_long_path_and_isolated(spark):
     assert got == {i: 0 if i < 100 else 100 if i < n else n for i in range(n + 1)}
 
 
+def test_components_of_a_shuffled_path_settle_in_few_rounds(spark):
+    order = random.Random(5).sample(range(3000), 3000)
+    nodes = spark.range(3001).withColumnRenamed("id", "node_id")
+    pairs = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(order[0], 5000)], "a long, b long")
+    got = structure.components(nodes, pairs, max_rounds=11)
+    assert got.where("component = 0").count() == 3000 and rows(got.where("component <> 0")) == [(3000, 3000)]
+
+
 def test_contract_and_remap_keep_lines_and_exceptions(spark):
     nodes = {"a": (0, 0), "b": (1, 0), "c": (1.1, 0), "d": (2, 0), "e": (1, 1)}
     lines = {"1": [("a", "b", "b"), ("b", "c", "c"), ("c", "d", "d")], "2": [("b", "e", None), ("c", "e", "e")]}
