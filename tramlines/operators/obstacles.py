@@ -2,63 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import geometry
-from .spatial import cell
+from . import blocks, geometry
+from .spatial import boxed, cell
+
+CELLS = 1 << 18  # rows by sides that are looked at together
+
+
+def _rings(polygons: DataFrame) -> DataFrame:
+    """Rings with their boxes."""
+    low, high = (lambda c: F.array_min(F.transform("ring", lambda p: p[c]))), (lambda c: F.array_max(F.transform("ring", lambda p: p[c])))
+    at = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return polygons.select("polygon", at.alias("ring")).select("polygon", "ring", low("x").alias("bx1"), low("y").alias("by1"), high("x").alias("bx2"), high("y").alias("by2"))
+
+
+def _sides_of(rings: pa.ListArray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of a block's rings: those with a side, where their sides begin, and the ends of all sides."""
+    places, at = rings.values, rings.offsets.to_numpy()
+    x, y = (places.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    here = np.arange(at[0], at[-1])
+    ahead = here + 1
+    full = np.diff(at) > 0
+    ahead[at[1:][full] - 1 - at[0]] = at[:-1][full]
+    true = (x[here] != x[ahead]) | (y[here] != y[ahead])
+    here, ahead, owner = here[true], ahead[true], owner[true]
+    named, first = np.unique(owner, return_index=True)
+    return named, first, (x[here], y[here], x[ahead], y[ahead])
+
+
+def _held(x: np.ndarray, y: np.ndarray, first: np.ndarray, sides: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Places by rings: whether the sides to the right of the place are odd in number."""
+    x3, y3, x4, y4 = sides
+    with np.errstate(divide="ignore", invalid="ignore"):
+        right = ((y3 <= y) != (y4 <= y)) & (x < x3 + (y - y3) / (y4 - y3) * (x4 - x3))
+    return np.logical_xor.reduceat(right, first, axis=1)
 
 
-def sides(polygons: DataFrame) -> DataFrame:
-    """(polygon, x3, y3, x4, y4): the sides of rings (polygon, ring), the closing one included."""
-    pair = F.transform("ring", lambda p, i: F.struct(p["x"].alias("x3"), p["y"].alias("y3"), F.get("ring", (i + 1) % F.size("ring"))["x"].alias("x4"), F.get("ring", (i + 1) % F.size("ring"))["y"].alias("y4")))
-    return polygons.select("polygon", F.explode(pair).alias("s")).select("polygon", "s.*").where("x3 <> x4 or y3 <> y4")
+def _touched(a: dict[str, np.ndarray], first: np.ndarray, sides: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Segments by rings: whether they share a point with a side, ends included."""
+    x3, y3, x4, y4 = sides
+    x1, y1, x2, y2 = a["x1"], a["y1"], a["x2"], a["y2"]
+    turn = lambda ax, ay, bx, by, cx, cy: np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+    among = lambda v, p, q: (v >= np.minimum(p, q)) & (v <= np.maximum(p, q))
+    t3, t4, t1, t2 = turn(x1, y1, x2, y2, x3, y3), turn(x1, y1, x2, y2, x4, y4), turn(x3, y3, x4, y4, x1, y1), turn(x3, y3, x4, y4, x2, y2)
+    meets = (t3 * t4 < 0) & (t1 * t2 < 0)
+    for zero, x, y, p, q, r, s in ((t3, x3, y3, x1, x2, y1, y2), (t4, x4, y4, x1, x2, y1, y2), (t1, x1, y1, x3, x4, y3, y4), (t2, x2, y2, x3, x4, y3, y4)):
+        meets |= (zero == 0) & among(x, p, q) & among(y, r, s)
+    return np.logical_or.reduceat(meets, first, axis=1)
 
 
-def _cells(rows: DataFrame, size: float, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
-    rows = rows.withColumn("cx", F.explode(F.sequence(cell(F.least(x1, x2), size), cell(F.greatest(x1, x2), size))))
-    return rows.withColumn("cy", F.explode(F.sequence(cell(F.least(y1, y2), size), cell(F.greatest(y1, y2), size))))
+def _matrix(decide: Callable[[dict, np.ndarray, tuple], np.ndarray]) -> blocks.Test:
+    """A test of blocks by `decide`, which takes as many rows at a time as their rings' sides allow."""
+
+    def test(a: dict, b: dict) -> blocks.Found:
+        named, first, ends = _sides_of(b["ring"])
+        if not len(named):
+            return np.empty(0, int), np.empty(0, int), {}
+        some, out = max(1, CELLS // len(ends[0])), []
+        for at in range(0, len(a["x1"]), some):
+            i, j = np.nonzero(decide({c: a[c][at : at + some, None] for c in ("x1", "y1", "x2", "y2")}, first, ends))
+            out.append((i + at, named[j]))
+        return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out]), {}
+
+    return test
+
+
+def _matches(segments: DataFrame, polygons: DataFrame, size: float, decide: Callable[[dict, np.ndarray, tuple], np.ndarray]) -> DataFrame:
+    kinds = f"id {segments.schema['id'].dataType.simpleString()}, polygon {polygons.schema['polygon'].dataType.simpleString()}"
+    one, two = blocks.packed(boxed(segments), size), blocks.packed(_rings(polygons), size, many="ring")
+    return blocks.matches(one, two, size, _matrix(decide), ("id", "polygon"), kinds)
+
+
+def _places(points: DataFrame) -> DataFrame:
+    return points.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
 
 
 def points_inside(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """(id, polygon): points (id, x, y) inside polygons, by the parity of the sides to their right.
 
-    A point meets a polygon in the one cell, `size` wide, that holds it, among those of the polygon's
-    box, and then only that polygon's sides in its own row of cells.
+    Blocks of points meet blocks of whole rings, so a pair is decided where it meets: what is shuffled
+    grows with points and corners, not with pairs.
     """
-    edge = sides(polygons)
-    box = edge.groupBy("polygon").agg(F.min(F.least("x3", "x4")).alias("bx1"), F.min(F.least("y3", "y4")).alias("by1"), F.max(F.greatest("x3", "x4")).alias("bx2"), F.max(F.greatest("y3", "y4")).alias("by2"))
-    boxed = _cells(box, size, "bx1", "by1", "bx2", "by2")
-    met = points.select("id", "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy")).join(boxed, ["cx", "cy"]).where("x between bx1 and bx2 and y between by1 and by2")
-    rows = edge.withColumn("cy", F.explode(F.sequence(cell(F.least("y3", "y4"), size), cell(F.greatest("y3", "y4"), size))))
-    right = met.select("id", "x", "y", "cy", "polygon").join(rows, ["polygon", "cy"]).where("(y3 <= y) <> (y4 <= y) and x < x3 + (y - y3) / (y4 - y3) * (x4 - x3)")
-    return right.groupBy("id", "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "polygon")
-
-
-def meets_side() -> Column:
-    """Whether segments (x1, y1, x2, y2) and (x3, y3, x4, y4) share a point, ends included."""
-    turn = lambda a, b, c: f"signum((x{b} - x{a}) * (y{c} - y{a}) - (y{b} - y{a}) * (x{c} - x{a}))"
-    on = lambda a, b, c: f"({turn(a, b, c)} = 0 and x{c} between least(x{a}, x{b}) and greatest(x{a}, x{b}) and y{c} between least(y{a}, y{b}) and greatest(y{a}, y{b}))"
-    apart = f"({turn(1, 2, 3)} * {turn(1, 2, 4)} < 0 and {turn(3, 4, 1)} * {turn(3, 4, 2)} < 0)"
-    return F.expr(f"{apart} or {on(1, 2, 3)} or {on(1, 2, 4)} or {on(3, 4, 1)} or {on(3, 4, 2)}")
+    return _matches(_places(points), polygons, size, lambda a, first, ends: _held(a["x1"], a["y1"], first, ends))
 
 
 def blocked(segments: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """(id, polygon): segments (id, x1, y1, x2, y2) that meet a polygon's sides or lie in it.
 
-    A segment that meets no side is in or out as a whole, so one end tells.  Sides and segments meet in
-    the cells of their boxes; cells are `size` wide.
+    A segment that meets no side is in or out as a whole, so one end tells.  Every pair is met once.
     """
-    one = _cells(segments.select("id", "x1", "y1", "x2", "y2"), size, "x1", "y1", "x2", "y2")
-    two = _cells(sides(polygons), size, "x3", "y3", "x4", "y4")
-    touched = one.join(two, ["cx", "cy"]).where(meets_side()).select("id", "polygon")
-    held = points_inside(segments.select("id", F.col("x1").alias("x"), F.col("y1").alias("y")), polygons, size)
-    return touched.union(held).distinct()
+    return _matches(segments, polygons, size, lambda a, first, ends: _held(a["x1"], a["y1"], first, ends) | _touched(a, first, ends))
 
 
 def blocked_points(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """(id, polygon): points in a polygon or on its sides."""
-    return blocked(points.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2")), polygons, size)
+    return blocked(_places(points), polygons, size)
 
 
 def course_penalties(hops: DataFrame, courses: DataFrame, size: float, price: float, limit: float) -> DataFrame:
