@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from tests.test_line_graph import rows
+from tests.test_dense_joins import shuffled
 from tramlines.operators import hulls
 
 
@@ -56,3 +57,21 @@ def test_grid_in_a_triangle(spark):
     want = {(x, y, x + dx, y + dy) for x, y in at for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (x + dx, y + dy) in at}
     assert {tuple(r) for r in edges.select("gx", "gy", "to_gx", "to_gy").collect()} == want
     assert {r.dir for r in edges.where("to_gx = gx and to_gy = gy + 1").collect()} == {0}
+
+
+def test_edges_of_a_tall_grid_come_from_its_columns(spark):
+    n, key = 30_000, "spark.sql.autoBroadcastJoinThreshold"
+    nodes = spark.createDataFrame([(k, x, y) for k in (1, 2) for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, float(n)), (0.0, float(n)))], "zone long, x double, y double")
+    was = spark.conf.get(key)
+    before = shuffled(spark)
+    try:
+        spark.conf.set(key, "-1")
+        points, edges = hulls.hull_grid(nodes, "zone", 1.0)
+        counts = {(r.zone, r.dir): r["count"] for r in edges.groupBy("zone", "dir").count().collect()}
+        assert points.count() == 2 * 3 * (n + 1)
+    finally:
+        spark.conf.set(key, was)
+    sizes = [3 * n, 2 * n, 2 * (n + 1), 2 * n, 3 * n, 2 * n, 2 * (n + 1), 2 * n]
+    assert counts == {(k, d): c for k in (1, 2) for d, c in enumerate(sizes)}
+    assert shuffled(spark) - before < 5_000  # of 180,006 points and 1,020,024 edges
+    assert edges.where("zone = 1 and gx = 1 and gy = 7 and dir = 3").select("to_gx", "to_gy").first() == (2, 6)

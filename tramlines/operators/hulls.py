@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
+RUN = 1 << 14  # whole numbers that a row becomes at once
+
 
 def hull_of(xy: np.ndarray) -> np.ndarray:
     """The corners of points' convex hull, counter-clockwise from the smallest; straight ones left out."""
@@ -58,19 +62,31 @@ def inside(hull: Column, x: Column, y: Column) -> Column:
     return (F.size(hull) > 2) & left
 
 
+def _runs(rows: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """Rows for every whole number from low to high, dealt out in runs: a long one is not made in one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.withColumn("_to", high).withColumn("_from", low).where("_from <= _to").withColumn("_at", F.explode(F.sequence("_from", "_to", F.lit(RUN).cast("long"))))
+    return parts.repartition(n).withColumn(name, F.explode(F.sequence("_at", F.least("_to", F.col("_at") + RUN - 1)))).drop("_from", "_to", "_at")
+
+
 def hull_grid(nodes: DataFrame, key: str, size: float) -> tuple[DataFrame, DataFrame]:
     """For each key the grid points in the hull of its nodes, and the edges between them in eight directions.
 
     Points (key, gx, gy, x, y) stand `size` apart from the lower left of the key's box; edges are (key,
     gx, gy, dir, to_gx, to_gy), dir clockwise from up.  All keys are made at once, each from its own
-    table rows.
+    table rows.  As a hull is convex, its points in a column are those from one to another, so edges come
+    from pairs of columns: no point looks for its neighbours.
     """
     hulls = convex_hulls(nodes, key).select(key, "hull", F.array_min(F.transform("hull", lambda p: p["x"])).alias("x0"), F.array_min(F.transform("hull", lambda p: p["y"])).alias("y0"), F.array_max(F.transform("hull", lambda p: p["x"])).alias("x1"), F.array_max(F.transform("hull", lambda p: p["y"])).alias("y1"))
-    line = lambda c: F.sequence(F.lit(0).cast("long"), F.ceil((F.col(f"{c}1") - F.col(f"{c}0")) / size))
-    spots = hulls.withColumn("gx", F.explode(line("x"))).withColumn("gy", F.explode(line("y"))).withColumn("x", F.col("x0") + F.col("gx") * size).withColumn("y", F.col("y0") + F.col("gy") * size)
-    points = spots.where(inside(F.col("hull"), F.col("x"), F.col("y"))).select(key, "gx", "gy", "x", "y")
+    zero, last = F.lit(0).cast("long"), lambda c: F.ceil((F.col(f"{c}1") - F.col(f"{c}0")) / size)
+    spots = _runs(_runs(cut(hulls), zero, last("x"), "gx"), zero, last("y"), "gy")
+    held = spots.where(inside(F.col("hull"), F.col("x0") + F.col("gx") * size, F.col("y0") + F.col("gy") * size))
+    columns = cut(held.groupBy(key, "gx", "x0", "y0").agg(F.min("gy").alias("low"), F.max("gy").alias("high")))
+    points = _runs(columns, F.col("low"), F.col("high"), "gy").select(key, "gx", "gy", (F.col("x0") + F.col("gx") * size).alias("x"), (F.col("y0") + F.col("gy") * size).alias("y"))
     moves = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
     step = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("dir"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(moves)]))
-    ways = points.select(key, "gx", "gy", step.alias("m")).select(key, "gx", "gy", "m.dir", (F.col("gx") + F.col("m.dx")).alias("to_gx"), (F.col("gy") + F.col("m.dy")).alias("to_gy"))
-    there = points.select(key, F.col("gx").alias("to_gx"), F.col("gy").alias("to_gy"))
-    return points, ways.join(there, [key, "to_gx", "to_gy"], "left_semi").select(key, "gx", "gy", "dir", "to_gx", "to_gy")
+    ways = columns.select(key, "gx", "low", "high", step.alias("m")).select(key, "gx", "low", "high", "m.dir", "m.dy", (F.col("gx") + F.col("m.dx")).alias("to_gx"))
+    beside = columns.select(key, F.col("gx").alias("to_gx"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = ways.join(beside, [key, "to_gx"])
+    edges = _runs(pairs, F.greatest("low", F.col("low2") - F.col("dy")), F.least("high", F.col("high2") - F.col("dy")), "gy")
+    return points, edges.select(key, "gx", "gy", "dir", "to_gx", (F.col("gy") + F.col("dy")).alias("to_gy"))
