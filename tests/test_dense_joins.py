@@ -5,7 +5,7 @@ import random
 from itertools import combinations
 
 from tests.test_line_graph import rows
-from tramlines.operators import obstacles, spatial
+from tramlines.operators import obstacles, spatial, structure
 
 SEGMENTS = "id long, x1 double, y1 double, x2 double, y2 double"
 POINTS = "id long, x double, y double"
@@ -45,6 +45,15 @@ def test_crossings_and_segments_within_of_many_matches(spark):
         t, u = shares(s, o)
         if 0 < t < 1 and 0 < u < 1:
             want[s[0], o[0]] = (s[1] + t * (s[3] - s[1]), s[2] + t * (s[4] - s[2]), t, u)
+    places = {s[0]: set() for s in segments}
+    for (a, b), (_, _, t, u) in want.items():
+        places[a].add(math.floor(t * 1e9 + 0.5) / 1e9)  # halves up
+        places[b].add(math.floor(u * 1e9 + 0.5) / 1e9)
+    before = shuffled(spark)
+    assert {r.id: r.cuts for r in structure.cuts(df, 4.0).collect()} == {i: sorted(p) for i, p in places.items()}
+    parts = structure.planarise(df, 4.0).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in parts} == {i: len(p) + 1 for i, p in places.items()}
+    assert shuffled(spark) - before < 20 * len(segments)
     before = shuffled(spark)
     got = spatial.crossings(df, 4.0).collect()
     assert {(r.a, r.b): (r.x, r.y, r.t, r.u) for r in got} == want and len(got) == len(want) > 100_000
