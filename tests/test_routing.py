@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_line_graph import graph, rows
+from tramlines.lineage import cut
 from tramlines.operators import routing
 
 STAR = {"m": (0, 0), "a": (-200, 0), "b": (200, 0), "c": (0, 200), "d": (0, -200)}
@@ -123,3 +124,31 @@ def test_dead_ends_are_lifted_in_name_order(spark, seed):
         want |= {(hub, x, y) for p in lifted_one_by_one(named, pairs) for x in p for y in p if x != y}
     g = graph(spark, nodes, lines, banned)
     assert set(rows(routing.lift_dead_ends(g).exceptions, "node_id", "edge_a", "edge_b")) == want
+
+
+def test_a_search_knows_rides_and_not_their_pieces(spark, monkeypatch):
+    """However many handles cut an original edge, a search has a step for each turn, and numbers for names."""
+    old = graph(spark, {"a": (-200, 0), "m": (0, 0), "b": (200, 0)}, {"1": [("a", "m", None), ("m", "b", None)]})
+    new = graph(spark, {"a": (-200, 0), "p": (-100, 0), "m": (0, 0), "b": (200, 0)}, {"1": [("a", "p", None), ("p", "m", None), ("m", "b", None)]})
+    origins = spark.createDataFrame([("a-p", "a-m"), ("m-p", "a-m"), ("b-m", "b-m")], "edge_id string, original_id string")
+    seen, search = [], routing.cheapest
+    monkeypatch.setattr(routing, "cheapest", lambda starts, steps, *a, **k: seen.append((starts, steps)) or search(starts, steps, *a, **k))
+    got = routing.infer_restrictions(new, old, origins, RULES)
+    assert rows(got.exceptions) == []
+    ((begun, steps),) = seen
+    assert {t for d in (begun, steps) for _, t in d.dtypes} == {"bigint", "double"}
+    # At each of three nodes back over the same edge, and at the middle one straight on, both ways.
+    assert steps.count() == 6
+
+
+def test_a_cut_computes_its_rows_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for f in frames:
+            counted.add(len(f))
+            yield f
+
+    table = cut(spark.range(100).mapInPandas(run, "id long"))
+    assert (table.count(), counted.value) == (100, 100)
+    assert rows(cut(spark.range(0)), "id") == []

@@ -10,32 +10,39 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
 from ..model import LineGraph, with_geometry
 from . import geometry
+from .numbering import numbered
 
 
-def cheapest(starts: DataFrame, steps: DataFrame, rounds: int = 10_000) -> DataFrame:
+def cheapest(starts: DataFrame, steps: DataFrame, rounds: int = 10_000, prev: bool = True) -> DataFrame:
     """(query, line_id, arc, cost, prev) of all arcs that a query reaches for less than its bound.
 
-    starts(query, line_id, arc, bound): the first arcs, which cost nothing; steps(line_id, arc, next,
-    cost): what the line pays to go over to the next arc.  prev is the arc before on the cheapest way
-    (ties by its name), null at a start.
+    starts(query, line_id, arc, bound): the first arcs, which cost nothing, or what a column `cost` says;
+    steps(line_id, arc, next, cost): what the line pays to go over to the next arc.  prev is the arc
+    before on the cheapest way (ties by its name), null at a start; without `prev` it is left out.
+    line_id may be absent on both sides where arcs are a line's own.
     """
-    known = starts.groupBy("query", "line_id", "arc").agg(F.max("bound").alias("bound")).withColumn("cost", F.lit(0.0)).withColumn("prev", F.lit(None).cast(starts.schema["arc"].dataType))
-    known = front = cut(known.select("query", "line_id", "arc", "bound", "cost", "prev"))
+    at = [c for c in ("line_id", "arc") if c in starts.columns]
+    key, rest = ["query", *at], ["cost", "prev"] if prev else ["cost"]
+    best = F.min(F.struct("cost", "prev") if prev else F.struct("cost")).alias("m")
+    starts = starts if "cost" in starts.columns else starts.withColumn("cost", F.lit(0.0))
+    # A start's own cost comes first among ties, as its prev is null.
+    known = starts.withColumn("prev", F.lit(None).cast(starts.schema["arc"].dataType)).where("cost < bound").groupBy(*key).agg(F.max("bound").alias("bound"), best)
+    known = front = cut(known.select(*key, "bound", "m.*"))
     for _ in range(rounds):
-        onward = front.join(steps.withColumnRenamed("cost", "step"), ["line_id", "arc"]).where(F.col("cost") + F.col("step") < F.col("bound"))
-        found = onward.groupBy("query", "line_id", F.col("next").alias("arc")).agg(F.max("bound").alias("bound"), F.min(F.struct((F.col("cost") + F.col("step")).alias("cost"), F.col("arc").alias("prev"))).alias("m"))
-        found = found.select("query", "line_id", "arc", "bound", "m.cost", "m.prev")
-        before = known.select("query", "line_id", "arc", F.col("cost").alias("old"))
-        front = cut(found.join(before, ["query", "line_id", "arc"], "left").where("old is null or cost < old").drop("old"))
+        onward = front.select(*key, "bound", "cost").join(steps.withColumnRenamed("cost", "step"), at).where(F.col("cost") + F.col("step") < F.col("bound"))
+        onward = onward.select("query", *at[:-1], F.col("next").alias("arc"), "bound", (F.col("cost") + F.col("step")).alias("cost"), F.col("arc").alias("prev"))
+        found = onward.groupBy(*key).agg(F.max("bound").alias("bound"), best).select(*key, "bound", "m.*")
+        before = known.select(*key, F.col("cost").alias("old"))
+        front = cut(found.join(before, key, "left").where("old is null or cost < old").drop("old"))
         if front.isEmpty():
-            return known.drop("bound")
-        known = cut(known.join(front, ["query", "line_id", "arc"], "left_anti").select(*front.columns).union(front))
+            return known.select(*key, *rest)
+        known = cut(known.join(front.select(*key), key, "left_anti").union(front))
     raise RuntimeError(f"searches did not end in {rounds} rounds")
 
 
@@ -55,28 +62,38 @@ def _travelled(g: LineGraph, directed: DataFrame) -> DataFrame:
     return rows.where("direction is null or direction = v").select("line_id", "arc", "edge_id", "u", "v")
 
 
-def _turns(g: LineGraph, directed: DataFrame) -> DataFrame:
-    """(line_id, node_id, arc, edge_a, next, edge_b, angle): turns between arcs of a line that no exception forbids."""
-    at = g.nodes.select(F.col("node_id").alias("v"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+def _turns(g: LineGraph, directed: DataFrame, angles: bool = True) -> DataFrame:
+    """(line_id, node_id, arc, edge_a, next, edge_b, angle): turns between arcs of a line that no exception forbids.
+
+    Without `angles` there is no angle, and vertices are not joined to every turn.
+    """
     ride = _travelled(g, directed)
-    tail = directed.join(at, "v").select("arc", (F.element_at("geom", -2)["x"] - F.col("x0")).alias("ax"), (F.element_at("geom", -2)["y"] - F.col("y0")).alias("ay"))
-    head = directed.join(at.withColumnRenamed("v", "u"), "u").select(F.col("arc").alias("next"), (F.get("geom", F.lit(1))["x"] - F.col("x0")).alias("bx"), (F.get("geom", F.lit(1))["y"] - F.col("y0")).alias("by"))
     into = ride.select("line_id", F.col("v").alias("node_id"), "arc", F.col("edge_id").alias("edge_a"))
     out = ride.select("line_id", F.col("u").alias("node_id"), F.col("arc").alias("next"), F.col("edge_id").alias("edge_b"))
     pairs = into.join(out, ["line_id", "node_id"])
     if g.exceptions is not None:
         pairs = pairs.join(g.exceptions.select("node_id", "line_id", "edge_a", "edge_b"), ["node_id", "line_id", "edge_a", "edge_b"], "left_anti")
+    if not angles:
+        return pairs.select("line_id", "node_id", "arc", "edge_a", "next", "edge_b")
+    at = g.nodes.select(F.col("node_id").alias("v"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    tail = directed.join(at, "v").select("arc", (F.element_at("geom", -2)["x"] - F.col("x0")).alias("ax"), (F.element_at("geom", -2)["y"] - F.col("y0")).alias("ay"))
+    head = directed.join(at.withColumnRenamed("v", "u"), "u").select(F.col("arc").alias("next"), (F.get("geom", F.lit(1))["x"] - F.col("x0")).alias("bx"), (F.get("geom", F.lit(1))["y"] - F.col("y0")).alias("by"))
     angle = geometry.angle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return pairs.join(tail, "arc").join(head, "next").select("line_id", "node_id", "arc", "edge_a", "next", "edge_b", angle.alias("angle"))
 
 
+def _price(penalty: float, full_turn: float):
+    """What a turn costs on top of lengths; 0 if there is no penalty, so that no angle is needed."""
+    return F.when(F.col("angle") < full_turn, penalty).otherwise(0.0) if penalty else F.lit(0.0)
+
+
 def arc_steps(g: LineGraph, penalty: float = 0.0, full_turn: float = 0.0) -> DataFrame:
     """(line_id, arc, next, cost): each line's turns over the whole edges of a graph; never straight back."""
     g = with_geometry(g)
     directed = arcs(g)
     size = directed.select(F.col("arc").alias("next"), "length")
-    turns = _turns(g, directed).where("edge_a <> edge_b").join(size, "next")
-    return turns.select("line_id", "arc", "next", (F.col("length") + F.when(F.col("angle") < full_turn, penalty).otherwise(0.0)).alias("cost"))
+    turns = _turns(g, directed, bool(penalty)).where("edge_a <> edge_b").join(size, "next")
+    return turns.select("line_id", "arc", "next", (F.col("length") + _price(penalty, full_turn)).alias("cost"))
 
 
 # Turn restrictions
@@ -167,44 +184,40 @@ def infer_restrictions(g: LineGraph, original: LineGraph, origins: DataFrame | N
     g = g.with_(edges=cut(g.edges))
     directed = cut(arcs(original))
     held = cut(handles(g, original, origins, rules))
-    # Handles cut both arcs of an original edge; every piece is an arc of the search.
-    marks = held.join(directed.select("arc", F.col("edge_id").alias("original_id"), "length"), "original_id")
-    marks = marks.withColumn("pos", F.when(F.col("arc").endswith("<"), 1 - F.col("pos")).otherwise(F.col("pos")))
-    named = F.array_sort(F.collect_list(F.struct("pos", "edge_id", "side")))
-    held_on = marks.groupBy("arc").agg(named.alias("h"))
-    none = F.array().cast("array<struct<pos: double, edge_id: string, side: string>>")
-    listed = directed.join(held_on, "arc", "left").withColumn("h", F.coalesce(F.col("h").cast("array<struct<pos: double, edge_id: string, side: string>>"), none))
-    name = lambda i: F.concat(F.col("arc"), F.lit("#"), i.cast("string"))
-    bounds = F.concat(F.array(F.lit(0.0)), F.transform("h", lambda e: e["pos"]), F.array(F.lit(1.0)))
-    parts = listed.withColumn("b", bounds).select("arc", "edge_id", "length", "b", "h", F.posexplode(F.sequence(F.lit(0), F.size("h"))).alias("i", "j"))
-    parts = cut(parts.select("arc", "edge_id", name(F.col("i")).alias("piece"), "i", F.size("h").alias("last"), ((F.get("b", F.col("i") + 1) - F.get("b", F.col("i"))) * F.col("length")).alias("length"), F.get("h", F.col("i")).alias("handle")))
-    lines = _travelled(original, directed).select("line_id", "arc")
-    along = lines.join(parts.where("i < last").select("arc", "piece", "i"), "arc").join(parts.select("arc", (F.col("i") - 1).alias("i"), F.col("piece").alias("next"), F.col("length").alias("cost")), ["arc", "i"])
-    first = parts.where("i = 0").select(F.col("arc").alias("next"), F.col("piece").alias("to"), F.col("length"))
-    final = parts.where("i = last").select("arc", "piece", "last")
-    turned = _turns(original, directed).join(final, "arc").join(first, "next").where("edge_a <> edge_b or last > 0")
-    cost = F.col("length") + F.when(F.col("angle") < rules.full_turn, rules.penalty).otherwise(0.0)
-    steps = cut(along.select("line_id", F.col("piece").alias("arc"), "next", "cost").union(turned.select("line_id", "piece", "to", cost)))
-    # Which pairs of edges are asked for, from both sides.
-    third = g.edges.select("edge_id", (geometry.length(F.col("geom")) * 0.33).alias("third"))
-    ends = g.incidence().join(g.edges.select("edge_id", "a"), "edge_id").join(third, "edge_id").join(g.occs.select("edge_id", "line_id", "direction"), "edge_id")
+    # The ends of edges at which a line is asked for, by number, and the pairs of them, from both sides.
+    third = g.edges.select("edge_id", "a", (geometry.length(F.col("geom")) * 0.33).alias("third"))
+    ends = g.incidence().select("edge_id", "node_id").join(third, "edge_id").join(g.occs.select("edge_id", "line_id", "direction"), "edge_id")
     inward = F.when(F.col("direction").isNotNull(), F.col("direction") == F.col("node_id"))
-    ends = ends.select("node_id", "line_id", "edge_id", "third", F.when(F.col("a") == F.col("node_id"), "a").otherwise("b").alias("side"), inward.alias("inward"))
-    one = ends.select("node_id", "line_id", F.col("edge_id").alias("edge_a"), F.col("third").alias("ta"), F.col("side").alias("side_a"), F.col("inward").alias("ia"))
-    two = ends.select("node_id", "line_id", F.col("edge_id").alias("edge_b"), F.col("third").alias("tb"), F.col("side").alias("side_b"), F.col("inward").alias("ib"))
-    wanted = cut(one.join(two, ["node_id", "line_id"]).where("edge_a <> edge_b and (ia is null or ib is null or ia <> ib)"))
-    stops = parts.where("handle is not null").select(F.col("handle.edge_id").alias("edge"), F.col("handle.side").alias("side"), "piece")
-    text = lambda c: F.col(c).cast("string")
-    asked = wanted.groupBy("node_id", "line_id", "edge_a", "side_a").agg((F.max(F.col("ta") + F.col("tb")) + rules.deviation + 0.1).alias("bound"))
-    query = F.concat_ws("|", text("edge_a"), F.col("side_a"))
-    starts = asked.join(stops, (text("edge_a") == F.col("edge")) & (F.col("side_a") == F.col("side"))).select(query.alias("query"), "line_id", F.col("piece").alias("arc"), "bound")
-    reached = cheapest(starts, steps).join(stops.withColumnRenamed("piece", "arc"), "arc").groupBy("query", "line_id", "edge", "side").agg(F.min("cost").alias("cost"))
-    to = F.concat_ws("|", text("edge_b"), F.col("side_b"))
-    there = reached.select(F.col("query").alias("from"), "line_id", F.concat_ws("|", "edge", "side").alias("to"), "cost")
-    found = wanted.withColumn("from", query).withColumn("to", to).join(there, ["from", "to", "line_id"]).where(F.col("cost") - (F.col("ta") + F.col("tb")) < rules.deviation)
-    found = found.select("node_id", "line_id", "edge_a", "edge_b")
-    either = cut(found.union(found.select("node_id", "line_id", "edge_b", "edge_a")).distinct())
-    missing = wanted.select("node_id", "line_id", "edge_a", "edge_b").join(either, ["node_id", "line_id", "edge_a", "edge_b"], "left_anti")
+    ends = ends.select("line_id", "node_id", "edge_id", "third", F.when(F.col("a") == F.col("node_id"), "a").otherwise("b").alias("side"), inward.alias("inward"))
+    ends = cut(numbered(ends, "line_id", "node_id", "edge_id", name="end"))
+    one = ends.select("node_id", "line_id", F.col("end").alias("end_a"), F.col("third").alias("ta"), F.col("inward").alias("ia"))
+    two = ends.select("node_id", "line_id", F.col("end").alias("end_b"), F.col("third").alias("tb"), F.col("inward").alias("ib"))
+    wanted = one.join(two, ["node_id", "line_id"]).where("end_a <> end_b and (ia is null or ib is null or ia <> ib)")
+    wanted = cut(wanted.select("end_a", "end_b", (F.col("ta") + F.col("tb")).alias("thirds")))
+    # A ride is a line on an arc, by number; where its handles stand and which other rides it may turn to.
+    rides = cut(numbered(_travelled(original, directed).join(directed.select("arc", "length"), "arc"), "line_id", "arc", name="ride"))
+    marks = held.join(directed.select("arc", F.col("edge_id").alias("original_id")), "original_id")
+    marks = marks.select("arc", "edge_id", "side", F.when(F.col("arc").endswith("<"), 1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
+    placed = marks.withColumn("i", F.row_number().over(Window.partitionBy("arc").orderBy("pos", "edge_id", "side")))
+    stops = placed.join(rides.select("arc", "line_id", "ride", "length"), "arc").join(ends.select("end", "line_id", "edge_id", "side"), ["line_id", "edge_id", "side"])
+    stops = cut(stops.select("end", "ride", "i", (F.col("pos") * F.col("length")).alias("along"), "length"))
+    turns = _turns(original, directed, bool(rules.penalty)).join(marks.select("arc", F.lit(True).alias("cut")).distinct(), "arc", "left").where("edge_a <> edge_b or cut")
+    ride = lambda arc, name: rides.select("line_id", F.col("arc").alias(arc), F.col("ride").alias(name))
+    turns = turns.join(rides.select("line_id", "arc", F.col("ride").alias("from"), "length"), ["line_id", "arc"]).join(ride("next", "to"), ["line_id", "next"])
+    turns = cut(turns.select(F.col("from").alias("arc"), F.col("to").alias("next"), "length", _price(rules.penalty, rules.full_turn).alias("price")))
+    # A search knows what a ride costs from its beginning; handles lie along it.
+    asked = wanted.groupBy(F.col("end_a").alias("query")).agg((F.max("thirds") + rules.deviation + 0.1).alias("bound"))
+    begun = cut(asked.join(stops.withColumnRenamed("end", "query"), "query").select("query", "bound", F.col("ride").alias("arc"), "i", "along", "length"))
+    onto = begun.join(turns.select("arc", "next", "price"), "arc").select("query", F.col("next").alias("arc"), "bound", (F.col("length") - F.col("along") + F.col("price")).alias("cost"))
+    ways = cheapest(onto, turns.select("arc", "next", (F.col("length") + F.col("price")).alias("cost")), prev=False)
+    there = stops.select(F.col("end").alias("end_b"), F.col("ride").alias("arc"), F.col("i").alias("i2"), F.col("along").alias("along2"))
+    same = begun.join(there, "arc").where("i <= i2").select(F.col("query").alias("end_a"), "end_b", (F.col("along2") - F.col("along")).alias("cost"))
+    other = ways.join(there, "arc").select(F.col("query").alias("end_a"), "end_b", (F.col("cost") + F.col("along2")).alias("cost"))
+    found = wanted.join(same.union(other), ["end_a", "end_b"]).where(F.col("cost") - F.col("thirds") < rules.deviation).select("end_a", "end_b")
+    either = found.union(found.select("end_b", "end_a")).distinct()
+    missing = wanted.select("end_a", "end_b").join(either, ["end_a", "end_b"], "left_anti")
+    named = lambda c: ends.select(F.col("end").alias(f"end_{c}"), "node_id", "line_id", F.col("edge_id").alias(f"edge_{c}"))
+    missing = missing.join(named("a"), "end_a").join(named("b").drop("node_id", "line_id"), "end_b").select("node_id", "line_id", "edge_a", "edge_b")
     return lift_dead_ends(g.with_(exceptions=cut(missing)))
 
 
