@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_line_graph import graph, rows
-from tramlines.operators import evaluate
+from tramlines.operators import evaluate, routing
 from tramlines.operators.numbering import numbered
 
 GRID = {f"{x}{y}": (x * 10, y * 10) for x in range(4) for y in range(4)}
@@ -69,6 +69,19 @@ def test_routes_equal_plain_searches(spark):
     assert some.samples == len(counted) and abs(some.rate - sum(r.frechet is not None and r.frechet < 2 for r in counted) / len(counted)) < 1e-9
 
 
+def test_turns_are_made_where_searches_arrive(spark, monkeypatch):
+    """Sampled routes in a graph of any size don't make all of its turns."""
+    monkeypatch.setattr(routing, "_turns", None)
+    bar = [("10", "1", "00-10", "10-20"), ("10", "1", "10-20", "00-10")]
+    g = graph(spark, GRID, {"1": [(a, b, None) for a, b in SIDES if a[1] == b[1]]}, bar)
+    free = g.with_(exceptions=None)
+    got = evaluate.sampled_routes(free, g, 30, 1.0, limit=25.0).collect()
+    for r in got:
+        assert r.test_cost is None or r.test_cost == r.truth_cost < 25
+    barred = [r for r in got if r.truth_cost is not None and r.test_cost is None]
+    assert barred and any(r.test_cost for r in got)
+
+
 def test_span_limits_the_second_node(spark):
     g = graph(spark, GRID, {"1": [(a, b, None) for a, b in SIDES]})
     got = evaluate.sample_pairs(g.nodes, 200, span=15).collect()

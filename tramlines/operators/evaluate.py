@@ -85,16 +85,28 @@ def sample_pairs(nodes: DataFrame, samples: int, seed: int = 0, span: float | No
 
 
 def _legs(g: LineGraph, name: str, asked: DataFrame, distance: float, limit: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Starts, ends, steps and arcs of the routes asked for (sample, line_id, x1, y1, x2, y2) in one graph."""
-    directed = routing.arcs(g).withColumn("arc", F.concat(F.lit(name), "arc"))
+    """Starts and ends of the routes asked for (sample, line_id, x1, y1, x2, y2) in one graph, what its lines travel, and its arcs."""
+    directed = cut(routing.arcs(g).withColumn("arc", F.concat(F.lit(name), "arc")))
     points = g.nodes.select(F.col("node_id").alias("id"), "x", "y")
-    ride = directed.select("arc", "edge_id", "u", "v").join(g.occs.select("edge_id", "line_id", "direction"), "edge_id").where("direction is null or direction = v").select("arc", "line_id", "u", "v")
-    at = lambda k: spatial.within(asked.select(F.col("sample").alias("id"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")), points, distance).select(F.col("id").alias("sample"), "target").join(asked.select("sample", "line_id"), "sample")
+    ride = cut(routing.travelled(g, directed).join(directed.select("arc", "length"), "arc"))
+    at = lambda k: cut(spatial.within(asked.select(F.col("sample").alias("id"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")), points, distance).select(F.col("id").alias("sample"), "target").join(asked.select("sample", "line_id"), "sample"))
     query = F.concat(F.lit(name), F.col("sample").cast("string"))
     starts = at(1).join(ride.withColumnRenamed("u", "target"), ["target", "line_id"]).select(query.alias("query"), "line_id", "arc", F.lit(limit).alias("bound"))
     ends = at(2).join(ride.withColumnRenamed("v", "target"), ["target", "line_id"]).select(query.alias("query"), "line_id", "arc").distinct()
-    steps = routing.arc_steps(g).withColumn("arc", F.concat(F.lit(name), "arc")).withColumn("next", F.concat(F.lit(name), "next"))
-    return starts, ends, steps, directed.select("arc", "geom")
+    return starts, ends, ride, directed.select("arc", "geom")
+
+
+def _onward(g: LineGraph, name: str, ride: DataFrame, front: DataFrame) -> DataFrame:
+    """The rows of `front` in one graph with the arcs that their lines may turn to (next) and how long these are (step)."""
+    here = front.where(F.col("query").startswith(name)).join(ride.select("line_id", "arc", F.col("v").alias("node_id"), F.col("edge_id").alias("edge_a")), ["line_id", "arc"])
+    out = ride.select("line_id", F.col("u").alias("node_id"), F.col("arc").alias("next"), F.col("edge_id").alias("edge_b"), F.col("length").alias("step"))
+    turns = cut(here).join(out, ["line_id", "node_id"]).where("edge_a <> edge_b")
+    if g.exceptions is not None:
+        # What is forbidden of these few turns is looked up from their side, so that exceptions stay where they are.
+        turns = cut(turns)
+        barred = g.exceptions.select("node_id", "line_id", "edge_a", "edge_b").join(turns.select("node_id", "line_id", "edge_a", "edge_b").distinct(), ["node_id", "line_id", "edge_a", "edge_b"], "left_semi")
+        turns = turns.join(barred, ["node_id", "line_id", "edge_a", "edge_b"], "left_anti")
+    return turns.select(*front.columns, "next", "step")
 
 
 def sampled_routes(truth: LineGraph, test: LineGraph, samples: int, distance: float, seed: int = 0, span: float | None = None, limit: float = float("inf"), gap: float | None = None) -> DataFrame:
@@ -105,18 +117,22 @@ def sampled_routes(truth: LineGraph, test: LineGraph, samples: int, distance: fl
     of all edges but the first; null where there is no route for less than `limit`.  frechet compares the
     courses of both routes, filled up to points `gap` (by default a tenth of `distance`) apart.
     """
-    truth, test = with_geometry(truth), with_geometry(test)
+    held = lambda g: with_geometry(g.with_(edges=cut(g.edges), occs=cut(g.occs)))
+    truth, test = (held(g) for g in (truth, test))
     pairs = sample_pairs(truth.nodes, samples, seed, span)
     at = lambda c, k: truth.nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
     ends = cut(pairs.join(at("from_node", 1), "from_node").join(at("to_node", 2), "to_node").select("sample", "x1", "y1", "x2", "y2"))
     points = ends.select("sample", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select(F.col("sample").alias("id"), "p.x", "p.y")
-    close = spatial.within(points, truth.nodes.select(F.col("node_id").alias("id"), "x", "y"), distance)
-    here = truth.incidence().join(truth.occs.select("edge_id", "line_id"), "edge_id").select(F.col("node_id").alias("target"), "line_id").distinct()
-    lines = close.join(here, "target").groupBy(F.col("id").alias("sample")).agg(F.array_sort(F.collect_set("line_id")).alias("lines"))
+    close = cut(spatial.within(points, truth.nodes.select(F.col("node_id").alias("id"), "x", "y"), distance).select("id", "target").distinct())
+    here = cut(close.join(truth.incidence().select(F.col("node_id").alias("target"), "edge_id"), "target"))
+    lines = here.join(truth.occs.select("edge_id", "line_id"), "edge_id").groupBy(F.col("id").alias("sample")).agg(F.array_sort(F.collect_set("line_id")).alias("lines"))
     asked = cut(ends.join(lines, "sample").withColumn("line_id", F.get("lines", draw(F.col("sample"), 99991 + seed, F.size("lines")).cast("int"))).drop("lines"))
-    both = [_legs(g, name, asked, distance, limit) for g, name in ((truth, "g"), (test, "t"))]
-    starts, stops, steps, courses = (a.unionByName(b) for a, b in zip(*both, strict=True))
-    ways = routing.cheapest(starts, cut(steps))
+    graphs = ((truth, "g"), (test, "t"))
+    both = [_legs(g, name, asked, distance, limit) for g, name in graphs]
+    starts, stops, _, courses = (a.unionByName(b) for a, b in zip(*both, strict=True))
+    # The samples are few, the graphs may be large: turns are made only where a search arrives.
+    rides = [ride for _, _, ride, _ in both]
+    ways = routing.cheapest(starts, lambda front: _onward(*graphs[0], rides[0], front).unionByName(_onward(*graphs[1], rides[1], front)))
     last = ways.join(stops, ["query", "line_id", "arc"]).groupBy("query").agg(F.min(F.struct("cost", "arc", "prev")).alias("m")).select("query", "m.cost", "m.arc", "m.prev")
     # The routes from their ends, an arc a round for all of them.
     back = ways.select("query", "arc", F.col("prev").alias("prev2"))

@@ -8,6 +8,7 @@ within its bound, and no search is a task of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,13 +20,14 @@ from . import geometry
 from .numbering import numbered
 
 
-def cheapest(starts: DataFrame, steps: DataFrame, rounds: int = 10_000, prev: bool = True) -> DataFrame:
+def cheapest(starts: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], rounds: int = 10_000, prev: bool = True) -> DataFrame:
     """(query, line_id, arc, cost, prev) of all arcs that a query reaches for less than its bound.
 
     starts(query, line_id, arc, bound): the first arcs, which cost nothing, or what a column `cost` says;
     steps(line_id, arc, next, cost): what the line pays to go over to the next arc.  prev is the arc
     before on the cheapest way (ties by its name), null at a start; without `prev` it is left out.
-    line_id may be absent on both sides where arcs are a line's own.
+    line_id may be absent on both sides where arcs are a line's own.  Few searches in a large graph need
+    not have all steps made: a function adds `next` and `step` to the rows that got cheaper.
     """
     at = [c for c in ("line_id", "arc") if c in starts.columns]
     key, rest = ["query", *at], ["cost", "prev"] if prev else ["cost"]
@@ -35,7 +37,8 @@ def cheapest(starts: DataFrame, steps: DataFrame, rounds: int = 10_000, prev: bo
     known = starts.withColumn("prev", F.lit(None).cast(starts.schema["arc"].dataType)).where("cost < bound").groupBy(*key).agg(F.max("bound").alias("bound"), best)
     known = front = cut(known.select(*key, "bound", "m.*"))
     for _ in range(rounds):
-        onward = front.select(*key, "bound", "cost").join(steps.withColumnRenamed("cost", "step"), at).where(F.col("cost") + F.col("step") < F.col("bound"))
+        front = front.select(*key, "bound", "cost")
+        onward = (steps(front) if callable(steps) else front.join(steps.withColumnRenamed("cost", "step"), at)).where(F.col("cost") + F.col("step") < F.col("bound"))
         onward = onward.select("query", *at[:-1], F.col("next").alias("arc"), "bound", (F.col("cost") + F.col("step")).alias("cost"), F.col("arc").alias("prev"))
         found = onward.groupBy(*key).agg(F.max("bound").alias("bound"), best).select(*key, "bound", "m.*")
         before = known.select(*key, F.col("cost").alias("old"))
@@ -56,7 +59,7 @@ def arcs(g: LineGraph) -> DataFrame:
     return rows.select(F.concat(F.col("edge_id").cast("string"), F.col("e.s")).alias("arc"), "edge_id", "e.u", "e.v", "e.geom", geometry.length(F.col("e.geom")).alias("length"))
 
 
-def _travelled(g: LineGraph, directed: DataFrame) -> DataFrame:
+def travelled(g: LineGraph, directed: DataFrame) -> DataFrame:
     """(line_id, arc, edge_id, u, v): the arcs that each line may take."""
     rows = directed.select("arc", "edge_id", "u", "v").join(g.occs.select("edge_id", "line_id", "direction"), "edge_id")
     return rows.where("direction is null or direction = v").select("line_id", "arc", "edge_id", "u", "v")
@@ -67,7 +70,7 @@ def _turns(g: LineGraph, directed: DataFrame, angles: bool = True) -> DataFrame:
 
     Without `angles` there is no angle, and vertices are not joined to every turn.
     """
-    ride = _travelled(g, directed)
+    ride = travelled(g, directed)
     into = ride.select("line_id", F.col("v").alias("node_id"), "arc", F.col("edge_id").alias("edge_a"))
     out = ride.select("line_id", F.col("u").alias("node_id"), F.col("arc").alias("next"), F.col("edge_id").alias("edge_b"))
     pairs = into.join(out, ["line_id", "node_id"])
@@ -195,7 +198,7 @@ def infer_restrictions(g: LineGraph, original: LineGraph, origins: DataFrame | N
     wanted = one.join(two, ["node_id", "line_id"]).where("end_a <> end_b and (ia is null or ib is null or ia <> ib)")
     wanted = cut(wanted.select("end_a", "end_b", (F.col("ta") + F.col("tb")).alias("thirds")))
     # A ride is a line on an arc, by number; where its handles stand and which other rides it may turn to.
-    rides = cut(numbered(_travelled(original, directed).join(directed.select("arc", "length"), "arc"), "line_id", "arc", name="ride"))
+    rides = cut(numbered(travelled(original, directed).join(directed.select("arc", "length"), "arc"), "line_id", "arc", name="ride"))
     marks = held.join(directed.select("arc", F.col("edge_id").alias("original_id")), "original_id")
     marks = marks.select("arc", "edge_id", "side", F.when(F.col("arc").endswith("<"), 1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
     placed = marks.withColumn("i", F.row_number().over(Window.partitionBy("arc").orderBy("pos", "edge_id", "side")))

@@ -52,8 +52,9 @@ tw(sample, line_id, edge_id, u, v, cost) AS (SELECT sample, ask.line_id, edge_id
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = aggregate.line_graph(T.city_nodes(spark, sf_dir), T.near_occurrences(spark, sf_dir))
-    return evaluate.sampled_routes(truth, T.near(spark, sf_dir), SAMPLES, 0.5, span=2.5, limit=4.0)
+    occs = cut(T.near_occurrences(spark, sf_dir))
+    truth = aggregate.line_graph(T.city_nodes(spark, sf_dir), occs)
+    return evaluate.sampled_routes(truth, T.near(spark, sf_dir, occs=occs), SAMPLES, 0.5, span=2.5, limit=4.0)
 
 
 @query("""SELECT sample, line_id, round((SELECT min(cost) FROM gw WHERE gw.sample = ask.sample AND v = t), 6) AS truth_cost, round((SELECT min(cost) FROM tw WHERE tw.sample = ask.sample AND v = t), 6) AS test_cost FROM ask""", ROUTES)
