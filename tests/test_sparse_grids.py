@@ -91,3 +91,10 @@ def test_quadtree_sides_are_the_finest(spark):
     assert all((x + i * (u > x), y + i * (v > y)) not in corners for x, y, u, v in plain for i in range(1, max(u - x, v - y)))
     assert sum(e.dir in (1, 3) for e in edges) == 2 * len(cells)
     assert sparse_grids.quadtree(leaves.where("false").select("k", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), "k", 1.0).count() == 0
+
+
+def test_grid_points_are_counted_in_place(spark):
+    """Neither families are collected into lists, nor do places on a line take two columns of a sort."""
+    nodes = spark.createDataFrame([(1, float(i), float(i * i % 7)) for i in range(5)], "k long, x double, y double")
+    plan = sparse_grids.hanan(nodes, "k", 1.0, 2)[1]._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "bit_or" in plan

@@ -29,7 +29,7 @@ def _crossings(points: DataFrame, key: str) -> DataFrame:
     """(key, gx, gy, w, h, families): box points on two or more of the four families' lines through given points.
 
     Every line lists its points within the box, and those listed twice or more stay: no pairs of lines
-    are made.
+    are made.  families has a bit for each family, as numbers are aggregated in place where lists are not.
     """
     line = F.explode(F.array(*[F.struct(F.lit(i).alias("family"), F.expr(at).alias("at")) for i, (_, at, _) in enumerate(FAMILIES)]))
     lines = points.select(key, "w", "h", line.alias("l")).select(key, "w", "h", "l.family", "l.at").distinct()
@@ -37,7 +37,9 @@ def _crossings(points: DataFrame, key: str) -> DataFrame:
     last = F.expr("CASE family WHEN 1 THEN h WHEN 2 THEN least(w, h + at) WHEN 3 THEN least(w, at) ELSE w END").cast("long")
     spread = lines.withColumn("_from", first).withColumn("_to", last).where("_from <= _to").withColumn("i", F.explode(F.sequence("_from", "_to")))
     gx, gy = F.expr("CASE family WHEN 1 THEN at ELSE i END"), F.expr("CASE family WHEN 0 THEN at WHEN 1 THEN i WHEN 2 THEN i - at ELSE at - i END")
-    return spread.select(key, gx.alias("gx"), gy.alias("gy"), "w", "h", "family").groupBy(key, "gx", "gy", "w", "h").agg(F.array_sort(F.collect_set("family")).alias("families")).where(F.size("families") > 1)
+    met = spread.select(key, gx.alias("gx"), gy.alias("gy"), "w", "h", F.expr("shiftleft(1, family)").alias("bit"))
+    # The box is its key's own, so it need not be grouped by.
+    return met.groupBy(key, "gx", "gy").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.bit_or("bit").alias("families")).where("bit_count(families) > 1")
 
 
 def hanan(nodes: DataFrame, key: str, size: float, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -51,11 +53,14 @@ def hanan(nodes: DataFrame, key: str, size: float, rounds: int = 1) -> tuple[Dat
     points = _cells(nodes, key, size)
     for _ in range(rounds):
         points = _crossings(points.select(key, "gx", "gy", "w", "h"), key)
-    on = points.select(key, "gx", "gy", F.explode("families").alias("family")).withColumn("at", F.expr("CASE family " + " ".join(f"WHEN {i} THEN {at}" for i, (_, at, _) in enumerate(FAMILIES)) + " END"))
-    along = Window.partitionBy(key, "family", "at").orderBy("gx", "gy")
-    ways = on.withColumn("to_gx", F.lead("gx").over(along)).withColumn("to_gy", F.lead("gy").over(along)).where("to_gx is not null")
-    dirs = F.expr("CASE family " + " ".join(f"WHEN {i} THEN {d}" for i, (_, _, d) in enumerate(FAMILIES)) + " END").cast("long")
-    return points.select(key, "gx", "gy"), ways.select(key, "gx", "gy", dirs.alias("dir"), "to_gx", "to_gy", F.greatest(F.col("to_gx") - F.col("gx"), F.abs(F.col("to_gy") - F.col("gy"))).alias("hops"))
+    case = lambda values: F.expr("CASE family " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END")
+    on = points.select(key, "gx", "gy", "families", F.explode(F.array(*map(F.lit, range(len(FAMILIES))))).alias("family")).where("families & shiftleft(1, family) <> 0")
+    on = on.select(key, "family", case(at for _, at, _ in FAMILIES).alias("at"), F.expr("CASE family WHEN 1 THEN gy ELSE gx END").alias("i"))
+    # A place on a line is one number; `at` tells most lines apart, so rows are sorted by it first.
+    ways = on.withColumn("j", F.lead("i").over(Window.partitionBy("at", "family", key).orderBy("i"))).where("j is not null")
+    x, y = (lambda v: case((v, "at", v, v))), (lambda v: case(("at", v, f"{v} - at", f"at - {v}")))
+    ways = ways.select(key, x("i").alias("gx"), y("i").alias("gy"), case(d for _, _, d in FAMILIES).cast("long").alias("dir"), x("j").alias("to_gx"), y("j").alias("to_gy"), (F.col("j") - F.col("i")).alias("hops"))
+    return points.select(key, "gx", "gy"), ways
 
 
 def diagonal_crossings(edges: DataFrame, key: str) -> DataFrame:
