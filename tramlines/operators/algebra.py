@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import LineGraph
@@ -22,17 +22,21 @@ def adjacent_edges(g: LineGraph) -> DataFrame:
     return both.where(F.col("edge_a") != F.col("edge_b"))
 
 
+def directions_agree() -> Column:
+    """A line that runs towards `da` on one edge and `db` on the other can run over `node_id`; null is both ways."""
+    return F.col("da").isNull() | F.col("db").isNull() | ((F.col("da") == F.col("node_id")) != (F.col("db") == F.col("node_id")))
+
+
 def continuations(g: LineGraph) -> DataFrame:
     """(node_id, line_id, edge_a, edge_b), ordered pairs: the line runs on from one edge to the other.
 
     Both edges carry it, the node has more than one edge, directions agree (it does not run towards
     or away from the node on both) and no exception forbids it.
     """
-    at = g.incidence().join(g.occs, "edge_id").select("node_id", "line_id", "edge_id", "direction")
+    at = g.attached().select("node_id", "line_id", "edge_id", "direction")
     a = at.select("node_id", "line_id", F.col("edge_id").alias("edge_a"), F.col("direction").alias("da"))
     b = at.select("node_id", "line_id", F.col("edge_id").alias("edge_b"), F.col("direction").alias("db"))
-    agree = F.col("da").isNull() | F.col("db").isNull() | ((F.col("da") == F.col("node_id")) != (F.col("db") == F.col("node_id")))
-    out = a.join(b, ["node_id", "line_id"]).where((F.col("edge_a") != F.col("edge_b")) & agree).select("node_id", "line_id", "edge_a", "edge_b")
+    out = a.join(b, ["node_id", "line_id"]).where((F.col("edge_a") != F.col("edge_b")) & directions_agree()).select("node_id", "line_id", "edge_a", "edge_b")
     if g.exceptions is not None:
         out = out.join(g.exceptions, ["node_id", "line_id", "edge_a", "edge_b"], "left_anti")
     return out
@@ -40,7 +44,7 @@ def continuations(g: LineGraph) -> DataFrame:
 
 def termini(g: LineGraph) -> DataFrame:
     """(node_id, line_id, edge_id): the line has no continuation at this end of the edge."""
-    ends = g.incidence().join(g.occs, "edge_id").select("node_id", "line_id", "edge_id")
+    ends = g.attached().select("node_id", "line_id", "edge_id")
     on = continuations(g).select("node_id", "line_id", F.col("edge_a").alias("edge_id")).distinct()
     return ends.join(on, ["node_id", "line_id", "edge_id"], "left_anti")
 
@@ -79,7 +83,7 @@ def partners(g: LineGraph) -> DataFrame:
 
 def served(g: LineGraph, not_served: DataFrame) -> DataFrame:
     """(node_id, line_id): lines present at a node and not marked as passing through."""
-    at = g.incidence().join(g.occs, "edge_id").select("node_id", "line_id").distinct()
+    at = g.attached().select("node_id", "line_id").distinct()
     return at.join(not_served, ["node_id", "line_id"], "left_anti")
 
 
