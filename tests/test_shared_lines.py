@@ -3,7 +3,7 @@
 import random
 
 from tramlines.model import LineGraph
-from tramlines.operators import aggregate, chains, ordering
+from tramlines.operators import aggregate, algebra, ordering, structure
 
 
 def _graph(spark, seed):
@@ -34,3 +34,20 @@ def test_turned_legs_are_legs_with_their_distance(spark):
     plain = ordering.legs_of(g, order).join(ordering.circular_distance(g), ["node_id", "edge_a", "edge_b"]).select(*names)
     got = sorted(map(tuple, ordering.turned_legs(g, order).select(*names).collect()))
     assert got and got == sorted(map(tuple, plain.collect()))
+
+
+def test_pass_through_pairs_lines_at_nodes_of_two_edges_only(spark):
+    g = _graph(spark, 3)
+    found = structure.pass_through(g)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1  # the ends of edges, once
+    lines = {r.edge_id: set() for r in g.edges.collect()}
+    for r in g.occs.collect():
+        lines[r.edge_id].add(r.line_id)
+    at = {}
+    for r in g.incidence().collect():
+        at.setdefault(r.node_id, []).append(r.edge_id)
+    on = {}
+    for r in algebra.continuations(g).collect():
+        on.setdefault((r.node_id, r.edge_a, r.edge_b), set()).add(r.line_id)
+    want = [(n, *sorted(e)) for n, e in at.items() if len(e) == 2 and lines[e[0]] == lines[e[1]] == on.get((n, *sorted(e)))]
+    assert sorted(map(tuple, found.select("node_id", "edge_a", "edge_b").collect())) == sorted(want)
