@@ -3,7 +3,7 @@
 import random
 
 from tramlines.model import LineGraph
-from tramlines.operators import aggregate, algebra, ordering, structure
+from tramlines.operators import aggregate, algebra, chains, ordering, structure
 
 
 def _graph(spark, seed):
@@ -51,3 +51,11 @@ def test_pass_through_pairs_lines_at_nodes_of_two_edges_only(spark):
         on.setdefault((r.node_id, r.edge_a, r.edge_b), set()).add(r.line_id)
     want = [(n, *sorted(e)) for n, e in at.items() if len(e) == 2 and lines[e[0]] == lines[e[1]] == on.get((n, *sorted(e)))]
     assert sorted(map(tuple, found.select("node_id", "edge_a", "edge_b").collect())) == sorted(want)
+
+
+def test_ranked_lists_keep_the_number_of_partitions(spark):
+    n = 200
+    items = spark.createDataFrame([(i, i + 1 if i < n else None, None) for i in range(n + 1)], "id long, next long, name string")
+    ranked = chains.rank_lists(items)
+    assert sorted((r.id, r.n) for r in ranked.collect()) == [(i, n - i + 1) for i in range(n + 1)]
+    assert len(ranked.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))

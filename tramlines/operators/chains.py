@@ -36,7 +36,8 @@ def rank_lists(items: DataFrame, keep: int = 0, rounds: int = 64) -> DataFrame:
             "id", F.col("to2").alias("to"), F.col("last2").alias("last"), (F.col("n") + F.col("n2")).alias("n"), best(F.concat("top", "top2")).alias("top"),
             F.least("low", "low2").alias("low"), (F.col("closed2") | (F.col("low") == F.col("low2"))).alias("closed"),
         )
-        rows = cut(rows.where("to is null or closed").union(moved))
+        # A union adds up the files of both sides, which would double in every round.
+        rows = cut(rows.where("to is null or closed").union(moved).coalesce(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     raise RuntimeError(f"lists did not end in {rounds} rounds")
 
 
