@@ -9,12 +9,18 @@ that `Tokenizer.encode(text, add_special_tokens=False)` gives (tests compare the
 from __future__ import annotations
 
 import re
-import struct
+import sys
+from array import array
 from functools import lru_cache
 
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ɏ]*")
 _INNER = re.compile(r" (?=\S)")
+# Words that may stand in one string with others: pieces of theirs that meet are of different kinds.
+_JOINS = re.compile(r"[!-&(-~À-ÖØ-öø-ɏ]+")
+_KINDS = re.compile(r"Ġ|Ġ?(?:(?:[A-Za-z]|[^!-~Ġ])+|[0-9]+|[!-/:-@[-`{-~]+)")
+#: New words that the model merges in one call.
+JOINED = 64
 
 
 def _byte_names() -> dict[int, str]:
@@ -24,6 +30,13 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Spaces(Exception):
     """A space that more white space or the end of the text follows."""
 
@@ -38,19 +51,25 @@ class Encoder(dict):
         self.whole.encode_special_tokens = True
         self.model, self.names, self.words, self.longest = self.whole.model, _byte_names(), words, longest
         self.heads: dict[str, bytes] = {}
+        added = {t.content for t in self.whole.get_added_tokens_decoder().values()}  # no merge makes these
+        vocabulary = {t: i for t, i in self.whole.get_vocab().items() if t not in added}
+        self.firsts = frozenset(i for token, i in vocabulary.items() if token[0] == "Ġ")
+        # No token of characters that _JOINS words can hold runs over the end of a piece or of a word.
+        held = re.compile("[Ġ!-&(-~" + "".join(re.escape(self.names[b]) for b in [*range(0x80, 0xC0), *range(0xC3, 0xCA)]) + "]+")
+        self.joins = all(_KINDS.fullmatch(t) for t in vocabulary if held.fullmatch(t))
+
+    def name(self, text: str) -> str:
+        """The text as the vocabulary writes its bytes."""
+        if text.isascii():
+            return text.replace(" ", "Ġ").replace("\n", "Ċ")
+        return text.encode().decode("latin-1").translate(self.names)
 
     def ids(self, unit: str) -> bytes:
         if _PLAIN.fullmatch(unit):
-            out: list[int] = []
-            for piece in _PIECES.findall(unit):
-                if piece.isascii():
-                    name = piece.replace(" ", "Ġ").replace("\n", "Ċ")
-                else:
-                    name = piece.encode().decode("latin-1").translate(self.names)
-                out += [t.id for t in self.model.tokenize(name)]
+            out = [t.id for piece in _PIECES.findall(unit) for t in self.model.tokenize(self.name(piece))]
         else:
             out = self.whole.encode(unit, add_special_tokens=False).ids
-        return struct.pack(f"<{len(out)}I", *out)
+        return _packed(out)
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace():
@@ -62,16 +81,42 @@ class Encoder(dict):
             self[word] = out
         return out
 
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of a space and each of some new words, JOINED words in a call where that gives the same."""
+        joins = [w for w in words if len(w) <= self.longest and _JOINS.fullmatch(w)] if self.joins else []
+        found: dict[str, bytes] = {}
+        for at in range(0, len(joins), JOINED):
+            part = joins[at : at + JOINED]
+            ids = [t.id for t in self.model.tokenize(self.name(" " + " ".join(part)))]
+            starts = [4 * k for k, i in enumerate(ids) if i in self.firsts]
+            packed = _packed(ids)
+            found.update(zip(part, map(packed.__getitem__, map(slice, starts, starts[1:] + [len(packed)])), strict=True))
+        if len(self) + len(found) > self.words:
+            self.clear()
+        self.update(found)
+        for word in words:
+            if word not in found:
+                found[word] = self[word]
+        return found
+
+    def bodies(self, words: list[str]) -> bytes:
+        """The ids of words that a space stands before."""
+        out = list(map(self.get, words))
+        if None in out:
+            new = self.learn(list(dict.fromkeys([w for w, ids in zip(words, out, strict=True) if ids is None])))
+            out = [new[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, 4 bytes each."""
         if not text:
             return b""
         head, *rest = text.split(" ")
         try:
-            body = b"".join(map(self.__getitem__, rest))
+            body = self.bodies(rest)
         except _Spaces:
             head, *rest = _INNER.split(text)
-            body = b"".join(map(self.__getitem__, rest))
+            body = self.bodies(rest)
         if (first := self.heads.get(head)) is None:
             first = self.ids(head)
             if len(self.heads) >= self.words // 8:
