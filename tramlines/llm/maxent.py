@@ -56,6 +56,8 @@ FEATURES = ((0, 1, 2, 3, 4), (0, 1, 4), (0, 1, 4))
 BINS = 8
 #: A row's counts are emitted in this many parts for each factor.
 BLOCKS = 32
+#: Positions whose rows are summed together: few, so that the rows stay in a core's own cache.
+AT_ONCE = 1024
 
 
 @dataclass(frozen=True)
@@ -123,6 +125,10 @@ class Factor:
             out[i] = self.start[node, i] + (feats[:, f] >> X.U64(33) & mask).astype(np.int64)
         return out
 
+    def room(self, *shape: int) -> np.ndarray:
+        """Room for the outcomes of AT_ONCE positions."""
+        return np.empty((*shape, AT_ONCE, self.table.shape[1]), np.float32)
+
 
 @dataclass
 class Model:
@@ -363,24 +369,27 @@ def _learn(shared):
 def _slopes(f: Factor, which: tuple[int, ...], gain: np.ndarray, feats: np.ndarray, node: np.ndarray, outcome: np.ndarray, smooth: float) -> np.ndarray:
     """The derivative of each position's loss by every gain, its own count left out."""
     rows = f.rows(feats, which, node)
-    at = np.arange(len(node))
     place = np.arange(len(which))[:, None] * BINS + f.bins[rows]
-    g = gain[place].astype(np.float32)
-    xs = [f.table[r] for r in rows]
-    z = f.prior[node]
-    expected = smooth * np.exp(z[at, outcome])
-    less = np.empty((len(which), len(at)), np.float32)
-    for i, x in enumerate(xs):
-        z += g[i, :, None] * x
-        count = np.exp(x[at, outcome]) * (f.uses[rows[i]] / smooth + 1) * expected
-        less[i] = np.log(np.maximum(count - 1, expected) / count)
-    z[at, outcome] += (g * less).sum(0)
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z, out=z)
-    p /= p.sum(1, keepdims=True)
-    out = np.zeros((len(at), len(gain)))
-    for i, x in enumerate(xs):
-        out[at, place[i]] = np.einsum("nc,nc->n", p, x) + (p[at, outcome] - 1) * less[i] - x[at, outcome]
+    gains, uses = gain.astype(np.float32)[place], f.uses[rows] / smooth + 1
+    out = np.zeros((len(node), len(gain)))
+    xs, zs, shares, ones = f.room(len(which)), f.room(), f.room(), np.ones(f.prior.shape[1], np.float32)
+    for lo in range(0, len(node), AT_ONCE):
+        part = slice(lo, lo + AT_ONCE)
+        o, g = outcome[part], gains[:, part]
+        n = len(o)
+        at, x, z, prior = np.arange(n), xs[:, :n], zs[:n], shares[:n]
+        np.take(f.table, rows[:, part], 0, x, "clip")
+        np.take(f.prior, node[part], 0, prior, "clip")
+        expected, own = smooth * np.exp(prior[at, o]), x[:, at, o]
+        count = np.exp(own) * uses[:, part] * expected
+        less = np.log(np.maximum(count - 1, expected) / count)
+        np.einsum("fn,fnc->nc", g, x, out=z)
+        z += prior
+        z[at, o] += (g * less).sum(0)
+        z -= z.max(1, keepdims=True)
+        e = np.exp(z, out=z)
+        total = e @ ones
+        out[part][at, place[:, part]] = np.einsum("nc,fnc->fn", e, x) / total + (e[at, o] / total - 1) * less - own
     return out
 
 
@@ -424,14 +433,20 @@ def applied(model: Model) -> Model:
 
 def outcomes(f: Factor, which: tuple[int, ...], feats: np.ndarray, node: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
     """Log-probabilities of every outcome of the nodes in their contexts, or of one each; gains are in the rows."""
-    z = f.prior[node]
-    for r in f.rows(feats, which, node):
-        z += f.table[r]
-    z -= z.max(1, keepdims=True)
-    if only is None:
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-    own = z[np.arange(len(z)), only]
-    return own - np.log(np.exp(z, out=z).sum(1))
+    rows = f.rows(feats, which, node)
+    out = np.empty((len(node), f.prior.shape[1]) if only is None else len(node), np.float32)
+    zs, xs, ones = f.room(), f.room(), np.ones(f.prior.shape[1], np.float32)
+    for lo in range(0, len(node), AT_ONCE):
+        part = slice(lo, lo + AT_ONCE)
+        n = len(node[part])
+        z, x = zs[:n], xs[:n]
+        np.take(f.prior, node[part], 0, z, "clip")
+        for r in rows[:, part]:
+            z += np.take(f.table, r, 0, x, "clip")
+        z -= z.max(1, keepdims=True)
+        total = np.log(np.exp(z, out=x) @ ones)
+        out[part] = z - total[:, None] if only is None else z[np.arange(n), only[part]] - total
+    return out
 
 
 SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, tokens array<long>, times array<int>"
