@@ -33,13 +33,15 @@ from .tokens import encoder
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Ids that one Arrow batch may hold.
 BATCH_IDS = 1 << 21
+#: Words that a worker's encoder keeps; when they are more, it begins again.
+WORDS = 1_200_000
 
 
 def _encode(path: str, end: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, start = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, start = encoder(path, WORDS), TaskContext.get().partitionId(), 0
 
         def batch_of(docs: list[int], bodies: list[bytes], at: int) -> pa.RecordBatch:
             n = np.array([len(b) // 4 for b in bodies], np.int64)

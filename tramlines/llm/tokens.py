@@ -127,6 +127,6 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int = 400_000) -> Encoder:
     """The worker's encoder; workers are reused, so its cache serves many tasks."""
-    return Encoder(path)
+    return Encoder(path, words)
