@@ -13,6 +13,8 @@ from . import blocks, geometry
 from .spatial import boxed, cell
 
 CELLS = 1 << 18  # rows by sides that are looked at together
+FEW = 1 << 15  # rows by rings, so that some arrays of them stay in the processor's cache
+CORNERS = 8  # of rings tested for being convex
 
 
 def _rings(polygons: DataFrame) -> DataFrame:
@@ -74,6 +76,72 @@ def _matrix(decide: Callable[[dict, np.ndarray, tuple], np.ndarray]) -> blocks.T
     return test
 
 
+def _convex(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Of rings, a row each: 1 or -1 where every corner lies on that side of all sides that it does not end; else 0."""
+    k = x.shape[1]
+    ahead = (np.arange(k) + 1) % k
+    dx, dy = x[:, ahead] - x, y[:, ahead] - y
+    turn = dx[:, :, None] * (y[:, None, :] - y[:, :, None]) - dy[:, :, None] * (x[:, None, :] - x[:, :, None])
+    apart = np.ones((k, k), bool)
+    apart[np.arange(k), np.arange(k)] = apart[np.arange(k), ahead] = False
+    return (turn[:, apart] > least).all(axis=1).astype(np.int8) - (turn[:, apart] < -least).all(axis=1)
+
+
+def _count_blocked(a: dict, b: dict) -> np.ndarray:
+    """How many rings of a block each segment meets or lies in.
+
+    A segment and a convex ring are apart if all corners are on one side of the segment's line, or both
+    its ends are outside of one side.  Products of matrices tell how far at least; where rounding might
+    decide, and for other rings, all sides are looked at as in `blocked`.
+    """
+    ends = [a[c] for c in ("x1", "y1", "x2", "y2")]
+    n = np.zeros(len(ends[0]), np.int64)
+    named, first, sides = _sides_of(b["ring"])
+    if not len(named):
+        return n
+    exact = lambda rows, begin, of: (_held(a["x1"][rows, None], a["y1"][rows, None], begin, of) | _touched({c: a[c][rows, None] for c in ("x1", "y1", "x2", "y2")}, begin, of)).sum(axis=1)
+
+    def all_sides(rows: np.ndarray, at: np.ndarray) -> None:
+        begin, of = np.arange(len(at)) * at.shape[1], tuple(v[at.ravel()] for v in sides)
+        some = max(1, CELLS // at.size)
+        for k in range(0, len(rows), some):
+            n[rows[k : k + some]] += exact(rows[k : k + some], begin, of)
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = 1e-12 * max(np.abs(v).max() for v in (*ends, *sides)) ** 2
+    x1, y1, x2, y2 = ends
+    line = np.stack([y1 - y2, x2 - x1, (y2 - y1) * x1 - (x2 - x1) * y1], axis=1)
+    tips = [np.stack([x, y, np.ones_like(x)], axis=1) for x, y in ((x1, y1), (x2, y2))]
+    size = np.diff(np.append(first, len(sides[0])))
+    for k in np.unique(size):
+        at = first[size == k][:, None] + np.arange(k)
+        x, y = sides[0][at], sides[1][at]
+        turned = _convex(x, y, near) if 3 <= k <= CORNERS else np.zeros(len(at), np.int8)
+        if not turned.all():
+            all_sides(np.arange(len(n)), at[turned == 0])
+        at, x, y, turned = at[turned != 0], x[turned != 0], y[turned != 0], turned[turned != 0]
+        if not len(at):
+            continue
+        corners = [np.stack([x[:, c], y[:, c], np.ones(len(at))]) for c in range(k)]
+        px, py, qx, qy = x, y, np.roll(x, -1, axis=1), np.roll(y, -1, axis=1)
+        inner = [turned * np.stack([v[:, c] for v in (py - qy, qx - px, (qy - py) * px - (qx - px) * py)]) for c in range(k)]
+        some = max(1, FEW // len(at))
+        for begin in range(0, len(n), some):
+            rows = slice(begin, begin + some)
+            low = high = line[rows] @ corners[0]
+            for c in corners[1:]:
+                v = line[rows] @ c
+                low, high = np.minimum(low, v), np.maximum(high, v)
+            depth = np.minimum(-low, high)
+            for side in inner:
+                depth = np.minimum(depth, np.maximum(tips[0][rows] @ side, tips[1][rows] @ side))
+            sure = (np.abs(depth) > near).all(axis=1)
+            n[rows] += np.where(sure, (depth > 0).sum(axis=1), 0)
+            if not sure.all():
+                all_sides(begin + np.flatnonzero(~sure), at)
+    return n
+
+
 def _matches(segments: DataFrame, polygons: DataFrame, size: float, decide: Callable[[dict, np.ndarray, tuple], np.ndarray]) -> DataFrame:
     kinds = f"id {segments.schema['id'].dataType.simpleString()}, polygon {polygons.schema['polygon'].dataType.simpleString()}"
     one, two = blocks.packed(boxed(segments), size), blocks.packed(_rings(polygons), size, many="ring")
@@ -101,6 +169,15 @@ def blocked(segments: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     return _matches(segments, polygons, size, lambda a, first, ends: _held(a["x1"], a["y1"], first, ends) | _touched(a, first, ends))
 
 
+def blocked_counts(segments: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """(id, n): how many polygons each segment meets or lies in, as `blocked` tells; none that has none.
+
+    Polygons are counted where blocks meet, so pairs make no rows.
+    """
+    one, two = blocks.packed(boxed(segments), size), blocks.packed(_rings(polygons), size, many="ring")
+    return blocks.counts(one, two, size, _count_blocked, "id")
+
+
 def blocked_points(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """(id, polygon): points in a polygon or on its sides."""
     return blocked(_places(points), polygons, size)

@@ -87,7 +87,7 @@ def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT id, count(*)::BIGINT AS polygons FROM (SELECT * FROM touched UNION SELECT * FROM held) GROUP BY 1", AREAS)
 def obstacle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many triangles each segment meets or lies in."""
-    return obstacles.blocked(T.segments(spark, sf_dir), _areas(spark, sf_dir), 0.1).groupBy("id").agg(F.count("*").alias("polygons"))
+    return obstacles.blocked_counts(T.segments(spark, sf_dir), _areas(spark, sf_dir), 0.1).withColumnRenamed("n", "polygons")
 
 
 @query("SELECT p.id, polygon FROM points p, tside WHERE (y3 <= p.y) <> (y4 <= p.y) AND p.x < x3 + (p.y - y3) / (y4 - y3) * (x4 - x3) GROUP BY ALL HAVING count(*) % 2 = 1", AREAS)
